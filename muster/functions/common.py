@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 ColumnOrName = Column | str
 
@@ -21,9 +23,12 @@ def first_set(*cols: ColumnOrName) -> Column:
     return F.coalesce(*[set_or_null(c) for c in cols])
 
 
-def null_safe(left, right, cols):
-    """Equi-join condition on same-named columns where null equals null."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named columns where null equals null; the result has the left ones.
+
+    The right ones get new names first, so both sides may come from the same table.
+    """
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in cols})
+    cond = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_right_{c}")), cols, F.lit(True))
+    joined = left.join(renamed, cond, how)
+    return joined.drop(*[f"_right_{c}" for c in cols])

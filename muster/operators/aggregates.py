@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import as_col, null_safe
+from muster.functions.common import as_col, join_on
 from muster.operators.ordered import first_rows
 
 
@@ -34,13 +34,17 @@ def with_seconds(spans: DataFrame) -> DataFrame:
 
 
 def phase_report(durations: DataFrame, phase: str = "phase") -> DataFrame:
-    """Benchmark table: runs, runs left open, and times per phase."""
+    """Benchmark table: runs, runs left open, and times per phase.
+
+    Times are summed as whole microseconds, so the mean does not depend on the order of rows.
+    """
+    micros = F.round(F.col("seconds") * 1_000_000).cast("bigint")
     return durations.groupBy(phase).agg(
         F.count("seconds").alias("closed"),
         F.count_if(F.col("seconds").isNull()).alias("open"),
         F.min("seconds").alias("min_seconds"),
         F.max("seconds").alias("max_seconds"),
-        F.avg("seconds").alias("avg_seconds"),
+        (F.sum(micros) / F.lit(1_000_000.0) / F.nullif(F.count("seconds"), F.lit(0))).alias("avg_seconds"),
     )
 
 
@@ -57,15 +61,10 @@ def concat_names(groups: DataFrame, names: DataFrame, keys: list[str], name: str
     """
     listed = names.filter(F.col(name).isNotNull()).select(*keys, name)
     sizes = listed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / names_per_part).cast("int").alias("_parts"))
-    placed = listed.join(sizes, null_safe(listed, sizes, keys), "left")
-    for k in keys:
-        placed = placed.drop(sizes[k])
+    placed = join_on(listed, sizes, keys, "left")
     placed = placed.withColumn("part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
     texts = placed.groupBy(*keys, "part").agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
-    wanted = groups.select(*keys).distinct()
-    out = wanted.join(texts, null_safe(wanted, texts, keys), "left")
-    for k in keys:
-        out = out.drop(texts[k])
+    out = join_on(groups.select(*keys).distinct(), texts, keys, "left")
     return out.select(
         *keys,
         F.coalesce("part", F.lit(0)).alias("part"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from muster.functions.common import ColumnOrName, as_col, null_safe
+from muster.functions.common import ColumnOrName, as_col, join_on
 
 EMPTY_OBJECT = "{}"
 
@@ -116,7 +116,7 @@ def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fall
     rank = F.when(_starts_with(F.col("path"), places[0]), 0).when(_starts_with(F.col("path"), places[1]), 1)
     hits = leaves.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
     first = hits.groupBy(*keys).agg(F.min("_rank").alias("_first"))
-    chosen = hits.join(first, null_safe(hits, first, keys) & (hits["_rank"] == first["_first"]), "left_semi")
+    chosen = join_on(hits, first.withColumnRenamed("_first", "_rank"), [*keys, "_rank"], "left_semi")
     depth = F.when(F.col("_rank") == 0, len(places[0])).otherwise(len(places[1]))
     below = F.slice("path", depth + 1, F.greatest(F.size("path") - depth, F.lit(0)))
     rows = chosen.select(*keys, below.alias("_below"), "value")
@@ -154,23 +154,15 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
     last = last.select(*at, F.col("_last.value").alias("value"), "_layer", "_plain")
 
     spread = last.select(*keys, "path", "_layer", F.explode(_proper_prefixes(F.col("path"))).alias("_above"))
-    below = spread.groupBy(*keys, "_above").agg(F.max("_layer").alias("_below"))
+    below = spread.groupBy(*keys, F.col("_above").alias("path")).agg(F.max("_layer").alias("_below"))
     plain_at = last.filter(F.col("_plain").isNotNull()).select(
-        *[F.col(k).alias("_k_" + k) for k in keys], F.col("path").alias("_p"), F.col("_plain").alias("_kill")
+        *keys, F.col("path").alias("_above"), F.col("_plain").alias("_kill")
     )
-    hit = spread["_above"] == plain_at["_p"]
-    for k in keys:
-        hit = hit & spread[k].eqNullSafe(plain_at["_k_" + k])
-    killed = spread.join(plain_at, hit & (plain_at["_kill"] > spread["_layer"])).select(*at).distinct()
-    alive = last.join(killed, null_safe(last, killed, at), "left_anti")
-
-    over = alive["path"] == below["_above"]
-    for k in keys:
-        over = over & alive[k].eqNullSafe(below[k])
+    killed = join_on(spread, plain_at, [*keys, "_above"]).filter(F.col("_kill") > F.col("_layer")).select(*at).distinct()
+    alive = join_on(last, killed, at, "left_anti")
+
     replaced = (F.col("value") != EMPTY_OBJECT) & F.coalesce(F.col("_below") > F.col("_layer"), F.lit(False))
-    kept = alive.join(below, over, "left")
-    for k in keys:
-        kept = kept.drop(below[k])
+    kept = join_on(alive, below, at, "left")
     kept = kept.filter(~replaced).select(*at, "value", "_below")
 
     # An empty object is a leaf only while nothing is left below it.
@@ -181,7 +173,7 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
         .distinct()
     )
     open_objects = kept.filter(doubtful).drop("_below")
-    still_empty = open_objects.join(parents, null_safe(open_objects, parents, at), "left_anti")
+    still_empty = join_on(open_objects, parents, at, "left_anti")
     return kept.filter(~doubtful).drop("_below").unionByName(still_empty)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import as_col, null_safe
+from muster.functions.common import as_col, join_on
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, out: str = "n") -> DataFrame:
@@ -42,11 +42,7 @@ def _carry_over_buckets(per_bucket: DataFrame, keys: list[str], value: Column, o
 
 
 def _attach(rows: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFrame:
-    on = [*keys, "_bucket"]
-    joined = rows.join(per_bucket, null_safe(rows, per_bucket, on), "left")
-    for c in on:
-        joined = joined.drop(per_bucket[c])
-    return joined
+    return join_on(rows, per_bucket, [*keys, "_bucket"], "left")
 
 
 def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list, out: str = "n") -> DataFrame:

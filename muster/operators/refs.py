@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from muster.functions.common import as_col, null_safe
+from muster.functions.common import as_col, join_on
 
 _ANY_SLOT = r"\{([^}]+)\}"
 
@@ -42,8 +42,7 @@ def look_up_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
         .groupBy("file", "section", "attr")
         .agg(F.min_by("value", "line_no").alias("value"))
     )
-    on = null_safe(asked, first, ["file", "section", "attr"])
-    return asked.join(first, on, "left").select("ref", "value")
+    return join_on(asked, first, ["file", "section", "attr"], "left").select("ref", "value")
 
 
 def resolve_refs(df: DataFrame, keys: list[str], text: str, sections: DataFrame) -> DataFrame:
@@ -63,7 +62,4 @@ def resolve_refs(df: DataFrame, keys: list[str], text: str, sections: DataFrame)
         F.col(text),
         lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["ref"], F.lit("}")), e["value"]),
     )
-    joined = df.join(found, null_safe(df, found, keys), "left")
-    for k in keys:
-        joined = joined.drop(found[k])
-    return joined.withColumn(text, filled).drop("_found")
+    return join_on(df, found, keys, "left").withColumn(text, filled).drop("_found")
