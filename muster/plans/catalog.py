@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muster.plans import joins, records, reports, scans  # noqa: F401
+from muster.plans import fleet, joins, records, reports, scans, streams  # noqa: F401
 from muster.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
