@@ -22,7 +22,11 @@ ALREADY_ACTIVE = "Tunnel already active"
 NO_LOG_FILE = "No log file configured."
 NO_PROMPT = "Please provide either a prompt text or a --file"
 
-# Characters that count as white space, and those that end a line, as regex pieces
+# Characters that count as white space, as text and as a regex piece, and those that end a line
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 

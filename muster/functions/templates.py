@@ -87,7 +87,7 @@ def resolve_bindings(bindings: ColumnOrName) -> Column:
 
     def one_pass(m):
         usable = F.map_filter(m, lambda k, v: ~F.contains(v, _slot(k)))
-        return F.transform_values(m, lambda k, v: _fill(v, usable))
+        return F.transform_values(m, lambda k, v: F.when(F.contains(v, F.lit("{")), _fill(v, usable)).otherwise(v))
 
     passes = F.ceil(F.log2(F.size(hidden) + F.lit(1))).cast("int") + F.lit(1)
     return F.transform_values(

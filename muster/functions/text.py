@@ -71,7 +71,7 @@ def preview(s: ColumnOrName, n: int = fv.PREVIEW_CHARS) -> Column:
 
 def strip(s: ColumnOrName) -> Column:
     """Cut white space of every kind at both ends."""
-    return F.regexp_replace(as_col(s), rf"^[{fv.SPACE}]+|[{fv.SPACE}]+$", "")
+    return F.btrim(as_col(s), F.lit(fv.SPACE_CHARS))
 
 
 def is_placeholder(s: ColumnOrName) -> Column:

@@ -2,8 +2,8 @@
 
 A key may hold a large part of all rows, so no operator here sorts a whole key in one
 task. Either only a bounded number of rows per key leaves a task (``row_number() <= n``,
-which Spark turns into a group limit before the shuffle), or the key is cut into buckets
-along its order and only one row per bucket is looked at across the key.
+which Spark turns into a group limit before the shuffle), or the key is cut into ranges or
+buckets along its order and only one row per bucket is looked at across the key.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from muster import fixed_values as fv
 from muster.functions.common import as_col, join_on
+from muster.session import checkpointed
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, out: str = "n") -> DataFrame:
@@ -45,30 +46,35 @@ def _attach(rows: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFram
     return join_on(rows, per_bucket, [*keys, "_bucket"], "left")
 
 
-def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list, out: str = "n") -> DataFrame:
-    """Position of every row inside its key, counted from 1.
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "n") -> DataFrame:
+    """Position of every row inside its key, counted from 1. ``keys`` and ``order`` name each row.
 
-    ``bucket`` must not decrease along ``order``. Rows are only sorted inside a bucket;
-    the rows of earlier buckets are counted by an aggregate.
+    Rows are split into ranges of (keys, order), which cuts a large key into many ranges.
+    The ranges are stored, because they are looked at twice and must be the same both times:
+    once to count the rows of a key in earlier ranges, once to number rows inside a range.
     """
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = _carry_over_buckets(sizes, keys, F.sum("_size"), "_earlier")
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
-        _attach(rows, earlier, keys)
+        _attach(ranged, earlier, keys)
         .withColumn(out, inside + F.coalesce("_earlier", F.lit(0)))
         .drop("_bucket", "_earlier")
     )
 
 
-def sample_every(df: DataFrame, keys: list[str], bucket: Column, order: list, k: int = fv.STATUS_SAMPLE) -> DataFrame:
+def sample_every(df: DataFrame, keys: list[str], order: list[str], k: int = fv.STATUS_SAMPLE) -> DataFrame:
     """First row of every run of ``k`` rows per key."""
-    return number_rows(df, keys, bucket, order, "_n").filter((F.col("_n") - 1) % k == 0).drop("_n")
+    return number_rows(df, keys, order, "_n").filter((F.col("_n") - 1) % k == 0).drop("_n")
 
 
 def fill_forward(df: DataFrame, keys: list[str], bucket: Column, order: str, value: Column, out: str) -> DataFrame:
-    """Last non-null ``value`` at or before each row of its key."""
+    """Last non-null ``value`` at or before each row of its key.
+
+    ``order`` tells the rows of a key apart, and ``bucket`` must not decrease along it. Rows
+    are sorted inside a bucket only, so the bucket decides how much one task has to sort.
+    """
     rows = df.withColumn("_bucket", bucket).withColumn("_own", value)
     held = F.when(F.col("_own").isNotNull(), F.col(order))
     per_bucket = rows.groupBy(*keys, "_bucket").agg(F.max_by("_own", held).alias("_held"))
@@ -84,7 +90,10 @@ def fill_forward(df: DataFrame, keys: list[str], bucket: Column, order: str, val
 
 
 def fill_section(lines: DataFrame, header: Column, keys: list[str], order: str = "line_no", lines_per_bucket: int = 50_000) -> DataFrame:
-    """Give every line the header it stands under (``section``)."""
+    """Give every line the header it stands under (``section``).
+
+    Line numbers are unique in a file, so a bucket never has more than ``lines_per_bucket`` rows.
+    """
     bucket = F.floor(F.col(order) / lines_per_bucket)
     return fill_forward(lines, keys, bucket, order, header, "section")
 

@@ -23,9 +23,9 @@ def filter_name_contains(df: DataFrame, col: ColumnOrName, token: str = fv.JOB_T
 
 def filter_members(df: DataFrame, col: str, registry: DataFrame, registry_col: str, builtin=fv.BUILTIN_CLIENTS) -> DataFrame:
     """Rows whose name is in the registry or in the fixed list."""
-    names = registry.select(F.col(registry_col).alias(col)).distinct()
-    extra = df.sparkSession.createDataFrame([(n,) for n in builtin], f"{col} string")
-    return df.join(names.union(extra).distinct(), col, "left_semi")
+    known = registry.select(F.col(registry_col).alias(col), F.lit(True).alias("_known")).distinct()
+    is_member = F.col("_known") | F.col(col).isin(*builtin)
+    return df.join(known, col, "left").filter(is_member).select(*df.columns)
 
 
 def absent_fields(record: ColumnOrName, required) -> Column:

@@ -45,21 +45,26 @@ def look_up_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
     return join_on(asked, first, ["file", "section", "attr"], "left").select("ref", "value")
 
 
-def resolve_refs(df: DataFrame, keys: list[str], text: str, sections: DataFrame) -> DataFrame:
+def resolve_refs(df: DataFrame, text: str, sections: DataFrame) -> DataFrame:
     """Put the looked-up value in place of every reference; what is not found stays as written.
 
-    Each distinct reference is looked up once however many rows hold it.
+    Rows with the same references share one lookup: each distinct set is resolved once and
+    joined back, however many rows have it.
     """
-    used = df.select(*keys, F.explode(refs_in(text)).alias("ref"))
-    values = look_up_refs(used, sections).filter(F.col("value").isNotNull())
+    rows = df.withColumn("_refs", refs_in(text))
+    # The outer form keeps Spark from testing the pattern once more in a pushed-down filter.
+    used = rows.select("_refs").distinct().select("_refs", F.explode_outer("_refs").alias("ref"))
+    used = used.filter(F.col("ref").isNotNull())
     found = (
-        used.join(values, "ref")
-        .groupBy(*keys)
+        used.join(look_up_refs(used, sections), "ref", "left")
+        .filter(F.col("value").isNotNull())
+        .groupBy("_refs")
         .agg(F.collect_list(F.struct("ref", "value")).alias("_found"))
     )
     filled = F.reduce(
-        F.coalesce("_found", F.array().cast("array<struct<ref:string,value:string>>")),
+        F.col("_found"),
         F.col(text),
         lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["ref"], F.lit("}")), e["value"]),
     )
-    return join_on(df, found, keys, "left").withColumn(text, filled).drop("_found")
+    joined = rows.join(found, "_refs", "left")
+    return joined.withColumn(text, F.coalesce(filled, F.col(text))).select(*df.columns)

@@ -58,7 +58,7 @@ def resolve_services(
     merged = leaves.merge_layers(layered, keys)
     table_ = leaves.leaves_to_record(merged, keys, depth, fields)
     table_ = table_.withColumn("user", F.col("record")["user"])
-    table_ = refs.resolve_refs(table_, keys, "user", sections)
+    table_ = refs.resolve_refs(table_, "user", sections)
 
     override = F.nullif(port_override, F.lit(0)).cast("int")
     in_range = predicates.in_range(port_override)

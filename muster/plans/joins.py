@@ -99,9 +99,8 @@ def j3(spark, sf_dir):
         F.lit("ssh "), host, F.lit(".User}@"), F.col("l_partkey").cast("string"), F.lit(" -p "), host, F.lit(".port} "),
         host, F.lit(".Nothing} {/other/file:a.b} {user} {x:y} {~/.ssh/config:Port}"),
     )
-    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    commands = table(spark, sf_dir, "lineitem").select(*keys, command.alias("command"))
-    return refs.resolve_refs(commands, keys, "command", sections)
+    commands = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", command.alias("command"))
+    return refs.resolve_refs(commands, "command", sections)
 
 
 SQL_LAYERS = """

@@ -402,9 +402,9 @@ def f1(spark, sf_dir):
         shell=F.when(F.col("c_mktsegment") == "BUILDING", F.lit("/bin/zsh")),
         image=F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_name")),
     )
-    return c.select(
+    return c.withColumn("record", record).select(
         "c_custkey",
-        templates.launch_script(record, F.concat(F.lit("server."), F.col("c_name"))).alias("script"),
+        templates.launch_script("record", F.concat(F.lit("server."), F.col("c_name"))).alias("script"),
         templates.fill_path(F.lit(""), F.lit("/home/{user}/job_{port}"), "c_name", port).alias("path"),
     )
 
@@ -699,8 +699,9 @@ def _sql_flags(indent: str, end: str) -> str:
 
 @query("f13_render_args", f"select p_partkey, {_sql_flags('', '')} as flags from part")
 def f13(spark, sf_dir):
-    flags = records.start_flags(_start_record(), _part_platform())
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(flags, "\n").alias("flags"))
+    flags = records.start_flags("record", _part_platform())
+    parts = table(spark, sf_dir, "part").withColumn("record", _start_record())
+    return parts.select("p_partkey", F.array_join(flags, "\n").alias("flags"))
 
 
 @query(
@@ -727,8 +728,8 @@ def f13(spark, sf_dir):
     """,
 )
 def f13_script(spark, sf_dir):
-    script = records.start_script(_start_record(), _part_platform())
-    return table(spark, sf_dir, "part").select("p_partkey", script.alias("script"))
+    script = records.start_script("record", _part_platform())
+    return table(spark, sf_dir, "part").withColumn("record", _start_record()).select("p_partkey", script.alias("script"))
 
 
 @query(
@@ -767,8 +768,8 @@ def f15(spark, sf_dir):
         reservation=F.when(F.col("o_orderpriority") == "5-LOW", F.lit("low")),
         cpus=F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("8")),
     )
-    header = records.batch_header(record, F.lit("/w"), F.lit("/w/run.sh"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"))
+    header = records.batch_header("record", F.lit("/w"), F.lit("/w/run.sh"))
+    return table(spark, sf_dir, "orders").withColumn("record", record).select("o_orderkey", header.alias("header"))
 
 
 @query(
@@ -801,8 +802,9 @@ def f16(spark, sf_dir):
         gres=F.lit("gpu:1"),
     )
     mode = F.when(priority == "1-URGENT", "sbatch").when(priority == "5-LOW", "other").otherwise("ijob")
-    submit = records.submit_command(record, mode, F.lit("/w/run.sh"), F.when(status != "O", "/w/submit.sh"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", submit.alias("s"), records.interactive_command(record).alias("interactive"))
+    submit = records.submit_command("record", mode, F.lit("/w/run.sh"), F.when(status != "O", "/w/submit.sh"))
+    o = table(spark, sf_dir, "orders").withColumn("record", record)
+    o = o.select("o_orderkey", submit.alias("s"), records.interactive_command("record").alias("interactive"))
     return o.select("o_orderkey", "s.command", "s.error", "interactive")
 
 

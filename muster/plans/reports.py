@@ -200,7 +200,7 @@ def w3(spark, sf_dir):
 )
 def w4(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return ordered.sample_every(e, ["user_id"], F.date_trunc("DAY", "ts"), ["ts", "event_id"])
+    return ordered.sample_every(e, ["user_id"], ["ts", "event_id"])
 
 
 @query(

@@ -78,8 +78,10 @@ def t4(spark, sf_dir):
 @query("t5_phase_stream", f"with {shapes.SQL_SPANS} select run, phase, started, stopped, seconds from timed")
 def t5(spark, sf_dir):
     rows = shapes.edges(stream_table(spark, sf_dir, "events"))
-    found = phases.phase_stream(rows, "run", "phase", "edge", "ts", _WHOLE)
-    spans = phases.latest_spans(runs.run_to_table(found, shared_folder(spark, "phases")))
+    folder = shared_folder(spark, "phases")
+    spans = phases.phase_stream(rows, "run", "phase", "edge", "ts")
+    runs.finish(phases.store_changes(spans, f"{folder}/out", f"{folder}/checkpoint"))
+    spans = phases.current_spans(spark, f"{folder}/out")
     return spans.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "stopped")})
 
 

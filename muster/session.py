@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -29,11 +29,11 @@ def build_session(name: str = "muster", master: str | None = None, conf: dict[st
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """New folder that every executor can reach.
+def shared_base(spark: SparkSession) -> str:
+    """Folder that every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    It lies under the folder in ``spark.checkpoint.dir``. Only a local session may do without
-    that setting; it then gets a temporary folder of its own machine.
+    Only a local session may do without that setting; it then gets a temporary folder of its
+    own machine.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
@@ -41,4 +41,17 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="muster-")
         spark.conf.set(CHECKPOINT_DIR, base)
-    return os.path.join(base.rstrip("/"), f"{label}-{uuid.uuid4().hex[:12]}")
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """New folder below the shared one."""
+    return os.path.join(shared_base(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, stored in the shared folder and read from there from now on."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint()

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_rendered(df: DataFrame, path: str, server: str = "server", script: str = "script", config: str = "config") -> None:
-    """One folder per server, with its script and its configuration as text files."""
+def write_rendered(df: DataFrame, path: str, server: str = "server", script: str = "script", config: str = "config", tasks: int | None = None) -> None:
+    """One folder per server, with its script and its configuration as text files.
+
+    ``tasks`` is how many tasks create the files, by default as many as a shuffle has.
+    """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.array(
         F.struct(F.lit("script").alias("kind"), F.col(script).alias("value")),
         F.struct(F.lit("config").alias("kind"), F.col(config).alias("value")),
     )
     rows = df.select(F.col(server).alias("server"), F.explode(parts).alias("p")).select("server", "p.*")
-    rows.filter(F.col("value").isNotNull()).write.mode("overwrite").partitionBy("server", "kind").text(path)
+    rows = rows.filter(F.col("value").isNotNull()).repartition(tasks, "server")
+    rows.write.mode("overwrite").partitionBy("server", "kind").text(path)
 
 
 def read_rendered(spark: SparkSession, path: str) -> DataFrame:

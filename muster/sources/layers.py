@@ -16,11 +16,12 @@ except ImportError:  # JSON documents work without it
 
 
 def _yaml_frames(frames):
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for frame in frames:
         texts = []
         for text in frame.pop("_text"):
             try:
-                loaded = yaml.safe_load(text or "")
+                loaded = yaml.load(text or "", loader)
                 texts.append(json.dumps({} if loaded is None else loaded, default=str))
             except yaml.YAMLError:
                 texts.append(None)

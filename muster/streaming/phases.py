@@ -2,116 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from muster.operators.aggregates import with_seconds
 
-# Times are microseconds inside Python, so no session time zone can shift them.
-_SPAN = "run string, phase string, started bigint, stopped bigint"
-_CHANGE = _SPAN + ", final boolean"
-
-
-def combine_edges(edges: DataFrame) -> DataFrame:
-    """First start and last stop per phase inside every partition, before anything is shuffled."""
-    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, fresh, kept = [], 0, 0
-
-        def cut():
-            return (
-                pd.concat(held)
-                .groupby(["run", "phase"], sort=False, dropna=False, as_index=False)
-                .agg(started=("started", "min"), stopped=("stopped", "max"))
-            )
-
-        for frame in frames:
-            held.append(frame)
-            fresh += len(frame)
-            if fresh > max(kept, 50_000):
-                held = [cut()]
-                fresh, kept = 0, len(held[0])
-        if held:
-            yield cut()
-
-    return edges.mapInPandas(combine, _SPAN)
-
-
-class PhaseSpan(StatefulProcessor):
-    """Keeps first start and last stop of a phase and reports every change; forgets it by a timer."""
-
-    def __init__(self, seconds: float):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("span", "started bigint, stopped bigint")
+_CHANGE = "run string, phase string, started timestamp, stopped timestamp, batch bigint"
 
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.state.exists()
-        started, stopped = self.state.get() if known else (None, None)
-        new = pd.concat(list(rows))
-        started = _pick(min, started, new["started"].min())
-        stopped = _pick(max, stopped, new["stopped"].max())
-        if not known:
-            begin = stopped if started is None else started
-            self.handle.registerTimer(int(begin // 1000 + self.seconds * 1000))
-        self.state.update((started, stopped))
-        yield _change(key, started, stopped, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            started, stopped = self.state.get()
-            self.state.clear()
-            yield _change(key, started, stopped, True)
+def phase_stream(edges: DataFrame, run: str, phase: str, edge: str, ts: str, keep: str = "7 days", delay: str = "1 hour") -> DataFrame:
+    """Streaming first start and last stop of every phase, to be run in update mode.
 
-    def close(self) -> None:
-        pass
-
-
-def _pick(better, old, new):
-    if pd.isna(new):
-        return old
-    return int(new) if old is None else better(int(old), int(new))
-
-
-def _change(key, started, stopped, final):
-    return pd.DataFrame(
-        {
-            "run": [key[0]],
-            "phase": [key[1]],
-            "started": pd.array([started], dtype="Int64"),
-            "stopped": pd.array([stopped], dtype="Int64"),
-            "final": [final],
-        }
+    State is held per phase and window of length ``keep``, and dropped once the watermark has
+    passed the window, so it stays bounded. A phase that crosses a window border is put
+    together again by ``current_spans``: first and last edge combine without loss. Edges of a
+    batch are combined before they are shuffled.
+    """
+    rows = edges.select(
+        F.col(run).cast("string").alias("run"),
+        F.col(phase).cast("string").alias("phase"),
+        F.col(edge).alias("edge"),
+        F.col(ts).cast("timestamp").alias("ts"),
+    ).filter(F.col("edge").isin("start", "stop"))
+    return (
+        rows.withWatermark("ts", delay)
+        .groupBy("run", "phase", F.window("ts", keep))
+        .agg(
+            F.min(F.when(F.col("edge") == "start", F.col("ts"))).alias("started"),
+            F.max(F.when(F.col("edge") == "stop", F.col("ts"))).alias("stopped"),
+        )
+        .drop("window")
     )
 
 
-def phase_stream(edges: DataFrame, run: str, phase: str, edge: str, ts: str, seconds: float, delay: str = "0 seconds") -> DataFrame:
-    """Changes of every phase, and one final row when ``seconds`` have passed since its first edge.
+def store_changes(spans: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the phases each batch has changed; doing a batch again replaces its own rows."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    A final row without a stop is a phase that was left open.
-    """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    spans = edges.select(
-        F.col(run).cast("string").alias("run"),
-        F.col(phase).cast("string").alias("phase"),
-        F.when(F.col(edge) == "start", at).alias("started"),
-        F.when(F.col(edge) == "stop", at).alias("stopped"),
-    ).filter(F.col("started").isNotNull() | F.col("stopped").isNotNull())
-    changes = (
-        combine_edges(spans)
-        .withColumn("ts", F.timestamp_micros(F.coalesce("stopped", "started")))
-        .withWatermark("ts", delay)
-        .groupBy("run", "phase")
-        .transformWithStateInPandas(PhaseSpan(seconds), _CHANGE, "append", "eventTime")
+    return (
+        spans.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
-    return changes.withColumns({c: F.timestamp_micros(c) for c in ("started", "stopped")})
 
 
-def latest_spans(changes: DataFrame) -> DataFrame:
-    """Current span of every phase from the reported changes: starts only move down, stops only up."""
+def current_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Phases as they stand: starts only move down and stops only up. Open ones have no seconds."""
+    try:
+        changes = spark.read.schema(_CHANGE).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        changes = spark.createDataFrame([], _CHANGE)
     spans = changes.groupBy("run", "phase").agg(F.min("started").alias("started"), F.max("stopped").alias("stopped"))
     return with_seconds(spans)
