@@ -32,3 +32,17 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     cond = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_right_{c}")), cols, F.lit(True))
     joined = left.join(renamed, cond, how)
     return joined.drop(*[f"_right_{c}" for c in cols])
+
+
+def lookup_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "left") -> DataFrame:
+    """``join_on`` for a right side with one row per key, where the left may hold one key very often.
+
+    The key is compared once more by its hash. That keeps Spark from reusing the partitioning
+    of the aggregate that made the right side unique: both sides are then shuffled for this
+    join alone, which is the form AQE needs to split a hot key over many tasks.
+    """
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in cols})
+    cond = F.xxhash64(*cols) == F.xxhash64(*[f"_right_{c}" for c in cols])
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(renamed, cond, how).drop(*[f"_right_{c}" for c in cols])

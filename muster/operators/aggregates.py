@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import as_col, join_on
+from muster.functions.common import as_col, join_on, lookup_join
 from muster.operators.ordered import first_rows
 
 
@@ -61,7 +61,7 @@ def concat_names(groups: DataFrame, names: DataFrame, keys: list[str], name: str
     """
     listed = names.filter(F.col(name).isNotNull()).select(*keys, name)
     sizes = listed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / names_per_part).cast("int").alias("_parts"))
-    placed = join_on(listed, sizes, keys, "left")
+    placed = lookup_join(listed, sizes, keys)
     placed = placed.withColumn("part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
     texts = placed.groupBy(*keys, "part").agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
     out = join_on(groups.select(*keys).distinct(), texts, keys, "left")

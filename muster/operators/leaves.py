@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from muster.functions.common import ColumnOrName, as_col, join_on
+from muster.functions.common import ColumnOrName, as_col, join_on, lookup_join
 
 EMPTY_OBJECT = "{}"
 
@@ -116,7 +116,7 @@ def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fall
     rank = F.when(_starts_with(F.col("path"), places[0]), 0).when(_starts_with(F.col("path"), places[1]), 1)
     hits = leaves.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
     first = hits.groupBy(*keys).agg(F.min("_rank").alias("_first"))
-    chosen = join_on(hits, first.withColumnRenamed("_first", "_rank"), [*keys, "_rank"], "left_semi")
+    chosen = lookup_join(hits, first.withColumnRenamed("_first", "_rank"), [*keys, "_rank"], "left_semi")
     depth = F.when(F.col("_rank") == 0, len(places[0])).otherwise(len(places[1]))
     below = F.slice("path", depth + 1, F.greatest(F.size("path") - depth, F.lit(0)))
     rows = chosen.select(*keys, below.alias("_below"), "value")
@@ -158,7 +158,7 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
     plain_at = last.filter(F.col("_plain").isNotNull()).select(
         *keys, F.col("path").alias("_above"), F.col("_plain").alias("_kill")
     )
-    killed = join_on(spread, plain_at, [*keys, "_above"]).filter(F.col("_kill") > F.col("_layer")).select(*at).distinct()
+    killed = lookup_join(spread, plain_at, [*keys, "_above"], "inner").filter(F.col("_kill") > F.col("_layer")).select(*at).distinct()
     alive = join_on(last, killed, at, "left_anti")
 
     replaced = (F.col("value") != EMPTY_OBJECT) & F.coalesce(F.col("_below") > F.col("_layer"), F.lit(False))

@@ -2,7 +2,7 @@
 
 All lookups are equi-joins against a side that is reduced to one row per key first, so a
 row never multiplies. Spark chooses the join: a side is broadcast only when its measured
-size allows it, and a hot key on the other side is split by AQE's skew join.
+size allows it, and a hot key on the other side is split by AQE's skew join (see ``lookup_join``).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import first_set, set_or_null
+from muster.functions.common import first_set, lookup_join, set_or_null
 
 
 def _one_per_key(registry: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -28,18 +28,15 @@ def match_jobs(jobs: DataFrame, registry: DataFrame) -> DataFrame:
     """
     fields = ["server", "remote_port"]
     by_id = _one_per_key(registry, "job_id", fields).select(F.col("_key").alias("_id"), F.col("_e").alias("_by_id"))
-    by_name = _one_per_key(registry, "job_name", fields).select(F.col("_key").alias("_nm"), F.col("_e").alias("_by_name"))
+    by_name = _one_per_key(registry, "job_name", fields).select(F.col("_key").alias("name"), F.col("_e").alias("_by_name"))
     # least() over structs compares ord first; ord is unique, so the rest never decides.
     best = F.least("_by_id", "_by_name")
     port = F.coalesce(best["remote_port"].cast("string"), F.lit(str(fv.DEFAULT_PORT)))
-    return (
-        jobs.join(by_id, F.col("job_id").cast("string") == F.col("_id"), "left")
-        .join(by_name, F.col("name") == F.col("_nm"), "left")
-        .select(
-            *jobs.columns,
-            F.coalesce(best["server"], F.lit(fv.UNKNOWN)).alias("server"),
-            F.when(best.isNull(), F.lit(fv.UNKNOWN)).otherwise(port).alias("port"),
-        )
+    found = lookup_join(jobs.withColumn("_id", F.col("job_id").cast("string")), by_id, ["_id"])
+    return lookup_join(found, by_name, ["name"]).select(
+        *jobs.columns,
+        F.coalesce(best["server"], F.lit(fv.UNKNOWN)).alias("server"),
+        F.when(best.isNull(), F.lit(fv.UNKNOWN)).otherwise(port).alias("port"),
     )
 
 
@@ -118,7 +115,8 @@ def match_jobs_by_pattern(jobs: DataFrame, requests: DataFrame, gram: int = 3) -
 
 def keep_live(state: DataFrame, live: DataFrame, col: str = "pid") -> DataFrame:
     """State entries whose process still runs."""
-    return state.join(live.select(col).distinct(), col, "left_semi").select(*state.columns)
+    running = live.select(col).filter(F.col(col).isNotNull()).distinct()
+    return lookup_join(state, running, [col], "left_semi")
 
 
 def delete_keys(state: DataFrame, keys: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
@@ -149,12 +147,12 @@ def resolve_backend(clients: DataFrame, servers: DataFrame) -> DataFrame:
     server has no entry or no port), then the first server with a job, then 8000.
     """
     base = F.lit(fv.DEFAULT_PORT)
-    ports = servers.groupBy("server").agg(F.min_by("local_port", "ord").alias("_port"))
+    ports = servers.filter(F.col("server").isNotNull()).groupBy("server").agg(F.min_by("local_port", "ord").alias("_port"))
     with_job = F.when(first_set("job_id").isNotNull(), F.col("ord"))
     running = servers.agg(F.min_by(F.coalesce("local_port", base), with_job).alias("port")).scalar()
     named = set_or_null("default_server")
     return (
-        clients.join(ports, named == ports["server"], "left")
+        lookup_join(clients.withColumn("server", named), ports, ["server"])
         .withColumn(
             "port",
             F.coalesce(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import ColumnOrName, as_col, set_or_null
+from muster.functions.common import ColumnOrName, as_col, lookup_join
 
 
 def project_with_defaults(df: DataFrame, defaults: dict[str, str], keep: list[str] = ()) -> DataFrame:
@@ -23,9 +23,9 @@ def filter_name_contains(df: DataFrame, col: ColumnOrName, token: str = fv.JOB_T
 
 def filter_members(df: DataFrame, col: str, registry: DataFrame, registry_col: str, builtin=fv.BUILTIN_CLIENTS) -> DataFrame:
     """Rows whose name is in the registry or in the fixed list."""
-    known = registry.select(F.col(registry_col).alias(col), F.lit(True).alias("_known")).distinct()
-    is_member = F.col("_known") | F.col(col).isin(*builtin)
-    return df.join(known, col, "left").filter(is_member).select(*df.columns)
+    known = registry.select(F.col(registry_col).alias(col)).filter(F.col(col).isNotNull()).distinct()
+    is_member = F.coalesce("_known", F.col(col).isin(*builtin))
+    return lookup_join(df, known.withColumn("_known", F.lit(True)), [col]).filter(is_member).select(*df.columns)
 
 
 def absent_fields(record: ColumnOrName, required) -> Column:

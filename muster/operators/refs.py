@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from muster.functions.common import as_col, join_on
+from muster.functions.common import as_col, join_on, lookup_join
 
 _ANY_SLOT = r"\{([^}]+)\}"
 
@@ -56,7 +56,7 @@ def resolve_refs(df: DataFrame, text: str, sections: DataFrame) -> DataFrame:
     used = rows.select("_refs").distinct().select("_refs", F.explode_outer("_refs").alias("ref"))
     used = used.filter(F.col("ref").isNotNull())
     found = (
-        used.join(look_up_refs(used, sections), "ref", "left")
+        lookup_join(used, look_up_refs(used, sections), ["ref"])
         .filter(F.col("value").isNotNull())
         .groupBy("_refs")
         .agg(F.collect_list(F.struct("ref", "value")).alias("_found"))
@@ -66,5 +66,5 @@ def resolve_refs(df: DataFrame, text: str, sections: DataFrame) -> DataFrame:
         F.col(text),
         lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["ref"], F.lit("}")), e["value"]),
     )
-    joined = rows.join(found, "_refs", "left")
+    joined = lookup_join(rows, found, ["_refs"])
     return joined.withColumn(text, F.coalesce(filled, F.col(text))).select(*df.columns)

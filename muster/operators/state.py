@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from muster.functions.common import lookup_join
+
 START, STOP = "start", "stop"
 
 
@@ -16,7 +18,7 @@ def fold_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     changes a single key has: both steps combine before the shuffle.
     """
     stops = changes.groupBy("key").agg(F.max(F.when(F.col("op") == STOP, F.col("seq"))).alias("_stop"))
-    starts = changes.filter(F.col("op") == START).join(stops, "key")
+    starts = lookup_join(changes.filter(F.col("op") == START), stops, ["key"])
     valid = starts.filter(F.col("_stop").isNull() | (F.col("seq") > F.col("_stop")))
     started = valid.groupBy("key").agg(F.min_by("pid", "seq").alias("_new"))
     return (

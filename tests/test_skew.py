@@ -1,0 +1,99 @@
+"""One key with a third of all rows: every join against unique keys must split it, with whole results."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from muster.operators import aggregates, leaves, matching, refs, state
+
+N = 120_000
+
+
+def hot_key():
+    return F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), "id"))
+
+
+def pad():
+    return F.sha2(F.col("id").cast("string"), 512)
+
+
+@pytest.fixture
+def small_skew(settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="50KB",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="32KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__shuffle__partitions="16",
+    )
+
+
+def check(df, rows):
+    got = len(df.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert got == rows
+
+
+def hot(spark, **cols):
+    base = spark.range(0, N, 1, 8)
+    return base.select(*[c.alias(n) for n, c in cols.items()])
+
+
+def test_match_jobs(spark, small_skew):
+    jobs = hot(spark, job_id=F.concat(F.lit("j"), "id"), name=hot_key(), pad=pad())
+    registry = hot(
+        spark, ord=F.col("id"), server=hot_key(), job_id=F.lit(None).cast("string"), job_name=hot_key(), remote_port=F.lit(1)
+    )
+    out = matching.match_jobs(jobs, registry)
+    check(out, N)
+    assert out.filter("server = 'hot'").count() == N // 3
+
+
+def test_resolve_refs(spark, small_skew):
+    texts = hot(spark, id=F.col("id"), t=F.concat(F.lit("{~/c:"), hot_key(), F.lit(".user} "), pad()))
+    sections = spark.createDataFrame([("~/c", "hot", "user", "bob", 1)], "file string, section string, attr string, value string, line_no int")
+    values = hot(spark, file=F.lit("~/c"), section=hot_key(), attr=F.lit("user"), value=F.lit("u"), line_no=F.col("id").cast("int")).filter("section <> 'hot'")
+    out = refs.resolve_refs(texts, "t", sections.unionByName(values))
+    check(out, N)
+    assert out.filter("t like 'bob %'").count() == N // 3
+
+
+def test_fold_changes(spark, small_skew):
+    changes = hot(spark, key=hot_key(), op=F.when(F.col("id") == 0, "stop").otherwise("start"), pid=F.col("id"), seq=F.col("id"), pad=pad())
+    empty = spark.createDataFrame([], "key string, pid bigint")
+    out = state.fold_changes(empty, changes)
+    assert out.filter("key = 'hot'").first()["pid"] == 3
+    check(out, 1 + N - N // 3)
+
+
+def test_keep_live(spark, small_skew):
+    entries = hot(spark, key=pad(), pid=F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    check(matching.keep_live(entries, spark.range(N).select(F.col("id").alias("pid"))), N)
+
+
+def test_resolve_backend(spark, small_skew):
+    clients = hot(spark, pad=pad(), override_port=F.lit(None).cast("int"), default_server=hot_key())
+    servers = hot(spark, ord=F.col("id"), server=hot_key(), local_port=F.lit(7), job_id=F.lit("j"))
+    out = matching.resolve_backend(clients, servers)
+    check(out, N)
+    assert out.filter("port = 7").count() == N
+
+
+def test_concat_names(spark, small_skew):
+    names = hot(spark, g=hot_key(), name=pad())
+    out = aggregates.concat_names(names.select("g"), names, ["g"], "name", names_per_part=500)
+    parts = out.filter("g = 'hot'").select(F.size(F.split("names", ", ")).alias("n"))
+    assert parts.agg(F.sum("n")).first()[0] == N // 3
+    assert parts.count() == N // 3 // 500
+    assert parts.agg(F.max("n")).first()[0] < 800
+
+
+def test_merge_layers(spark, small_skew):
+    """A plain value above a hot section removes all of it."""
+    below = hot(spark, layer=F.lit(0), path=F.array(hot_key(), F.concat(F.lit("x"), "id"), pad()), value=F.lit("1"))
+    above = spark.range(0, N, 2).select(F.lit(1).alias("layer"), F.array(hot_key()).alias("path"), F.lit("2").alias("value")).distinct()
+    out = leaves.merge_layers(below.unionByName(above), [])
+    assert out.filter(F.element_at("path", 1) == "hot").count() == 1
+    check(out, above.count() + below.filter((F.element_at("path", 1) != "hot")).count() - (above.count() - 1))
