@@ -23,4 +23,4 @@ def write_rendered(df: DataFrame, path: str, server: str = "server", script: str
 def read_rendered(spark: SparkSession, path: str) -> DataFrame:
     """Exported files back as ``server, kind, value``, one row per file."""
     files = spark.read.text(path, wholetext=True)
-    return files.select("server", "kind", F.regexp_replace("value", r"\n$", "").alias("value"))
+    return files.select("server", "kind", F.regexp_replace("value", r"\n\z", "").alias("value"))

@@ -50,7 +50,8 @@ def parse_documents(docs: DataFrame, text: str, is_yaml: Column | None = None) -
 def read_config_layers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``layer, source, doc`` of configuration files or folders; later paths are higher layers.
 
-    Every file is one document. A path that does not exist is left out, except the first.
+    Every file is one document. A path that does not exist is left out, except the first. An
+    empty file gives no row, which merges like the empty document it stands for.
     """
     out = None
     for layer, path in enumerate(paths):
