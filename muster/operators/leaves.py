@@ -115,8 +115,11 @@ def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fall
     places = [root.split(".") + parts, root.split(".") + [fallback] + parts]
     rank = F.when(_starts_with(F.col("path"), places[0]), 0).when(_starts_with(F.col("path"), places[1]), 1)
     hits = leaves.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
-    first = hits.groupBy(*keys).agg(F.min("_rank").alias("_first"))
-    chosen = lookup_join(hits, first.withColumnRenamed("_first", "_rank"), [*keys, "_rank"], "left_semi")
+    if keys:
+        first = hits.groupBy(*keys).agg(F.min("_rank").alias("_rank"))
+        chosen = lookup_join(hits, first, [*keys, "_rank"], "left_semi")
+    else:
+        chosen = hits.filter(F.col("_rank") == hits.agg(F.min("_rank")).scalar())
     depth = F.when(F.col("_rank") == 0, len(places[0])).otherwise(len(places[1]))
     below = F.slice("path", depth + 1, F.greatest(F.size("path") - depth, F.lit(0)))
     rows = chosen.select(*keys, below.alias("_below"), "value")
@@ -131,10 +134,9 @@ def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fall
 
 
 def _proper_prefixes(path: Column) -> Column:
-    return F.when(
-        F.size(path) > 0,
-        F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda n: F.slice(path, F.lit(1), n)),
-    )
+    none = F.array().cast("array<array<string>>")
+    lengths = F.sequence(F.lit(0), F.size(path) - 1)
+    return F.when(F.size(path) > 0, F.transform(lengths, lambda n: F.slice(path, F.lit(1), n))).otherwise(none)
 
 
 def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> DataFrame:
@@ -145,25 +147,37 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
     earlier plain value removes that value. All conditions are equalities on path prefixes.
     """
     at = [*keys, "path"]
-    plain = F.when(F.col("value") != EMPTY_OBJECT, F.col(layer))
-    last = leaves.groupBy(*at).agg(
-        F.max_by(F.struct("value"), F.col(layer)).alias("_last"),
-        F.max(layer).alias("_layer"),
-        F.max(plain).alias("_plain"),
+    # One row per leaf, and one for every place above it that only says something lies below.
+    own = F.struct("path", F.col(layer).alias("own"), "value", F.lit(None).cast(leaves.schema[layer].dataType).alias("below"))
+    above = F.transform(
+        _proper_prefixes(F.col("path")),
+        lambda p: F.struct(
+            p.alias("path"),
+            F.lit(None).cast(leaves.schema[layer].dataType).alias("own"),
+            F.lit(None).cast("string").alias("value"),
+            F.col(layer).alias("below"),
+        ),
+    )
+    places = leaves.select(*keys, F.explode(F.concat(F.array(own), above)).alias("p")).select(*keys, "p.*")
+    # The path comes out of the aggregate, so that no filter on it is tried on the added rows.
+    tree = places.groupBy(*keys, F.col("path").alias("_at")).agg(
+        F.first(F.when(F.col("own").isNotNull(), F.col("path")), ignorenulls=True).alias("path"),
+        F.max_by("value", "own").alias("value"),
+        F.max("own").alias("_layer"),
+        F.max(F.when(F.col("value") != EMPTY_OBJECT, F.col("own"))).alias("_plain"),
+        F.max("below").alias("_below"),
     )
-    last = last.select(*at, F.col("_last.value").alias("value"), "_layer", "_plain")
+    last = tree.filter(F.col("_layer").isNotNull())
 
-    spread = last.select(*keys, "path", "_layer", F.explode(_proper_prefixes(F.col("path"))).alias("_above"))
-    below = spread.groupBy(*keys, F.col("_above").alias("path")).agg(F.max("_layer").alias("_below"))
-    plain_at = last.filter(F.col("_plain").isNotNull()).select(
+    # Plain values that have, or once had, something below them; there are few.
+    killers = tree.filter(F.col("_plain").isNotNull() & F.col("_below").isNotNull()).select(
         *keys, F.col("path").alias("_above"), F.col("_plain").alias("_kill")
     )
-    killed = lookup_join(spread, plain_at, [*keys, "_above"], "inner").filter(F.col("_kill") > F.col("_layer")).select(*at).distinct()
-    alive = join_on(last, killed, at, "left_anti")
-
+    spread = last.select(*keys, "path", "_layer", F.explode(_proper_prefixes(F.col("path"))).alias("_above"))
+    killed = lookup_join(spread, killers, [*keys, "_above"], "inner").filter(F.col("_kill") > F.col("_layer"))
+    alive = join_on(last, killed.select(*at).distinct(), at, "left_anti")
     replaced = (F.col("value") != EMPTY_OBJECT) & F.coalesce(F.col("_below") > F.col("_layer"), F.lit(False))
-    kept = join_on(alive, below, at, "left")
-    kept = kept.filter(~replaced).select(*at, "value", "_below")
+    kept = alive.filter(~replaced).select(*at, "value", "_below")
 
     # An empty object is a leaf only while nothing is left below it.
     doubtful = (F.col("value") == EMPTY_OBJECT) & F.col("_below").isNotNull()
@@ -188,7 +202,7 @@ def leaves_to_record(leaves: DataFrame, keys: list[str], depth: int, fields: lis
 
     ``depth`` is the number of path parts above the fields.
     """
-    field = F.element_at("path", -1)
+    field = F.try_element_at("path", F.lit(-1))
     own = leaves.filter(F.size("path") == depth + 1)
     row = own.groupBy(*keys).agg(*[F.max(F.when(field == f, scalar_text())).alias("_f_" + f) for f in fields])
     pairs = F.array(*[F.struct(F.lit(f).alias("key"), F.col("_f_" + f).alias("value")) for f in fields])

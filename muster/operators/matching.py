@@ -170,3 +170,21 @@ def first_by_source(candidates: DataFrame, keys: list[str], value: str = "value"
     """Value of the best-ranked source that has one; keys without any stay with null."""
     held = F.when(set_or_null(value).isNotNull(), F.col(rank))
     return candidates.groupBy(*keys).agg(F.min_by(value, held).alias(value))
+
+
+def default_host(servers: DataFrame, keys: list[str]) -> DataFrame:
+    """Host of every group's default server, or of its first server when no default is set.
+
+    ``servers`` has ``ord, server, host, default_server``; a default that is not among the
+    group's servers has no host.
+    """
+    named = F.when(F.col("server") == set_or_null("default_server"), F.col("ord"))
+    return (
+        servers.groupBy(*keys)
+        .agg(
+            F.min_by("host", "ord").alias("_first"),
+            F.min_by("host", named).alias("_default"),
+            F.max(set_or_null("default_server")).alias("_name"),
+        )
+        .select(*keys, F.when(F.col("_name").isNull(), F.col("_first")).otherwise(F.col("_default")).alias("host"))
+    )

@@ -356,3 +356,33 @@ def fold(spark, sf_dir):
 def outcomes(spark, sf_dir):
     calm = shapes.changes(table(spark, sf_dir, "events"))
     return state.start_outcomes(shapes.state(spark, sf_dir), calm, fv.ALREADY_ACTIVE)
+
+
+@query(
+    "l2_default_host",
+    """
+    with servers as (
+      select c_nationkey, c_custkey as ord, c_name as server, 'host' || c_custkey as host,
+        case when n_regionkey = 0 then 'Customer#' || lpad(cast(n_nationkey as varchar), 9, '0')
+          when n_regionkey < 3 then (select max(c_name) from customer i where i.c_nationkey = n_nationkey) else '' end as default_server
+      from customer join nation on n_nationkey = c_nationkey
+    )
+    select c_nationkey, case when max(default_server) = '' then arg_min(host, ord) else arg_min(host, ord) filter (where server = default_server) end as host
+    from servers group by c_nationkey
+    """,
+)
+def l2_default(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    last = c.groupBy("c_nationkey").agg(F.max("c_name").alias("last"))
+    guess = F.concat(F.lit("Customer#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0"))
+    region = F.col("n_regionkey")
+    default = F.when(region == 0, guess).when(region < 3, F.col("last")).otherwise("")
+    servers = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(last, "c_nationkey")
+    servers = servers.select(
+        "c_nationkey",
+        F.col("c_custkey").alias("ord"),
+        F.col("c_name").alias("server"),
+        F.concat(F.lit("host"), F.col("c_custkey").cast("string")).alias("host"),
+        default.alias("default_server"),
+    )
+    return matching.default_host(servers, ["c_nationkey"])
