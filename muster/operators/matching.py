@@ -54,13 +54,14 @@ def contains_pairs(names: DataFrame, needles: DataFrame, gram: int = 3) -> DataF
     fewest names have, and the hits are checked against the full text. Needles shorter than
     ``gram`` are looked up as a whole among the pieces of their length.
     """
-    lengths = range(1, gram + 1)
-    sizes = needles.select(F.least(F.length("needle"), F.lit(gram)).alias("g")).distinct()
-    pieces = names.select(
-        "name",
-        F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("g"), _grams(F.col("name"), n).alias("all")) for n in lengths]), lambda s: s["all"].isNotNull())).alias("_s"),
-    ).select("name", F.col("_s.g").alias("g"), F.col("_s.all").alias("all"))
-    pieces = pieces.join(sizes, "g", "left_semi").select("name", F.explode("all").alias("piece"))
+    none = F.array().cast("array<string>")
+    # At most ``gram`` different sizes, so that names are only cut into pieces that are asked for.
+    sizes = needles.agg(F.collect_set(F.least(F.length("needle"), F.lit(gram)))).scalar()
+    cut = [
+        F.when(F.array_contains(sizes, n), F.coalesce(_grams(F.col("name"), n), none)).otherwise(none)
+        for n in range(1, gram + 1)
+    ]
+    pieces = names.select("name", F.explode(F.concat(*cut)).alias("piece"))
     counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("seen"))
     own = F.coalesce(_grams(F.col("needle"), gram), F.array("needle"))
     options = needles.select("needle", F.explode(own).alias("piece"))

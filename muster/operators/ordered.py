@@ -15,8 +15,17 @@ from muster.functions.common import as_col, join_on
 from muster.session import checkpointed
 
 
+_CUT_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, out: str = "n") -> DataFrame:
-    """First ``n`` rows of every key with their position, counted from 1."""
+    """First ``n`` rows of every key with their position, counted from 1.
+
+    Spark cuts each key to ``n`` rows before the shuffle only up to a limit of its own; a larger
+    ``n`` goes by stored ranges, so a large key is never sorted in one task either way.
+    """
+    if n > int(df.sparkSession.conf.get(_CUT_LIMIT, "1000")):
+        return number_rows(df, keys, order, out).filter(F.col(out) <= n)
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
 

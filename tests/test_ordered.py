@@ -32,6 +32,13 @@ def test_tail(spark, rows):
     assert "WindowGroupLimit" in tail._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tail_longer_than_the_cut(spark, rows, settings):
+    settings(spark__sql__optimizer__windowGroupLimitThreshold="5")
+    data = sample(500, 9)
+    tail = ordered.tail_per_key(spark.createDataFrame(data, POLL).repartition(6), ["k"], ["ts", "id"], 40)
+    assert rows(tail) == sorted([r for v in by_key(data).values() for r in v[-40:]], key=repr)
+
+
 def test_number_rows_with_a_hot_key_and_ties(spark, settings):
     settings(spark__sql__shuffle__partitions="7")
     data = sample(600, 2)
