@@ -20,8 +20,9 @@ _WHOLE = 400 * 24 * 3600.0
 
 
 def stream_table(spark, sf_dir, name: str) -> DataFrame:
+    """A table as a stream. A path pattern, unlike a plain path, may name one file or a folder."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.[p]arquet")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # Times are microseconds inside Python, so no session time zone can shift them.
 _POLL = "key string, us bigint, seq bigint, hit boolean, payload string"
 _RESULT = "key string, status string, poll int, payload string, us bigint"
+_RESULT_NAMES = ["key", "status", "poll", "payload", "us"]
+_STATE = "key array<string>, polls array<bigint>, done array<boolean>, until array<bigint>"
+_STATE_NAMES = ["key", "polls", "done", "until"]
 
 
 def keep_earliest(polls: DataFrame, limit: int) -> DataFrame:
@@ -41,56 +45,78 @@ def keep_earliest(polls: DataFrame, limit: int) -> DataFrame:
     return polls.mapInPandas(combine, _POLL)
 
 
-class FirstHit(StatefulProcessor):
-    """Counts the polls of a key; reports once, at the first hit or when the limit is reached."""
+class FirstHits(StatefulProcessor):
+    """Counts polls per key; reports a key once, at its first hit or when its polls or its time run out.
+
+    A group holds many keys, so that state is read and written once per group and batch and
+    the keys of a batch are worked on together. A key is forgotten when its time is over.
+    """
 
     def __init__(self, limit: int, seconds: float, good: str, bad: str):
-        self.limit, self.seconds, self.good, self.bad = limit, seconds, good, bad
+        self.limit, self.micros, self.good, self.bad = limit, int(seconds * 1_000_000), good, bad
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("polls", "polls int, done boolean")
+        self.state = handle.getValueState("keys", _STATE)
+
+    def _load(self) -> pd.DataFrame:
+        stored = self.state.get() or ([], [], [], [])
+        known = pd.DataFrame(dict(zip(_STATE_NAMES, stored)), columns=_STATE_NAMES)
+        return known.astype({"key": object, "polls": "int64", "done": bool, "until": "int64"})
+
+    def _store(self, known: pd.DataFrame) -> None:
+        if len(known):
+            self.state.update(tuple(known[c].tolist() for c in _STATE_NAMES))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        polls, done = self.state.get() if self.state.exists() else (0, False)
-        new = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
-        if polls == 0 and not done:
-            self.handle.registerTimer(int(new["us"].iloc[0] // 1000 + self.seconds * 1000))
-        if not done:
-            new = new.head(self.limit - polls)
-            hits = new["hit"].to_numpy().nonzero()[0]
-            if len(hits):
-                row = new.iloc[hits[0]]
-                done = True
-                yield self._result(key, self.good, polls + int(hits[0]) + 1, row["payload"], row["us"])
-            elif polls + len(new) >= self.limit:
-                done = True
-                yield self._result(key, self.bad, None, None, None)
-            polls += len(new)
-        self.state.update((int(polls), done))
+        known = self._load()
+        new = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable").merge(known, on="key", how="left")
+        new = new[~new["done"].eq(True)]
+        place = new.groupby("key", sort=False, dropna=False).cumcount() + 1
+        new = new.assign(n=new["polls"].fillna(0).astype("int64") + place)
+        new = new[new["n"] <= self.limit]
+        hits = new[new["hit"].astype(bool)].drop_duplicates("key")
+        seen = new.groupby("key", sort=False, dropna=False, as_index=False).agg(polls=("n", "max"), first=("us", "first"), until=("until", "first"))
+        seen["until"] = seen["until"].fillna(seen["first"] + self.micros).astype("int64")
+        won = seen["key"].isin(hits["key"])
+        seen["done"] = won | (seen["polls"] >= self.limit)
+
+        before = known["until"].min() if len(known) else None
+        known = pd.concat([known[~known["key"].isin(seen["key"])], seen[_STATE_NAMES]])
+        self._store(known)
+        if before is None or known["until"].min() < before:
+            self._wake(known)
+        if len(hits):
+            yield self._report(self.good, hits["key"], hits["n"], hits["payload"], hits["us"])
+        if (seen["done"] & ~won).any():
+            yield self._report(self.bad, seen["key"][seen["done"] & ~won])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        polls, done = self.state.get() if self.state.exists() else (0, True)
-        self.state.clear()
-        if not done:
-            yield self._result(key, self.bad, None, None, None)
-
-    def _result(self, key, status, poll, payload, us):
-        return pd.DataFrame(
-            {
-                "key": [key[0]],
-                "status": [status],
-                "poll": pd.array([poll], dtype="Int32"),
-                "payload": pd.Series([payload], dtype=object),
-                "us": pd.array([us], dtype="Int64"),
-            }
-        )
+        known = self._load()
+        over = known["until"] // 1000 <= timerValues.getCurrentWatermarkInMs()
+        rest = known[~over]
+        self._store(rest)
+        if over.any() and len(rest):
+            self._wake(rest)
+        lost = known["key"][over & ~known["done"]]
+        if len(lost):
+            yield self._report(self.bad, lost)
+
+    def _wake(self, known: pd.DataFrame) -> None:
+        self.handle.registerTimer(int(known["until"].min() // 1000))
+
+    def _report(self, status, keys, poll=None, payload=None, us=None) -> pd.DataFrame:
+        columns = (keys, status, poll, payload, us)
+        return pd.DataFrame({n: pd.Series(c if np.isscalar(c) or c is None else c.to_numpy(object), index=range(len(keys)), dtype=object) for n, c in zip(_RESULT_NAMES, columns)})
 
     def close(self) -> None:
         pass
 
 
-def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str) -> DataFrame:
+def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str, groups: int = 256) -> DataFrame:
+    """Stream of reports. ``groups`` is how many groups share the keys; raise it with their number."""
     rows = polls.select(
         F.col(key).cast("string").alias("key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
@@ -102,8 +128,9 @@ def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, paylo
         keep_earliest(rows, limit)
         .withColumn("ts", F.timestamp_micros("us"))
         .withWatermark("ts", delay)
-        .groupBy("key")
-        .transformWithStateInPandas(FirstHit(limit, seconds, good, bad), _RESULT, "append", "eventTime")
+        .withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+        .groupBy("group")
+        .transformWithStateInPandas(FirstHits(limit, seconds, good, bad), _RESULT, "append", "eventTime")
     )
     return found.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
