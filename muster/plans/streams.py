@@ -19,6 +19,11 @@ from muster.streaming import lines, phases, polls, runs, state
 _WHOLE = 400 * 24 * 3600.0
 
 
+def _groups(spark) -> int:
+    """State groups for one run from the start: some for every task of the stateful stage."""
+    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stream_table(spark, sf_dir, name: str) -> DataFrame:
     """A table as a stream. A path pattern, unlike a plain path, may name one file or a folder."""
     schema = table(spark, sf_dir, name).schema
@@ -34,7 +39,7 @@ def stream_table(spark, sf_dir, name: str) -> DataFrame:
 )
 def t1(spark, sf_dir):
     rows = shapes.polls(stream_table(spark, sf_dir, "events"))
-    found = polls.await_allocation(rows, "user_id", "ts", "event_id", first_node("nodes"), seconds=_WHOLE)
+    found = polls.await_allocation(rows, "user_id", "ts", "event_id", first_node("nodes"), seconds=_WHOLE, groups=_groups(spark))
     out = runs.run_to_table(found, shared_folder(spark, "allocation"))
     return out.select("key", "status", "poll", F.col("payload").alias("node"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
@@ -48,7 +53,7 @@ def t1(spark, sf_dir):
 )
 def t2(spark, sf_dir):
     rows = shapes.polls(stream_table(spark, sf_dir, "events"))
-    found = polls.await_ready(rows, "user_id", "ts", "event_id", aggregates.is_ready(), seconds=_WHOLE)
+    found = polls.await_ready(rows, "user_id", "ts", "event_id", aggregates.is_ready(), seconds=_WHOLE, groups=_groups(spark))
     out = runs.run_to_table(found, shared_folder(spark, "ready"))
     return out.select("key", "status", "poll", F.col("ts").cast("timestamp_ntz").alias("ts"))
 

@@ -115,8 +115,12 @@ class FirstHits(StatefulProcessor):
         pass
 
 
-def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str, groups: int = 256) -> DataFrame:
-    """Stream of reports. ``groups`` is how many groups share the keys; raise it with their number."""
+def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str, groups: int) -> DataFrame:
+    """Stream of reports.
+
+    ``groups`` is how many groups share the keys: more for more keys, and never changed while a
+    checkpoint is in use, because it decides where the state of a key is found.
+    """
     rows = polls.select(
         F.col(key).cast("string").alias("key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
@@ -135,11 +139,11 @@ def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, paylo
     return found.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def await_allocation(polls: DataFrame, key: str, ts: str, seq: str, node: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds") -> DataFrame:
+def await_allocation(polls: DataFrame, key: str, ts: str, seq: str, node: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds", groups: int = 256) -> DataFrame:
     """First usable node of every job, or a timeout after ``limit`` polls or ``seconds`` of event time."""
-    return first_hits(polls, key, ts, seq, node.isNotNull(), node, "allocated", "timeout", limit, seconds, delay)
+    return first_hits(polls, key, ts, seq, node.isNotNull(), node, "allocated", "timeout", limit, seconds, delay, groups)
 
 
-def await_ready(polls: DataFrame, key: str, ts: str, seq: str, ready: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds") -> DataFrame:
+def await_ready(polls: DataFrame, key: str, ts: str, seq: str, ready: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds", groups: int = 256) -> DataFrame:
     """First ready poll of every server, or a failure."""
-    return first_hits(polls, key, ts, seq, ready, F.lit(None), "ready", "failed", limit, seconds, delay)
+    return first_hits(polls, key, ts, seq, ready, F.lit(None), "ready", "failed", limit, seconds, delay, groups)

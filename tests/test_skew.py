@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from muster.operators import aggregates, leaves, matching, refs, state
+from muster.operators import aggregates, leaves, matching, predicates, refs, state
 
 N = 120_000
 
@@ -97,3 +97,17 @@ def test_merge_layers(spark, small_skew):
     out = leaves.merge_layers(below.unionByName(above), [])
     assert out.filter(F.element_at("path", 1) == "hot").count() == 1
     check(out, above.count() + below.filter((F.element_at("path", 1) != "hot")).count() - (above.count() - 1))
+
+
+def test_filter_members(spark, small_skew):
+    names = hot(spark, name=hot_key(), pad=pad())
+    out = predicates.filter_members(names, "name", hot(spark, n=hot_key()), "n", ("nobody",))
+    check(out, N)
+
+
+def test_list_children(spark, small_skew):
+    """One document holds a third of all leaves."""
+    leaf = F.array(F.lit("root"), F.lit("server"), pad(), F.lit("port"))
+    tree = hot(spark, doc=hot_key(), path=leaf, value=F.lit("1"))
+    out = leaves.list_children(tree, ["doc"], "server", "root", "server")
+    check(out, N)

@@ -1,6 +1,8 @@
 """Streams over several micro-batches, against their batch twins."""
 
 import datetime as dt
+import os
+import random
 
 import pandas as pd
 import pytest
@@ -24,8 +26,6 @@ def write_batches(spark, folder, batches, schema):
         target = folder / "in" / f"b{i:03}.parquet"
         target.write_bytes(part.read_bytes())
         stamp = 1_700_000_000 + i * 60
-        import os
-
         os.utime(target, (stamp, stamp))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
 
@@ -50,6 +50,26 @@ def test_first_hit_over_batches(spark, tmp_path):
     assert got == [("early", "ready", 1, at(1)), ("edge", "ready", 60, at(59)), ("late", "failed", None, None)]
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_keys_that_share_a_group(spark, tmp_path, groups):
+    """Random polls of many keys in few groups, over three batches, against a plain count."""
+    rng = random.Random(groups)
+    rows = [(f"k{rng.randrange(12)}", at(i // 2), i, rng.random() < 0.03, f"n{i},x") for i in range(300)]
+    stream = write_batches(spark, tmp_path, [rows[:90], rows[90:95], rows[95:]], POLL)
+    node = F.when(F.col("ok"), first_node("nodes"))
+    found = polls.await_allocation(stream, "k", "ts", "id", node, limit=20, seconds=10_000.0, groups=groups)
+    got = sorted((r["key"], r["status"], r["poll"], r["payload"], r["ts"]) for r in runs.run_to_table(found, str(tmp_path / "run")).collect())
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key][:20]
+        hit = next((i for i, r in enumerate(mine) if r[3]), None)
+        if hit is not None:
+            want.append((key, "allocated", hit + 1, f"n{mine[hit][2]}", mine[hit][1]))
+        elif len(mine) == 20:
+            want.append((key, "timeout", None, None, None))
+    assert got == sorted(want)
+
+
 def test_timer_reports_a_timeout_once(spark, tmp_path):
     batches = [
         [("lost", at(0), 1, False, "NLIST"), ("won", at(0), 2, False, "n1,n2")],
