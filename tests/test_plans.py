@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from muster.plans import catalog
 from muster.operators import aggregates, ordered
 from muster.plans import shapes
 from muster.plans.registry import table
@@ -18,7 +19,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(q for q in entry.queries() if not q.startswith(EAGER)))
+@pytest.mark.parametrize("name", sorted(q for q in catalog.QUERIES if not q.startswith(EAGER)))
 def test_no_loop_joins(spark, settings, name):
     """Nothing is joined pair by pair, not even where one side could not be broadcast."""
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
@@ -57,5 +58,5 @@ def test_one_shuffle_for_first_match(spark):
 
 
 def test_queries_have_names_of_their_own():
-    for name in entry.queries():
+    for name in catalog.QUERIES:
         assert name != "pipeline" and not name.startswith("op")

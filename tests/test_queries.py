@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from muster.plans import catalog
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)
