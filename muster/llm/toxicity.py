@@ -1,23 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One bigram model is counted from the toxic and one from the ordinary training texts. A
-document is scored by how much likelier, per word, it is under the first than under the
-second: over the whole text, and over its most suspicious passage of ``window`` words, since a
-few words can make a long text toxic. A logistic curve over the two gives the score.
-
-Smoothing: both models discount every count by the same amount D. What a class's bigrams give up
-goes to the class's own unigrams (numbers of distinct preceding words, so copies of a text do
-not count again); what those give up goes to unigrams counted over both classes. An expression
-that is rare in both classes is thus left with shared counts only and tells the two apart
-hardly at all. D is chosen, and the curve fitted, on training documents that were not counted.
-
-An n-gram with at most D occurrences in either class has its probability from the backoff
-alone, so it can be left out of the model without changing any score.
+Two models of how words are spelled, by n-grams of characters, are counted from the toxic and the
+ordinary training texts, so that they also know unseen forms of a toxic expression. A document
+is scored by how much likelier, per word, it is under the first model than under the second: over
+the whole text, and over its most suspicious passage of ``window`` words, since a few words
+can make a long text toxic. A logistic curve over the two gives the score.
+
+A word counts as often as it has different words before it, so copies of a text do not count
+again. Each order discounts its counts by D and leaves the rest to the next lower one, whose
+counts are numbers of different characters before the n-gram; the lowest order, which smooths
+whatever is rare, is counted over both classes. D is chosen, and the curve fitted, on training
+documents that were not counted.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,71 +28,68 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from muster.llm.batches import FOLDS, arrow_map, rows_of, stored, with_columns
 
 _WORD = re.compile(r"\w+")
-DISCOUNTS = (0.75, 2.0, 4.0, 8.0)
+DISCOUNTS = (0.75, 2.0)
+#: Signs for the start and the end of a word.
+START, END = "\x02", "\x03"
+_MEMO = 500_000
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def word_key(word: str) -> int:
-    """Signed 64-bit number of a word; never 0, which stands for the text's start."""
-    key = xxhash.xxh64_intdigest(word) or 1
-    return key - (key >> 63 << 64)
+def grams_of(word: str, order: int):
+    """All n-grams that end at a character of the word or at its end."""
+    marked = START + word + END
+    for stop in range(2, len(marked) + 1):
+        for start in range(max(0, stop - order), stop):
+            yield marked[start:stop]
 
 
 @dataclass
 class Model:
-    """Tables of the n-grams that either class has more than D times, and the fitted curve."""
-
-    discount: float
-    uni_keys: np.ndarray
-    uni_logp: np.ndarray  # two rows: toxic, ordinary; one more column at the end for other words
-    backoff: np.ndarray  # weight left to the unigrams after each word; the last column is 1
-    bi_keys: np.ndarray
-    bi_mass: np.ndarray  # what the bigram's own count gives in each class
+    """Smoothed probabilities (toxic, ordinary) of the counted n-grams, and the weights left to lower orders."""
+
+    order: int
+    probs: dict[str, tuple[float, float]]
+    left: dict[str, tuple[float, float]]
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    window: int = 12
+    window: int = 3
 
     def __post_init__(self):
-        self.numbers: dict[str, int] = {}
-
-    def _indexes(self, words: list[str]) -> np.ndarray:
-        known, n = self.numbers, len(self.uni_keys)
-        out = list(map(known.get, words))
-        if None in out:
-            new = {w for w, i in zip(words, out) if i is None}
-            keys = np.fromiter(map(word_key, new), np.int64, len(new))
-            at = np.searchsorted(self.uni_keys, keys)
-            hit = (at < n) & (self.uni_keys[np.minimum(at, n - 1)] == keys) if n else np.zeros(len(keys), bool)
-            found = dict(zip(new, np.where(hit, at, n).tolist()))
-            out = [found[w] if i is None else i for w, i in zip(words, out)]
-            if len(known) + len(found) > 500_000:
-                known.clear()
-            if len(found) <= 500_000:
-                known.update(found)
-        return np.array(out, np.int64)
+        self.known: dict[str, float] = {}
+
+    def word_ratio(self, word: str) -> float:
+        """Log-likelihood ratio of a word's spelling."""
+        marked, total = START + word + END, 0.0
+        for stop in range(2, len(marked) + 1):
+            gram = marked[max(0, stop - self.order) : stop]
+            toxic = ordinary = 1.0
+            while gram not in self.probs and len(gram) > 1:
+                a, b = self.left.get(gram[:-1], (1.0, 1.0))
+                toxic, ordinary, gram = toxic * a, ordinary * b, gram[1:]
+            # A character that was never seen says nothing of its own.
+            a, b = self.probs.get(gram, (1.0, 1.0))
+            total += math.log(toxic * a) - math.log(ordinary * b)
+        return total
 
     def features(self, words: list[str]) -> tuple[float, float]:
         """Mean log-likelihood ratio per word: of the whole text, and of its most toxic window."""
         if not words:
             return 0.0, 0.0
-        index = self._indexes(words)
-        n = len(self.uni_keys)
-        before = np.concatenate([[n], index[:-1]])
-        p = np.exp(self.uni_logp[:, index]) * self.backoff[:, before]
-        if len(self.bi_keys):
-            # Only pairs of listed words can be listed pairs.
-            both = np.flatnonzero((index < n) & (before < n))
-            keys = before[both] * n + index[both]
-            at = np.minimum(np.searchsorted(self.bi_keys, keys), len(self.bi_keys) - 1)
-            hit = self.bi_keys[at] == keys
-            p[:, both[hit]] += self.bi_mass[:, at[hit]]
-        ratio = np.log(p[0]) - np.log(p[1])
-        if len(ratio) <= self.window:
-            return float(ratio.mean()), float(ratio.mean())
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        return float(ratio.mean()), float((total[self.window :] - total[: -self.window]).max() / self.window)
+        ratios = list(map(self.known.get, words))
+        if None in ratios:
+            new = {w: self.word_ratio(w) for w in {w for w, r in zip(words, ratios) if r is None}}
+            ratios = [new[w] if r is None else r for w, r in zip(words, ratios)]
+            if len(self.known) + len(new) > _MEMO:
+                self.known.clear()
+            if len(new) <= _MEMO:
+                self.known.update(new)
+        if len(ratios) <= self.window:
+            mean = math.fsum(ratios) / len(ratios)
+            return mean, mean
+        total = np.concatenate([[0.0], np.cumsum(ratios)])
+        return float(total[-1] / len(ratios)), float((total[self.window :] - total[: -self.window]).max() / self.window)
 
     def score(self, words: list[str]) -> float:
         a, b = self.features(words)
@@ -114,7 +111,8 @@ def train(
     labels: DataFrame,
     per_class: int = 20_000,
     max_words: int = 12_000_000,
-    window: int = 12,
+    order: int = 4,
+    window: int = 3,
     discounts: tuple[float, ...] = DISCOUNTS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -123,9 +121,9 @@ def train(
     """Model from the labelled documents.
 
     Bounds: at most ``per_class`` training documents per class, and of those, in the order of a
-    hash of their ids, as many as hold ``max_words`` words together. So the model has fewer than
-    ``max_words`` entries of some 50 bytes, whatever the size of the tables; that is what is
-    broadcast. Remainder 4 of the ids' CRC fits D and the curve, remainders 1 to 3 are counted.
+    hash of their ids, as many as hold ``max_words`` words together. What comes to the driver and
+    is broadcast is the different n-grams of at most ``order`` characters in them, whatever the
+    size of the tables. Remainder 4 of the ids' CRC fits D and the curve, remainders 1 to 3 are counted.
     """
     sample = chosen_labels(labels, per_class, id_col, label_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -138,20 +136,21 @@ def train(
                 yield [*keys, [len(words_of(t)) for t in part]]
 
     kind = docs.schema[id_col].dataType
-    counted = T.StructType([T.StructField("id", kind), T.StructField("toxic", T.IntegerType()), T.StructField("fold", T.IntegerType()), T.StructField("n", T.LongType())])
+    counted = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("toxic int, fold int, n bigint").fields])
     size = arrow_map(rows, sizes, counted).toPandas()
     size["order"] = pd.util.hash_array(size["id"].to_numpy(), categorize=False) if len(size) else 0
     size = size.sort_values(["order", "id", "n"])
     size = size[size["n"].cumsum() <= max_words]
     prior = (float((size["toxic"] == 1).sum()) + 0.5) / (len(size) + 1.0)
-    unknown = Model(0.0, np.zeros(0, np.int64), np.zeros((2, 1)), np.ones((2, 1)), np.zeros(0, np.int64), np.zeros((2, 0)), np.array([np.log(prior / (1 - prior)), 0, 0]), window)
+    unknown = Model(order, {}, {}, np.array([math.log(prior / (1 - prior)), 0.0, 0.0]), window)
     fitting, counting = size[size["fold"] == 4], size[size["fold"] != 4]
-    if min(counting["toxic"].sum(), (counting["toxic"] == 0).sum()) == 0:
+    if counting["toxic"].nunique() < 2:
         return unknown
-    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(size[["id"]].drop_duplicates(), T.StructType([T.StructField("id", kind)]))), "id")
-    grams = count_grams(rows.filter(F.col("fold") != 4), min(discounts))
-    held = rows.filter(F.col("fold") == 4) if len(fitting) and fitting["toxic"].nunique() == 2 else rows
-    candidates = [build(*grams, d, window) for d in discounts]
+    chosen = docs.sparkSession.createDataFrame(size[["id"]].drop_duplicates(), T.StructType([T.StructField("id", kind)]))
+    rows = rows.join(F.broadcast(chosen), "id")
+    grams = count_grams(rows.filter(F.col("fold") != 4), order)
+    held = rows.filter(F.col("fold") == 4) if fitting["toxic"].nunique() == 2 else rows
+    candidates = [build(grams, d, order, window) for d in discounts]
     points = fitting_points(held, candidates)
     fits = [fit_curve(points[:, 0], points[:, 1 + 2 * i : 3 + 2 * i]) for i in range(len(candidates))]
     best = min(range(len(fits)), key=lambda i: fits[i][1])
@@ -159,75 +158,241 @@ def train(
     return candidates[best]
 
 
-def count_grams(rows: DataFrame, least: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Counts per class: bigrams, and for every word its contexts before and its words after.
+def count_grams(rows: DataFrame, order: int) -> list[tuple[str, float, float]]:
+    """N-grams with their counts in the toxic and the ordinary words; each word counts once per different word before it."""
+
+    def pairs(batches):
+        for batch in batches:
+            for (toxic,), part in rows_of(batch, "text", "toxic"):
+                seen = set()
+                for label, text in zip(toxic.to_pylist(), part):
+                    words = words_of(text)
+                    seen.update(zip(["", *words], words, [label] * len(words)))
+                if seen:
+                    before, words, label = zip(*seen)
+                    yield [[xxhash.xxh64_intdigest(w) >> 1 for w in before], words, label]
+
+    def spelled(batches):
+        for batch in batches:
+            counts: Counter[tuple[str, int]] = Counter()
+            for word, label, n in zip(*[batch.column(c).to_pylist() for c in ("word", "toxic", "n")]):
+                for gram in grams_of(word, order):
+                    counts[gram, label] += n
+            if counts:
+                yield [[g for g, _ in counts], [c for _, c in counts], list(counts.values())]
+
+    words = arrow_map(rows, pairs, "before bigint, word string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    grams = arrow_map(words, spelled, "gram string, toxic int, n bigint").groupBy("gram")
+    per_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(name) for c, name in ((1, "t"), (0, "o"))]
+    found = grams.agg(*per_class).toPandas()
+    return list(zip(found["gram"].tolist(), found["t"].astype(float).tolist(), found["o"].astype(float).tolist()))
+
+
+def build(grams: list[tuple[str, float, float]], d: float, order: int, window: int) -> Model:
+    """Kneser-Ney probabilities of every counted n-gram in both classes."""
+    raw = {g: (t, o) for g, t, o in grams}
+    # Below the highest order an n-gram counts once per different character before it.
+    kinds: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for g, n in raw.items():
+        if len(g) > 1:
+            for c in (0, 1):
+                kinds[g[1:]][c] += n[c] > 0
+    counts = {g: n if len(g) == order or g[0] == START else tuple(kinds[g]) for g, n in raw.items()}
+    levels: list[list[str]] = [[] for _ in range(order + 1)]
+    for g in counts:
+        levels[len(g)].append(g)
+    both = {g: counts[g][0] + counts[g][1] for g in levels[1]}
+    everything = sum(both.values())
+    probs = {g: (n / everything, n / everything) for g, n in both.items()}
+    left: dict[str, tuple[float, float]] = {}
+    for level in levels[2:]:
+        total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+        for g in level:
+            t, o = counts[g]
+            sums = total[g[:-1]]
+            sums[0] += t
+            sums[1] += o
+            sums[2] += max(t - d, 0.0)
+            sums[3] += max(o - d, 0.0)
+        left.update((c, (1 - s[2] / s[0] if s[0] else 1.0, 1 - s[3] / s[1] if s[1] else 1.0)) for c, s in total.items())
+        for g in level:
+            (t, o), s, rest, lower = counts[g], total[g[:-1]], left[g[:-1]], probs[g[1:]]
+            probs[g] = (
+                (max(t - d, 0.0) / s[0] if s[0] else 0.0) + rest[0] * lower[0],
+                (max(o - d, 0.0) / s[1] if s[1] else 0.0) + rest[1] * lower[1],
+            )
+    return Model(order, probs, left, window=window)
+
+
+def fitting_points(rows: DataFrame, models: list[Model]) -> np.ndarray:
+    """Label and every model's two features of the fitting documents; their number is bounded by the sample."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for batch in batches:
+            for (toxic,), part in rows_of(batch, "text", "toxic"):
+                words = [words_of(t) for t in part]
+                yield [toxic, *zip(*[[v for m in shared.value for v in m.features(w)] for w in words])]
+
+    columns = ", ".join(f"a{i} double, b{i} double" for i in range(len(models)))
+    return arrow_map(rows, run, f"toxic int, {columns}").toPandas().to_numpy(float)
+
+
+def fit_curve(y: np.ndarray, features: np.ndarray, ridge: float = 0.02, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic curve through the points by damped Newton steps, with its mean loss; the ridge is in units of the features' spread."""
+    spread = np.maximum(features.std(axis=0), 1e-6)
+    x = np.column_stack([np.ones(len(y)), features / spread])
+    keep = ridge * np.diag([0.0, 1.0, 1.0])
+    w = np.zeros(3)
+
+    def loss(w):
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - (y * z).sum()), 0.5 * float(w @ keep @ w)
+
+    now = sum(loss(w))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep + 1e-6 * np.eye(3), x.T @ (p - y) + keep @ w)
+        size = 1.0
+        while sum(loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        w, before, now = w - size * step, now, sum(loss(w - size * step))
+        if before - now < 1e-9:
+            break
+    return w / np.concatenate([[1.0], spread]), loss(w)[0] / len(y)
+
 
-    Only entries that a class has more than ``least`` times come to the driver.
+def score(self, words: list[str]) -> float:
+        a, b = self.features(words)
+        return float(1 / (1 + np.exp(-np.clip(self.curve @ [1.0, a, b], -30, 30))))
+
+
+def chosen_labels(labels: DataFrame, per_class: int, id_col: str, label_col: str) -> DataFrame:
+    """At most ``per_class`` labelled ids of each class, the first by a hash of the id; never a held-out one."""
+    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), (crc % FOLDS).cast("int").alias("fold"))
+    usable = usable.filter("id is not null and toxic in (0, 1) and fold <> 0").groupBy("id").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    order = [F.xxhash64("id"), F.col("id")]
+    parts = [usable.filter(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_class: int = 20_000,
+    max_words: int = 12_000_000,
+    order: int = 4,
+    window: int = 3,
+    discounts: tuple[float, ...] = DISCOUNTS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+) -> Model:
+    """Model from the labelled documents.
+
+    Bounds: at most ``per_class`` training documents per class, and of those, in the order of a
+    hash of their ids, as many as hold ``max_words`` words together. What comes to the driver and
+    is broadcast is the different n-grams of at most ``order`` characters in them, whatever the
+    size of the tables. Remainder 4 of the ids' CRC fits D and the curve, remainders 1 to 3 are counted.
     """
+    sample = chosen_labels(labels, per_class, id_col, label_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # The sample's size is bounded, so its ids may be broadcast; its texts are read once.
+    rows = stored(texts.join(F.broadcast(sample), "id").select("id", "toxic", "fold", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
+
+    def sizes(batches):
+        for batch in batches:
+            for keys, part in rows_of(batch, "text", "id", "toxic", "fold"):
+                yield [*keys, [len(words_of(t)) for t in part]]
+
+    kind = docs.schema[id_col].dataType
+    counted = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("toxic int, fold int, n bigint").fields])
+    size = arrow_map(rows, sizes, counted).toPandas()
+    size["order"] = pd.util.hash_array(size["id"].to_numpy(), categorize=False) if len(size) else 0
+    size = size.sort_values(["order", "id", "n"])
+    size = size[size["n"].cumsum() <= max_words]
+    prior = (float((size["toxic"] == 1).sum()) + 0.5) / (len(size) + 1.0)
+    unknown = Model(order, {}, {}, np.array([math.log(prior / (1 - prior)), 0.0, 0.0]), window)
+    fitting, counting = size[size["fold"] == 4], size[size["fold"] != 4]
+    if counting["toxic"].nunique() < 2:
+        return unknown
+    chosen = docs.sparkSession.createDataFrame(size[["id"]].drop_duplicates(), T.StructType([T.StructField("id", kind)]))
+    rows = rows.join(F.broadcast(chosen), "id")
+    grams = count_grams(rows.filter(F.col("fold") != 4), order)
+    held = rows.filter(F.col("fold") == 4) if fitting["toxic"].nunique() == 2 else rows
+    candidates = [build(grams, d, order, window) for d in discounts]
+    points = fitting_points(held, candidates)
+    fits = [fit_curve(points[:, 0], points[:, 1 + 2 * i : 3 + 2 * i]) for i in range(len(candidates))]
+    best = min(range(len(fits)), key=lambda i: fits[i][1])
+    candidates[best].curve = fits[best][0]
+    return candidates[best]
+
+
+def count_grams(rows: DataFrame, order: int) -> list[tuple[str, float, float]]:
+    """N-grams with their counts in the toxic and the ordinary words; each word counts once per different word before it."""
 
     def pairs(batches):
         for batch in batches:
             for (toxic,), part in rows_of(batch, "text", "toxic"):
-                counts: dict[tuple[int, int, int], int] = {}
+                seen = set()
                 for label, text in zip(toxic.to_pylist(), part):
-                    before = 0
-                    for w in words_of(text):
-                        key = word_key_cached(w)
-                        counts[before, key, label] = counts.get((before, key, label), 0) + 1
-                        before = key
-                if counts:
-                    a, b, c = zip(*counts)
-                    yield [a, b, c, list(counts.values())]
-
-    grams = arrow_map(rows, pairs, "a bigint, b bigint, toxic int, n bigint")
+                    words = words_of(text)
+                    seen.update(zip(["", *words], words, [label] * len(words)))
+                if seen:
+                    before, words, label = zip(*seen)
+                    yield [[xxhash.xxh64_intdigest(w) >> 1 for w in before], words, label]
+
+    def spelled(batches):
+        for batch in batches:
+            counts: Counter[tuple[str, int]] = Counter()
+            for word, label, n in zip(*[batch.column(c).to_pylist() for c in ("word", "toxic", "n")]):
+                for gram in grams_of(word, order):
+                    counts[gram, label] += n
+            if counts:
+                yield [[g for g, _ in counts], [c for _, c in counts], list(counts.values())]
+
+    words = arrow_map(rows, pairs, "before bigint, word string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    grams = arrow_map(words, spelled, "gram string, toxic int, n bigint").groupBy("gram")
     per_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(name) for c, name in ((1, "t"), (0, "o"))]
-    bigrams = grams.groupBy("a", "b").agg(*per_class).persist()
-    kinds = [F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}_kinds") for c in "to"]
-    after = bigrams.groupBy("a").agg(F.sum("t").alias("t_sum"), F.sum("o").alias("o_sum"), *kinds)
-    before = bigrams.groupBy("b").agg(*kinds, F.count(F.lit(1)).alias("kinds"))
-    totals = before.agg(F.sum("t_kinds"), F.sum("o_kinds"), F.sum("kinds")).first()
-    listed = (F.col("t") > least) | (F.col("o") > least)
-    big = bigrams.filter(listed).toPandas()
-    uni = before.filter((F.col("t_kinds") > least) | (F.col("o_kinds") > least)).toPandas()
-    ends = after.filter((F.col("t_sum") > least) | (F.col("o_sum") > least)).toPandas()
-    bigrams.unpersist()
-    return big, uni.merge(ends.rename(columns={"a": "b"})[["b", "t_sum", "o_sum"]], on="b", how="left").fillna(0), np.array([float(x or 0) for x in totals])
-
-
-_KEYS: dict[str, int] = {}
-
-
-def word_key_cached(word: str) -> int:
-    key = _KEYS.get(word)
-    if key is None:
-        if len(_KEYS) >= 500_000:
-            _KEYS.clear()
-        key = _KEYS[word] = word_key(word)
-    return key
-
-
-def build(big: pd.DataFrame, uni: pd.DataFrame, totals: np.ndarray, d: float, window: int) -> Model:
-    """Smoothed tables for one discount."""
-    uni = uni[(uni["t_kinds"] > d) | (uni["o_kinds"] > d)].sort_values("b").reset_index(drop=True)
-    keys, n = uni["b"].to_numpy(np.int64), len(uni)
-    kinds = uni[["t_kinds", "o_kinds"]].to_numpy(float).T
-    own = np.maximum(kinds - d, 0) / totals[:2, None]
-    left = 1 - own.sum(axis=1, keepdims=True)
-    shared = np.append(uni["kinds"].to_numpy(float), 1.0) / totals[2]
-    logp = np.log(np.hstack([own, np.zeros((2, 1))]) + left * shared)
-    # Words that no class has often say nothing about the class.
-    logp[:, -1] = np.log(shared[-1])
-    big = big[(big["t"] > d) | (big["o"] > d)]
-    position = pd.Series(np.arange(n), index=keys)
-    big = big[big["a"].isin(position.index) & big["b"].isin(position.index)]
-    a, b = position.loc[big["a"]].to_numpy(), position.loc[big["b"]].to_numpy()
-    sums = uni[["t_sum", "o_sum"]].to_numpy(float).T
-    mass = np.maximum(big[["t", "o"]].to_numpy(float).T - d, 0) / np.maximum(sums[:, a], 1.0) if len(big) else np.zeros((2, 0))
-    backoff = np.ones((2, n + 1))
-    for c in range(2):
-        backoff[c, :n] -= np.bincount(a, mass[c], minlength=n)
-    order = np.argsort(a * n + b)
-    return Model(d, keys, logp, np.maximum(backoff, 1e-6), (a * n + b)[order], mass[:, order], window=window)
+    found = grams.agg(*per_class).toPandas()
+    return list(zip(found["gram"].tolist(), found["t"].astype(float).tolist(), found["o"].astype(float).tolist()))
+
+
+def build(grams: list[tuple[str, float, float]], d: float, order: int, window: int) -> Model:
+    """Kneser-Ney probabilities of every counted n-gram in both classes."""
+    raw = {g: (t, o) for g, t, o in grams}
+    # Below the highest order an n-gram counts once per different character before it.
+    kinds: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for g, n in raw.items():
+        if len(g) > 1:
+            for c in (0, 1):
+                kinds[g[1:]][c] += n[c] > 0
+    counts = {g: n if len(g) == order or g[0] == START else tuple(kinds[g]) for g, n in raw.items()}
+    levels: list[list[str]] = [[] for _ in range(order + 1)]
+    for g in counts:
+        levels[len(g)].append(g)
+    both = {g: counts[g][0] + counts[g][1] for g in levels[1]}
+    everything = sum(both.values())
+    probs = {g: (n / everything, n / everything) for g, n in both.items()}
+    left: dict[str, tuple[float, float]] = {}
+    for level in levels[2:]:
+        total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+        for g in level:
+            t, o = counts[g]
+            sums = total[g[:-1]]
+            sums[0] += t
+            sums[1] += o
+            sums[2] += max(t - d, 0.0)
+            sums[3] += max(o - d, 0.0)
+        left.update((c, (1 - s[2] / s[0] if s[0] else 1.0, 1 - s[3] / s[1] if s[1] else 1.0)) for c, s in total.items())
+        for g in level:
+            (t, o), s, rest, lower = counts[g], total[g[:-1]], left[g[:-1]], probs[g[1:]]
+            probs[g] = (
+                (max(t - d, 0.0) / s[0] if s[0] else 0.0) + rest[0] * lower[0],
+                (max(o - d, 0.0) / s[1] if s[1] else 0.0) + rest[1] * lower[1],
+            )
+    return Model(order, probs, left, window=window)
 
 
 def fitting_points(rows: DataFrame, models: list[Model]) -> np.ndarray:
