@@ -41,19 +41,12 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters that byte-level vocabularies write for bytes: printable ones for themselves, then others in order."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Coder:
     """Texts to ids and back, under a byte-level BPE file; special strings in texts are plain text."""
 
     def __init__(self, path: str):
         self.encoder = units.ByteLevel(path, units.ids_bytes, special=False)
-        vocabulary, alphabet = self.encoder.tokenizer.get_vocab(), byte_alphabet()
+        vocabulary, alphabet = self.encoder.tokenizer.get_vocab(), {c: b for b, c in units.byte_alphabet().items()}
         self.size = max(vocabulary.values()) + 1
         self.pieces = [b""] * self.size
         for piece, i in vocabulary.items():

@@ -10,6 +10,9 @@ Only the last sequence of all can be shorter than the others.
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,12 +27,37 @@ from muster.session import checkpointed
 BATCH_IDS = 2_000_000
 
 
+#: Settings of a tokenizers file under which a run of letters is a pretoken of its own, in lower case.
+_LETTERS_ALONE = {
+    "version": "1.0",
+    "truncation": None,
+    "padding": None,
+    "added_tokens": 0,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+    "model": 0,
+}
+
+
 class WordBpe:
     """Ids of whole texts under a tokenizers file that drops white space, as 16- or 32-bit bytes.
 
-    Such a tokenizer never joins what a space or a line feed parts, so words are the units.
+    Such a tokenizer never joins what a space or a line feed parts, so words are the units. New
+    words of plain letters, with or without a mark behind them, are merged many at a time by the
+    file's own merge list; all others go to the library.
     """
 
+    # Letters of Latin blocks, whose classes and lower case all versions of Unicode agree on.
+    _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -38,11 +66,24 @@ class WordBpe:
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo = units.Memo(lambda words: [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        self.memo = units.Memo(self._new)
+        self.merges, self.marks = None, {}
+        if json.loads(self.tokenizer.to_str()) | {"model": 0, "added_tokens": 0} == _LETTERS_ALONE:
+            self.merges = units.Merges(json.loads(self.tokenizer.to_str())["model"], units.byte_alphabet())
+            self.marks = dict(zip(["", *".,!?;:"], self._library(["", *".,!?;:"])))
 
-    def _bytes(self, ids: list[int]) -> bytes:
+    def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        found = [self.merges and self._PLAIN.fullmatch(w) for w in words]
+        plain = [m[1].lower().encode("utf-8") for m in found if m]
+        merged, other = iter(self.merges.ids(plain, self.kind) if plain else []), iter(self._library([w for w, m in zip(words, found) if not m]))
+        return [next(merged) + self.marks[m[2]] if m else next(other) for m in found]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.added) for t in texts]
         words = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole)]

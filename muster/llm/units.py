@@ -13,6 +13,8 @@ from array import array
 from collections.abc import Callable
 from itertools import compress
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -129,6 +131,69 @@ class ByteLevel:
         return [a + b if a else [self.whole(t)] if t else [] for t, a, b in zip(texts, self.memo.values(first), self.spaced.values(rest))]
 
 
+class Merges:
+    """The merge list of a BPE file, applied to many words at a time.
+
+    ``ids`` gives each word the ids that the library gives it, as bytes: of all neighbours, those with the
+    earliest merge are joined first, the leftmost of equal ones, until none can be joined.
+    """
+
+    _NONE = 1 << 30
+
+    def __init__(self, model: dict, alphabet: dict[int, str]):
+        vocabulary, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocabulary[alphabet[b]] for b in range(256)])
+        self.last = np.array([vocabulary[alphabet[b] + end] for b in range(256)])
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.joined = np.array([vocabulary[a + b] for a, b in merges])
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        wanted = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.order[at], self._NONE)
+
+    def ids(self, words: list[bytes], kind: np.dtype) -> list[bytes]:
+        out = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == size)
+            raw = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(-1, size)
+            ids = np.hstack([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]])
+            ranks = np.hstack([self._ranks(ids[:, :-1], ids[:, 1:]), np.full((len(at), 1), self._NONE)])
+            column, left = np.arange(size), np.full(len(at), size)
+            while len(at):
+                j = ranks.argmin(axis=1)
+                rank = ranks[np.arange(len(at)), j]
+                go = rank < self._NONE
+                done = np.flatnonzero(~go)
+                raw_ids, row_bytes = ids[done].astype(kind).tobytes(), size * kind.itemsize
+                for start, i, n in zip(range(0, len(raw_ids), row_bytes), at[done].tolist(), (left[done] * kind.itemsize).tolist()):
+                    out[i] = raw_ids[start : start + n]
+                at, ids, ranks, left, j, rank = at[go], ids[go], ranks[go], left[go] - 1, j[go], rank[go]
+                row = np.arange(len(at))
+                ids[row, j] = self.joined[rank]
+                # All that stands behind the joined pair moves up by one.
+                behind = column[:-1] > j[:, None]
+                ids[:, :-1] = np.where(behind, ids[:, 1:], ids[:, :-1])
+                ranks[:, :-1] = np.where(column[:-1] >= j[:, None], ranks[:, 1:], ranks[:, :-1])
+                ranks[:, -1] = self._NONE
+                right = np.minimum(j + 1, size - 1)
+                ranks[row, j] = np.where(j + 1 < left, self._ranks(ids[row, j], ids[row, right]), self._NONE)
+                some = np.flatnonzero(j > 0)
+                ranks[some, j[some] - 1] = self._ranks(ids[some, j[some] - 1], ids[some, j[some]])
+        return out
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones for themselves, then others in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian 32-bit numbers."""
     return array("I", ids).tobytes()
