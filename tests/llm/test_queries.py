@@ -1,0 +1,100 @@
+"""URL rules, neighbours, and every registered query with SQL beside its SQL."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from muster.llm import neighbours, queries, url_rules
+from tests.oracle import compare, connect
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    problem, count, _ = compare(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLES[name])
+    assert problem is None and count > 0
+
+
+def test_all_ten_and_the_pipeline_are_registered():
+    names = set(entry.queries())
+    assert {q.split("_")[0] for q in names if q.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+URLS = [
+    None, "", "no scheme", "http://", "http://A.Example.NET/en/x?q", "https://example.net/en", "ftp://example.net/de/", "http://net/", "http://internet/",
+    "http://x.net", "http://sub.example.com/de/a#b", "http://example.com/dex/", "http://a.org/fr/1", "http://a.org/fr?x=/fr/", "x://y://z.net/", "http://..net/", "http://example.com:80/de/",
+    "http://user@example.org/fr/", "http://a.b.c.d.e.example.net//en/", "http://ÄB.net/ö", "http://example.net/en/archive/deep", "http://shop.example.net/en/archivist",
+]
+MORE_RULES = [*queries.RULES, ("example.net", "/en/arch", "block"), ("a.b.c.d.e.example.net", "", "allow"), ("", "/", "block"), (None, None, "block"), ("c.d", None, "block"), ("net", "/", "allow"), ("EXAMPLE.org", "/fr/", "block")]
+
+
+def plain_verdict(url, rules):
+    scheme, found, rest = (url or "").partition("://")
+    if not found:
+        return "", "", None, "allow"
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if c.isascii() else c for c in rest[:end])
+    path = rest[end:].split("?")[0].split("#")[0]
+    fits = [(h.lower() + (p or ""), h.lower(), v) for h, p, v in rules if h and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p or "")]
+    if not fits:
+        return host, path, None, "allow"
+    text, _, verdict = min(fits, key=lambda r: (-len(r[0]), -len(r[1]), r[0], r[2] != "block"))
+    return host, path, text, verdict
+
+
+@pytest.mark.parametrize("rules", [queries.RULES, MORE_RULES, []])
+def test_url_rules(spark, rules):
+    rows = [(i if i else None, u) for i, u in enumerate(URLS)] + [(1, URLS[4]), (1, URLS[4])]
+    urls = spark.createDataFrame(rows, "page_id bigint, url string").withColumns({"verdict": F.lit(1), "short": F.lit(2), "rule_host": F.lit(3), "labels": F.lit(4)})
+    judged = url_rules.judge_urls(urls, spark.createDataFrame(rules, url_rules.RULE_SCHEMA))
+    got = [(r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judged.collect()]
+    assert sorted(got, key=repr) == sorted([(i, u, *plain_verdict(u, rules)) for i, u in rows], key=repr)
+    assert "Python" not in judged._jdf.queryExecution().executedPlan().toString() and judged.filter("labels = 4").count() == len(rows)
+    assert url_rules.judge_urls(urls.limit(0), spark.createDataFrame(rules, url_rules.RULE_SCHEMA)).count() == 0
+
+
+def vectors(n=600, width=16):
+    random = np.random.default_rng(9)
+    rows = [(i, random.normal(0, 1, width).round(3).tolist()) for i in range(n)]
+    rows += [(n + i, rows[100][1]) for i in range(150)]
+    rows += [(2000, None), (2100, []), (2200, [0.0] * width), (2300, [None, *[1.0] * (width - 1)]), (2301, [float("nan")] * width), (2302, [float("inf"), *[1.0] * (width - 1)])]
+    rows += [(None, rows[5][1]), (100, rows[100][1]), (7, rows[7][1]), (2400, [1.0, 2.0]), (2401, [1.0, 2.5])]
+    return rows
+
+
+def plain_nearest(rows, k=10):
+    good = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)})
+    out = set()
+    for i, v in good:
+        if i % 100 == 0:
+            d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in good if j != i and len(w) == len(v))
+            out |= {(i, rank, j, round(x, 9)) for rank, (x, j) in enumerate(d[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("shard", [100_000, 120])
+def test_factor_one_is_exact(spark, shard):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"shard": F.lit(1), "id": F.lit(2), "score": F.lit(3)})
+    found = neighbours.nearest(df, F.col("id") % 100 == 0, shard_rows=shard, block_rows=3).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found} == plain_nearest(rows)
+    assert neighbours.nearest(df.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def test_a_larger_factor_keeps_most_of_the_hits(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    exact, loose = (neighbours.nearest(df, F.col("id") % 100 == 0, factor=f).select("query_id", "vec_id") for f in (1.0, 2.0))
+    assert exact.join(loose, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_trees_leave_branches_out():
+    random = np.random.default_rng(0)
+    rows = random.normal(0, 1, (4000, 2))
+    tree, hits = neighbours.Tree(rows), neighbours.Hits(np.arange(4000), np.full(20, -1), 10)
+    offered = []
+    hits_offer = hits.offer
+    hits.offer = lambda q, r, d: (offered.append(len(r)), hits_offer(q, r, d))
+    tree.search(random.normal(0, 1, (20, 2)), hits, 1.0)
+    assert sum(offered) < 0.3 * 20 * 4000
