@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Scorer = Callable[[list[str]], list[str]]
@@ -17,6 +18,32 @@ def echo_scorer(prompts: list[str]) -> list[str]:
     return ["echo: " + p for p in prompts]
 
 
+def in_time(scorer: Scorer, seconds: float | None) -> Scorer:
+    """The scorer, given up after ``seconds``. A call that hangs is left behind in a thread of its own."""
+    if seconds is None:
+        return scorer
+
+    def call(prompts):
+        box = {}
+
+        def work():
+            try:
+                box["answers"] = scorer(prompts)
+            except Exception as e:
+                box["error"] = e
+
+        thread = threading.Thread(target=work, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if thread.is_alive():
+            raise TimeoutError(f"no answer within {seconds:g} seconds")
+        if "error" in box:
+            raise box["error"]
+        return box["answers"]
+
+    return call
+
+
 def _score_one(scorer: Scorer, prompt: str):
     try:
         return scorer([prompt])[0], None
@@ -35,22 +62,24 @@ def _score_batch(scorer: Scorer, prompts: list[str]):
         return [_score_one(scorer, p) for p in prompts]
 
 
-def batch_prompt(df: DataFrame, prompt: str, scorer: Scorer = echo_scorer, batch: int = 64) -> DataFrame:
-    """Add ``content`` and ``error``. A prompt that fails is a row with an error, never a failed job."""
-    keep = [c for c in df.columns if c != prompt]
+def batch_prompt(df: DataFrame, prompt: str, scorer: Scorer = echo_scorer, batch: int = 64, seconds: float | None = 60.0) -> DataFrame:
+    """Add ``content`` and ``error``. A prompt that fails is a row with an error, never a failed job.
+
+    A call that takes longer than ``seconds`` counts as failed. Other columns pass through as
+    Arrow data, so their types and values stay as they are.
+    """
+    keep = [c for c in df.columns if c not in (prompt, "content", "error")]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     schema = (fields + ", " if fields else "") + "content string, error string"
+    limited = in_time(scorer, seconds)
 
-    def score(frames):
-        for frame in frames:
-            texts = frame[prompt]
+    def score(batches):
+        for rows in batches:
+            texts = ["" if p is None else p for p in rows.column(prompt).to_pylist()]
             scored = []
-            for at in range(0, len(frame), batch):
-                part = ["" if p is None else p for p in texts.iloc[at : at + batch]]
-                scored += _score_batch(scorer, part)
-            yield frame[keep].assign(
-                content=pd.Series([a for a, _ in scored], index=frame.index, dtype=object),
-                error=pd.Series([e for _, e in scored], index=frame.index, dtype=object),
-            )
-
-    return df.mapInPandas(score, schema)
+            for at in range(0, len(texts), batch):
+                scored += _score_batch(limited, texts[at : at + batch])
+            added = [pa.array([pair[i] for pair in scored], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *added], names=[*keep, "content", "error"])
+
+    return df.mapInArrow(score, schema)

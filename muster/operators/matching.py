@@ -40,41 +40,26 @@ def match_jobs(jobs: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct pieces of ``n`` characters."""
-    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, F.array_distinct(pieces))
+def _pieces(text: Column, n: Column) -> Column:
+    """Distinct pieces of ``n`` characters, none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def contains_pairs(names: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
+def contains_pairs(names: DataFrame, needles: DataFrame) -> DataFrame:
     """All ``(name, needle)`` with the needle somewhere in the name, without a nested loop.
 
     Both inputs are single columns of distinct non-empty texts. Names are cut into pieces of
-    ``gram`` characters; every needle is looked up by the one of its own pieces that the
-    fewest names have, and the hits are checked against the full text. Needles shorter than
-    ``gram`` are looked up as a whole among the pieces of their length.
+    exactly the lengths that needles have, so a piece that equals a needle is a hit and
+    nothing has to be checked afterwards. The work grows with the names, times the number of lengths.
     """
-    none = F.array().cast("array<string>")
-    # At most ``gram`` different sizes, so that names are only cut into pieces that are asked for.
-    sizes = needles.agg(F.collect_set(F.least(F.length("needle"), F.lit(gram)))).scalar()
-    cut = [
-        F.when(F.array_contains(sizes, n), F.coalesce(_grams(F.col("name"), n), none)).otherwise(none)
-        for n in range(1, gram + 1)
-    ]
-    pieces = names.select("name", F.explode(F.concat(*cut)).alias("piece"))
-    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("seen"))
-    own = F.coalesce(_grams(F.col("needle"), gram), F.array("needle"))
-    options = needles.select("needle", F.explode(own).alias("piece"))
-    # A piece no name has rules the needle out, so an inner join would hide that; keep it as 0.
-    rarest = (
-        options.join(counts, "piece", "left")
-        .groupBy("needle")
-        .agg(F.min_by("piece", F.struct(F.coalesce("seen", F.lit(0)), "piece")).alias("piece"))
-    )
-    return pieces.join(rarest, "piece").filter(F.contains("name", F.col("needle"))).select("name", "needle")
+    # One number per length, at most as many as the longest needle has characters.
+    lengths = needles.agg(F.sort_array(F.collect_set(F.length("needle")))).scalar()
+    pieces = names.select("name", F.explode(lengths).alias("_n")).select("name", F.explode(_pieces(F.col("name"), F.col("_n"))).alias("needle"))
+    return lookup_join(pieces, needles.select("needle").distinct(), ["needle"], "left_semi").select("name", "needle")
 
 
-def match_jobs_by_pattern(jobs: DataFrame, requests: DataFrame, gram: int = 3) -> DataFrame:
+def match_jobs_by_pattern(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     """Jobs that each request is about: ``req_id, job_id, name, rule``.
 
     ``requests`` needs ``req_id, pattern, job_name, stored_job_id``. A pattern is searched in
@@ -88,12 +73,12 @@ def match_jobs_by_pattern(jobs: DataFrame, requests: DataFrame, gram: int = 3) -
         set_or_null("job_name").alias("job_name"),
         set_or_null("stored_job_id").alias("stored"),
     )
-    listed = jobs.groupBy("job_id").agg(F.first("name").alias("name"))
+    # A job id may be listed more than once; every row of it is an answer.
     by_id = asked.filter(F.col("pattern").isNull() & F.col("stored").isNotNull())
-    stored = by_id.join(listed, by_id["stored"] == listed["job_id"]).select(
+    stored = by_id.join(jobs, by_id["stored"] == jobs["job_id"]).select(
         "req_id", "job_id", "name", F.lit("stored").alias("rule")
     )
-    open_asked = asked.join(stored.select("req_id"), "req_id", "left_anti")
+    open_asked = asked.join(stored.select("req_id").distinct(), "req_id", "left_anti")
     searched = open_asked.select(
         "req_id",
         F.explode(
@@ -104,7 +89,7 @@ def match_jobs_by_pattern(jobs: DataFrame, requests: DataFrame, gram: int = 3) -
         ).alias("s"),
     ).select("req_id", "s.*").filter(F.col("needle").isNotNull())
     names = jobs.filter(F.col("name") != "").select("name").distinct()
-    pairs = contains_pairs(names, searched.select("needle").distinct(), gram)
+    pairs = contains_pairs(names, searched.select("needle").distinct())
     rules = (
         searched.join(pairs, "needle")
         .groupBy("req_id", "name")

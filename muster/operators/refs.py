@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from muster.functions.common import as_col, join_on, lookup_join
 
 _ANY_SLOT = r"\{([^}]+)\}"
+_SLOT_CUT = r"\{[^}]+\}"
 
 
 def refs_in(text) -> Column:
@@ -61,10 +62,11 @@ def resolve_refs(df: DataFrame, text: str, sections: DataFrame) -> DataFrame:
         .groupBy("_refs")
         .agg(F.collect_list(F.struct("ref", "value")).alias("_found"))
     )
-    filled = F.reduce(
-        F.col("_found"),
-        F.col(text),
-        lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["ref"], F.lit("}")), e["value"]),
-    )
+    # The text is cut at its slots once, so a slot inside a value that was put in stays as it is.
+    between = F.split(F.col(text), _SLOT_CUT, -1)
+    slots = F.regexp_extract_all(F.col(text), F.lit(_ANY_SLOT), F.lit(1))
+    values = F.map_from_entries("_found")
+    put_in = F.transform(slots, lambda r: F.coalesce(values[r], F.concat(F.lit("{"), r, F.lit("}"))))
+    filled = F.array_join(F.zip_with(between, F.array_append(put_in, F.lit("")), lambda a, b: F.concat(a, b)), "")
     joined = lookup_join(rows, found, ["_refs"])
     return joined.withColumn(text, F.coalesce(filled, F.col(text))).select(*df.columns)

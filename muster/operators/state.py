@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from muster.functions.common import lookup_join
+from muster.session import checkpointed
 
 START, STOP = "start", "stop"
 
@@ -32,15 +33,18 @@ def fold_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def start_outcomes(state: DataFrame, changes: DataFrame, already: str) -> DataFrame:
-    """Per key that was asked to start: the process it now has, or that it was active before."""
-    asked = changes.filter(F.col("op") == START).select("key").distinct()
-    before = state.select("key", F.lit(True).alias("_had"))
-    after = fold_changes(state, changes).select("key", F.col("pid").cast("string").alias("_pid"))
-    stopped = changes.filter(F.col("op") == STOP).select("key", F.lit(True).alias("_stopped")).distinct()
-    held = F.coalesce("_had", F.lit(False)) & F.col("_stopped").isNull()
-    return (
-        asked.join(before, "key", "left")
-        .join(after, "key", "left")
-        .join(stopped, "key", "left")
-        .select("key", (~held).alias("started"), F.when(held, F.lit(already)).otherwise(F.col("_pid")).alias("detail"))
-    )
+    """``key, seq, started, detail`` of every start: the process it started, or that the key was active then.
+
+    A key is active behind a start, whether that was accepted or refused, and not behind a stop;
+    before its first change the state decides. Only the last change of each earlier range of
+    (key, seq) is looked at across ranges, so a key with many changes is worked on by many tasks.
+    """
+    ranged = checkpointed(changes.select("key", "op", "pid", "seq").repartitionByRange("key", "seq").withColumn("_range", F.spark_partition_id()))
+    lasts = ranged.groupBy("key", "_range").agg(F.max_by("op", "seq").alias("_last"))
+    earlier = lasts.withColumn("_last", F.lag("_last").over(W.partitionBy("key").orderBy("_range")))
+    inside = F.lag("op").over(W.partitionBy("key", "_range").orderBy("seq"))
+    before = lookup_join(ranged.withColumn("_inside", inside), earlier, ["key", "_range"]).filter(F.col("op") == START)
+    had = state.select("key", F.lit(True).alias("_had")).distinct()
+    known = lookup_join(before.withColumn("_before", F.coalesce("_inside", "_last")), had, ["key"])
+    held = F.when(F.col("_before").isNull(), F.coalesce("_had", F.lit(False))).otherwise(F.col("_before") == START)
+    return known.select("key", "seq", (~held).alias("started"), F.when(held, F.lit(already)).otherwise(F.col("pid").cast("string")).alias("detail"))

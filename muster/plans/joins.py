@@ -346,11 +346,14 @@ def fold(spark, sf_dir):
 @query(
     "j10_start_outcomes",
     f"""
-    with {shapes.SQL_STATE}, {shapes.SQL_CHANGES}, {SQL_FOLDED}
-    select distinct c.key, not (s.key is not null and l.key is null) as started,
-      case when s.key is not null and l.key is null then 'Tunnel already active' else cast(f.pid as varchar) end as detail
-    from changes c left join state s on s.key = c.key left join last_stop l on l.key = c.key left join first_start f on f.key = c.key
-    where c.op = 'start'
+    with {shapes.SQL_STATE}, {shapes.SQL_CHANGES},
+    walked as (select *, lag(op) over (partition by key order by seq) as before from changes),
+    judged as (
+      select w.key, w.seq, w.pid, case when before is null then s.key is not null else before = 'start' end as held
+      from walked w left join state s on s.key = w.key where w.op = 'start'
+    )
+    select key, seq, not held as started, case when held then 'Tunnel already active' else cast(pid as varchar) end as detail
+    from judged
     """,
 )
 def outcomes(spark, sf_dir):

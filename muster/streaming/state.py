@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from muster.operators.state import fold_changes
 from muster.sources.keyed_state import STATE
 
-_STORED = STATE + ", version bigint"
+_STORED = STATE + ", version bigint, run string, batch bigint"
 
 
 def _stored(spark: SparkSession, folder: str, slot: int) -> DataFrame:
@@ -32,21 +32,29 @@ def current_state(spark: SparkSession, folder: str) -> DataFrame:
     return both.filter((F.col("version") == newest) & F.col("key").isNotNull()).select("key", "pid")
 
 
-def apply_batch(changes: DataFrame, batch_id: int, folder: str) -> None:
-    """Fold one batch of ``key, op, pid, seq`` into the table. Doing a batch again changes nothing."""
+def apply_batch(changes: DataFrame, batch_id: int, folder: str, run: str = "") -> None:
+    """Fold one batch of ``key, op, pid, seq`` into the table. Doing a batch again changes nothing.
+
+    Every batch adds one to the newest version, so the numbers of ``run`` (the stream's checkpoint)
+    may start anew. Only the newest slot's own run and batch are done again, into the same slot.
+    """
     spark = changes.sparkSession
-    before = _stored(spark, folder, (batch_id + 1) % 2)
-    before = before.filter((F.col("version") < batch_id) & F.col("key").isNotNull())
+    marks = [_stored(spark, folder, slot).filter(F.col("key").isNull()).select("version", "run", "batch").first() for slot in (0, 1)]
+    newest = max((0, 1), key=lambda slot: marks[slot]["version"] if marks[slot] else -1)
+    again = marks[newest] is not None and (marks[newest]["run"], marks[newest]["batch"]) == (run, batch_id)
+    version = (marks[newest]["version"] if marks[newest] else -1) + (0 if again else 1)
+    source, target = (1 - newest, newest) if again else (newest, 1 - newest)
+    before = _stored(spark, folder, source).filter(F.col("key").isNotNull())
     after = fold_changes(before.select("key", "pid"), changes)
     marker = spark.createDataFrame([(None, None)], STATE)
-    rows = after.unionByName(marker).withColumn("version", F.lit(batch_id).cast("bigint"))
-    rows.write.mode("overwrite").parquet(f"{folder}/slot-{batch_id % 2}")
+    rows = after.unionByName(marker).withColumns({"version": F.lit(version).cast("bigint"), "run": F.lit(run), "batch": F.lit(batch_id).cast("bigint")})
+    rows.write.mode("overwrite").parquet(f"{folder}/slot-{target}")
 
 
 def upsert_state(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Start the stream that keeps the state table up to date with what is there."""
     return (
-        changes.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, folder))
+        changes.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, folder, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -137,3 +137,20 @@ def test_short_answers_are_not_misplaced(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, prompt string").coalesce(1)
     got = rows(inference.batch_prompt(df, "prompt", lambda p: p[:1], 2))
     assert got == [(1, "a", None), (2, "b", None)]
+
+
+def test_batch_prompt_keeps_values_and_gives_up_in_time(spark):
+    import time
+
+    def slow(prompts):
+        if "hang" in prompts:
+            time.sleep(30)
+        return list(prompts)
+
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "a"), (None, "hang"), (big + 2, None)], "id bigint, prompt string")
+    start = time.time()
+    got = inference.batch_prompt(df.coalesce(1), "prompt", slow, 1, seconds=0.5).collect()
+    assert time.time() - start < 25
+    assert [r["id"] for r in got] == [big, None, big + 2] and [r["content"] for r in got] == ["a", None, ""]
+    assert got[1]["error"].startswith("TimeoutError")

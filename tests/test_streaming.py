@@ -146,6 +146,15 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path, rows):
     assert rows(state.current_state(spark, str(tmp_path / "none"))) == []
 
 
+def test_state_goes_on_with_a_new_checkpoint(spark, tmp_path, rows):
+    folder = str(tmp_path / "state")
+    for i, key in enumerate("abc"):
+        state.apply_batch(spark.createDataFrame([(key, "start", i, i)], CHANGE), i, folder, "one")
+    for _ in range(2):
+        state.apply_batch(spark.createDataFrame([("z", "start", 7, 9)], CHANGE), 0, folder, "two")
+    assert rows(state.current_state(spark, folder)) == [("a", 0), ("b", 1), ("c", 2), ("z", 7)]
+
+
 def test_follow_lines(spark, tmp_path, rows):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.out").write_text("x\nApplication startup complete\n\ny")
