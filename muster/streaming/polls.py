@@ -16,8 +16,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _POLL = "key string, us bigint, seq bigint, hit boolean, payload string"
 _RESULT = "key string, status string, poll int, payload string, us bigint"
 _RESULT_NAMES = ["key", "status", "poll", "payload", "us"]
-_STATE = "key array<string>, polls array<bigint>, done array<boolean>, until array<bigint>"
-_STATE_NAMES = ["key", "polls", "done", "until"]
+#: Status of a poll that came when its key may already have been forgotten.
+LATE = "late"
+_STATE = "polls bigint, done boolean, until bigint"
 
 
 def keep_earliest(polls: DataFrame, limit: int) -> DataFrame:
@@ -48,8 +49,11 @@ def keep_earliest(polls: DataFrame, limit: int) -> DataFrame:
 class FirstHits(StatefulProcessor):
     """Counts polls per key; reports a key once, at its first hit or when its polls or its time run out.
 
-    A group holds many keys, so that state is read and written once per group and batch and
-    the keys of a batch are worked on together. A key is forgotten when its time is over.
+    A group holds many keys in a map, so that the keys of a batch are worked on together while
+    only the keys that have polls are read and written. ``due`` lists the keys under the
+    time when they are to be forgotten, one timer each, so an expiry reads those keys alone.
+    A poll of an unknown key that is older than the whole time of a key may belong to one that
+    was forgotten; it is reported as ``late`` instead of starting a new count.
     """
 
     def __init__(self, limit: int, seconds: float, good: str, bad: str):
@@ -57,58 +61,62 @@ class FirstHits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("keys", _STATE)
-
-    def _load(self) -> pd.DataFrame:
-        stored = self.state.get() or ([], [], [], [])
-        known = pd.DataFrame(dict(zip(_STATE_NAMES, stored)), columns=_STATE_NAMES)
-        return known.astype({"key": object, "polls": "int64", "done": bool, "until": "int64"})
-
-    def _store(self, known: pd.DataFrame) -> None:
-        if len(known):
-            self.state.update(tuple(known[c].tolist() for c in _STATE_NAMES))
-        else:
-            self.state.clear()
+        self.keys = handle.getMapState("keys", "key string", _STATE)
+        self.due = handle.getMapState("due", "ms bigint", "keys array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        known = self._load()
-        new = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable").merge(known, on="key", how="left")
-        new = new[~new["done"].eq(True)]
-        place = new.groupby("key", sort=False, dropna=False).cumcount() + 1
-        new = new.assign(n=new["polls"].fillna(0).astype("int64") + place)
-        new = new[new["n"] <= self.limit]
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "seq"], kind="stable")
+        names = new["key"].drop_duplicates()
+        known = {k: self.keys.getValue((k,)) for k in names}
+        held = new["key"].map(lambda k: known[k] is not None).astype(bool)
+        late = new[~held & ((new["us"] + self.micros) // 1000 <= timerValues.getCurrentWatermarkInMs())]
+        if len(late):
+            yield self._report(LATE, late["key"], None, late["payload"], late["us"])
+            new = new.drop(late.index)
+
+        polls = new["key"].map(lambda k: known[k][0] if known[k] else 0).astype("int64")
+        new = new.assign(n=polls + new.groupby("key", sort=False).cumcount() + 1)
+        new = new[~new["key"].map(lambda k: known[k] is not None and known[k][1]).astype(bool) & (new["n"] <= self.limit)]
         hits = new[new["hit"].astype(bool)].drop_duplicates("key")
-        seen = new.groupby("key", sort=False, dropna=False, as_index=False).agg(polls=("n", "max"), first=("us", "first"), until=("until", "first"))
-        seen["until"] = seen["until"].fillna(seen["first"] + self.micros).astype("int64")
+        seen = new.groupby("key", sort=False, as_index=False).agg(polls=("n", "max"), first=("us", "first"))
         won = seen["key"].isin(hits["key"])
-        seen["done"] = won | (seen["polls"] >= self.limit)
-
-        before = known["until"].min() if len(known) else None
-        known = pd.concat([known[~known["key"].isin(seen["key"])], seen[_STATE_NAMES]])
-        self._store(known)
-        if before is None or known["until"].min() < before:
-            self._wake(known)
+        done = won | (seen["polls"] >= self.limit)
+        self._store(known, seen, done)
         if len(hits):
             yield self._report(self.good, hits["key"], hits["n"], hits["payload"], hits["us"])
-        if (seen["done"] & ~won).any():
-            yield self._report(self.bad, seen["key"][seen["done"] & ~won])
+        if (done & ~won).any():
+            yield self._report(self.bad, seen["key"][done & ~won])
+
+    def _store(self, known: dict, seen: pd.DataFrame, done: pd.Series) -> None:
+        fresh: dict[int, list[str]] = {}
+        for name, polls, first, over in zip(seen["key"], seen["polls"], seen["first"], done):
+            before = known[name]
+            until = int(first) + self.micros if before is None else before[2]
+            self.keys.updateValue((name,), (int(polls), bool(over), until))
+            if before is None:
+                fresh.setdefault(-(-until // 1000), []).append(name)
+        for ms, names in fresh.items():
+            listed = self.due.getValue((ms,))
+            self.due.updateValue((ms,), ([*(listed[0] if listed else []), *names],))
+            self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        known = self._load()
-        over = known["until"] // 1000 <= timerValues.getCurrentWatermarkInMs()
-        rest = known[~over]
-        self._store(rest)
-        if over.any() and len(rest):
-            self._wake(rest)
-        lost = known["key"][over & ~known["done"]]
-        if len(lost):
-            yield self._report(self.bad, lost)
-
-    def _wake(self, known: pd.DataFrame) -> None:
-        self.handle.registerTimer(int(known["until"].min() // 1000))
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        listed = self.due.getValue((ms,))
+        lost = []
+        for name in listed[0] if listed else []:
+            _, done, _ = self.keys.getValue((name,))
+            self.keys.removeKey((name,))
+            if not done:
+                lost.append(name)
+        if listed:
+            self.due.removeKey((ms,))
+        if lost:
+            yield self._report(self.bad, pd.Series(lost, dtype=object))
 
     def _report(self, status, keys, poll=None, payload=None, us=None) -> pd.DataFrame:
-        columns = (keys, status, poll, payload, us)
+        # State can't hold a null name, so names are marked on the way in.
+        columns = (pd.Series([k[1:] if k else None for k in keys], dtype=object), status, poll, payload, us)
         return pd.DataFrame({n: pd.Series(c if np.isscalar(c) or c is None else c.to_numpy(object), index=range(len(keys)), dtype=object) for n, c in zip(_RESULT_NAMES, columns)})
 
     def close(self) -> None:
@@ -118,6 +126,11 @@ class FirstHits(StatefulProcessor):
 def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str, groups: int) -> DataFrame:
     """Stream of reports.
 
+    No poll is dropped: the watermark only moves the timers, and its column does not reach the
+    stateful step, so Spark has nothing to filter late rows by. A poll of a known key counts
+    however late it is; one that may belong to a forgotten key comes out with status ``late``,
+    its time and its payload.
+
     ``groups`` is how many groups share the keys: more for more keys, and never changed while a
     checkpoint is in use, because it decides where the state of a key is found.
     """
@@ -132,7 +145,7 @@ def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, paylo
         keep_earliest(rows, limit)
         .withColumn("ts", F.timestamp_micros("us"))
         .withWatermark("ts", delay)
-        .withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+        .select(F.coalesce(F.concat(F.lit("="), "key"), F.lit("")).alias("key"), "us", "seq", "hit", "payload", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"))
         .groupBy("group")
         .transformWithStateInPandas(FirstHits(limit, seconds, good, bad), _RESULT, "append", "eventTime")
     )

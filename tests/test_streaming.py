@@ -83,6 +83,31 @@ def test_timer_reports_a_timeout_once(spark, tmp_path):
     assert got == [("clock", "timeout", None, None), ("lost", "timeout", None, None), ("won", "allocated", 1, "n1")]
 
 
+def test_late_polls_are_counted_or_reported(spark, tmp_path):
+    """A poll behind the watermark counts while its key's time runs, and is reported as late after that."""
+    batches = [
+        [("held", at(0), 1, False, "a")],
+        [("clock", at(200), 2, False, "b")],
+        [("clock", at(201), 3, False, "b")],
+        [("held", at(50), 4, True, "c"), ("new", at(10), 5, True, "d"), (None, at(20), 6, False, "e")],
+        [("clock", at(1000), 7, False, "b")],
+        [("clock", at(1001), 8, False, "b"), ("old", at(30), 9, True, "f"), ("old", at(31), 10, True, "f")],
+        [("clock", at(1002), 11, False, "b")],
+    ]
+    stream = write_batches(spark, tmp_path, batches, POLL)
+    out = runs.run_to_table(polls.await_ready(stream, "k", "ts", "id", F.col("ok"), seconds=300.0), str(tmp_path / "run"))
+    got = sorted(((r["key"], r["status"], r["poll"], r["ts"]) for r in out.collect()), key=repr)
+    want = [
+        ("held", "ready", 2, at(50)),
+        ("new", "ready", 1, at(10)),
+        (None, "failed", None, None),
+        ("clock", "failed", None, None),
+        ("old", "late", None, at(30)),
+        ("old", "late", None, at(31)),
+    ]
+    assert got == sorted(want, key=repr)
+
+
 def test_times_do_not_depend_on_the_session_zone(spark, tmp_path, settings):
     settings(spark__sql__session__timeZone="America/New_York")
     stream = write_batches(spark, tmp_path, [[("a", at(0), 1, True, "")]], POLL)
