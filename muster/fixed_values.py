@@ -16,6 +16,9 @@ UNKNOWN = "Unknown"
 NOT_AVAILABLE = "N/A"
 NOT_TESTED = "Not tested"
 NONE_LISTED = "None"
+# What a missing value looks like inside a rendered script.
+NULL_TEXT = "None"
+NO_SCRIPT = "must contain a 'script' field."
 NO_CONTENT = "OK (but no content found in response)"
 NO_ENTRY = "No active tunnel found for this host/port"
 ALREADY_ACTIVE = "Tunnel already active"

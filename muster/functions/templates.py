@@ -36,8 +36,9 @@ def _fill(text: Column, bindings: Column) -> Column:
 
 
 def render_once(template: ColumnOrName, bindings: ColumnOrName) -> Column:
-    """Replace each ``{key}`` once, in map order, with no guard for ``${``."""
-    return _fill(as_col(template), as_col(bindings))
+    """Replace each ``{key}`` once, in map order, with no guard for ``${``; a null value is written ``None``."""
+    written = F.transform_values(as_col(bindings), lambda k, v: F.coalesce(v, F.lit(fv.NULL_TEXT)))
+    return _fill(as_col(template), written)
 
 
 def fill_path(pattern: ColumnOrName, default: ColumnOrName, user: ColumnOrName, port: ColumnOrName) -> Column:
@@ -48,10 +49,16 @@ def fill_path(pattern: ColumnOrName, default: ColumnOrName, user: ColumnOrName,
     return F.replace(path, F.lit("{port}"), port)
 
 
+def launch_error(record: ColumnOrName, path: ColumnOrName) -> Column:
+    """Why a record has no launch script, null where it has one."""
+    reason = F.concat(F.lit("Configuration at '"), as_col(path), F.lit("' " + fv.NO_SCRIPT))
+    return F.when(first_set(as_col(record)["script"]).isNull(), reason)
+
+
 def launch_script(record: ColumnOrName, title: ColumnOrName) -> Column:
     """Shell script of one record: preamble, then its ``script`` field rendered once.
 
-    Null when the record has no script.
+    Null when the record has no script; ``launch_error`` then says so.
     """
     record = as_col(record)
     others = F.map_filter(record, lambda k, v: k != "script")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import as_col, join_on, lookup_join
-from muster.operators.ordered import first_rows
+from muster.functions.common import as_col, join_on
+from muster.operators.ordered import first_rows, number_rows
 
 
 def any_pattern(patterns=fv.READY_PATTERNS) -> str:
@@ -33,10 +33,12 @@ def with_seconds(spans: DataFrame) -> DataFrame:
     return spans.withColumn("seconds", F.when(micros >= 0, micros / F.lit(1_000_000.0)))
 
 
-def phase_report(durations: DataFrame, phase: str = "phase") -> DataFrame:
+def phase_report(durations: DataFrame, phase: str = "phase", accuracy: int = 10_000) -> DataFrame:
     """Benchmark table: runs, runs left open, and times per phase.
 
     Times are summed as whole microseconds, so the mean does not depend on the order of rows.
+    Percentiles come from mergeable sketches: exact up to ``accuracy`` runs of a phase, and off by
+    at most one rank in ``accuracy`` beyond that.
     """
     micros = F.round(F.col("seconds") * 1_000_000).cast("bigint")
     return durations.groupBy(phase).agg(
@@ -45,6 +47,7 @@ def phase_report(durations: DataFrame, phase: str = "phase") -> DataFrame:
         F.min("seconds").alias("min_seconds"),
         F.max("seconds").alias("max_seconds"),
         (F.sum(micros) / F.lit(1_000_000.0) / F.nullif(F.count("seconds"), F.lit(0))).alias("avg_seconds"),
+        *[(F.percentile_approx(micros, p / 100, accuracy) / F.lit(1_000_000.0)).alias(f"p{p}_seconds") for p in (50, 95)],
     )
 
 
@@ -54,15 +57,14 @@ def match_counts(matched: DataFrame, keys: list[str], is_match: Column) -> DataF
 
 
 def concat_names(groups: DataFrame, names: DataFrame, keys: list[str], name: str, names_per_part: int = 100_000) -> DataFrame:
-    """Sorted names of every group as one text, ``None`` for an empty group.
+    """Sorted names of every group as text, ``None`` for an empty group.
 
-    A group with more than ``names_per_part`` names gives several rows (``part`` 0, 1, ...)
-    that hold all its names between them, so no task ever builds one unbounded list.
+    ``part`` 0, 1, ... hold the first, second, ... ``names_per_part`` sorted names of a group, so
+    the parts in order, joined by commas, are its whole list and no task ever builds an unbounded one.
     """
     listed = names.filter(F.col(name).isNotNull()).select(*keys, name)
-    sizes = listed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / names_per_part).cast("int").alias("_parts"))
-    placed = lookup_join(listed, sizes, keys)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
+    placed = number_rows(listed, keys, [name], "_n")
+    placed = placed.withColumn("part", F.floor((F.col("_n") - 1) / names_per_part).cast("int"))
     texts = placed.groupBy(*keys, "part").agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
     out = join_on(groups.select(*keys).distinct(), texts, keys, "left")
     return out.select(

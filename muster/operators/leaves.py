@@ -39,11 +39,29 @@ def _children(node: Column) -> Column:
     return F.when(F.size(members) > 0, members)
 
 
-def flatten_leaves(docs: DataFrame, doc: str = "doc", max_depth: int = 12) -> DataFrame:
+def nesting_depth(doc: ColumnOrName) -> Column:
+    """How many objects lie in one another at most, counted on the JSON text without its strings."""
+    unescaped = F.regexp_replace(F.to_json(as_col(doc)), r"\\.", "")
+    marks = F.regexp_replace(F.regexp_replace(unescaped, r'"[^"]*+"', ""), r"[^{}]", "")
+    steps = F.transform(F.split(marks, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.reduce(
+        steps,
+        start,
+        lambda at, step: F.struct((at["now"] + step).alias("now"), F.greatest(at["most"], at["now"] + step).alias("most")),
+        lambda at: at["most"],
+    )
+
+
+def flatten_leaves(docs: DataFrame, doc: str = "doc", max_depth: int | None = None) -> DataFrame:
     """One row per leaf. All levels are generators over the same row, without a shuffle.
 
-    A document that is nested deeper than ``max_depth`` fails the query instead of losing leaves.
+    Without ``max_depth`` a small aggregate finds the depth of the documents first, and as many
+    generators are planned. With it (needed on streams) a document that is nested deeper fails
+    the query instead of losing leaves. A null ``doc`` has no leaves.
     """
+    if max_depth is None:
+        max_depth = docs.agg(F.max(nesting_depth(doc))).first()[0] or 0
     keep = [c for c in docs.columns if c != doc]
     out = docs.filter(F.col(doc).isNotNull()).select(
         *keep, F.array().cast("array<string>").alias("path"), F.col(doc).alias("_node")

@@ -175,6 +175,6 @@ def resolve_services_flow(spark, sf_dir):
 def list_config_flow(spark, sf_dir):
     """Sorted names of all settings below the root."""
     docs = shapes.service_docs(spark, sf_dir).select("c_custkey", leaves.parse_doc("text").alias("doc"))
-    rows = leaves.flatten_leaves(docs, max_depth=6).filter(F.slice("path", 1, 2) == F.array(F.lit("fleet"), F.lit("ai")))
+    rows = leaves.flatten_leaves(docs).filter(F.slice("path", 1, 2) == F.array(F.lit("fleet"), F.lit("ai")))
     names = rows.select("c_custkey", leaves.leaf_name(F.slice("path", 3, F.greatest(F.size("path") - 2, F.lit(0)))).alias("name"))
     return names.orderBy("c_custkey", "name")

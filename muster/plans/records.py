@@ -49,7 +49,7 @@ def p1_events(spark, sf_dir):
 
 def _service_leaves(spark, sf_dir):
     docs = shapes.service_docs(spark, sf_dir).select("c_custkey", leaves.parse_doc("text").alias("doc"))
-    return leaves.flatten_leaves(docs, max_depth=6)
+    return leaves.flatten_leaves(docs)
 
 
 @query(
@@ -98,7 +98,7 @@ def f17(spark, sf_dir):
 )
 def f17_events(spark, sf_dir):
     docs = table(spark, sf_dir, "events").select("event_id", leaves.parse_doc("props").alias("doc"))
-    return leaves.flatten_leaves(docs, max_depth=4).select("event_id", leaves.leaf_name().alias("name"), "value")
+    return leaves.flatten_leaves(docs).select("event_id", leaves.leaf_name().alias("name"), "value")
 
 
 @query(
@@ -141,13 +141,13 @@ def p9(spark, sf_dir):
       coalesce(case when o_orderkey is not null then cast(o_orderkey as varchar) end, '8000') as port,
       coalesce(o_orderstatus, 'N/A') as account, coalesce(o_orderpriority, 'N/A') as partition,
       'N/A' as reservation, 'N/A' as gres, 'N/A' as cpus, 'N/A' as mem
-    from customer left join orders on o_custkey = c_custkey and o_orderpriority = '1-URGENT'
+    from customer left join orders on o_custkey = c_custkey
     """,
 )
 def p3(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     nothing = F.lit(None).cast("string")
-    joined = c.join(o, (c["c_custkey"] == o["o_custkey"]) & (o["o_orderpriority"] == "1-URGENT"), "left")
+    joined = c.join(o, c["c_custkey"] == o["o_custkey"], "left")
     return predicates.service_table(
         joined.select(
             F.col("c_name").alias("name"),
@@ -381,9 +381,10 @@ _SCRIPT = "cd {dir}\nrun {model} --gpus {gpu} --port {port} ${port} {nothing}\n"
         case when c_mktsegment <> 'MACHINERY' then c_name end as image
       from customer
     )
-    select c_custkey, '#!' || shell || chr(10) || '# vLLM Launch Script for server.' || c_name || chr(10) || chr(10) || 'export PORT=8000' || chr(10) ||
+    select c_custkey, case when port = '8005' then 'Configuration at ''server.' || c_name || ''' must contain a ''script'' field.' end as error,
+      case when port <> '8005' then '#!' || shell || chr(10) || '# vLLM Launch Script for server.' || c_name || chr(10) || chr(10) || 'export PORT=8000' || chr(10) ||
       'export VLLM_IMAGE="' || coalesce(image, 'vllm/vllm-openai') || '"' || chr(10) || chr(10) ||
-      'cd ' || dir || chr(10) || 'run ' || model || ' --gpus ' || gpu || ' --port ' || port || ' $' || port || ' {nothing}' || chr(10) as script,
+      'cd ' || dir || chr(10) || 'run ' || model || ' --gpus ' || gpu || ' --port ' || port || ' $' || port || ' {nothing}' || chr(10) end as script,
       '/home/' || c_name || '/job_' || port as path
     from r
     """,
@@ -393,7 +394,7 @@ def f1(spark, sf_dir):
     n = F.col("c_nationkey")
     port = (8000 + n).cast("string")
     record = text_map(
-        script=F.lit(_SCRIPT),
+        script=F.when(n != 5, F.lit(_SCRIPT)),
         dir=F.concat(F.lit("/scratch/"), n.cast("string")),
         model=F.col("c_mktsegment"),
         port=port,
@@ -402,9 +403,11 @@ def f1(spark, sf_dir):
         shell=F.when(F.col("c_mktsegment") == "BUILDING", F.lit("/bin/zsh")),
         image=F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_name")),
     )
+    place = F.concat(F.lit("server."), F.col("c_name"))
     return c.withColumn("record", record).select(
         "c_custkey",
-        templates.launch_script("record", F.concat(F.lit("server."), F.col("c_name"))).alias("script"),
+        templates.launch_script("record", place).alias("script"),
+        templates.launch_error("record", place).alias("error"),
         templates.fill_path(F.lit(""), F.lit("/home/{user}/job_{port}"), "c_name", port).alias("path"),
     )
 

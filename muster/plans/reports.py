@@ -44,7 +44,8 @@ def a2(spark, sf_dir):
     f"""
     with {shapes.SQL_SPANS}
     select phase, count(seconds) as closed, count(*) - count(seconds) as open, min(seconds) as min_seconds, max(seconds) as max_seconds,
-      cast(sum(epoch_us(stopped) - epoch_us(started)) filter (where stopped >= started) as double) / 1000000.0 / nullif(count(seconds), 0) as avg_seconds
+      cast(sum(epoch_us(stopped) - epoch_us(started)) filter (where stopped >= started) as double) / 1000000.0 / nullif(count(seconds), 0) as avg_seconds,
+      quantile_disc(seconds, 0.5) as p50_seconds, quantile_disc(seconds, 0.95) as p95_seconds
     from timed group by phase
     """,
 )

@@ -14,44 +14,59 @@ from muster.sources import export, keyed_state, layers, listings, logs, prompts,
 from muster.streaming.runs import run_to_table
 
 
+#: Objects around the innermost setting of a deep document.
+_DEEP = 30
+
+
 def _layer_rows(spark, sf_dir, as_yaml):
+    """Leaves of every readable document, and one row with the name ``rejected`` for every other."""
     e = table(spark, sf_dir, "events")
     upper = F.col("event_type") == "view"
-    text = F.when(F.col("event_type") == "error", F.lit(" ")).otherwise(F.col("props"))
+    deep = F.concat(F.lit('{"d":' * _DEEP), F.col("props"), F.lit("}" * _DEEP))
+    text = (
+        F.when(F.col("event_type") == "error", F.lit(" "))
+        .when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), F.col("props")))
+        .when(F.col("event_id") % 11 == 0, deep)
+        .otherwise(F.col("props"))
+    )
     if as_yaml:
-        plain = F.concat(F.lit("top:\n  "), F.regexp_replace("props", r'[{}"]', ""), F.lit("\n"))
-        text = F.when(upper, plain).otherwise(text)
+        inner = F.regexp_replace("props", r'[{}"]', "")
+        dated = F.concat(F.lit("top:\n  "), inner, F.lit("\n2024-01-02: .nan\n"))
+        text = F.when(upper, F.when(F.col("event_id") % 7 == 0, F.lit("a: [")).otherwise(dated)).otherwise(text)
     docs = e.select("event_id", upper.cast("int").alias("layer"), text.alias("text"))
     parsed = layers.parse_documents(docs, "text", F.col("layer") == 1 if as_yaml else None)
-    return flatten_leaves(parsed).select("event_id", "layer", leaf_name().alias("name"), scalar_text().alias("value"))
+    rows = flatten_leaves(layers.valid_documents(parsed, raising=False))
+    bad = layers.rejected_documents(parsed).select("event_id", "layer", F.lit("rejected").alias("name"), F.lit(None).cast("string").alias("value"))
+    return rows.select("event_id", "layer", leaf_name().alias("name"), scalar_text().alias("value")).unionByName(bad)
 
 
-@query(
-    "s1_read_config_layers",
-    """
+_SQL_LAYER_ROWS = f"""
     select event_id, cast(event_type = 'view' as integer) as layer,
-      case when event_type = 'error' then '' else 'k' end as name,
-      case when event_type = 'error' then '{}' else json_extract_string(props, '$.k') end as value
-    from events
-    """,
-)
+      case when event_type = 'error' then '' when event_id % 7 = 0 then 'rejected'
+        when event_id % 11 = 0 then repeat('d.', {_DEEP}) || 'k' else 'k' end as name,
+      case when event_type = 'error' then '{{}}' when event_id % 7 = 0 then null else json_extract_string(props, '$.k') end as value
+    from events"""
+
+
+@query("s1_read_config_layers", _SQL_LAYER_ROWS)
 def s1_layers(spark, sf_dir):
     return _layer_rows(spark, sf_dir, as_yaml=False)
 
 
-if layers.yaml is not None:
-
-    @query(
-        "s1_read_config_yaml",
-        """
-        select event_id, cast(event_type = 'view' as integer) as layer,
-          case event_type when 'error' then '' when 'view' then 'top.k' else 'k' end as name,
-          case when event_type = 'error' then '{}' else json_extract_string(props, '$.k') end as value
-        from events
-        """,
-    )
-    def s1_yaml(spark, sf_dir):
-        return _layer_rows(spark, sf_dir, as_yaml=True)
+@query(
+    "s1_read_config_yaml",
+    f"""
+    {_SQL_LAYER_ROWS} where event_type <> 'view'
+    union all
+    select event_id, 1, case when event_id % 7 = 0 then 'rejected' else 'top.k' end,
+      case when event_id % 7 <> 0 then json_extract_string(props, '$.k') end
+    from events where event_type = 'view'
+    union all
+    select event_id, 1, '2024-01-02', 'nan' from events where event_type = 'view' and event_id % 7 <> 0
+    """,
+)
+def s1_yaml(spark, sf_dir):
+    return _layer_rows(spark, sf_dir, as_yaml=True)
 
 
 @query("s2_read_job_listing_text", f"with {shapes.SQL_LISTED} select job_id, name, state, node from listed")

@@ -129,23 +129,23 @@ polls as (
 
 
 def edges(events: DataFrame) -> DataFrame:
-    """Sign-ups start a phase and purchases stop it; a phase is one day of one user."""
-    edge = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "stop")
+    """Sign-ups and clicks start a phase, purchases and views stop it, an error is another edge; a phase is one day of one user."""
+    kind = F.col("event_type")
+    edge = F.when(kind.isin("signup", "click"), "start").when(kind.isin("purchase", "view"), "stop").otherwise("fail")
     return events.select(
         F.col("user_id").cast("string").alias("run"),
         F.date_format("ts", "yyyy-MM-dd").alias("phase"),
         edge.alias("edge"),
         "ts",
-    ).filter(F.col("edge").isNotNull())
+    )
 
 
 SQL_SPANS = """
 spans as (
   select cast(user_id as varchar) as run, strftime(ts, '%Y-%m-%d') as phase,
-    min(ts) filter (where event_type = 'signup') as started,
-    max(ts) filter (where event_type = 'purchase') as stopped
+    min(ts) filter (where event_type in ('signup', 'click')) as started,
+    max(ts) filter (where event_type in ('purchase', 'view')) as stopped
   from events
-  where event_type in ('signup', 'purchase')
   group by all
 ),
 timed as (
@@ -158,21 +158,21 @@ timed as (
 
 
 def changes(events: DataFrame) -> DataFrame:
-    """Sign-ups start an entry of the user's host, purchases stop it."""
-    op = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "stop")
+    """Purchases and errors stop the entry of the user's host, all other events start one."""
+    op = F.when(F.col("event_type").isin("purchase", "error"), "stop").otherwise("start")
     return events.select(
         F.concat(F.lit("host"), F.col("user_id").cast("string"), F.lit(":8000")).alias("key"),
         op.alias("op"),
         F.col("event_id").alias("pid"),
         F.col("event_id").alias("seq"),
-    ).filter(F.col("op").isNotNull())
+    )
 
 
 SQL_CHANGES = """
 changes as (
   select 'host' || user_id || ':8000' as key,
-    case event_type when 'signup' then 'start' else 'stop' end as op, event_id as pid, event_id as seq
-  from events where event_type in ('signup', 'purchase')
+    case when event_type in ('purchase', 'error') then 'stop' else 'start' end as op, event_id as pid, event_id as seq
+  from events
 )
 """
 

@@ -81,7 +81,7 @@ def t4(spark, sf_dir):
     return state.current_state(spark, f"{folder}/state")
 
 
-@query("t5_phase_stream", f"with {shapes.SQL_SPANS} select run, phase, started, stopped, seconds from timed")
+@query("t5_phase_stream", f"with {shapes.SQL_SPANS} select run, phase, started, stopped, seconds from timed where started is not null or stopped is not null")
 def t5(spark, sf_dir):
     rows = shapes.edges(stream_table(spark, sf_dir, "events"))
     folder = shared_folder(spark, "phases")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 def read_logs(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
     """``file, line_no, line`` of text files of any size, ``line_no`` counted from 1.
 
-    Files are read in splits. Lines are numbered inside their split, and the number of lines
-    in earlier splits of the file is added, so a huge file never becomes one task or one row.
-    Inside a split the order comes from the reading position of its single task.
+    Files are read in splits. The task that reads a split numbers its lines as it goes, and the
+    number of lines in earlier splits of the file is added from a table with one row per split,
+    so a huge file never becomes one task or one row, and no text is sorted.
     """
     raw = (
         spark.read.option("lineSep", "\n")
@@ -23,13 +23,14 @@ def read_logs(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
             F.col("value").alias("line"),
         )
     )
-    sizes = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_lines"))
+    sizes = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_lines"), F.min("_at").alias("_first"))
     before = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("file", "_start", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("file", "_start").orderBy("_at"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    inside = F.col("_at") - F.col("_first")
     lost = F.raise_error(F.lit("a file was split differently while its lines were counted")).cast("bigint")
+    same = (inside >= 0) & (inside < F.col("_lines"))
     return raw.join(offsets, ["file", "_start"], "left").select(
-        "file", (inside + F.coalesce("_before", lost)).alias("line_no"), "line"
+        "file", F.when(same, F.col("_before") + inside + 1).otherwise(lost).alias("line_no"), "line"
     )
 
 

@@ -129,6 +129,18 @@ def test_render_once_goes_in_key_order(spark):
     assert df.select(templates.render_once(F.lit("{a} ${a} {c}"), "m")).first()[0] == "x $x {c}"
 
 
+def test_render_once_writes_missing_values(spark):
+    df = with_map(spark, a=None, b="x")
+    assert df.select(templates.render_once(F.lit("{a} {b}"), "m")).first()[0] == "None x"
+
+
+def test_launch_error(spark):
+    assert with_map(spark, script="run").select(templates.launch_error("m", F.lit("s.a"))).first()[0] is None
+    for fields in ({"script": ""}, {"script": None}, {"host": "h"}):
+        error = with_map(spark, **fields).select(templates.launch_error("m", F.lit("s.a"))).first()[0]
+        assert error == "Configuration at 's.a' must contain a 'script' field."
+
+
 def test_launch_script_gpu_choices(spark):
     for fields, gpu in (({"tensor_parallel_size": "2", "gpus": "4"}, "2"), ({"gpus": "4"}, "4"), ({}, "1")):
         df = with_map(spark, script="run {gpu}", **fields)

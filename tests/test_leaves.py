@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from muster.operators import leaves
 
 
-def flat(spark, *docs, max_depth=8):
+def flat(spark, *docs, max_depth=None):
     df = spark.createDataFrame([(i, json.dumps(d) if not isinstance(d, str) else d) for i, d in enumerate(docs)], "id int, t string")
     return leaves.flatten_leaves(df.select("id", leaves.parse_doc("t").alias("doc")), max_depth=max_depth)
 
@@ -150,3 +150,12 @@ def test_listing_is_sorted(spark):
     df = flat(spark, {"b": 1, "a": {"z": 1, "y": 2}}).select(leaves.leaf_name().alias("name"))
     assert [r[0] for r in sorted_listing(df, "name").collect()] == ["a.y", "a.z", "b"]
     assert df.select(F.count("*")).first()[0] == 3
+
+
+def test_depth_comes_from_the_documents(spark):
+    deep = '{"a}{\\"":' * 30 + "1" + "}" * 30
+    df = spark.createDataFrame([(1, deep), (2, '{"x":[{"y":{}}]}'), (3, ""), (4, "5"), (5, "broken{"), (6, None)], "id int, t string")
+    doc = leaves.parse_doc("t")
+    assert [r[0] for r in df.orderBy("id").select(leaves.nesting_depth(doc)).collect()] == [30, 3, 1, 0, None, None]
+    got = leaves.flatten_leaves(df.select("id", doc.alias("doc"))).collect()
+    assert sorted((r["id"], len(r["path"])) for r in got) == [(1, 30), (2, 1), (3, 0), (4, 0)]

@@ -48,10 +48,39 @@ def test_layers(spark, tmp_path, rows):
     docs = layers.read_config_layers(spark, [low, high, str(tmp_path / "missing.yaml"), blank, empty, broken])
     got = {r["layer"]: None if r["doc"] is None else r["doc"].toJson() for r in docs.select("layer", "doc").collect()}
     assert got == {0: '{"server":{"port":1,"text":"a\\nb\\n","when":"2024-01-02"}}', 1: '{"server":{"port":2}}', 3: "{}", 5: None}
+    bad = [tuple(r) for r in layers.rejected_documents(docs).select("layer", F.substring_index("source", "/", -1), F.col("error").startswith("ParserError")).collect()]
+    assert bad == [(5, "d.yaml", True)]
+    with pytest.raises(Exception, match="can't be read: ParserError"):
+        layers.valid_documents(docs).select(F.to_json("doc")).collect()
+    assert layers.valid_documents(docs, raising=False).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         layers.read_config_layers(spark, [str(tmp_path / "missing.yaml")]).collect()
 
 
+def test_yaml_values_without_json_form(spark, rows):
+    """Odd keys and numbers become texts, a broken document is its own error, other columns keep their values."""
+    pytest.importorskip("yaml")
+    big = 2**53 + 1
+    texts = [(big, "2024-01-02: .nan"), (None, "2: .inf\ntrue: x"), (3, "a: [b"), (4, "d: 2024-13-45"), (5, None)]
+    docs = spark.createDataFrame(texts, "id bigint, t string").withColumn("n", F.struct("id", F.lit(1.5).cast("decimal(9,2)").alias("d")))
+    got = layers.yaml_to_json(docs, "t")
+    assert got.schema["n"].dataType == docs.schema["n"].dataType
+    found = {r["id"]: (r["n"]["id"], r["json"], r["error"] is not None) for r in got.collect()}
+    assert found == {
+        big: (big, '{"2024-01-02": "nan"}', False),
+        None: (None, '{"2": "inf", "true": "x"}', False),
+        3: (3, None, True),
+        4: (4, None, True),
+        5: (5, "{}", False),
+    }
+
+
+def test_missing_yaml_package_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layers, "yaml", None)
+    with pytest.raises(ImportError):
+        layers.read_config_layers(spark, [put(tmp_path, "a.yaml", "a: 1")])
+
+
 def test_log_lines_over_many_splits(spark, tmp_path, settings):
     """Line numbers hold when a file is read in many pieces and files differ in size."""
     settings(spark__sql__files__maxPartitionBytes="1000", spark__sql__files__openCostInBytes="1")
