@@ -31,6 +31,10 @@ SPACE = "▁"
 GROUP = 64
 #: What an uncovered character costs beyond the worst piece, as in SentencePiece.
 UNKNOWN_COST = 10.0
+#: Words up to this length go through the lattice many at a time, if at least so many have one length.
+LONG_WORD, FEW_WORDS = 64, 8
+#: Places times piece lengths of the words that are worked on together; it bounds their memory.
+LATTICE_CELLS = 4_000_000
 
 
 class Lattice:
@@ -52,7 +56,31 @@ class Lattice:
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         # Without pieces that hold a space mark behind another character, a path always breaks before one.
         self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.memo = units.Memo(lambda words: [self.code(w, self.best(w)) for w in words])
+        self._make_trie()
+        self.memo = units.Memo(self.code_many)
+
+    def _make_trie(self) -> None:
+        """All pieces as one trie: sorted (node, character) keys, the node behind each, the piece at each node."""
+        known = sorted({ord(c) for p in self.ids for c in p})
+        code = {c: i + 1 for i, c in enumerate(known)}
+        self.characters, self.width = np.array(known), len(known) + 1
+        children: dict[int, int] = {}
+        pieces = [-1]
+        for piece, i in self.ids.items():
+            node = 0
+            for c in piece:
+                key = node * self.width + code[ord(c)]
+                if key not in children:
+                    children[key] = len(pieces)
+                    pieces.append(-1)
+                node = children[key]
+            pieces[node] = i
+        self.branches = np.array(sorted(children))
+        self.behind = np.array([children[k] for k in self.branches.tolist()])
+        self.piece_at = np.array(pieces, np.int32)
+        # Number -1, no piece, finds the last entry.
+        self.score_or_none = np.append(self.scores, -np.inf)
+        self.score_or_unknown = np.append(self.scores, self.unknown)
 
     def edges(self, text: str, at: int) -> list[tuple[int, float]]:
         """Lengths and scores of the pieces that start here; an uncovered character is one of its own."""
@@ -83,6 +111,72 @@ class Lattice:
             size = back[size]
         return ends[::-1]
 
+    def code_many(self, words: list[str]) -> list[bytes]:
+        """Ids of the best path of every word; words of one length go through the trie and the lattice together."""
+        out = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(lengths[lengths > 0]).tolist():
+            same = np.flatnonzero(lengths == size).tolist()
+            # A word that is far longer than the pieces is a text of its own.
+            step = LATTICE_CELLS // (size * min(size, self.longest))
+            if size > LONG_WORD or len(same) < FEW_WORDS:
+                for i in same:
+                    out[i] = self.code(words[i], self.best(words[i]))
+                continue
+            for start in range(0, len(same), step):
+                some = same[start : start + step]
+                for i, ids in zip(some, self._code_equal([words[i] for i in some], size)):
+                    out[i] = ids
+        return out
+
+    def _code_equal(self, words: list[str], size: int) -> list[bytes]:
+        """As ``code_many`` for words of ``size`` characters."""
+        n, steps = len(words), min(size, self.longest)
+        raw = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, size).T.ravel()
+        at = np.minimum(np.searchsorted(self.characters, raw), len(self.characters) - 1)
+        codes = np.where(self.characters[at] == raw, at + 1, 0)
+
+        # piece[d - 1, p, w]: the piece of d characters at place p of word w. Places lie in rows, so d places on is d * n on.
+        piece = np.full((steps, size * n), -1, np.int32)
+        here, node = np.arange(size * n), np.zeros(size * n, np.int64)
+        for d in range(steps):
+            inside = here < (size - d) * n
+            here, node = here[inside], node[inside]
+            key = node * self.width + codes[here + d * n]
+            at = np.minimum(np.searchsorted(self.branches, key), len(self.branches) - 1)
+            on = self.branches[at] == key
+            here, node = here[on], self.behind[at[on]]
+            piece[d, here] = self.piece_at[node]
+        piece = piece.reshape(steps, size, n)
+
+        row = np.arange(n)
+        score, back = np.zeros((size + 1, n)), np.zeros((size + 1, n), np.int64)
+        for end in range(1, size + 1):
+            most = min(steps, end)
+            # The longest last piece comes first, so that it wins among equal sums.
+            sums = [score[end - d] + self.score_or_none[piece[d - 1, end - d]] for d in range(most, 1, -1)]
+            sums = np.stack([*sums, score[end - 1] + self.score_or_unknown[piece[0, end - 1]]])
+            best = sums.argmax(axis=0)
+            score[end], back[end] = sums[best, row], most - best
+
+        ids, left, odd, place = np.zeros((n, size), "<u4"), np.full(n, size), np.zeros(n, bool), np.full(n, size)
+        ends = np.zeros((n, size), np.int64)
+        while len(row):
+            d = back[place[row], row]
+            left[row] -= 1
+            ends[row, left[row]] = place[row]
+            place[row] -= d
+            found = piece[d - 1, place[row], row]
+            odd[row] |= found < 0
+            ids[row, left[row]] = np.maximum(found, 0)
+            row = row[place[row] > 0]
+        raw = ids.tobytes()
+        out = [raw[4 * (i * size + a) : 4 * (i + 1) * size] for i, a in enumerate(left.tolist())]
+        # An uncovered character on the path is written as its bytes.
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.code(words[i], ends[i, left[i] :].tolist())
+        return out
+
     def code(self, text: str, ends: list[int], start: int = 0) -> bytes:
         """Ids of the pieces between these ends, as little-endian 32-bit numbers."""
         out = []
@@ -213,6 +307,9 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 16_384, id_col:
         book = lattice(model_path)
         for batch in batches:
             for (row, chunk, ahead), texts in rows_of(batch, "text", "row_id", "chunk", "ahead"):
+                if book.breaks:
+                    # The words of all chunks at once; each chunk finds them again.
+                    book.encode_all(texts)
                 tables = [book.transfer(t, a).tobytes() for t, a in zip(texts, ahead.to_pylist())]
                 yield [row, chunk, tables]
 

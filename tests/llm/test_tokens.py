@@ -222,3 +222,12 @@ def test_transfer_matrices_are_associative():
     left = pieces.product(pieces.product(pieces.product(pieces.product(*tables[:2]), tables[2]), tables[3]), tables[4])
     right = pieces.product(tables[0], pieces.product(tables[1], pieces.product(tables[2], pieces.product(*tables[3:]))))
     assert np.allclose(left, right) and left[0, 0] == pytest.approx(plain_best(book, text)[0])
+
+
+def test_words_together_and_one_by_one(documents):
+    """Words that go through the lattice many at a time get the ids that each gets alone."""
+    book = pieces.Lattice(PIECES)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("▁abcethn日本é\U0001f600ßя1 ") for _ in range(rng.randrange(70))) for _ in range(3000)]
+    words += sorted({w for r in documents.collect() for w in book.words(book.model.normalize(r["text"] or ""))})
+    assert book.code_many(words) == [book.code(w, book.best(w)) for w in words]
