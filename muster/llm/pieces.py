@@ -53,7 +53,9 @@ class Lattice:
         first_bytes = np.array([b < 0x80 or b >= 0xC0 for b in range(256)])
         self.weights = self.scores.copy()
         self.weights[self.bytes] = np.where(first_bytes, self.unknown, 0.0)
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.spelled = [model.id_to_piece(i).encode("utf-8") for i in range(model.vocab_size())]
+        for b, i in enumerate(self.bytes):
+            self.spelled[i] = bytes([b])
         # Without pieces that hold a space mark behind another character, a path always breaks before one.
         self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._make_trie()
@@ -239,8 +241,7 @@ class Lattice:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the pieces, space marks still in it."""
-        parts = [bytes([self.byte_of[i]]) if i in self.byte_of else self.model.id_to_piece(i).encode("utf-8") for i in ids.tolist()]
-        return b"".join(parts).decode("utf-8", errors="replace")
+        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
