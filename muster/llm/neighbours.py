@@ -7,7 +7,7 @@ times the factor, exceeds the distance of the query's worst hit so far. Factor 1
 what cannot be a hit: the search is exact. A larger factor leaves out more and may miss hits.
 
 The queries are a stated part of the rows. They are put together in blocks, each block is sent to
-each shard, and a task holds one tree and one block at a time.
+each shard of vectors of its length, and a task holds one tree and one block at a time.
 """
 
 from __future__ import annotations
@@ -129,27 +129,33 @@ def nearest(
     smaller id. With fewer candidates than ``k`` all are returned; an empty table gives no rows.
     """
     vectors = usable(rows, id_col, vector_col).withColumn("width", F.size("vector"))
-    sizes = vectors.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"))
-    total = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("q"), F.lit(0))).first()
-    shards, blocks = max(1, -(-total[0] // shard_rows)), max(1, -(-total[1] // block_rows))
+    counted = vectors.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()
+    # One row per length. W lengths need at least W * W / 2 stored numbers, so this table stays small.
+    sizes = [(r["width"], -(-r["n"] // shard_rows), max(1, -(-r["q"] // block_rows))) for r in counted]
+    partitions = max(1, -(-sum(r["n"] for r in counted) // shard_rows))
+    dealt_to = F.broadcast(rows.sparkSession.createDataFrame(sizes, "width int, shards bigint, blocks bigint"))
     hashed = F.xxhash64("id", "vector")
-    sharded = vectors.withColumn("shard", F.pmod(hashed, F.lit(shards)))
-    asked = vectors.filter(is_query).withColumn("block", F.pmod(hashed, F.lit(blocks)))
-    # Each shard is a range of rows that a task turns into a tree; each block goes to all shards.
-    blocks_of = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+    dealt_rows = vectors.join(dealt_to, "width")
+    sharded = dealt_rows.withColumn("shard", F.pmod(hashed, F.col("shards")))
+    asked = dealt_rows.filter(is_query).withColumn("block", F.pmod(hashed, F.col("blocks")))
+    # Each shard holds rows of one length, which a task turns into a tree; each block goes to all shards of its length.
+    blocks_of = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
     both = sharded.select("width", "shard", F.lit(-1).cast("long").alias("block"), "id", "vector").unionByName(blocks_of.select("width", "shard", "block", "id", "vector"))
-    dealt = both.repartition(shards, "width", "shard").sortWithinPartitions("width", "shard", "block", "id")
+    dealt = both.repartition(partitions, "width", "shard").sortWithinPartitions("width", "shard", "block", "id")
 
     def run(batches):
-        tree, ids = None, None
+        tree, ids, planted = None, None, None
         name, part_ids, part_vectors = None, [], []
 
         def finish():
-            nonlocal tree, ids
+            nonlocal tree, ids, planted
             matrix = np.concatenate(part_vectors)
             numbers = np.concatenate(part_ids)
             if name[2] < 0:
-                tree, ids = Tree(matrix), numbers
+                tree, ids, planted = Tree(matrix), numbers, name[:2]
+                return
+            # A shard to which no row was dealt has no tree.
+            if planted != name[:2]:
                 return
             hits = Hits(ids, numbers, k)
             tree.search(matrix, hits, factor)

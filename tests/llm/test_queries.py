@@ -83,6 +83,16 @@ def test_factor_one_is_exact(spark, shard):
     assert neighbours.nearest(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_blocks_meet_only_the_shards_of_their_length(spark):
+    random = np.random.default_rng(6)
+    # Many, some and few vectors of a length, all with queries; the shards of the few would mostly be empty.
+    rows = [(10_000 * w + 20 * i, random.normal(0, 1, w).round(3).tolist()) for w, n in ((8, 300), (3, 70), (2, 2), (5, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(df, F.col("id") % 100 == 0, shard_rows=20, block_rows=4).collect()
+    assert len(found) == len({(r["query_id"], r["vec_id"]) for r in found})
+    assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found} == plain_nearest(rows)
+
+
 def test_a_larger_factor_keeps_most_of_the_hits(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     exact, loose = (neighbours.nearest(df, F.col("id") % 100 == 0, factor=f).select("query_id", "vec_id") for f in (1.0, 2.0))
