@@ -5,14 +5,18 @@ and a document's score is the sum of the log-probabilities of its words. The net
 hidden layer over the embeddings of the ``2 * reach`` words around the masked place and an exact
 softmax in two steps: the class of the word, then the word in its class.
 
-The vocabulary is counted over all documents. Training runs where the documents lie: each task
-takes its own share of places, one in ``every``, through numpy, and the weights of all tasks
-are averaged, weighted by the places they saw, in groups of bounded size. A few such rounds give the
-network, whose size depends on the vocabulary's alone; that is what is broadcast.
+The vocabulary is counted over all documents and grows with the words that they repeat often. Any
+other word has the probability of a rare word at its place times that of its spelling, which comes
+from the bytes of all rare words.
+
+Training runs where the documents lie: each task takes all its places through numpy, and the
+weights of all tasks are averaged, weighted by the places they saw, in groups of bounded size. A few
+such rounds give the network, whose size depends on the vocabulary's alone; that is what is broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -30,6 +34,10 @@ OTHER, EDGE = 0, 1
 _PLACES = 65_536
 #: Weights per row while they are averaged, and rows that one group averages.
 _BLOCK, _FAN = 16_384, 32
+#: Words that the network can tell apart, as they are numbered in 16 bits.
+_MOST_WORDS = 65_536
+#: Bytes of a rare word before the one that is spelled, the weight of each shorter context, and the sign for a word's end.
+_CONTEXT, _PRIOR, _END = 2, 4.0, 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -37,8 +45,8 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8").split()
 
 
-def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all documents; equal counts in the order of the words."""
+def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, n`` of all words of all documents."""
 
     def count(batches):
         for batch in batches:
@@ -50,10 +58,77 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes
                     yield [list(counts), list(counts.values())]
 
     counted = arrow_map(docs.select(F.col(text_col).cast("string").alias("text")), count, "word binary, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size - 2)
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, size: int) -> list[bytes]:
+    top = counted.orderBy(F.desc("n"), "word").limit(size - 2)
     return [bytes(r["word"]) for r in top.collect()]
 
 
+def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes]:
+    """The most frequent words of all documents; equal counts in the order of the words."""
+    return most_frequent(counted_words(docs, text_col), size)
+
+
+class Spelling:
+    """Log-probabilities of words by their bytes; those of all words add up to one.
+
+    A byte's probability given the ``_CONTEXT`` bytes before it is its count there, smoothed by
+    ``_PRIOR`` times its probability after one byte less; below the empty context all bytes are alike.
+    """
+
+    def __init__(self, counts: dict[bytes, dict[int, int]]):
+        self.counts = counts
+        self.totals = {context: sum(after.values()) for context, after in counts.items()}
+        self.known: dict[bytes, float] = {}
+
+    def prob(self, context: bytes, sign: int) -> float:
+        p = 1 / (_END + 1)
+        for start in range(len(context), -1, -1):
+            total = self.totals.get(context[start:])
+            if total is None:
+                break
+            p = (self.counts[context[start:]].get(sign, 0) + _PRIOR * p) / (total + _PRIOR)
+        return p
+
+    def log_prob(self, word: bytes) -> float:
+        found = self.known.get(word)
+        if found is None:
+            signs = [*word, _END]
+            found = math.fsum(math.log(self.prob(word[max(0, i - _CONTEXT) : i], s)) for i, s in enumerate(signs))
+            if len(word) <= 200:
+                if len(self.known) >= 500_000:
+                    self.known.clear()
+                self.known[word] = found
+        return found
+
+
+def spelling(counted: DataFrame, words: list[bytes]) -> Spelling:
+    """Spelling of all words outside the vocabulary, by how often the documents hold them."""
+    shared = counted.sparkSession.sparkContext.broadcast(set(words))
+
+    def spell(batches):
+        for batch in batches:
+            counts: Counter[tuple[bytes, int]] = Counter()
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                if word in shared.value:
+                    continue
+                for i, sign in enumerate([*word, _END]):
+                    for start in range(max(0, i - _CONTEXT), i + 1):
+                        counts[word[start:i], sign] += n
+            if counts:
+                yield [[c for c, _ in counts], [s for _, s in counts], list(counts.values())]
+
+    found: dict[bytes, dict[int, int]] = {}
+    pairs = arrow_map(counted, spell, "context binary, sign int, n bigint").groupBy("context", "sign").agg(F.sum("n").alias("n"))
+    # Collected as Arrow: at most 257 signs after each context of up to two bytes.
+    table = pairs.toArrow()
+    for context, sign, n in zip(*[table.column(c).to_pylist() for c in ("context", "sign", "n")]):
+        found.setdefault(context, {})[sign] = n
+    return Spelling(found)
+
+
 class Network:
     """Window network with its weights in one flat array."""
 
@@ -164,27 +239,36 @@ def in_blocks(texts: list[np.ndarray], reach: int):
         yield tuple(np.concatenate(x) for x in zip(*waiting))
 
 
-def numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str) -> DataFrame:
-    """One stored row per document with the numbers of its words."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+def numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str, spelled: Spelling | None = None) -> DataFrame:
+    """One stored row per document with the numbers of its words and the log-probability of its rare words' spelling."""
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(words)}, spelled))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("part int, ids binary, spelled double").fields])
 
     def run(batches):
-        number, part = shared.value.get, TaskContext.get().partitionId()
+        numbers, rare = shared.value
+        number, part = numbers.get, TaskContext.get().partitionId()
         for batch in batches:
             for (ids,), texts in rows_of(batch, "text", "doc_id"):
-                coded = [np.array([number(w, OTHER) for w in words_of(t)], "<u2").tobytes() for t in texts]
-                yield [ids, pa.array([part] * len(texts), pa.int32()), coded]
+                coded, extra = [], []
+                for t in texts:
+                    own = words_of(t)
+                    coded.append(np.array([number(w, OTHER) for w in own], "<u2").tobytes())
+                    extra.append(math.fsum(rare.log_prob(w) for w in own if w not in numbers) if rare else 0.0)
+                yield [ids, pa.array([part] * len(texts), pa.int32()), coded, extra]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return checkpointed(arrow_map(rows, run, schema))
 
 
-def train(stored: DataFrame, words: int, reach: int = 2, hidden: int = 16, rounds: int = 2, every: int = 16, rate: float = 0.5, batch: int = 512) -> Network:
-    """Network trained on one place in ``every`` of all documents, averaged over the tasks after each round."""
+def train(stored: DataFrame, words: int, reach: int = 2, hidden: int = 16, rounds: int = 2, every: int = 1, rate: float = 2.0, batch: int = 2048) -> Network:
+    """Network trained on all places of all documents in each round.
+
+    A round takes ``every`` turns: each goes through one place in ``every``, the next turn through
+    those behind them, and after each turn the weights are averaged over the tasks.
+    """
     network = Network(words, reach, hidden)
     total = len(network.weights)
-    for turn in range(rounds):
+    for turn in range(rounds * every):
         shared = stored.sparkSession.sparkContext.broadcast(network.weights)
 
         def run(batches, shared=shared, turn=turn):
@@ -195,8 +279,7 @@ def train(stored: DataFrame, words: int, reach: int = 2, hidden: int = 16, round
                 texts = [np.frombuffer(x, "<u2") for x in rows.column("ids").to_pylist()]
                 left = None
                 for _, around, target in in_blocks(texts, reach):
-                    # Each round takes other places.
-                    chosen = np.arange((turn * every) // rounds % every, len(target), every)
+                    chosen = np.arange(turn % every, len(target), every)
                     around, target = around[chosen], target[chosen]
                     if left is not None:
                         around, target = np.concatenate([left[0], around]), np.concatenate([left[1], target])
@@ -237,7 +320,7 @@ def averaged(sums: DataFrame, parts: int, before: np.ndarray) -> np.ndarray:
 
 
 def pseudo_likelihood(
-    docs: DataFrame, words: int = 4096, reach: int = 2, hidden: int = 16, rounds: int = 2, every: int = 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 4096, reach: int = 2, hidden: int = 16, rounds: int = 1, every: int = 2, often: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_words, log_prob, mean_log_prob`` of every row.
 
@@ -247,8 +330,10 @@ def pseudo_likelihood(
     mean. Null ids and repeated rows give their own rows; extra columns are ignored; an empty
     table gives no rows. The last digits vary with the partitions of the input.
     """
-    known = vocabulary(docs, words, text_col)
-    stored = numbered(docs, known, id_col, text_col)
+    counted = checkpointed(counted_words(docs, text_col))
+    size = min(_MOST_WORDS, max(words, counted.filter(F.col("n") >= often).count() + 2))
+    known = most_frequent(counted, size)
+    stored = numbered(docs, known, id_col, text_col, spelling(counted, known))
     network = train(stored, len(known) + 2, reach, hidden, rounds, every)
     return score(stored, network)
 
@@ -263,7 +348,7 @@ def score(stored: DataFrame, network: Network) -> DataFrame:
         own = Network(*settings, shared.value)
         for batch in batches:
             texts = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-            total = np.zeros(len(texts))
+            total = np.array(batch.column("spelled").to_pylist(), float)
             for which, around, target in in_blocks(texts, own.reach):
                 total += np.bincount(which, own.log_probs(around, target), minlength=len(texts))
             counts = [len(t) for t in texts]

@@ -232,6 +232,66 @@ def test_training_helps(documents):
     assert mean[1] > mean[0] + 0.5
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_training_visits_every_place(spark, monkeypatch, tmp_path, every):
+    seen = tmp_path / "seen"
+    learn = scoring.Network.learn
+
+    def noted(self, around, target, rate):
+        with open(seen, "ab") as out:
+            out.write(np.asarray(target, "<i8").tobytes())
+        learn(self, around, target, rate)
+
+    # Every word of the texts is a word of its own, so its number tells its place.
+    texts = [" ".join(f"w{100 * d + i}" for i in range(97)) for d in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    words = scoring.vocabulary(docs, 1000)
+    numbers = scoring.numbered(docs, words, "doc_id", "text")
+    partitions = [[np.frombuffer(r["ids"], "<u2") for r in numbers.collect()]]
+    monkeypatch.setattr(scoring.Network, "learn", noted)
+
+    def in_process(df, fn, schema):
+        rows = df.toArrow().to_batches()
+        list(fn(iter(rows)))
+        return None
+
+    monkeypatch.setattr(scoring, "arrow_map", in_process)
+    monkeypatch.setattr(scoring, "averaged", lambda sums, parts, before: before)
+    scoring.train(numbers, len(words) + 2, rounds=2, every=every)
+    visits = Counter(np.fromfile(seen, "<i8").tolist())
+    assert visits == {i: 2 for i in np.concatenate(partitions[0]).tolist()}
+
+
+def test_rare_words_have_probabilities_of_their_own(spark):
+    usual = " ".join(["the cat sat on the mat"] * 40)
+    rows = [(0, usual), (1, usual + " catmat"), (2, usual + " zq\u00e9xkw"), (3, usual + " catxq")]
+    docs = spark.createDataFrame(rows * 3 + [(9, " ".join(f"xq{i}zk" for i in range(60)))], "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in scoring.pseudo_likelihood(docs, words=7).collect()}
+    assert len({got[i]["log_prob"] for i in (1, 2, 3)}) == 3 and got[2]["log_prob"] < got[1]["log_prob"]
+    # A run of words that nothing else holds is less likely than usual words.
+    assert got[9]["mean_log_prob"] < got[0]["mean_log_prob"] - 3
+
+
+def test_spellings_add_up(spark):
+    docs = spark.createDataFrame([(0, "abc abd abc xyz xab \u00e9t")], "doc_id bigint, text string")
+    spelled = scoring.spelling(scoring.counted_words(docs), [b"xyz"])
+    for context in (b"", b"a", b"ab", b"abd", b"xyz", b"zzz"):
+        assert math.fsum(spelled.prob(context, s) for s in range(257)) == pytest.approx(1)
+    assert spelled.counts[b""] == Counter([*b"abcabdabcxab\xc3\xa9t", *[256] * 5])
+
+
+def test_the_vocabulary_grows_with_the_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(5)], "doc_id bigint, text string")
+    sizes = []
+    network = scoring.Network
+    try:
+        scoring.Network = lambda words, *rest: sizes.append(words) or network(words, *rest)
+        scoring.pseudo_likelihood(docs, words=10, often=5)
+    finally:
+        scoring.Network = network
+    assert sizes[0] == 42
+
+
 # -- quality rules -------------------------------------------------------------------------
 
 
