@@ -262,168 +262,6 @@ def fit_curve(y: np.ndarray, features: np.ndarray, ridge: float = 0.02, steps: i
     return w / np.concatenate([[1.0], spread]), loss(w)[0] / len(y)
 
 
-def score(self, words: list[str]) -> float:
-        a, b = self.features(words)
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ [1.0, a, b], -30, 30))))
-
-
-def chosen_labels(labels: DataFrame, per_class: int, id_col: str, label_col: str) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, the first by a hash of the id; never a held-out one."""
-    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), (crc % FOLDS).cast("int").alias("fold"))
-    usable = usable.filter("id is not null and toxic in (0, 1) and fold <> 0").groupBy("id").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"))
-    order = [F.xxhash64("id"), F.col("id")]
-    parts = [usable.filter(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
-
-
-def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    per_class: int = 20_000,
-    max_words: int = 12_000_000,
-    order: int = 4,
-    window: int = 3,
-    discounts: tuple[float, ...] = DISCOUNTS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-) -> Model:
-    """Model from the labelled documents.
-
-    Bounds: at most ``per_class`` training documents per class, and of those, in the order of a
-    hash of their ids, as many as hold ``max_words`` words together. What comes to the driver and
-    is broadcast is the different n-grams of at most ``order`` characters in them, whatever the
-    size of the tables. Remainder 4 of the ids' CRC fits D and the curve, remainders 1 to 3 are counted.
-    """
-    sample = chosen_labels(labels, per_class, id_col, label_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # The sample's size is bounded, so its ids may be broadcast; its texts are read once.
-    rows = stored(texts.join(F.broadcast(sample), "id").select("id", "toxic", "fold", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
-
-    def sizes(batches):
-        for batch in batches:
-            for keys, part in rows_of(batch, "text", "id", "toxic", "fold"):
-                yield [*keys, [len(words_of(t)) for t in part]]
-
-    kind = docs.schema[id_col].dataType
-    counted = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("toxic int, fold int, n bigint").fields])
-    size = arrow_map(rows, sizes, counted).toPandas()
-    size["order"] = pd.util.hash_array(size["id"].to_numpy(), categorize=False) if len(size) else 0
-    size = size.sort_values(["order", "id", "n"])
-    size = size[size["n"].cumsum() <= max_words]
-    prior = (float((size["toxic"] == 1).sum()) + 0.5) / (len(size) + 1.0)
-    unknown = Model(order, {}, {}, np.array([math.log(prior / (1 - prior)), 0.0, 0.0]), window)
-    fitting, counting = size[size["fold"] == 4], size[size["fold"] != 4]
-    if counting["toxic"].nunique() < 2:
-        return unknown
-    chosen = docs.sparkSession.createDataFrame(size[["id"]].drop_duplicates(), T.StructType([T.StructField("id", kind)]))
-    rows = rows.join(F.broadcast(chosen), "id")
-    grams = count_grams(rows.filter(F.col("fold") != 4), order)
-    held = rows.filter(F.col("fold") == 4) if fitting["toxic"].nunique() == 2 else rows
-    candidates = [build(grams, d, order, window) for d in discounts]
-    points = fitting_points(held, candidates)
-    fits = [fit_curve(points[:, 0], points[:, 1 + 2 * i : 3 + 2 * i]) for i in range(len(candidates))]
-    best = min(range(len(fits)), key=lambda i: fits[i][1])
-    candidates[best].curve = fits[best][0]
-    return candidates[best]
-
-
-def count_grams(rows: DataFrame, order: int) -> list[tuple[str, float, float]]:
-    """N-grams with their counts in the toxic and the ordinary words; each word counts once per different word before it."""
-
-    def pairs(batches):
-        for batch in batches:
-            for (toxic,), part in rows_of(batch, "text", "toxic"):
-                seen = set()
-                for label, text in zip(toxic.to_pylist(), part):
-                    words = words_of(text)
-                    seen.update(zip(["", *words], words, [label] * len(words)))
-                if seen:
-                    before, words, label = zip(*seen)
-                    yield [[xxhash.xxh64_intdigest(w) >> 1 for w in before], words, label]
-
-    def spelled(batches):
-        for batch in batches:
-            counts: Counter[tuple[str, int]] = Counter()
-            for word, label, n in zip(*[batch.column(c).to_pylist() for c in ("word", "toxic", "n")]):
-                for gram in grams_of(word, order):
-                    counts[gram, label] += n
-            if counts:
-                yield [[g for g, _ in counts], [c for _, c in counts], list(counts.values())]
-
-    words = arrow_map(rows, pairs, "before bigint, word string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    grams = arrow_map(words, spelled, "gram string, toxic int, n bigint").groupBy("gram")
-    per_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(name) for c, name in ((1, "t"), (0, "o"))]
-    found = grams.agg(*per_class).toPandas()
-    return list(zip(found["gram"].tolist(), found["t"].astype(float).tolist(), found["o"].astype(float).tolist()))
-
-
-def build(grams: list[tuple[str, float, float]], d: float, order: int, window: int) -> Model:
-    """Kneser-Ney probabilities of every counted n-gram in both classes."""
-    raw = {g: (t, o) for g, t, o in grams}
-    # Below the highest order an n-gram counts once per different character before it.
-    kinds: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for g, n in raw.items():
-        if len(g) > 1:
-            for c in (0, 1):
-                kinds[g[1:]][c] += n[c] > 0
-    counts = {g: n if len(g) == order or g[0] == START else tuple(kinds[g]) for g, n in raw.items()}
-    levels: list[list[str]] = [[] for _ in range(order + 1)]
-    for g in counts:
-        levels[len(g)].append(g)
-    both = {g: counts[g][0] + counts[g][1] for g in levels[1]}
-    everything = sum(both.values())
-    probs = {g: (n / everything, n / everything) for g, n in both.items()}
-    left: dict[str, tuple[float, float]] = {}
-    for level in levels[2:]:
-        total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-        for g in level:
-            t, o = counts[g]
-            sums = total[g[:-1]]
-            sums[0] += t
-            sums[1] += o
-            sums[2] += max(t - d, 0.0)
-            sums[3] += max(o - d, 0.0)
-        left.update((c, (1 - s[2] / s[0] if s[0] else 1.0, 1 - s[3] / s[1] if s[1] else 1.0)) for c, s in total.items())
-        for g in level:
-            (t, o), s, rest, lower = counts[g], total[g[:-1]], left[g[:-1]], probs[g[1:]]
-            probs[g] = (
-                (max(t - d, 0.0) / s[0] if s[0] else 0.0) + rest[0] * lower[0],
-                (max(o - d, 0.0) / s[1] if s[1] else 0.0) + rest[1] * lower[1],
-            )
-    return Model(order, probs, left, window=window)
-
-
-def fitting_points(rows: DataFrame, models: list[Model]) -> np.ndarray:
-    """Label and every model's two features of the fitting documents; their number is bounded by the sample."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches):
-        for batch in batches:
-            for (toxic,), part in rows_of(batch, "text", "toxic"):
-                words = [words_of(t) for t in part]
-                yield [toxic, *zip(*[[v for m in shared.value for v in m.features(w)] for w in words])]
-
-    columns = ", ".join(f"a{i} double, b{i} double" for i in range(len(models)))
-    return arrow_map(rows, run, f"toxic int, {columns}").toPandas().to_numpy(float)
-
-
-def fit_curve(y: np.ndarray, features: np.ndarray, ridge: float = 0.1, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic curve through the points by Newton's method, with its mean loss."""
-    x = np.column_stack([np.ones(len(y)), features])
-    w = np.zeros(3)
-    keep = ridge * np.diag([0.0, 1.0, 1.0])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep + 1e-9 * np.eye(3), x.T @ (p - y) + keep @ w)
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default all) with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more).
 

@@ -166,6 +166,14 @@ def test_probabilities_add_up():
             assert total == pytest.approx(1, abs=0.02)
 
 
+def test_the_curve_does_not_depend_on_the_scale_of_the_features():
+    random = np.random.default_rng(8)
+    y = np.repeat([0.0, 1.0], [40, 8])
+    x = random.normal(0, 1, (48, 2)) + y[:, None]
+    (small, loss), (large, same) = toxicity.fit_curve(y, x * 0.01), toxicity.fit_curve(y, x)
+    assert small * [1, 0.01, 0.01] == pytest.approx(large, rel=1e-3, abs=1e-4) and loss == pytest.approx(same, rel=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark, odd_documents, no_documents):
     docs, labels = labelled(spark, 150)
     model = toxicity.train(docs, labels)
