@@ -96,11 +96,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.curve @ [1.0, a, b], -30, 30))))
 
 
-def chosen_labels(labels: DataFrame, per_class: int, id_col: str, label_col: str) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, the first by a hash of the id; never a held-out one."""
+def learnable_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``id, toxic, fold`` of every labelled id that may be learned from; never a held-out one."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), (crc % FOLDS).cast("int").alias("fold"))
-    usable = usable.filter("id is not null and toxic in (0, 1) and fold <> 0").groupBy("id").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    return usable.filter("id is not null and toxic in (0, 1) and fold <> 0").groupBy("id").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"))
+
+
+def chosen_labels(usable: DataFrame, per_class: int) -> DataFrame:
+    """At most ``per_class`` ids of each class, the first by a hash of the id."""
     order = [F.xxhash64("id"), F.col("id")]
     parts = [usable.filter(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     return parts[0].unionByName(parts[1])
@@ -124,8 +128,13 @@ def train(
     hash of their ids, as many as hold ``max_words`` words together. What comes to the driver and
     is broadcast is the different n-grams of at most ``order`` characters in them, whatever the
     size of the tables. Remainder 4 of the ids' CRC fits D and the curve, remainders 1 to 3 are counted.
+    Where a class is cut, its fitting points weigh as much as all its labels, so that the curve is
+    that of the true shares of the classes.
     """
-    sample = chosen_labels(labels, per_class, id_col, label_col)
+    usable = learnable_labels(labels, id_col, label_col)
+    sample = chosen_labels(usable, per_class)
+    # Labels of each class for one that is chosen: the sample's shares of the classes are not the true ones.
+    stands_for = {0: 1.0, 1: 1.0} | {r["toxic"]: max(1.0, r["count"] / per_class) for r in usable.groupBy("toxic").count().collect()}
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # The sample's size is bounded, so its ids may be broadcast; its texts are read once.
     rows = stored(texts.join(F.broadcast(sample), "id").select("id", "toxic", "fold", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
@@ -141,7 +150,8 @@ def train(
     size["order"] = pd.util.hash_array(size["id"].to_numpy(), categorize=False) if len(size) else 0
     size = size.sort_values(["order", "id", "n"])
     size = size[size["n"].cumsum() <= max_words]
-    prior = (float((size["toxic"] == 1).sum()) + 0.5) / (len(size) + 1.0)
+    toxic, ordinary = (stands_for[c] * float((size["toxic"] == c).sum()) for c in (1, 0))
+    prior = (toxic + 0.5) / (toxic + ordinary + 1.0)
     unknown = Model(order, {}, {}, np.array([math.log(prior / (1 - prior)), 0.0, 0.0]), window)
     fitting, counting = size[size["fold"] == 4], size[size["fold"] != 4]
     if counting["toxic"].nunique() < 2:
@@ -152,7 +162,8 @@ def train(
     held = rows.filter(F.col("fold") == 4) if fitting["toxic"].nunique() == 2 else rows
     candidates = [build(grams, d, order, window) for d in discounts]
     points = fitting_points(held, candidates)
-    fits = [fit_curve(points[:, 0], points[:, 1 + 2 * i : 3 + 2 * i]) for i in range(len(candidates))]
+    weights = np.where(points[:, 0] == 1, stands_for[1], stands_for[0])
+    fits = [fit_curve(points[:, 0], points[:, 1 + 2 * i : 3 + 2 * i], weights) for i in range(len(candidates))]
     best = min(range(len(fits)), key=lambda i: fits[i][1])
     candidates[best].curve = fits[best][0]
     return candidates[best]
@@ -238,21 +249,23 @@ def fitting_points(rows: DataFrame, models: list[Model]) -> np.ndarray:
     return arrow_map(rows, run, f"toxic int, {columns}").toPandas().to_numpy(float)
 
 
-def fit_curve(y: np.ndarray, features: np.ndarray, ridge: float = 0.02, steps: int = 100) -> tuple[np.ndarray, float]:
-    """Logistic curve through the points by damped Newton steps, with its mean loss; the ridge is in units of the features' spread."""
-    spread = np.maximum(features.std(axis=0), 1e-6)
+def fit_curve(y: np.ndarray, features: np.ndarray, weights: np.ndarray | None = None, ridge: float = 0.02, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic curve through the weighted points by damped Newton steps, with its mean loss; the ridge is in units of the features' spread."""
+    weights = np.ones(len(y)) if weights is None else weights / weights.mean()
+    mean = (weights[:, None] * features).mean(axis=0)
+    spread = np.maximum(np.sqrt((weights[:, None] * (features - mean) ** 2).mean(axis=0)), 1e-6)
     x = np.column_stack([np.ones(len(y)), features / spread])
     keep = ridge * np.diag([0.0, 1.0, 1.0])
     w = np.zeros(3)
 
     def loss(w):
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - (y * z).sum()), 0.5 * float(w @ keep @ w)
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum()), 0.5 * float(w @ keep @ w)
 
     now = sum(loss(w))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep + 1e-6 * np.eye(3), x.T @ (p - y) + keep @ w)
+        step = np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + keep + 1e-6 * np.eye(3), x.T @ (weights * (p - y)) + keep @ w)
         size = 1.0
         while sum(loss(w - size * step)) > now and size > 1e-6:
             size /= 2

@@ -174,6 +174,27 @@ def test_the_curve_does_not_depend_on_the_scale_of_the_features():
     assert small * [1, 0.01, 0.01] == pytest.approx(large, rel=1e-3, abs=1e-4) and loss == pytest.approx(same, rel=1e-4)
 
 
+@pytest.mark.parametrize("per_class", [40, 10_000])
+def test_scores_follow_the_true_share_whatever_the_cap(spark, per_class):
+    # Labels that say nothing about the texts: the best score is the share of toxic labels, 10%.
+    random = np.random.default_rng(11)
+    plain = ["".join(random.choice(list("abcdefgh"), 4)) for _ in range(40)]
+    rows = [(i, " ".join(random.choice(plain, 200))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(random.random() < 0.1)) for i in range(1500)], "doc_id bigint, quality int, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, per_class=per_class)).filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    assert scored.agg(F.avg("score")).first()[0] == pytest.approx(0.1, abs=0.08)
+
+
+def test_weights_undo_the_cut_of_a_class():
+    random = np.random.default_rng(12)
+    y = (random.random(20_000) < 0.1).astype(float)
+    x = random.normal(0, 1, (20_000, 2)) + y[:, None]
+    cut = np.concatenate([np.flatnonzero(y == 1), np.flatnonzero(y == 0)[:2000]])
+    weights = np.where(y[cut] == 1, 1.0, (y == 0).sum() / 2000)
+    assert toxicity.fit_curve(y[cut], x[cut], weights)[0] == pytest.approx(toxicity.fit_curve(y, x)[0], abs=0.15)
+
+
 def test_toxicity_of_odd_rows(spark, odd_documents, no_documents):
     docs, labels = labelled(spark, 150)
     model = toxicity.train(docs, labels)
