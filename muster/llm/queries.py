@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from muster.llm import chat, fertility, neighbours, packing, pieces, scoring, simhash, token_cache, toxicity, url_rules
+from muster.llm import alignment, chat, fertility, lexical, neighbours, packing, pieces, scoring, simhash, token_cache, toxicity, url_rules, warc
 from muster.llm.batches import held_out, stored
 from muster.session import shared_folder
 
@@ -186,3 +186,64 @@ def op10_quality_rules(spark, sf_dir):
     measured = stored(fertility.measure(docs, path, keep=["doc_id", "lang"]), "quality")
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return fertility.judge(measured).select(*base, "n_tokens", "chars_per_token", "byte_share", "token_entropy")
+
+
+#: A term of the ranked search, and its capital letters.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sql_terms(column: str) -> str:
+    return f"unnest(regexp_extract_all(translate({column}, '{CAPITALS}', '{SMALL}'), '{TERM}'))"
+
+
+@query(
+    "op11_ranked_search",
+    f"""
+with occurrences as (select doc_id, {sql_terms("text")} as term from documents),
+tf as (select doc_id, term, count(*) as tf from occurrences group by doc_id, term),
+size as (select doc_id, count(*) as n from occurrences group by doc_id),
+total as (select count(*) as docs, cast(sum(n) as bigint) as terms from size),
+damp as (select doc_id, 100 - 90 + (90 * n * docs) // terms as m from size, total),
+asked as (select distinct item_id, {sql_terms("text")} as term from benchmark),
+weight as (
+  select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+  from tf, total where term in (select term from asked) group by term
+),
+scored as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from asked join weight using (term) join tf using (term) join damp using (doc_id) group by item_id, doc_id
+),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+  from scored where score > 0
+)
+select * from ranked where rank <= 10
+""",
+)
+def op11_ranked_search(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query(
+    "op12_warc",
+    """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+shared as (select payload, max(page_id) as keeper from p where strlen(payload) >= 1000 group by payload)
+select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest,
+  case when page_id < keeper then 'revisit' else 'response' end as record_type,
+  case when page_id < keeper then keeper end as refers_to
+from p left join shared using (payload)
+""",
+)
+def op12_warc(spark, sf_dir):
+    folder = shared_folder(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.page_facts(warc.read_pages(spark, folder)).drop("error")
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.linked_counts(table(spark, sf_dir, "documents"), *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
