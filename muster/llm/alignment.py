@@ -13,7 +13,10 @@ as one list in the same order.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -26,21 +29,32 @@ from muster.llm.batches import arrow_map, slices, stored
 
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
-#: Pairs that are expanded at a time.
-PAIRS = 4_000_000
+#: Bytes of text that are aligned together.
+BLOCK_BYTES = 1_500_000
+#: Pairs that are expanded at a time, and links of a group from which equal ids are counted first.
+PAIRS, LONG_GROUP = 4_000_000, 1024
+#: Different words that a task keeps the ids of.
+WORDS = 300_000
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes that stand for every id."""
+    """One tokenizer: ids of texts, and the bytes that stand for every id.
+
+    Where it is certain that the tokenizer cuts before single spaces and line feeds, each
+    different word is encoded once, checked against its bytes and kept in a table; the ids
+    of a text are then gathered from that table. All other texts go to the library whole.
+    """
 
     def __init__(self, path: str):
-        if path.endswith(".model"):
+        self.piece = path.endswith(".model")
+        if self.piece:
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
             self.bytes = [self._piece(i, p) for i, p in enumerate(pieces)]
-            self.ids = lambda texts: self.model.encode(texts, num_threads=1)
+            inside = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
+            self.by_words = not inside and self.model.normalize("a  ｂ") == f"{SPACE}a{SPACE}{SPACE}ｂ"
         else:
             from tokenizers import Tokenizer
 
@@ -51,14 +65,88 @@ class Side:
             letters = {c: b for b, c in units.byte_alphabet().items()}
             pieces = [self.model.id_to_token(i) for i in range(self.model.get_vocab_size())]
             self.bytes = [bytes(letters[c] for c in p) if p and all(c in letters for c in p) else (p or "").encode() for p in pieces]
-            # The space in front is part of the text for a byte-level file.
-            self.ids = lambda texts: [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            with open(path, encoding="utf-8") as f:
+                made = json.load(f)
+            cutter = made.get("pre_tokenizer") or {}
+            self.by_words = made.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        # What stands in front of an id in the text of the groups, by the sign.
+        self.said = [f"{sign}{i}" for sign in (",", ";", "|", "") for i in range(len(pieces))]
+        self.forget()
 
     def _piece(self, i: int, piece: str) -> bytes:
         byte = _BYTE.fullmatch(piece) if self.model.is_byte(i) else None
         return bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode()
 
+    def forget(self) -> None:
+        self.table, self.lens, self.good = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+
+    def _encode(self, keys: list) -> tuple[list[list[int]], list[bytes]]:
+        """Ids and bytes of words, and of whole texts given as tuples; a space stands before all but a line feed's word."""
+        bare = [type(k) is str and k[0] == "\n" for k in keys]
+        texts = [k if type(k) is str else k[0] for k in keys]
+        full = [t if b else " " + t for t, b in zip(texts, bare)]
+        raw = [t.encode("utf-8", "surrogatepass") for t in full]
+        if not self.piece:
+            return [e.ids for e in self.model.encode_batch_fast(full, add_special_tokens=False)], raw
+        # The model puts the space in front itself, as a piece of its own before a line feed.
+        return [ids[1:] if b else ids for ids, b in zip(self.model.encode(texts, num_threads=1), bare)], raw
+
+    def learn(self, keys: list) -> None:
+        """Append the ids of new words and texts to the tables, in their order."""
+        for start in range(0, len(keys), 10_000):
+            coded, raw = self._encode(keys[start : start + 10_000])
+            lens = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter(chain.from_iterable(coded), np.int32, lens.sum())
+            sizes = np.bincount(np.repeat(np.arange(len(coded)), lens), self.sizes[ids], len(coded))
+            good = sizes == np.fromiter(map(len, raw), np.int64, len(raw))
+            if not good.all() or b"".join(map(self.bytes.__getitem__, ids.tolist())) != b"".join(raw):
+                good = np.array([b"".join([self.bytes[t] for t in x]) == r for x, r in zip(coded, raw)], bool)
+            self.table.append(ids)
+            self.lens.append(lens)
+            self.good.append(good)
+        self.table, self.lens, self.good = ([np.concatenate(x)] for x in (self.table, self.lens, self.good))
+
+    def gather(self, numbers: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of ``n`` texts in a row, how many each has, and whether they give its bytes back."""
+        all_lens = self.lens[0]
+        lens = all_lens[numbers]
+        good = np.ones(n, bool)
+        good[text[~self.good[0][numbers]]] = False
+        shift = (np.cumsum(all_lens) - all_lens)[numbers] - (np.cumsum(lens) - lens)
+        ids = self.table[0][np.repeat(shift, lens) + np.arange(lens.sum())]
+        return ids, np.bincount(text, lens, n).astype(np.int64), good
+
+
+class Pair:
+    """Two sides with one numbering of the words that both of them cut alike."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.sides = (Side(path_a), Side(path_b))
+        self.by_words = all(side.by_words for side in self.sides)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: defaultdict = defaultdict()
+        # An unknown word gets the next number as it is looked up.
+        self.known.default_factory = self.known.__len__
+        for side in self.sides:
+            side.forget()
+
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``Side.gather`` of both sides."""
+        if len(self.known) > WORDS or len(self.sides[0].table[0]) > 10 * WORDS:
+            self._forget()
+        before, number = len(self.known), self.known.__getitem__
+        words = [t.replace("\n", " \n").split(" ") if self.by_words and units.plain_spaces(t) else [(t,)] for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.fromiter(map(number, chain.from_iterable(words)), np.int64, counts.sum())
+        new = list(islice(self.known, before, None))
+        text = np.repeat(np.arange(len(texts)), counts)
+        for side in self.sides:
+            side.learn(new)
+        return [side.gather(numbers, text, len(texts)) for side in self.sides]
+
 
 class Batch:
     """Tokens of a batch of texts under two tokenizers, on one line of bytes.
@@ -67,41 +155,36 @@ class Batch:
     give back has no tokens.
     """
 
-    def __init__(self, texts: list[str | None], sides: tuple[Side, Side]):
+    def __init__(self, texts: list[str | None], pair: Pair):
         some = [i for i, t in enumerate(texts) if t]
-        coded = [side.ids([texts[i] for i in some]) for side in sides]
-        own = [(" " + texts[i]).encode("utf-8", "surrogatepass") for i in some]
-        same = [
-            all(b"".join([side.bytes[t] for t in ids]) == raw for side, ids in zip(sides, pair))
-            for raw, *pair in zip(own, *coded)
-        ]
-        self.n = len(texts)
-        self.kept = np.array([i for i, ok in zip(some, same) if ok], np.int64)
-        sizes = np.array([len(raw) for raw, ok in zip(own, same) if ok], np.int64)
-        self.base = np.cumsum(sizes) - sizes
+        coded = pair.read([texts[i] for i in some])
+        same = coded[0][2] & coded[1][2]
+        self.n, self.said = len(texts), [side.said for side in pair.sides]
+        self.kept = np.array(some, np.int64)[same]
         self.ids, self.doc, self.starts, self.ends = [], [], [], []
-        for side, ids in zip(sides, coded):
-            ids = [x for x, ok in zip(ids, same) if ok]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((t for x in ids for t in x), np.int64, counts.sum())
-            ends = np.cumsum(side.sizes[flat])
-            self.ids.append(flat)
-            self.doc.append(np.repeat(np.arange(len(ids)), counts))
+        for side, (ids, counts, _) in zip(pair.sides, coded):
+            ids = ids[np.repeat(same, counts)].astype(np.int64)
+            sizes = side.sizes[ids]
+            ends = np.cumsum(sizes)
+            self.ids.append(ids)
+            self.doc.append(np.repeat(np.arange(len(self.kept)), counts[same]))
             self.ends.append(ends)
-            self.starts.append(ends - side.sizes[flat])
+            self.starts.append(ends - sizes)
+        # Both sides give back the same bytes, so either tells where a document begins.
+        self.base = self.starts[0][np.searchsorted(self.doc[0], np.arange(len(self.kept)))]
         # A group ends where tokens of both sides end.
         self.cuts = np.intersect1d(self.ends[0], self.ends[1], assume_unique=True)
         self.group = [np.searchsorted(self.cuts, e) for e in self.ends]
         self.cut_doc = np.searchsorted(self.base, self.cuts, side="left") - 1
 
     def overlaps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (a, b) of all tokens that share a byte, in order."""
-        frames = [pd.DataFrame({"doc": d, "at": s, side: np.arange(len(s))}) for d, s, side in zip(self.doc, self.starts, "ab")]
-        to_b = pd.merge_asof(frames[0], frames[1], on="at", by="doc")
-        to_a = pd.merge_asof(frames[1], frames[0], on="at", by="doc")
-        pairs = pd.concat([to_b[["a", "b"]], to_a[["a", "b"]]]).dropna().astype("int64").drop_duplicates()
-        pairs = pairs.sort_values(["a", "b"], kind="stable")
-        return pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        """Positions (a, b) of all tokens that share a byte: what covers each token's start, from both sides."""
+        frames = [pd.DataFrame({"doc": d, "at": s, side: np.arange(len(s)), f"{side}_at": s}) for d, s, side in zip(self.doc, self.starts, "ab")]
+        to_b = pd.merge_asof(frames[0][["doc", "at", "a"]], frames[1][["doc", "at", "b"]], on="at", by="doc")
+        to_a = pd.merge_asof(frames[1][["doc", "at", "b"]], frames[0], on="at", by="doc")
+        # Tokens that start together are found from both sides; they count once.
+        to_a = to_a[to_a["at"] != to_a["a_at"]]
+        return np.concatenate([to_b["a"], to_a["a"]]), np.concatenate([to_b["b"], to_a["b"]])
 
     def in_docs(self, values: np.ndarray) -> np.ndarray:
         """Counts per kept document, spread over all documents of the batch."""
@@ -110,9 +193,11 @@ class Batch:
         return out
 
     def per_doc(self, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        counts = np.zeros(len(self.kept), np.int64)
-        np.add.at(counts, doc, 1 if weights is None else weights)
-        return self.in_docs(counts)
+        if weights is None:
+            return self.in_docs(np.bincount(doc, minlength=len(self.kept)))
+        sums = np.zeros(len(self.kept), np.int64)
+        np.add.at(sums, doc, weights)
+        return self.in_docs(sums)
 
     def group_sizes(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.bincount(g, minlength=len(self.cuts)) for g in self.group)
@@ -120,37 +205,36 @@ class Batch:
     def group_texts(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of every document; empty without tokens."""
         na, nb = self.group_sizes()
-        # Tokens in order of group, side and place; the sign in front tells what begins.
-        order = np.argsort(np.concatenate([2 * self.group[0], 2 * self.group[1] + 1]), kind="stable")
-        first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+        first = [np.cumsum(na) - na, np.cumsum(nb) - nb]
         sign = [np.zeros(len(g), np.int64) for g in self.group]
-        sign[0][first_a], sign[1][first_b] = 1, 2
+        sign[0][first[0]], sign[1][first[1]] = 1, 2
         opening = np.ones(len(self.cuts), bool)
         opening[1:] = self.cut_doc[1:] != self.cut_doc[:-1]
-        sign[0][first_a[opening]] = 3
-        code = (np.concatenate(self.ids) * 4 + np.concatenate(sign))[order]
-        distinct, at = np.unique(code, return_inverse=True)
-        words = [",;|"[c & 3] + str(c >> 2) if c & 3 < 3 else str(c >> 2) for c in distinct.tolist()]
-        per = np.bincount(self.doc[0], minlength=len(self.kept)) + np.bincount(self.doc[1], minlength=len(self.kept))
-        said = list(map(words.__getitem__, at.tolist()))
-        out, start = [""] * self.n, 0
-        for i, n in zip(self.kept.tolist(), per.tolist()):
-            out[i] = "".join(said[start : start + n])
-            start += n
-        return out
+        sign[0][first[0][opening]] = 3
+        # Groups follow each other, each with its first side's tokens, then its second side's.
+        words = np.empty(len(self.ids[0]) + len(self.ids[1]), object)
+        for side, before in ((0, first[1][self.group[0]]), (1, (first[0] + na)[self.group[1]])):
+            said = self.said[side]
+            code = sign[side] * (len(said) // 4) + self.ids[side]
+            words[np.arange(len(code)) + before] = list(map(said.__getitem__, code.tolist()))
+        words = words.tolist()
+        per = self.in_docs(np.bincount(self.doc[0], minlength=len(self.kept)) + np.bincount(self.doc[1], minlength=len(self.kept)))
+        ends = np.cumsum(per)
+        return ["".join(words[start:end]) for start, end in zip((ends - per).tolist(), ends.tolist())]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(doc, key, times)`` of the distinct id pairs whose tokens share a group; key is ``a << 32 | b``.
 
-        Ids that a group holds several times count first, so a long group costs its distinct ids.
+        Ids that a long group holds several times count first, so it costs its distinct ids.
         """
-        (ga, ia, ca), (gb, ib, cb) = [self._distinct(g, i) for g, i in zip(self.group, self.ids)]
-        na, nb = np.bincount(ga, minlength=len(self.cuts)), np.bincount(gb, minlength=len(self.cuts))
-        start_b = np.cumsum(nb) - nb
-        per_a = nb[ga]
-        out = []
-        total = np.cumsum(per_a)
-        begin = 0
+        sides = [(g, i, np.ones(len(i), np.int64)) for g, i in zip(self.group, self.ids)]
+        na, nb = self.group_sizes()
+        if len(na) and (na * nb).max() > LONG_GROUP:
+            sides = [self._distinct(g, i) for g, i in zip(self.group, self.ids)]
+        (ga, ia, ca), (gb, ib, cb) = sides
+        nb = np.bincount(gb, minlength=len(self.cuts))
+        start_b, per_a = np.cumsum(nb) - nb, nb[ga]
+        total, begin, out = np.cumsum(per_a), 0, []
         while begin < len(ga):
             before = total[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
@@ -171,16 +255,19 @@ class Batch:
     @staticmethod
     def _summed(doc: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Equal pairs of a document added up; documents and keys ascending."""
-        if not len(doc):
-            return doc, key, times
-        order = np.lexsort((key, doc))
-        doc, key, times = doc[order], key[order], times[order]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-        return doc[first], key[first], np.add.reduceat(times, first)
+        keys = np.unique(key)
+        place = doc * len(keys) + np.searchsorted(keys, key)
+        if (times == 1).all():
+            place, times = np.unique(place, return_counts=True)
+        elif len(place):
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
+            place, times = place[order][first], np.add.reduceat(times[order], first)
+        return place // max(len(keys), 1), keys[place % max(len(keys), 1)], times
 
 
-def _sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    return units.worker(("align", path_a, path_b), lambda: (Side(path_a), Side(path_b)))
+def _pair(path_a: str, path_b: str) -> Pair:
+    return units.worker(("align", path_a, path_b), lambda: Pair(path_a, path_b))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,11 +295,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                tokens = Batch(part.column("text").to_pylist(), _sides(path_a, path_b))
+            for part in slices(batch, "text", BLOCK_BYTES):
+                tokens = Batch(part.column("text").to_pylist(), _pair(path_a, path_b))
                 counts = [tokens.per_doc(d) for d in tokens.doc]
                 ends = [e - tokens.base[d] for e, d in zip(tokens.ends, tokens.doc)]
                 a, b = tokens.overlaps()
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
                 first = [np.searchsorted(d, np.arange(len(tokens.kept))) for d in tokens.doc]
                 doc = tokens.doc[0][a]
                 n_overlaps = tokens.per_doc(doc)
@@ -239,10 +328,10 @@ def _blocks(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 if not part.num_rows:
                     continue
-                tokens = Batch(part.column("text").to_pylist(), _sides(path_a, path_b))
+                tokens = Batch(part.column("text").to_pylist(), _pair(path_a, path_b))
                 na, nb = tokens.group_sizes()
                 said = tokens.group_texts()
                 doc, key, times = tokens.pairs()

@@ -69,12 +69,12 @@ def with_columns(df: DataFrame, text: str, fn: Callable[[list[str | None]], list
     return df.select(*[F.col(f"`{c}`") for c in kept], *extra).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``GROUP_CHARS`` bytes of text; one long text is a piece of its own."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of text; one long text is a piece of its own."""
     sizes = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()] if batch.num_rows else []
     start = size = 0
     for i, n in enumerate(sizes):
-        if i > start and size + n > GROUP_CHARS:
+        if i > start and size + n > limit:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n
