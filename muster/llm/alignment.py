@@ -30,7 +30,7 @@ from muster.llm.batches import arrow_map, slices, stored
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 #: Bytes of text that are aligned together.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 800_000
 #: Pairs that are expanded at a time, and links of a group from which equal ids are counted first.
 PAIRS, LONG_GROUP = 4_000_000, 1024
 #: Different words that a task keeps the ids of.
