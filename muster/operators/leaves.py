@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from muster.functions.common import ColumnOrName, as_col, join_on, lookup_join
+from muster.functions.common import ColumnOrName, as_col, lookup_join
 
 EMPTY_OBJECT = "{}"
 
@@ -87,10 +87,6 @@ def scalar_text(value: ColumnOrName = "value") -> Column:
     return F.try_variant_get(F.try_parse_json(as_col(value)), "$", "string")
 
 
-def _starts_with(path: Column, prefix: list[str]) -> Column:
-    return F.slice(path, 1, len(prefix)) == F.array(*[F.lit(p) for p in prefix])
-
-
 def smart_lookup(leaves: DataFrame, keys: list[str], names: dict[str, str], roots: list[str], full_root: str, default: dict[str, str] | None = None) -> DataFrame:
     """Look names up in every document; one output column per name.
 
@@ -129,26 +125,8 @@ def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fall
     ``root.fallback``. A dotted name that leads to a section is one record; its leaves are
     returned with their values.
     """
-    parts = name.split(".")
-    places = [root.split(".") + parts, root.split(".") + [fallback] + parts]
-    rank = F.when(_starts_with(F.col("path"), places[0]), 0).when(_starts_with(F.col("path"), places[1]), 1)
-    hits = leaves.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
-    if keys:
-        first = hits.groupBy(*keys).agg(F.min("_rank").alias("_rank"))
-        chosen = lookup_join(hits, first, [*keys, "_rank"], "left_semi")
-    else:
-        chosen = hits.filter(F.col("_rank") == hits.agg(F.min("_rank")).scalar())
-    depth = F.when(F.col("_rank") == 0, len(places[0])).otherwise(len(places[1]))
-    below = F.slice("path", depth + 1, F.greatest(F.size("path") - depth, F.lit(0)))
-    rows = chosen.select(*keys, below.alias("_below"), "value")
-    if len(parts) > 1:
-        return rows.select(*keys, F.nullif(F.array_join("_below", "."), F.lit("")).alias("child"), scalar_text().alias("value"))
-    single = F.size("_below") == 0
-    return rows.select(
-        *keys,
-        F.get("_below", F.lit(0)).alias("child"),
-        F.when(single, scalar_text()).alias("value"),
-    ).filter(F.col("child").isNotNull() | (F.col("value").isNotNull())).distinct()
+    asked = leaves.sparkSession.createDataFrame([(name,)], "_asked string")
+    return list_children_of(leaves, keys, asked, "_asked", root, fallback).drop("_asked")
 
 
 def _proper_prefixes(path: Column) -> Column:
@@ -163,22 +141,26 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
     Per path the last layer wins, an explicit null included. A plain value of a later layer
     removes what earlier layers hold below it, and anything a later layer holds below an
     earlier plain value removes that value. All conditions are equalities on path prefixes.
+
+    Values cross one shuffle, which brings together what all layers say at and below a place.
+    Plain values with something below them come from the same places, without the values, and
+    meet the leaves by the prefixes of their paths; the answer has only the leaves under them.
+    No document is brought into one task.
     """
-    at = [*keys, "path"]
+    number = leaves.schema[layer].dataType
+    # One value for all keys, so that a null key equals another one and joins keep the partitioning.
+    doc = F.struct(*keys) if keys else F.struct(F.lit(0))
     # One row per leaf, and one for every place above it that only says something lies below.
-    own = F.struct("path", F.col(layer).alias("own"), "value", F.lit(None).cast(leaves.schema[layer].dataType).alias("below"))
+    own = F.struct("path", F.col(layer).alias("own"), "value", F.lit(None).cast(number).alias("below"))
     above = F.transform(
         _proper_prefixes(F.col("path")),
         lambda p: F.struct(
-            p.alias("path"),
-            F.lit(None).cast(leaves.schema[layer].dataType).alias("own"),
-            F.lit(None).cast("string").alias("value"),
-            F.col(layer).alias("below"),
+            p.alias("path"), F.lit(None).cast(number).alias("own"), F.lit(None).cast("string").alias("value"), F.col(layer).alias("below")
         ),
     )
-    places = leaves.select(*keys, F.explode(F.concat(F.array(own), above)).alias("p")).select(*keys, "p.*")
-    # The path comes out of the aggregate, so that no filter on it is tried on the added rows.
-    tree = places.groupBy(*keys, F.col("path").alias("_at")).agg(
+    places = leaves.select(doc.alias("_doc"), F.explode(F.concat(F.array(own), above)).alias("p")).select("_doc", "p.*")
+    # The path comes out of the aggregate too, so that no filter on it is tried on the added rows.
+    tree = places.groupBy("_doc", F.col("path").alias("_at")).agg(
         F.first(F.when(F.col("own").isNotNull(), F.col("path")), ignorenulls=True).alias("path"),
         F.max_by("value", "own").alias("value"),
         F.max("own").alias("_layer"),
@@ -188,25 +170,21 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
     last = tree.filter(F.col("_layer").isNotNull())
 
     # Plain values that have, or once had, something below them; there are few.
-    killers = tree.filter(F.col("_plain").isNotNull() & F.col("_below").isNotNull()).select(
-        *keys, F.col("path").alias("_above"), F.col("_plain").alias("_kill")
-    )
-    spread = last.select(*keys, "path", "_layer", F.explode(_proper_prefixes(F.col("path"))).alias("_above"))
-    killed = lookup_join(spread, killers, [*keys, "_above"], "inner").filter(F.col("_kill") > F.col("_layer"))
-    alive = join_on(last, killed.select(*at).distinct(), at, "left_anti")
-    replaced = (F.col("value") != EMPTY_OBJECT) & F.coalesce(F.col("_below") > F.col("_layer"), F.lit(False))
-    kept = alive.filter(~replaced).select(*at, "value", "_below")
-
-    # An empty object is a leaf only while nothing is left below it.
-    doubtful = (F.col("value") == EMPTY_OBJECT) & F.col("_below").isNotNull()
-    parents = (
-        kept.filter(F.size("path") > 0)
-        .select(*keys, F.explode(_proper_prefixes(F.col("path"))).alias("path"))
-        .distinct()
-    )
-    open_objects = kept.filter(doubtful).drop("_below")
-    still_empty = join_on(open_objects, parents, at, "left_anti")
-    return kept.filter(~doubtful).drop("_below").unionByName(still_empty)
+    killers = tree.filter(F.col("_plain").isNotNull() & F.col("_below").isNotNull())
+    killers = killers.select("_doc", F.col("_at").alias("_above"), F.col("_plain").alias("_kill"))
+    spread = leaves.select(doc.alias("_doc"), F.col("path").alias("_at"), F.explode(_proper_prefixes(F.col("path"))).alias("_above"))
+    under = lookup_join(spread, killers, ["_doc", "_above"], "inner").groupBy("_doc", "_at").agg(F.max("_kill").alias("_kill"))
+    under = under.withColumnsRenamed({"_doc": "_under_doc", "_at": "_under_at"})
+    told = last.join(under, (F.col("_doc") == F.col("_under_doc")) & (F.col("_at") == F.col("_under_at")), "left")
+
+    alive = F.coalesce(F.col("_kill") <= F.col("_layer"), F.lit(True))
+    replaced = F.coalesce(F.col("_below") > F.col("_layer"), F.lit(False))
+    # An empty object is a leaf only while nothing is left below it. The latest leaf below stays unless
+    # a later plain value at or above the object removes it; and if that one goes, all others do.
+    cleared = F.coalesce(F.col("_below") < F.greatest("_plain", "_kill"), F.lit(False))
+    stays = F.when(F.col("value") == EMPTY_OBJECT, F.col("_below").isNull() | cleared).otherwise(~replaced)
+    kept = told.filter(alive & stays)
+    return kept.select(*[F.col("_doc").getField(k).alias(k) for k in keys], "path", "value")
 
 
 def set_path(leaves: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,3 +203,114 @@ def leaves_to_record(leaves: DataFrame, keys: list[str], depth: int, fields: lis
     row = own.groupBy(*keys).agg(*[F.max(F.when(field == f, scalar_text())).alias("_f_" + f) for f in fields])
     pairs = F.array(*[F.struct(F.lit(f).alias("key"), F.col("_f_" + f).alias("value")) for f in fields])
     return row.select(*keys, F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull())).alias("record"))
+
+
+def _quoted(key: Column) -> Column:
+    """A key as JSON text."""
+    text = F.to_json(F.array(key))
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def rebuild_documents(leaves: DataFrame, keys: list[str], depth: int = 0, out: str = "text") -> DataFrame:
+    """Whole documents back from their leaves, as JSON text in ``out``; the opposite of ``flatten_leaves``.
+
+    Names are sorted. Explicit nulls, empty objects and arrays come back as they were. A single
+    leaf at the root is the whole document. With ``depth`` every place at that depth is a row of
+    its own, named by ``path``: for registries that are too large for one text.
+
+    The leaves of a document are sorted by path, so that what belongs together stands together,
+    and each one writes only what differs from the leaf before it: the objects that end, those
+    that begin, its name and value. One shuffle, whatever the depth. A place with a value and
+    something below it, or with two values, is no document and fails; merge layers first.
+    """
+    rows = leaves.select(*keys, "path", F.coalesce("value", F.lit("null")).alias("value"))
+    by = list(keys)
+    if depth:
+        rows = rows.select(
+            *keys, F.slice("path", 1, depth).alias("_place"), F.slice("path", depth + 1, F.greatest(F.size("path") - depth, F.lit(0))).alias("path"), "value"
+        )
+        by.append("_place")
+    w = W.partitionBy(*by).orderBy("path")
+    rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag("path").over(w))
+    size, before = F.size("path"), F.col("_before")
+    shorter = F.least(F.size(before), size)
+    same = F.filter(F.sequence(F.lit(1), shorter), lambda i: F.slice(before, F.lit(1), i) == F.slice(F.col("path"), F.lit(1), i))
+    shared = F.when(before.isNotNull() & (shorter > 0), F.size(same)).otherwise(0)
+    rows = rows.withColumn("_shared", shared)
+    ended = F.when(before.isNull(), F.lit("")).otherwise(F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - F.col("_shared")), F.lit(",")))
+    begun = F.transform(F.slice("path", F.col("_shared") + 1, size - 1 - F.col("_shared")), lambda k: F.concat(_quoted(k), F.lit(":{")))
+    named = F.concat(ended, F.array_join(begun, ""), _quoted(F.element_at("path", -1)), F.lit(":"), F.col("value"))
+    clash = F.raise_error(F.concat(F.lit("a value and a setting below it, or two values, at "), F.array_join(before, "."))).cast("string")
+    piece = F.when(before.isNotNull() & (F.col("_shared") == F.size(before)), clash).when(size == 0, F.col("value")).otherwise(named)
+    rows = rows.select(*by, F.struct("_n", piece.alias("_text")).alias("_piece"), size.alias("_size"))
+    done = rows.groupBy(*by).agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"), F.max_by("_size", F.col("_piece._n")).alias("_open"))
+    text = F.array_join(F.col("_pieces._text"), "")
+    whole = F.when(F.col("_open") == 0, text).otherwise(F.concat(F.lit("{"), text, F.repeat(F.lit("}"), F.col("_open"))))
+    return done.select(*keys, *([F.col("_place").alias("path")] if depth else []), whole.alias(out))
+
+
+def _asked_places(asked: DataFrame, name: str, roots: list[list[str]], full_root: str | None, anywhere: bool) -> DataFrame:
+    """``_name, _rank, _place, _parts, _last`` of asked names: where each may be found, best place first."""
+    parts = F.split(name, r"\.")
+
+    def place(rank, path):
+        return F.struct(F.lit(rank).alias("_rank"), path.alias("_place"))
+
+    tried = [place(i, F.concat(_texts(root), parts)) for i, root in enumerate(roots)]
+    if anywhere:
+        tried.append(place(len(roots), F.lit(None).cast("array<string>")))
+    places = F.array(*tried)
+    if full_root is not None:
+        places = F.when(parts[0] == full_root, F.array(place(0, parts))).otherwise(places)
+    names = asked.select(F.col(name)).filter(F.col(name).isNotNull()).distinct()
+    return names.select(F.col(name).alias("_name"), F.explode(places).alias("p"), parts.alias("_parts"), F.element_at(parts, -1).alias("_last")).select("_name", "p.*", "_parts", "_last")
+
+
+def _leaves_below(leaves: DataFrame, keys: list[str], places: DataFrame) -> DataFrame:
+    """``keys, _name, path, value`` of all leaves at or below the best place of each name; ``path`` starts there.
+
+    Every leaf meets the names by the last part of each of its prefixes: an equi-join with the
+    table of names, which reads the leaves in the same way for any number of names.
+    """
+    steps = F.when(F.size("path") > 0, F.sequence(F.lit(1), F.size("path")))
+    ends = leaves.select(*keys, "path", "value", F.explode(steps).alias("_n")).withColumn("_last", F.get("path", F.col("_n") - 1))
+    met = ends.join(places.withColumnRenamed("_last", "_asked_last"), F.col("_last") == F.col("_asked_last"))
+    here = F.slice("path", F.lit(1), F.col("_n"))
+    fits = F.when(F.col("_place").isNotNull(), here == F.col("_place")).otherwise(
+        (F.col("_n") >= F.size("_parts")) & (F.slice("path", F.greatest(F.col("_n") - F.size("_parts") + 1, F.lit(1)), F.size("_parts")) == F.col("_parts"))
+    )
+    hits = met.filter(fits).select(*keys, "_name", F.struct("_rank", "_n", here.alias("_here")).alias("_at"), "path", "value")
+    best = hits.groupBy(*keys, "_name").agg(F.min("_at").alias("_at"))
+    chosen = lookup_join(hits, best, [*keys, "_name", "_at"], "left_semi")
+    n = F.col("_at._n")
+    return chosen.select(*keys, "_name", F.slice("path", n + 1, F.size("path") - n).alias("path"), "value")
+
+
+def lookup_settings(leaves: DataFrame, keys: list[str], asked: DataFrame, name: str, roots: list[str], full_root: str) -> DataFrame:
+    """``keys, name, value, is_section`` of every asked name that a document has, settings and sections alike.
+
+    ``asked`` is a table of dotted names. As in ``smart_lookup``, a name that starts with
+    ``full_root`` is a full path; any other is tried below each of ``roots`` in order and then anywhere
+    by its last parts, the shallowest and then the smallest path first. A section comes as JSON text
+    with sorted names, a setting without JSON quoting; a JSON null is a null value.
+    """
+    places = _asked_places(asked, name, [r.split(".") for r in roots], full_root, anywhere=True)
+    found = _leaves_below(leaves, keys, places)
+    texts = rebuild_documents(found, [*keys, "_name"], out="_text")
+    section = F.startswith(F.col("_text"), F.lit("{"))
+    value = F.when(section, F.col("_text")).otherwise(scalar_text("_text"))
+    return texts.select(*keys, F.col("_name").alias(name), value.alias("value"), section.alias("is_section"))
+
+
+def list_children_of(leaves: DataFrame, keys: list[str], asked: DataFrame, name: str, root: str, fallback: str) -> DataFrame:
+    """``list_children`` for a table of names: ``keys, name, child, value`` for all of them in one pass."""
+    base = root.split(".")
+    places = _asked_places(asked, name, [base, [*base, fallback]], None, anywhere=False)
+    rows = _leaves_below(leaves, keys, places).withColumnRenamed("_name", name)
+    dotted = F.col(name).contains(".")
+    below = F.nullif(F.array_join("path", "."), F.lit(""))
+    at_leaf = F.size("path") == 0
+    whole = rows.filter(dotted).select(*keys, name, below.alias("child"), scalar_text().alias("value"))
+    names = rows.filter(~dotted).select(*keys, name, F.get("path", F.lit(0)).alias("child"), F.when(at_leaf, scalar_text()).alias("value"))
+    names = names.filter(F.col("child").isNotNull() | F.col("value").isNotNull()).distinct()
+    return whole.unionByName(names)

@@ -167,6 +167,30 @@ def j4(spark, sf_dir):
     return merged.select("c_custkey", leaves.leaf_name().alias("name"), "value")
 
 
+# Objects of the same parent become one text, from the deepest level up.
+SQL_FOLDED_DOCS = """
+deep as (select c_custkey, path, value from left_over a where not (value = '{}' and exists (
+  select 1 from left_over b where b.c_custkey = a.c_custkey and len(b.path) > len(a.path) and list_slice(b.path, 1, len(a.path)) = a.path))),
+two as (
+  select c_custkey, path, value from deep where len(path) < 3
+  union all select c_custkey, list_slice(path, 1, 2), '{' || string_agg('"' || path[3] || '":' || value, ',' order by path[3]) || '}'
+  from deep where len(path) = 3 group by c_custkey, list_slice(path, 1, 2)
+),
+one as (
+  select c_custkey, path, value from two where len(path) < 2
+  union all select c_custkey, list_slice(path, 1, 1), '{' || string_agg('"' || path[2] || '":' || value, ',' order by path[2]) || '}'
+  from two where len(path) = 2 group by c_custkey, list_slice(path, 1, 1)
+),
+folded as (select c_custkey, '{' || string_agg('"' || path[1] || '":' || value, ',' order by path[1]) || '}' as text from one group by c_custkey)
+"""
+
+
+@query("j4_merged_documents", f"with {SQL_LAYERS}, {SQL_FOLDED_DOCS} select * from folded")
+def j4_documents(spark, sf_dir):
+    """All layers of a customer, merged and written as one document."""
+    return leaves.rebuild_documents(leaves.merge_layers(layer_leaves(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
+
+
 @query(
     "j5_keep_live",
     f"with {shapes.SQL_STATE} select key, pid from state where pid in (select user_id from events where event_type = 'click')",

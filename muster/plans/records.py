@@ -76,6 +76,27 @@ def p2(spark, sf_dir):
     return found
 
 
+@query(
+    "p2_lookup_settings",
+    """
+    with asked as (
+      select c_custkey, unnest(['main', 'main.port', 'limits', 'fleet.ai.default', 'web', 'user', 'tags']) as name,
+        unnest(['{"host":"nation' || c_nationkey || '","note.txt":"' || c_mktsegment || '","port":' || (8000 + c_nationkey) || '}',
+          cast(8000 + c_nationkey as varchar), '{}', '{"server":"main"}', '{"port":3000}',
+          case when c_acctbal >= 0 then c_name end, '["' || c_mktsegment || '"]']) as value,
+        unnest([true, false, true, true, true, false, false]) as is_section
+      from customer
+    )
+    select * from asked where value is not null
+    """,
+)
+def p2_settings(spark, sf_dir):
+    """Settings and whole sections, for a table of names."""
+    names = ["main", "main.port", "limits", "fleet.ai.default", "web", "user", "tags", "fleet.ai.nothing", "no.such"]
+    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    return leaves.lookup_settings(_service_leaves(spark, sf_dir), ["c_custkey"], asked, "name", ["fleet.ai.server", "fleet.ai"], "fleet")
+
+
 @query(
     "f17_flatten_leaves",
     """
@@ -107,9 +128,9 @@ def f17_events(spark, sf_dir):
     select distinct 'server' as asked, n_name as child, cast(null as varchar) as value
     from customer join nation on n_nationkey = c_nationkey
     union all
-    select distinct 'NATION_3', c_name, cast(null as varchar) from customer where c_nationkey = 3
+    select distinct n_name, c_name, cast(null as varchar) from customer join nation on n_nationkey = c_nationkey
     union all
-    select 'server.NATION_4', c_name || '.port', cast(8000 + c_custkey as varchar) from customer where c_nationkey = 4
+    select 'server.' || n_name, c_name || '.port', cast(8000 + c_custkey as varchar) from customer join nation on n_nationkey = c_nationkey
     union all
     select distinct 'version', cast(null as varchar), '2' from customer
     """,
@@ -122,11 +143,8 @@ def p9(spark, sf_dir):
     )
     version = c.select(F.array(F.lit("fleet"), F.lit("ai"), F.lit("version")).alias("path"), F.lit("2").alias("value"))
     tree = rows.unionByName(version.distinct())
-    out = None
-    for name in ("server", "NATION_3", "server.NATION_4", "version"):
-        part = leaves.list_children(tree, [], name, "fleet.ai", "server").select(F.lit(name).alias("asked"), "child", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = n.select(F.explode(F.array(F.lit("server"), F.lit("version"), "n_name", F.concat(F.lit("server."), "n_name"))).alias("asked"))
+    return leaves.list_children_of(tree, [], asked, "asked", "fleet.ai", "server")
 
 
 # -- projections, filters, validation ---------------------------------------------------

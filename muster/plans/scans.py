@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muster.functions.text import first_listed_node
-from muster.operators.leaves import flatten_leaves, leaf_name, scalar_text
+from muster.operators.leaves import flatten_leaves, leaf_name, parse_doc, scalar_text, set_path
 from muster.plans import shapes
 from muster.plans.registry import query, table
 from muster.plans.shapes import sql_strip
@@ -198,6 +198,27 @@ def s7(spark, sf_dir):
     return spark.read.schema(c.schema).json(folder)
 
 
+@query(
+    "s7_write_documents",
+    """
+    select c_custkey, '{"fleet":{"ai":{"client":{"web":{"port":3000}},"default":{"server":"' || case when c_acctbal >= 0 then c_name else 'main' end
+      || '"},"limits":{},"server":{"main":{"host":"nation' || c_nationkey || '","note.txt":"' || c_mktsegment || '","port":' || (8000 + c_nationkey)
+      || '}},"tags":["' || c_mktsegment || '"]}}' || case when c_acctbal >= 0 then ',"user":"' || c_name || '"' else '' end || '}' as text
+    from customer
+    """,
+)
+def s7_documents(spark, sf_dir):
+    """Documents flattened, changed, stored whole and read back."""
+    tree = flatten_leaves(shapes.service_docs(spark, sf_dir).select("c_custkey", parse_doc("text").alias("doc")))
+    c = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+    at = F.array(*[F.lit(p) for p in ("fleet", "ai", "default", "server")])
+    changes = c.select("c_custkey", at.alias("path"), F.concat(F.lit('"'), "c_name", F.lit('"')).alias("value"))
+    folder = shared_folder(spark, "documents")
+    layers.write_documents(set_path(tree, changes, ["c_custkey"]), ["c_custkey"], folder)
+    read = layers.valid_documents(layers.read_documents(spark, folder, "c_custkey bigint"))
+    return read.select("c_custkey", F.to_json("doc").alias("text"))
+
+
 @query(
     "s8_state_table",
     """

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from muster.operators.leaves import parse_doc
+from muster.operators.leaves import parse_doc, rebuild_documents
 
 try:
     import yaml
@@ -129,3 +129,21 @@ def _read_files(spark: SparkSession, path: str, optional: bool) -> DataFrame | N
 def write_config(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Overwrite the stored configuration."""
     df.write.mode("overwrite").format(fmt).save(path)
+
+
+def write_documents(leaves: DataFrame, keys: list[str], path: str) -> None:
+    """Overwrite ``path`` with the whole documents of merged leaves: one JSON line per document, with its keys.
+
+    Without keys the folder holds one JSON document, which ``read_config_layers`` reads like any other file.
+    """
+    docs = rebuild_documents(leaves, keys)
+    if keys:
+        docs = docs.select(F.to_json(F.struct(*keys, "text"), {"ignoreNullFields": "false"}).alias("value"))
+    docs.write.mode("overwrite").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """``keys, doc, error`` of stored documents; ``keys`` are their names and types, as in ``"id bigint, name string"``."""
+    given = T.StructType.fromDDL(keys)
+    lines = spark.read.text(path).select(F.from_json("value", T.StructType([*given, T.StructField("text", T.StringType())])).alias("d"))
+    return parse_documents(lines.select("d.*"), "text")

@@ -159,3 +159,111 @@ def test_depth_comes_from_the_documents(spark):
     assert [r[0] for r in df.orderBy("id").select(leaves.nesting_depth(doc)).collect()] == [30, 3, 1, 0, None, None]
     got = leaves.flatten_leaves(df.select("id", doc.alias("doc"))).collect()
     assert sorted((r["id"], len(r["path"])) for r in got) == [(1, 30), (2, 1), (3, 0), (4, 0)]
+
+
+def rebuilt(leaf_rows_df, keys=("id",), **options):
+    return {r["id"]: r["text"] for r in leaves.rebuild_documents(leaf_rows_df, list(keys), **options).collect()}
+
+
+def test_documents_come_back_from_their_leaves(spark):
+    rng = random.Random(11)
+    docs = [random_doc(rng, 5) for _ in range(150)]
+    docs += [{}, {"a": {}}, {"a": None}, {"a": []}, {"a b": {'q"\\\n': "ü "}}, {"a": {"b": {"c": 1}, "b.c": 2}, "a.b": {"c": 3}}, {"": {"": 0}}, 5, None, "text", [1]]
+    got = rebuilt(flat(spark, *[json.dumps(d) for d in docs]))
+    assert {i: json.loads(t) for i, t in got.items()} == dict(enumerate(docs))
+    for text in got.values():
+        assert text == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False) or "\\u" in text or " " in text
+
+
+def test_deep_and_wide_documents_come_back(spark):
+    deep = current = {}
+    for i in range(40):
+        current["d"] = {}
+        current["x"] = i
+        current = current["d"]
+    wide = {f"k{i:05}": {"a": i, "b": {"c": None}} for i in range(5000)}
+    got = rebuilt(flat(spark, deep, wide))
+    assert json.loads(got[0]) == deep and json.loads(got[1]) == wide
+
+
+def test_sections_of_a_depth_come_back(spark):
+    doc = {"s": {"a": {"port": 1, "x": {"y": 2}}, "b": {"port": 3}, "plain": 4}, "top": 5, "empty": {}}
+    rows = leaves.rebuild_documents(flat(spark, doc), ["id"], depth=2).collect()
+    got = {tuple(r["path"]): json.loads(r["text"]) for r in rows}
+    assert got == {("s", "a"): doc["s"]["a"], ("s", "b"): doc["s"]["b"], ("s", "plain"): 4, ("top",): 5, ("empty",): {}}
+
+
+def test_merged_layers_come_back_as_documents(spark):
+    rng = random.Random(23)
+    cases = [[d for d in (random_doc(rng, 4) for _ in range(3)) if isinstance(d, dict)] or [{}] for _ in range(100)]
+    given, want = [], {}
+    for i, docs in enumerate(cases):
+        given += [(i, *row) for row in leaf_rows(spark, docs)]
+        merged = docs[0]
+        for d in docs[1:]:
+            merged = plain_merge(merged, d)
+        want[i] = merged
+    df = spark.createDataFrame(given, "id int, layer int, path array<string>, value string")
+    got = rebuilt(leaves.merge_layers(df, ["id"]))
+    assert {i: json.loads(t) for i, t in got.items()} == want
+
+
+def test_rebuild_edge_rows(spark):
+    schema = "id int, path array<string>, value string"
+    df = spark.createDataFrame([(None, ["a"], "1"), (None, ["b"], None), (2, ["a", "b"], "{}")], schema)
+    assert rebuilt(df) == {None: '{"a":1,"b":null}', 2: '{"a":{"b":{}}}'}
+    assert rebuilt(df.limit(0)) == {}
+    assert leaves.rebuild_documents(df.drop("id").filter("value = '1'"), []).first()["text"] == '{"a":1}'
+    for bad in ([(1, ["a"], "1"), (1, ["a", "b"], "2")], [(1, ["a"], "1"), (1, ["a"], "2")], [(1, [], "{}"), (1, ["a"], "2")]):
+        with pytest.raises(Exception, match="a value and a setting below it"):
+            rebuilt(spark.createDataFrame(bad, schema))
+
+
+def test_a_rebuild_is_one_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 9).alias("id"), F.array(F.col("id").cast("string"), F.lit("x")).alias("path"), F.lit("1").alias("value"))
+    assert leaves.rebuild_documents(df, ["id"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def settings_of(spark, doc_rows, names):
+    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    found = leaves.lookup_settings(doc_rows, ["id"], asked, "name", ["fleet.ai.server", "fleet.ai"], "fleet")
+    return {(r["id"], r["name"]): (r["value"], r["is_section"]) for r in found.collect()}
+
+
+def test_lookups_that_lead_to_sections(spark):
+    doc = {"fleet": {"ai": {"server": {"x": {"port": 1, "s": "t"}}, "x": {"port": 2}, "deep": {"er": {"only": {"z": 5}}}, "none": None}}, "only": {"a": 6}, "er": 1}
+    other = {"fleet": {"ai": {"x": {"port": 3}}}, "q": {"x": {"port": 4}}}
+    names = ["x", "x.port", "fleet.ai.x", "fleet.ai", "only", "er.only", "x.s", "nothing", "fleet.x", "none", "x", None]
+    got = settings_of(spark, flat(spark, doc, other), names)
+    assert {k: v for k, v in got.items() if k[0] == 0} == {
+        (0, "x"): ('{"port":1,"s":"t"}', True),
+        (0, "x.port"): ("1", False),
+        (0, "fleet.ai.x"): ('{"port":2}', True),
+        (0, "fleet.ai"): (json.dumps(doc["fleet"]["ai"], sort_keys=True, separators=(",", ":")), True),
+        (0, "only"): ('{"a":6}', True),
+        (0, "er.only"): ('{"z":5}', True),
+        (0, "x.s"): ("t", False),
+        (0, "none"): (None, False),
+    }
+    assert {k: v[0] for k, v in got.items() if k[0] == 1} == {(1, "x"): '{"port":3}', (1, "x.port"): "3", (1, "fleet.ai.x"): '{"port":3}', (1, "fleet.ai"): '{"x":{"port":3}}'}
+
+
+def test_empty_sections_and_odd_names(spark):
+    doc = {"fleet": {"ai": {"e": {}, "l": [1], "t": "{not a section"}}, "a|b": {"c+": 1}}
+    got = settings_of(spark, flat(spark, doc), ["e", "l", "t", "a|b", "a|b.c+"])
+    assert got == {(0, "e"): ("{}", True), (0, "l"): ("[1]", False), (0, "t"): ("{not a section", False), (0, "a|b"): ('{"c+":1}', True), (0, "a|b.c+"): ("1", False)}
+
+
+def test_many_asked_names_read_the_leaves_as_often_as_one(spark):
+    doc = {"fleet": {"ai": {"server": {"b": {"port": 1}, "a": {"port": 2}}, "version": 3, "client": {"c": {"host": "h"}}}}}
+    tree = flat(spark, doc)
+
+    def children(names):
+        asked = spark.createDataFrame([(n,) for n in names], "asked string")
+        return leaves.list_children_of(tree, ["id"], asked, "asked", "fleet.ai", "server")
+
+    names = ["server", "a", "server.a", "version", "nothing", "client.c"]
+    got = sorted((r["asked"], r["child"], r["value"]) for r in children(names).select("asked", F.coalesce("child", F.lit("")).alias("child"), F.coalesce("value", F.lit("")).alias("value")).collect())
+    assert got == [("a", "port", ""), ("client.c", "host", "h"), ("server", "a", ""), ("server", "b", ""), ("server.a", "port", "2"), ("version", "", "3")]
+    scans = [children(n)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for n in (names[:1], names)]
+    assert scans[0] == scans[1]

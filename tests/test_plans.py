@@ -60,3 +60,10 @@ def test_one_shuffle_for_first_match(spark):
 def test_queries_have_names_of_their_own():
     for name in catalog.QUERIES:
         assert name != "pipeline" and not name.startswith("op")
+
+
+def test_values_cross_one_shuffle_in_a_merge(spark):
+    plan = plan_of(leaves.merge_layers(layer_leaves(spark, SF), ["c_custkey"]))
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) <= 5
+    assert plan.count("partial_max_by(value") == 1
