@@ -6,7 +6,11 @@ import threading
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from muster import fixed_values as fv
+from muster.functions.payloads import conversation_payload
+from muster.operators.ordered import running_total
 
 Scorer = Callable[[list[str]], list[str]]
 
@@ -83,3 +87,36 @@ def batch_prompt(df: DataFrame, prompt: str, scorer: Scorer = echo_scorer, batch
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *added], names=[*keep, "content", "error"])
 
     return df.mapInArrow(score, schema)
+
+
+def conversation_requests(turns: DataFrame, keys: list[str], turn: str, role: str, content: str, max_chars: int = 32_000, model: str = fv.DEFAULT_MODEL, temperature: float = fv.DEFAULT_TEMPERATURE, turns_per_bucket: int = 50_000) -> DataFrame:
+    """``keys, part, first_turn, last_turn, n_turns, request``: chat requests with the turns of a conversation in order.
+
+    A conversation is cut by its running length: a request holds the turns that begin within
+    the same ``max_chars`` characters, so it is longer than that by at most its last turn, and the
+    next one continues it. A turn counts as its text and one character more. ``part`` ascends
+    from 0; a turn longer than ``max_chars`` leaves a gap behind it. Turns of the same number go by
+    role and text; a null number comes first and a null role or text is an empty one. No turn is left out.
+
+    ``turn`` is a whole number. Lengths are added up in buckets of ``turns_per_bucket`` numbers, so a
+    conversation of any length is worked on by many tasks.
+    """
+    rows = turns.select(
+        *keys,
+        F.col(turn).alias("_turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content"),
+    )
+    bucket = F.coalesce(F.floor(F.col("_turn") / turns_per_bucket), F.lit(-(1 << 62)))
+    placed = running_total(rows, keys, bucket, ["_turn", "role", "content"], F.length("content").cast("bigint") + 1, "_before")
+    placed = placed.select(*keys, F.floor(F.col("_before") / max_chars).alias("part"), F.struct("_turn", "role", "content").alias("_said"))
+    held = placed.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_said")).alias("_said"))
+    messages = F.transform("_said", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return held.select(
+        *keys,
+        "part",
+        F.get("_said._turn", F.lit(0)).alias("first_turn"),
+        F.element_at("_said._turn", -1).alias("last_turn"),
+        F.size("_said").alias("n_turns"),
+        conversation_payload(messages, model, temperature).alias("request"),
+    )

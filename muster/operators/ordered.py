@@ -11,31 +11,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.common import as_col, join_on
+from muster.functions.common import as_col, join_on, lookup_join
 from muster.session import checkpointed
 
 
 _CUT_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+#: Parts that a key is cut into where Spark doesn't cut it before the shuffle.
+SALTS = 64
+#: Buckets of a key that one task looks at together.
+BUCKETS_TOGETHER = 1000
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, out: str = "n") -> DataFrame:
-    """First ``n`` rows of every key with their position, counted from 1.
+    """First ``n`` rows of every key with their position, counted from 1, for any ``n``.
 
-    Spark cuts each key to ``n`` rows before the shuffle only up to a limit of its own; a larger
-    ``n`` goes by stored ranges, so a large key is never sorted in one task either way.
+    Up to a limit of its own Spark cuts each key to ``n`` rows before the shuffle. For a larger
+    ``n`` each key is dealt into ``SALTS`` parts by a hash of its order, and cut to ``n`` rows in
+    every part first: what meets in one task is ``SALTS`` times ``n`` rows, however large the key.
     """
     if n > int(df.sparkSession.conf.get(_CUT_LIMIT, "1000")):
-        return number_rows(df, keys, order, out).filter(F.col(out) <= n)
+        salt = F.pmod(F.xxhash64(*_order_values(df, order)), F.lit(SALTS))
+        part = W.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_in_part", F.row_number().over(part))
+        df = df.filter(F.col("_in_part") <= n).drop("_salt", "_in_part")
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
 
 
+def _order_values(df: DataFrame, order: list) -> list:
+    """The columns of an order that can be hashed; with none, all that can."""
+    named = [c for c in order if isinstance(c, str)]
+    return named or [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind] or [F.lit(0)]
+
+
 def tail_per_key(df: DataFrame, keys: list[str], order: list[str], n: int = fv.TAIL_LINES) -> DataFrame:
     """Last ``n`` rows of every key."""
     down = [as_col(c).desc() for c in order]
     return first_rows(df, keys, down, n, "_from_end").drop("_from_end")
 
 
+def tail_of_logs(services: DataFrame, lines: DataFrame, keys: list[str], log_file: str, order: list[str], line: str, n: int = fv.TAIL_LINES) -> DataFrame:
+    """Last ``n`` log lines of every service, and a row that says so for one without a log file.
+
+    ``services`` has ``keys`` and ``log_file``, ``lines`` has ``log_file``, ``order`` and ``line``.
+    Several services may name the same file, whose lines are cut before they meet the services.
+    A service whose file has no lines gives no row, as an empty file does.
+    """
+    named = F.nullif(F.col(log_file), F.lit("")).isNotNull()
+    none = services.filter(~named).select(*keys, *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order], F.lit(fv.NO_LOG_FILE).alias(line))
+    asked = services.filter(named).select(*keys, log_file)
+    wanted = lookup_join(lines.select(log_file, *order, line), asked.select(log_file).distinct(), [log_file], "left_semi")
+    tails = tail_per_key(wanted, [log_file], order, n)
+    return asked.join(tails, log_file).select(*keys, *order, line).unionByName(none)
+
+
 def first_match(df: DataFrame, keys: list[str], order, where=None) -> DataFrame:
     """First qualifying record in the stored order, by a sort-free aggregate."""
     if where is not None:
@@ -46,9 +75,22 @@ def first_match(df: DataFrame, keys: list[str], order, where=None) -> DataFrame:
     return out.filter(F.col("_best").isNotNull()).select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
 
 
-def _carry_over_buckets(per_bucket: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    return per_bucket.select(*keys, "_bucket", value.over(before).alias(out))
+def _carry_over_buckets(per_bucket: DataFrame, keys: list[str], held: str, out: str, total: bool = False) -> DataFrame:
+    """``keys, _bucket, out``: the last ``held`` of earlier buckets, or with ``total`` their sum.
+
+    A scan in two levels: ``BUCKETS_TOGETHER`` buckets make a block, each block is scanned
+    by itself, and one row per block is scanned across the key.
+    """
+    blocks = per_bucket.withColumn("_block", F.floor(F.col("_bucket") / BUCKETS_TOGETHER))
+    value = F.sum(held) if total else F.last(held, ignorenulls=True)
+    joined = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if total else F.coalesce
+    whole = F.sum(held) if total else F.max_by(held, F.when(F.col(held).isNotNull(), F.col("_bucket")))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, "_block").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    per_block = blocks.groupBy(*keys, "_block").agg(whole.alias(held)).select(*keys, "_block", value.over(before).alias("_blocks"))
+    scanned = blocks.select(*keys, "_block", "_bucket", value.over(inside).alias("_inside"))
+    carried = join_on(scanned, per_block, [*keys, "_block"], "left")
+    return carried.select(*keys, "_bucket", joined(F.col("_inside"), F.col("_blocks")).alias(out))
 
 
 def _attach(rows: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +106,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "n"
     """
     ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = _carry_over_buckets(sizes, keys, F.sum("_size"), "_earlier")
+    earlier = _carry_over_buckets(sizes, keys, "_size", "_earlier", total=True)
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
         _attach(ranged, earlier, keys)
@@ -81,13 +123,14 @@ def sample_every(df: DataFrame, keys: list[str], order: list[str], k: int = fv.S
 def fill_forward(df: DataFrame, keys: list[str], bucket: Column, order: str, value: Column, out: str) -> DataFrame:
     """Last non-null ``value`` at or before each row of its key.
 
-    ``order`` tells the rows of a key apart, and ``bucket`` must not decrease along it. Rows
-    are sorted inside a bucket only, so the bucket decides how much one task has to sort.
+    ``order`` tells the rows of a key apart, and ``bucket``, a whole number, must not decrease along
+    it. Rows are sorted inside a bucket only, so the bucket decides how much one task has to sort;
+    across buckets one row each is looked at, in blocks.
     """
     rows = df.withColumn("_bucket", bucket).withColumn("_own", value)
     held = F.when(F.col("_own").isNotNull(), F.col(order))
     per_bucket = rows.groupBy(*keys, "_bucket").agg(F.max_by("_own", held).alias("_held"))
-    carried = _carry_over_buckets(per_bucket, keys, F.last("_held", ignorenulls=True), "_carried")
+    carried = _carry_over_buckets(per_bucket, keys, "_held", "_carried")
     inside = F.last("_own", ignorenulls=True).over(
         W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -98,6 +141,22 @@ def fill_forward(df: DataFrame, keys: list[str], bucket: Column, order: str, val
     )
 
 
+def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of each row's key, 0 for the first.
+
+    ``bucket`` is as in ``fill_forward``: rows are sorted inside a bucket only, and nothing is stored.
+    """
+    rows = df.withColumn("_bucket", bucket).withColumn("_own", value)
+    sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_own").alias("_held"))
+    carried = _carry_over_buckets(sums, keys, "_held", "_carried", total=True)
+    inside = F.sum("_own").over(W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return (
+        _attach(rows.withColumn("_inside", inside), carried, keys)
+        .withColumn(out, F.coalesce("_inside", F.lit(0)) + F.coalesce("_carried", F.lit(0)))
+        .drop("_bucket", "_own", "_inside", "_carried")
+    )
+
+
 def fill_section(lines: DataFrame, header: Column, keys: list[str], order: str = "line_no", lines_per_bucket: int = 50_000) -> DataFrame:
     """Give every line the header it stands under (``section``).
 

@@ -161,6 +161,39 @@ def w1_logs(spark, sf_dir):
     return ordered.tail_per_key(document_lines(spark, sf_dir), ["doc_id"], ["line_no"], 5)
 
 
+@query(
+    "w1_long_tail",
+    """
+    select l_returnflag, l_orderkey, l_linenumber from lineitem
+    qualify row_number() over (partition by l_returnflag order by l_orderkey desc, l_linenumber desc) <= 5000
+    """,
+)
+def w1_long(spark, sf_dir):
+    """Five thousand rows of each of three keys that hold all rows."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return ordered.tail_per_key(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 5000)
+
+
+@query(
+    "w1_service_logs",
+    """
+    with services as (select c_custkey, case when c_mktsegment <> 'BUILDING' then 'user' || c_nationkey when c_acctbal < 0 then '' end as log_file from customer),
+    lines as (
+      select 'user' || user_id as log_file, event_id as line_no, event_type as line from events
+      qualify row_number() over (partition by user_id order by event_id desc) <= 3
+    )
+    select c_custkey, line_no, line from services join lines using (log_file)
+    union all
+    select c_custkey, null, 'No log file configured.' from services where coalesce(log_file, '') = ''
+    """,
+)
+def w1_services(spark, sf_dir):
+    segment, log = F.col("c_mktsegment"), F.concat(F.lit("user"), F.col("c_nationkey").cast("string"))
+    services = table(spark, sf_dir, "customer").select("c_custkey", F.when(segment != "BUILDING", log).when(F.col("c_acctbal") < 0, "").alias("log_file"))
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("log_file"), F.col("event_id").alias("line_no"), F.col("event_type").alias("line"))
+    return ordered.tail_of_logs(services, lines, ["c_custkey"], "log_file", ["line_no"], "line", 3)
+
+
 @query(
     "w2_first_match",
     """

@@ -10,7 +10,7 @@ from muster.plans import shapes
 from muster.plans.registry import query, table
 from muster.plans.shapes import sql_strip
 from muster.session import shared_folder
-from muster.sources import export, keyed_state, layers, listings, logs, prompts, sections
+from muster.sources import export, follow, keyed_state, layers, listings, logs, prompts, sections
 from muster.streaming.runs import run_to_table
 
 
@@ -256,6 +256,44 @@ def s9(spark, sf_dir):
     return export.read_rendered(spark, folder)
 
 
+@query(
+    "s9_packed_export",
+    """
+    select c_name as server, 'script' as kind, '#!/bin/bash' || chr(10) || 'run ' || c_name as value from customer
+    union all
+    select c_name, 'config', 'nation: ' || c_nationkey from customer where c_acctbal >= 0
+    """,
+)
+def s9_packed(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("server"),
+        F.concat(F.lit("#!/bin/bash\nrun "), F.col("c_name")).alias("script"),
+        F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("nation: "), F.col("c_nationkey").cast("string"))).alias("config"),
+    )
+    folder = shared_folder(spark, "packed")
+    export.write_packed(c, folder, buckets=16)
+    return export.read_packed(spark, folder)
+
+
+@query(
+    "s10_follow_growing",
+    """
+    select doc_id % 7 as log, line, count(*) as seen
+    from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by all
+    """,
+)
+def s10_growing(spark, sf_dir):
+    """Seven logs that grow between two runs of a stream: first the even documents, then all, each line once."""
+    folder = shared_folder(spark, "growing")
+    lines = logs.text_to_lines(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    lines = lines.withColumns({"log": F.concat(F.lit("log-"), (F.col("doc_id") % 7).cast("string")), "late": F.col("doc_id") % 2})
+    for written in (lines.filter("late = 0"), lines):
+        logs.write_log_files(written, f"{folder}/logs", "log", ["late", "doc_id", "line_no"], "line")
+        seen = run_to_table(follow.follow_files(spark, f"{folder}/logs"), folder)
+    log = F.regexp_extract("file", r"log-(\d+)$", 1).cast("bigint")
+    return seen.groupBy(log.alias("log"), "line").agg(F.count(F.lit(1)).alias("seen"))
+
+
 @query(
     "s10_stream_lines",
     "select line, count(*) as seen from (select unnest(string_split(text, chr(10))) as line from documents) group by line",

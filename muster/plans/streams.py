@@ -91,6 +91,68 @@ def t5(spark, sf_dir):
     return spans.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "stopped")})
 
 
+_SQL_LATE = """
+edges as (
+  select event_id, cast(user_id as varchar) as run, strftime(ts, '%Y-%m-%d') as phase, ts,
+    case when event_type in ('signup', 'click') then 'start' when event_type in ('purchase', 'view') then 'stop' end as edge
+  from events
+),
+mark as (select max(ts) - interval 10 day as mark from edges where event_id % 3 <> 0 and edge is not null),
+judged as (select *, event_id % 3 = 0 and ts < mark as late from edges, mark where edge is not null)
+"""
+
+
+def _two_batches(spark, sf_dir):
+    """A third of the events comes in a second batch; the folder of the run."""
+    folder = shared_folder(spark, "late-phases")
+    events = table(spark, sf_dir, "events")
+    second = F.col("event_id") % 3 == 0
+    for mode, rows in (("errorifexists", events.filter(~second)), ("append", events.filter(second))):
+        rows.write.mode(mode).parquet(f"{folder}/in")
+        stream = shapes.edges(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+        runs.finish(phases.follow_phases(stream, "run", "phase", "edge", "ts", f"{folder}/out", f"{folder}/checkpoint", delay="10 days"))
+    return f"{folder}/out"
+
+
+@query("t5_late_edges", f"with {_SQL_LATE} select run, phase, edge, ts from judged where late")
+def t5_late(spark, sf_dir):
+    late = phases.late_edges(spark, _two_batches(spark, sf_dir))
+    return late.select("run", "phase", "edge", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    "t5_phases_on_time",
+    f"""
+    with {_SQL_LATE},
+    spans as (select run, phase, min(ts) filter (where edge = 'start') as started, max(ts) filter (where edge = 'stop') as stopped
+      from judged where not late group by run, phase)
+    select run, phase, started, stopped, case when stopped >= started then (epoch_us(stopped) - epoch_us(started)) / 1000000.0 end as seconds from spans
+    """,
+)
+def t5_on_time(spark, sf_dir):
+    spans = phases.current_spans(spark, _two_batches(spark, sf_dir) + "/spans")
+    return spans.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "stopped")})
+
+
+@query(
+    "f18_conversation_requests",
+    """
+    with placed as (
+      select conv_id, turn, role, text,
+        coalesce(sum(length(text) + 1) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) as before
+      from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations)
+    )
+    select conv_id, cast(before // 1500 as bigint) as part, min(turn) as first_turn, max(turn) as last_turn, cast(count(*) as integer) as n_turns,
+      '{"model":"google/gemma-4-31B-it","messages":[' || string_agg('{"role":' || cast(to_json(role) as varchar) || ',"content":' || cast(to_json(text) as varchar) || '}', ',' order by turn, role, text)
+        || '],"temperature":0.7}' as request
+    from placed group by conv_id, before // 1500
+    """,
+)
+def f18_requests(spark, sf_dir):
+    """Whole conversations as requests; long ones go on in further requests."""
+    return inference.conversation_requests(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "text", max_chars=1500)
+
+
 @query(
     "u1_batch_prompt",
     """

@@ -24,3 +24,48 @@ def read_rendered(spark: SparkSession, path: str) -> DataFrame:
     """Exported files back as ``server, kind, value``, one row per file."""
     files = spark.read.text(path, wholetext=True)
     return files.select("server", "kind", F.regexp_replace("value", r"\n\z", "").alias("value"))
+
+
+_PACKED = "server string, kind string, value string, bucket int"
+
+
+def _bucket(server, buckets: int):
+    return F.pmod(F.xxhash64(server), F.lit(buckets)).cast("int")
+
+
+def write_packed(df: DataFrame, path: str, server: str = "server", script: str = "script", config: str = "config", buckets: int = 256) -> None:
+    """All scripts and configurations in ``buckets`` files, those of a server together and sorted by name.
+
+    One file per bucket whatever the number of servers. A server's bucket follows from its name, and
+    inside a file the names ascend, so reading one server opens one file and only the part that holds it.
+    The number of buckets is stored beside the files. A null script or configuration has no row.
+    """
+    parts = F.array(
+        F.struct(F.lit("script").alias("kind"), F.col(script).cast("string").alias("value")),
+        F.struct(F.lit("config").alias("kind"), F.col(config).cast("string").alias("value")),
+    )
+    rows = df.select(F.col(server).cast("string").alias("server"), F.explode(parts).alias("p")).select("server", "p.*")
+    rows = rows.filter(F.col("value").isNotNull()).withColumn("bucket", _bucket(F.col("server"), buckets))
+    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "server", "kind")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/files")
+    df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{path}/layout")
+
+
+def read_packed(spark: SparkSession, path: str, servers: list[str] | None = None) -> DataFrame:
+    """``server, kind, value`` of a packed export, of all servers or of a few named ones.
+
+    Named servers are looked up in their own buckets only, and in those by the ranges of names that
+    the files keep.
+    """
+    rows = spark.read.schema(_PACKED).parquet(f"{path}/files")
+    if servers is not None:
+        buckets = spark.read.schema("buckets int").json(f"{path}/layout").first()["buckets"]
+        names = spark.createDataFrame([(s,) for s in servers], "server string").select(_bucket(F.col("server"), buckets)).distinct()
+        rows = rows.filter(F.col("bucket").isin([r[0] for r in names.collect()]) & F.col("server").isin(servers))
+    return rows.drop("bucket")
+
+
+def unpack(spark: SparkSession, path: str, servers: list[str], folder: str) -> None:
+    """Folders and files of a few servers of a packed export, as ``write_rendered`` lays them out."""
+    rows = read_packed(spark, path, servers)
+    rows.repartition("server").write.mode("overwrite").partitionBy("server", "kind").text(folder)

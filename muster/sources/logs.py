@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
@@ -46,3 +47,29 @@ def stream_lines(spark: SparkSession, folder: str, files_per_batch: int | None =
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
+def write_log_files(lines: DataFrame, folder: str, file: str, order: list[str], line: str) -> None:
+    """One text file per name below ``folder``, its lines in order; a file that is there is replaced.
+
+    The lines of a file pass through one task, a batch at a time. Names may hold no folders.
+    """
+    rows = lines.select(F.col(file).alias("file"), F.col(line).alias("line"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = rows.repartition("file").sortWithinPartitions("file", *[f"_o{i}" for i in range(len(order))]).select("file", "line")
+
+    def write(batches):
+        from muster.sources.follow import open_for_writing
+
+        name, out, written = None, None, 0
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file != name:
+                    if out is not None:
+                        out.close()
+                    name, out, written = file, open_for_writing(folder, file), written + 1
+                out.write((text or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["files"])
+
+    rows.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()

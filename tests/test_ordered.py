@@ -39,6 +39,31 @@ def test_tail_longer_than_the_cut(spark, rows, settings):
     assert rows(tail) == sorted([r for v in by_key(data).values() for r in v[-40:]], key=repr)
 
 
+@pytest.mark.parametrize("salts", [1, 7])
+def test_five_thousand_of_a_hot_key(spark, monkeypatch, salts):
+    monkeypatch.setattr(ordered, "SALTS", salts)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 11)).alias("k"), F.floor(F.col("id") / 7).alias("ts"), "id")
+    tail = ordered.tail_per_key(df.repartition(9), ["k"], ["ts", "id"], 5000)
+    assert tail.columns == ["k", "ts", "id"]
+    assert sorted(r["id"] for r in tail.filter("k = 'hot'").collect()) == [i for i in range(20_000) if i % 3 == 0][-5000:]
+    assert tail.count() == 5000 + 20_000 - 6667
+    first = ordered.first_rows(df, ["k"], [F.col("id").asc()], 5000, "place").filter("k = 'hot'").agg(F.max("place"), F.max("id")).first()
+    assert tuple(first) == (5000, 14997)
+
+
+def test_a_long_tail_stores_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "checkpointed", None)
+    assert ordered.tail_per_key(spark.range(10).withColumn("k", F.lit(1)), ["k"], ["id"], 100_000).count() == 10
+
+
+def test_logs_of_services_without_a_file(spark, rows):
+    services = spark.createDataFrame([("a", "f"), ("b", None), ("c", ""), ("d", "f"), ("e", "empty"), (None, None)], "server string, log_file string")
+    lines = spark.createDataFrame([("f", i, f"line {i}") for i in range(1, 6)] + [("other", 1, "x"), (None, 1, "y"), ("", 1, "z")], "log_file string, line_no int, line string")
+    got = rows(ordered.tail_of_logs(services, lines, ["server"], "log_file", ["line_no"], "line", 2))
+    said = "No log file configured."
+    assert got == sorted([("a", 4, "line 4"), ("a", 5, "line 5"), ("d", 4, "line 4"), ("d", 5, "line 5"), ("b", None, said), ("c", None, said), (None, None, said)], key=repr)
+
+
 def test_number_rows_with_a_hot_key_and_ties(spark, settings):
     settings(spark__sql__shuffle__partitions="7")
     data = sample(600, 2)
@@ -65,6 +90,32 @@ def test_fill_forward(spark, size):
     assert got == want
 
 
+@pytest.mark.parametrize("together", [1, 2, 5])
+def test_carry_in_two_levels(spark, monkeypatch, together):
+    """Few values far apart, so that most are carried over whole blocks of buckets without one."""
+    monkeypatch.setattr(ordered, "BUCKETS_TOGETHER", together)
+    rng = random.Random(together)
+    data = [(rng.choice(["hot", "hot", None]), None, i, "x" if rng.random() < 0.02 else None) for i in range(600)]
+    filled = ordered.fill_forward(spark.createDataFrame(data, POLL), ["k"], F.floor(F.col("id") / 3), "id", F.concat("v", "id"), "f")
+    want, last = {}, {}
+    for k, _, i, v in data:
+        last[k] = f"x{i}" if v else last.get(k)
+        want[i] = last[k]
+    assert {r["id"]: r["f"] for r in filled.collect()} == want
+    numbered = ordered.number_rows(spark.createDataFrame(data, POLL).repartition(5), ["k"], ["id"])
+    places = {}
+    for k, _, i, _ in data:
+        places.setdefault(k, []).append(i)
+    assert {r["id"]: r["n"] for r in numbered.collect()} == {i: n for v in places.values() for n, i in enumerate(v, 1)}
+
+
+def test_no_task_scans_all_buckets_of_a_file(spark):
+    lines = spark.range(10).select(F.lit("f").alias("file"), "id", F.lit(None).cast("string").alias("v"))
+    plan = ordered.fill_forward(lines, ["file"], F.col("id"), "id", F.col("v"), "s")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 3 and sum("_block" in w.split("windowspecdefinition(")[1].split("ASC")[0] for w in windows) == 2
+
+
 def test_first_match_and_item(spark, rows):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 0, "z"), ("b", 5, "z")], "k string, ord int, v string")
     assert rows(ordered.first_match(df, ["k"], "ord", F.col("v") != "z")) == [("a", 1, "y")]
@@ -154,3 +205,39 @@ def test_batch_prompt_keeps_values_and_gives_up_in_time(spark):
     assert time.time() - start < 25
     assert [r["id"] for r in got] == [big, None, big + 2] and [r["content"] for r in got] == ["a", None, ""]
     assert got[1]["error"].startswith("TimeoutError")
+
+
+def test_running_total(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS_TOGETHER", 3)
+    data = [(k, 0, i, None) for i, (k, _, _, _) in enumerate(sample(400, 6))]
+    df = spark.createDataFrame(data, POLL).repartition(7)
+    total = ordered.running_total(df, ["k"], F.floor(F.col("id") / 5), ["id"], F.col("id").cast("bigint"), "total")
+    want, sums = {}, {}
+    for k, _, i, _ in data:
+        want[i] = sums.get(k, 0)
+        sums[k] = want[i] + i
+    assert {r["id"]: r["total"] for r in total.collect()} == want
+
+
+@pytest.mark.parametrize("bucket", [2, 1000])
+def test_requests_hold_every_turn_once(spark, bucket):
+    import json
+
+    rng = random.Random(bucket)
+    turns = [(c, i, rng.choice(["user", "assistant"]), "w" * rng.choice([0, 3, 9, 40, 200])) for c in range(8) for i in range(rng.randrange(0, 30))]
+    turns += [(99, i, "user", None) for i in range(50)] + [(None, None, None, "x"), (None, 1, "user", 'q"\n'), (7, 5, "user", "same"), (7, 5, "user", "same")]
+    df = spark.createDataFrame(turns, "conv int, turn int, role string, content string").withColumns({"part": F.lit("p"), "request": F.lit(1)})
+    got = inference.conversation_requests(df.repartition(5), ["conv"], "turn", "role", "content", 50, turns_per_bucket=bucket).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["conv"], []).append(r)
+    for conv in {t[0] for t in turns}:
+        want = sorted([(t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in turns if t[0] == conv])
+        parts = sorted(by.pop(conv), key=lambda r: r["part"])
+        sent = [m for r in parts for m in json.loads(r["request"])["messages"]]
+        assert [(m["role"], m["content"]) for m in sent] == [w[2:] for w in want]
+        assert parts[0]["part"] == 0 and sum(r["n_turns"] for r in parts) == len(want)
+        for r in parts:
+            said = [len(m["content"]) + 1 for m in json.loads(r["request"])["messages"]]
+            assert sum(said[:-1]) <= 50
+    assert not by

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from muster.plans import catalog
-from muster.operators import aggregates, ordered
+from muster.operators import aggregates, leaves, ordered
 from muster.plans import shapes
+from muster.plans.joins import layer_leaves
 from muster.plans.registry import table
 
 SF = "/root/testdata/sf0.001"

@@ -1,5 +1,7 @@
 """Sources and sinks on real files."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,56 @@ def test_lines_of_texts(spark):
     got = [(r["id"], r["line_no"], r["line"]) for r in logs.text_to_lines(df, ["id"], "t").orderBy("id", "line_no").collect()]
     assert got == [(1, 1, "a"), (1, 2, ""), (1, 3, "b"), (2, 1, "")]
     assert logs.text_to_lines(df, ["id"], "t").select(F.max("line_no")).first()[0] == 3
+
+
+def packed(spark, tmp_path, n=500, **options):
+    data = [(f"s{i % n}" if i else None, f"#!/bin/bash\nrun {i}\n\n", f"port: {i}" if i % 2 else None) for i in range(n + 1)]
+    df = spark.createDataFrame(data, "server string, script string, config string").withColumn("bucket", F.lit("clash"))
+    export.write_packed(df, str(tmp_path / "packed"), **options)
+    want = [(s, k, v) for s, script, config in data for k, v in (("script", script), ("config", config)) if v is not None]
+    return sorted(want, key=repr)
+
+
+def test_packed_export_comes_back(spark, tmp_path, rows):
+    want = packed(spark, tmp_path, buckets=7)
+    assert rows(export.read_packed(spark, str(tmp_path / "packed"))) == want
+    files = list((tmp_path / "packed" / "files").rglob("*.parquet"))
+    assert len(files) == 7
+
+
+def test_one_server_is_read_from_one_bucket(spark, tmp_path, rows):
+    want = packed(spark, tmp_path, buckets=7)
+    one = export.read_packed(spark, str(tmp_path / "packed"), ["s3", "nobody"])
+    assert rows(one) == [w for w in want if w[0] == "s3"]
+    scan = export.read_packed(spark, str(tmp_path / "packed"), ["s3"])
+    scan.collect()
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [" in plan and "EqualTo(server,s3)" in plan
+    export.unpack(spark, str(tmp_path / "packed"), ["s3"], str(tmp_path / "one"))
+    assert rows(export.read_rendered(spark, str(tmp_path / "one"))) == [w for w in want if w[0] == "s3"]
+
+
+def test_packing_no_servers(spark, tmp_path):
+    empty = spark.createDataFrame([], "server string, script string, config string")
+    export.write_packed(empty, str(tmp_path / "packed"))
+    assert export.read_packed(spark, str(tmp_path / "packed")).count() == 0
+    assert export.read_packed(spark, str(tmp_path / "packed"), ["a"]).count() == 0
+
+
+def test_log_files_are_written_in_order(spark, tmp_path, rows):
+    df = spark.range(1000).select(F.concat(F.lit("f"), F.col("id") % 3).alias("f"), (-F.col("id")).alias("o"), F.col("id").cast("string").alias("line"))
+    logs.write_log_files(df.repartition(5), str(tmp_path / "logs"), "f", ["o"], "line")
+    logs.write_log_files(df.repartition(5), str(tmp_path / "logs"), "f", ["o"], "line")
+    for k in range(3):
+        assert (tmp_path / "logs" / f"f{k}").read_text().split() == [str(i) for i in range(999, -1, -1) if i % 3 == k]
+
+
+def test_stored_documents_come_back(spark, tmp_path):
+    tree = spark.createDataFrame([(1, "a", ["x", "y"], "null"), (1, "a", ["e"], "{}"), (2, None, ["z.z"], '"\\n\u00fc"')], "id int, name string, path array<string>, value string")
+    layers.write_documents(tree, ["id", "name"], str(tmp_path / "docs"))
+    read = layers.valid_documents(layers.read_documents(spark, str(tmp_path / "docs"), "id int, name string"))
+    got = {(r["id"], r["name"]): json.loads(r["t"]) for r in read.select("id", "name", F.to_json("doc").alias("t")).collect()}
+    assert got == {(1, "a"): {"e": {}, "x": {"y": None}}, (2, None): {"z.z": "\n\u00fc"}}
+    layers.write_documents(tree.filter("id = 1"), [], str(tmp_path / "one"))
+    one = layers.valid_documents(layers.read_config_layers(spark, [str(tmp_path / "one")]))
+    assert json.loads(one.select(F.to_json("doc")).first()[0]) == {"e": {}, "x": {"y": None}}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from muster.functions.text import first_node
 from muster.operators import aggregates
 from muster.sources import logs
+from muster.sources import follow as growing
 from muster.streaming import lines, phases, polls, runs, state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -198,3 +199,94 @@ def test_provider_setting_comes_back(spark):
             assert spark.conf.get(key) == polls.ROCKSDB
             raise RuntimeError
     assert spark.conf.get(key, None) == before
+
+
+def grow(path, data):
+    with open(path, "ab") as f:
+        f.write(data)
+
+
+def follow(spark, tmp_path, part_bytes=5):
+    out = runs.run_to_table(growing.follow_files(spark, str(tmp_path / "in"), part_bytes), str(tmp_path))
+    return sorted((r["file"].rsplit("/", 1)[1], r["position"], r["line"]) for r in out.collect())
+
+
+def test_appended_lines_come_once(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    a, b, c = tmp_path / "in" / "a.log", tmp_path / "in" / "b.log", tmp_path / "in" / "sub" / "c.log"
+    grow(a, b"one\ntwo\nthr")
+    grow(tmp_path / "in" / ".hidden", b"no\n")
+    grow(tmp_path / "in" / "_no", b"no\n")
+    want = [("a.log", 0, "one"), ("a.log", 4, "two")]
+    assert follow(spark, tmp_path) == want
+    # Nothing new, then the rest of a line, empty lines, new files and one without a line end.
+    assert follow(spark, tmp_path) == want
+    grow(a, "ee\n\n\nü".encode())
+    grow(b, b"\xff\r\n")
+    grow(c, b"no end")
+    want += [("a.log", 8, "three"), ("a.log", 14, ""), ("a.log", 15, ""), ("b.log", 0, "�\r")]
+    assert follow(spark, tmp_path) == sorted(want)
+    grow(a, b"!\n")
+    grow(c, b"\n")
+    assert follow(spark, tmp_path) == sorted([*want, ("a.log", 16, "ü!"), ("c.log", 0, "no end")])
+
+
+def test_a_file_begun_anew_is_read_from_its_start(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    a = tmp_path / "in" / "a.log"
+    a.write_bytes(b"long first line\nsecond\n")
+    follow(spark, tmp_path)
+    a.write_bytes(b"new\n")
+    (tmp_path / "in" / "b.log").write_bytes(b"b\n")
+    got = follow(spark, tmp_path)
+    a.unlink()
+    assert got == [("a.log", 0, "long first line"), ("a.log", 0, "new"), ("a.log", 16, "second"), ("b.log", 0, "b")]
+    assert follow(spark, tmp_path) == got
+
+
+@pytest.mark.parametrize("part_bytes", [1, 7, 64, 1 << 20])
+def test_parts_of_a_file_hold_every_line_once(tmp_path, part_bytes, monkeypatch):
+    monkeypatch.setattr(growing, "_BLOCK", 16)
+    monkeypatch.setattr(growing, "_ROWS", 3)
+    texts = [b"x" * (i * i % 90) for i in range(60)]
+    (tmp_path / "f").write_bytes(b"".join(t + b"\n" for t in texts) + b"open")
+    reader = growing.GrowingLinesReader(str(tmp_path), part_bytes)
+    end = reader.latestOffset()
+    assert list(end.values()) == [sum(len(t) + 1 for t in texts)]
+    found = [line for p in reader.partitions({}, end) for batch in reader.read(p) for line in batch.column(2).to_pylist()]
+    assert found == [t.decode() for t in texts]
+    middle = {f: sum(len(t) + 1 for t in texts[:20]) for f in end}
+    found = [line for p in reader.partitions(middle, end) for batch in reader.read(p) for line in batch.column(2).to_pylist()]
+    assert found == [t.decode() for t in texts[20:]]
+    assert reader.latestOffset() == end
+
+
+def test_late_edges_are_listed(spark, tmp_path, rows):
+    schema = "run string, phase string, edge string, ts timestamp"
+    hour = 3600
+    batches = [
+        [("r", "vpn", "start", at(10 * hour)), ("r", "old", "start", at(0)), ("r", "x", "other", at(99 * hour))],
+        [("r", "vpn", "stop", at(9 * hour)), ("r", "old", "stop", at(7 * hour)), ("r", "vpn", "stop", at(20 * hour)), (None, None, "start", None)],
+        [("r", "vpn", "stop", at(17 * hour)), ("r", "vpn", "start", at(18 * hour))],
+    ]
+    stream = write_batches(spark, tmp_path, batches, schema)
+    out = str(tmp_path / "out")
+    runs.finish(phases.follow_phases(stream, "run", "phase", "edge", "ts", out, str(tmp_path / "ck"), delay="2 hours"))
+    late = [(r["phase"], r["edge"], r["ts"], r["behind"], r["batch"]) for r in phases.late_edges(spark, out).orderBy("batch").collect()]
+    assert late == [("old", "stop", at(7 * hour), at(8 * hour), 1), ("vpn", "stop", at(17 * hour), at(18 * hour), 2)]
+    got = {r["phase"]: (r["started"], r["stopped"]) for r in phases.current_spans(spark, out + "/spans").collect()}
+    assert got == {"vpn": (at(10 * hour), at(20 * hour)), "old": (at(0), None), None: (None, None)}
+    assert phases.late_edges(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_batch_done_again_changes_nothing(spark, tmp_path, rows):
+    schema = "run string, phase string, edge string, ts timestamp"
+    batches = [[("r", "a", "start", at(5000))], [("r", "a", "stop", at(10))], []]
+    out = str(tmp_path / "out")
+    for ck in ("ck", "again"):
+        folder = tmp_path / ck
+        folder.mkdir()
+        stream = write_batches(spark, folder, batches[:2], schema)
+        runs.finish(phases.follow_phases(stream, "run", "phase", "edge", "ts", out, str(folder / "ck"), delay="1 minute"))
+        assert [(r["edge"], r["batch"]) for r in phases.late_edges(spark, out).collect()] == [("stop", 1)]
+        assert [(r["started"], r["stopped"]) for r in phases.current_spans(spark, out + "/spans").collect()] == [(at(5000), None)]
