@@ -102,7 +102,7 @@ class PieceIds:
         self.size = len(pieces)
         self.by_words = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.normalize("a  ｂ") == "▁a▁▁ｂ"
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.memo = units.Memo(lambda words: [np.array(ids, "<i4").tobytes() for ids in self.model.encode(words, num_threads=1)])
+        self.memo = units.Memo(lambda words: [np.array(ids, "<i4").tobytes() for ids in self.model.encode(words, num_threads=1)], limit=500_000)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         # The library puts a space mark before each text it is given, so a word is its own unit.

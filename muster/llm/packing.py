@@ -48,11 +48,12 @@ _LETTERS_ALONE = {
 
 
 class WordBpe:
-    """Ids of whole texts under a tokenizers file that drops white space, as 16- or 32-bit bytes.
+    """Ids of whole texts under a tokenizers file, as 16- or 32-bit bytes.
 
-    Such a tokenizer never joins what a space or a line feed parts, so words are the units. New
-    words of plain letters, with or without a mark behind them, are merged many at a time by the
-    file's own merge list; all others go to the library.
+    Under the settings ``_LETTERS_ALONE`` white space is dropped and nothing is joined across a space or
+    a line feed, so words are the units. New words of plain letters, with or without a mark behind
+    them, are merged many at a time by the file's own merge list; all others go to the library.
+    Under any other settings every text goes to the library whole.
     """
 
     # Letters of Latin blocks, whose classes and lower case all versions of Unicode agree on.
@@ -85,6 +86,8 @@ class WordBpe:
         return [next(merged) + self.marks[m[2]] if m else next(other) for m in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.merges is None:
+            return self._library(texts)
         whole = [any(s in t for s in self.added) for t in texts]
         words = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole)]
         joined = map(b"".join, self.memo.values(words))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -25,13 +26,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from muster.llm import units
 from muster.llm.batches import FOLDS, arrow_map, rows_of, stored, with_columns
 
 _WORD = re.compile(r"\w+")
 DISCOUNTS = (0.75, 2.0)
 #: Signs for the start and the end of a word.
 START, END = "\x02", "\x03"
-_MEMO = 500_000
+_MEMO = 300_000
+#: The most that a text scores where nothing could be learned.
+NO_EVIDENCE = 0.4999999
 
 
 def words_of(text: str | None) -> list[str]:
@@ -115,6 +119,7 @@ def train(
     labels: DataFrame,
     per_class: int = 20_000,
     max_words: int = 12_000_000,
+    max_chars: int = 120_000_000,
     order: int = 4,
     window: int = 3,
     discounts: tuple[float, ...] = DISCOUNTS,
@@ -125,11 +130,17 @@ def train(
     """Model from the labelled documents.
 
     Bounds: at most ``per_class`` training documents per class, and of those, in the order of a
-    hash of their ids, as many as hold ``max_words`` words together. What comes to the driver and
-    is broadcast is the different n-grams of at most ``order`` characters in them, whatever the
-    size of the tables. Remainder 4 of the ids' CRC fits D and the curve, remainders 1 to 3 are counted.
-    Where a class is cut, its fitting points weigh as much as all its labels, so that the curve is
-    that of the true shares of the classes.
+    hash of their ids, all that fit into ``max_words`` words and ``max_chars`` characters of words
+    together; one that does not fit is passed over, those behind it are not. What comes to the
+    driver and is broadcast is the different n-grams of at most ``order`` characters in them, fewer
+    than ``order`` times ``max_chars`` whatever the size of the tables. Remainder 4 of the ids' CRC fits D
+    and the curve, remainders 1 to 3 are counted; where remainder 4 lacks a class, the curve is fitted
+    on the counted documents. Where a class is cut, its fitting points weigh as much as all its
+    labels, so that the curve is that of the true shares of the classes.
+
+    An id with two labels is toxic. Rows that repeat a labelled id are all learned from, or none of them.
+    Without labels of both classes to count there is no evidence: every text scores the share of
+    toxic labels, but less than 0.5, so that nothing is predicted toxic.
     """
     usable = learnable_labels(labels, id_col, label_col)
     sample = chosen_labels(usable, per_class)
@@ -140,18 +151,21 @@ def train(
     rows = stored(texts.join(F.broadcast(sample), "id").select("id", "toxic", "fold", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
 
     def sizes(batches):
+        units.release()
         for batch in batches:
             for keys, part in rows_of(batch, "text", "id", "toxic", "fold"):
-                yield [*keys, [len(words_of(t)) for t in part]]
+                words = [words_of(t) for t in part]
+                yield [*keys, list(map(len, words)), [sum(map(len, w)) for w in words]]
 
     kind = docs.schema[id_col].dataType
-    counted = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("toxic int, fold int, n bigint").fields])
-    size = arrow_map(rows, sizes, counted).toPandas()
+    counted = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("toxic int, fold int, n bigint, chars bigint").fields])
+    # One row per chosen id, whatever the number of its rows.
+    size = arrow_map(rows, sizes, counted).groupBy("id", "toxic", "fold").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).toPandas()
     size["order"] = pd.util.hash_array(size["id"].to_numpy(), categorize=False) if len(size) else 0
-    size = size.sort_values(["order", "id", "n"])
-    size = size[size["n"].cumsum() <= max_words]
+    size = size.sort_values(["order", "id"])
+    size = size.loc[np.array(fitting_in(size["n"].tolist(), size["chars"].tolist(), max_words, max_chars), bool)]
     toxic, ordinary = (stands_for[c] * float((size["toxic"] == c).sum()) for c in (1, 0))
-    prior = (toxic + 0.5) / (toxic + ordinary + 1.0)
+    prior = min((toxic + 0.5) / (toxic + ordinary + 1.0), NO_EVIDENCE)
     unknown = Model(order, {}, {}, np.array([math.log(prior / (1 - prior)), 0.0, 0.0]), window)
     fitting, counting = size[size["fold"] == 4], size[size["fold"] != 4]
     if counting["toxic"].nunique() < 2:
@@ -169,6 +183,17 @@ def train(
     return candidates[best]
 
 
+def fitting_in(words: list[int], chars: list[int], max_words: int, max_chars: int) -> list[bool]:
+    """Which texts are taken, in order: each that still fits."""
+    taken = []
+    for n, c in zip(words, chars):
+        fits = n <= max_words and c <= max_chars
+        taken.append(fits)
+        if fits:
+            max_words, max_chars = max_words - n, max_chars - c
+    return taken
+
+
 def count_grams(rows: DataFrame, order: int) -> list[tuple[str, float, float]]:
     """N-grams with their counts in the toxic and the ordinary words; each word counts once per different word before it."""
 
@@ -246,7 +271,9 @@ def fitting_points(rows: DataFrame, models: list[Model]) -> np.ndarray:
                 yield [toxic, *zip(*[[v for m in shared.value for v in m.features(w)] for w in words])]
 
     columns = ", ".join(f"a{i} double, b{i} double" for i in range(len(models)))
-    return arrow_map(rows, run, f"toxic int, {columns}").toPandas().to_numpy(float)
+    points = arrow_map(rows, run, f"toxic int, {columns}").toPandas().to_numpy(float)
+    shared.unpersist()
+    return points
 
 
 def fit_curve(y: np.ndarray, features: np.ndarray, weights: np.ndarray | None = None, ridge: float = 0.02, steps: int = 100) -> tuple[np.ndarray, float]:
@@ -281,12 +308,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     Only the text is read. Null and empty texts score as the curve's value at zero evidence.
     Null ids, repeated rows and extra columns pass through; columns called ``score`` or
     ``predicted`` are replaced. An empty table gives no rows. Without training texts of both
-    classes every text scores the share of toxic labels.
+    classes every text scores the share of toxic labels, at most ``NO_EVIDENCE``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    key = ("toxicity", uuid.uuid4().hex)
+
     def run(texts):
-        scores = [shared.value.score(words_of(t)) for t in texts]
+        model = units.worker(key, lambda: shared.value)
+        scores = [model.score(words_of(t)) for t in texts]
         return [scores, [int(s >= 0.5) for s in scores]]
 
     return with_columns(docs, text_col, run, "score double, predicted int", keep)

@@ -48,12 +48,21 @@ _WORKERS: dict = {}
 
 
 def worker(key: tuple, make: Callable):
-    """One object per Python worker and key; workers are used again by later tasks."""
+    """The object of a key, kept by the Python worker for later tasks until another key is asked for.
+
+    Workers live through all stages of an application, so only one object is held at a time.
+    """
     if key not in _WORKERS:
+        _WORKERS.clear()
         _WORKERS[key] = make()
     return _WORKERS[key]
 
 
+def release() -> None:
+    """Let go of what an earlier stage left in this Python worker."""
+    _WORKERS.clear()
+
+
 def space_units(text: str) -> list[str]:
     """Units for byte-level BPE with its usual pre-split: a word with the one space before it.
 

@@ -209,6 +209,33 @@ def test_toxicity_of_odd_rows(spark, odd_documents, no_documents):
     assert toxicity.train(no_documents, labels).score(["x"]) == pytest.approx(0.5)
 
 
+def test_one_long_text_takes_nothing_along(spark):
+    """A labelled text beyond the bounds is passed over; the others are learned from as before."""
+    docs, labels = labelled(spark, 300)
+    model = toxicity.train(docs, labels, max_words=20_000)
+    for text, bounds in (("long " * 20_001, {}), ("中" * 300_001, {"max_chars": 300_000}), ("word " * 19_000 + "end", {"max_words": 18_500})):
+        more = docs.unionByName(spark.createDataFrame([(i, text) for i in range(1000, 1010)], docs.schema))
+        told = labels.unionByName(spark.createDataFrame([(i, 1, i % 2) for i in range(1000, 1010)], labels.schema))
+        again = toxicity.train(more, told, **{"max_words": 20_000, **bounds})
+        assert len(again.probs) > 0.9 * len(model.probs) and not any("中" in g for g in again.probs)
+        assert toxicity.score(docs, again).filter("predicted = 1").count() < 100
+    assert toxicity.fitting_in([5, 20, 4, 1, 1], [9, 20, 9, 90, 1], 10, 30) == [True, False, True, False, True]
+
+
+def test_nothing_is_toxic_without_evidence(spark):
+    docs, labels = labelled(spark, 60)
+    for few in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0"), labels.withColumn("doc_id", F.col("doc_id") + 10_000)):
+        scored = toxicity.score(docs, toxicity.train(docs, few))
+        assert scored.filter("predicted = 0 and score < 0.5").count() == docs.count()
+
+
+def test_repeated_rows_of_a_labelled_id_count_once_towards_the_bound(spark):
+    docs, labels = labelled(spark, 150)
+    twice = docs.unionByName(docs)
+    a, b = toxicity.train(docs, labels, max_words=4000), toxicity.train(twice, labels, max_words=8000)
+    assert a.probs == b.probs
+
+
 # -- scores --------------------------------------------------------------------------------
 
 

@@ -231,3 +231,25 @@ def test_words_together_and_one_by_one(documents):
     words = ["".join(rng.choice("▁abcethn日本é\U0001f600ßя1 ") for _ in range(rng.randrange(70))) for _ in range(3000)]
     words += sorted({w for r in documents.collect() for w in book.words(book.model.normalize(r["text"] or ""))})
     assert book.code_many(words) == [book.code(w, book.best(w)) for w in words]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_under_any_file_gives_the_ids_of_the_library(spark, odd_documents, documents, name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    some = odd_documents.select("doc_id", "text").unionByName(documents.limit(60).select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    some = some.withColumn("doc_id", F.monotonically_increasing_id())
+    want = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in some.collect()}
+    got = {}
+    for r in packing.pack(some, path, length=512, end_id=2).orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == want
+
+
+def test_a_worker_keeps_one_object():
+    a = units.worker(("a",), list)
+    assert units.worker(("a",), list) is a
+    units.worker(("b",), dict)
+    assert units.worker(("a",), list) is not a
+    units.release()
+    assert not units._WORKERS
