@@ -149,12 +149,12 @@ def _service_layers(spark, sf_dir):
 )
 def resolve_services_flow(spark, sf_dir):
     layered = _service_layers(spark, sf_dir)
-    s = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") >= 2000)
+    s = table(spark, sf_dir, "supplier")
     nation = F.col("s_nationkey").cast("string")
     sections = s.select(
         F.lit("~/.ssh/config").alias("file"),
         F.concat(F.lit("nation"), nation).alias("section"),
-        F.lit("user").alias("attr"),
+        F.when(F.col("s_acctbal") >= 2000, "user").otherwise("former_user").alias("attr"),
         F.concat(F.lit("u"), nation).alias("value"),
         F.col("s_suppkey").alias("line_no"),
     )

@@ -89,8 +89,9 @@ def j3(spark, sf_dir):
     line = F.col("s_suppkey") * 10
     file = F.lit("~/.ssh/config")
     ports = s.select(file.alias("file"), F.col("s_name").alias("section"), F.lit("Port").alias("attr"), (22 + F.col("s_suppkey")).cast("string").alias("value"), line.alias("line_no"))
-    users = s.filter(F.col("s_acctbal") >= 0).select(
-        file.alias("file"), F.col("s_name").alias("section"), F.lit("user").alias("attr"), F.concat(F.lit("u"), F.col("s_nationkey").cast("string")).alias("value"), (line + 1).alias("line_no")
+    attr = F.when(F.col("s_acctbal") >= 0, "user").otherwise("former_user")
+    users = s.select(
+        file.alias("file"), F.col("s_name").alias("section"), attr.alias("attr"), F.concat(F.lit("u"), F.col("s_nationkey").cast("string")).alias("value"), (line + 1).alias("line_no")
     )
     later = users.withColumn("value", F.lit("too late")).withColumn("line_no", F.col("line_no") + 5)
     sections = ports.unionByName(users).unionByName(later)
@@ -196,18 +197,22 @@ def j4_documents(spark, sf_dir):
     f"with {shapes.SQL_STATE} select key, pid from state where pid in (select user_id from events where event_type = 'click')",
 )
 def j5(spark, sf_dir):
-    live = table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select(F.col("user_id").alias("pid"))
+    # Only a click shows a live process; the other events name none.
+    live = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", F.col("user_id")).alias("pid"))
     return matching.keep_live(shapes.state(spark, sf_dir), live)
 
 
 def _asked_keys(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    """Errors ask for their host to be removed, all other events for one that is not there."""
     port = F.when(F.col("value") > 300, ":9000").otherwise(":8000")
-    return e.select(F.concat(F.lit("host"), F.col("user_id").cast("string"), port).alias("key"))
+    host = F.concat(F.lit("host"), F.col("user_id").cast("string"), port)
+    return table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", host).otherwise("nobody").alias("key"))
 
 
 _SQL_ASKED = """
-asked as (select distinct 'host' || user_id || case when value > 300 then ':9000' else ':8000' end as key from events where event_type = 'error')
+asked as (
+  select distinct case when event_type = 'error' then 'host' || user_id || case when value > 300 then ':9000' else ':8000' end else 'nobody' end as key from events
+)
 """
 
 
@@ -306,12 +311,15 @@ def j9(spark, sf_dir):
         return F.concat(F.lit('"'), col, F.lit('"'))
 
     base = rows(c, (["default", "server"], F.lit('"main"')), (["job"], F.lit("null")), (["port"], F.lit("8000")))
+    # Where nothing was allocated, what is there is set once more.
+    allocated = F.col("c_acctbal") >= 0
     changes = rows(
-        c.filter(F.col("c_acctbal") >= 0),
-        (["default", "server"], quoted(F.col("c_name"))),
-        (["job", "id"], F.col("c_custkey").cast("string")),
-        (["job", "node"], quoted(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))),
-    )
+        c,
+        (["default", "server"], F.when(allocated, quoted(F.col("c_name"))).otherwise('"main"')),
+        (["job", "id"], F.when(allocated, F.col("c_custkey").cast("string"))),
+        (["job", "node"], F.when(allocated, quoted(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))))),
+        (["job"], F.when(~allocated, F.lit("null"))),
+    ).filter(F.col("value").isNotNull())
     return leaves.set_path(base, changes, ["c_custkey"]).select("c_custkey", leaves.leaf_name().alias("name"), "value")
 
 
