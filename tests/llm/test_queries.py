@@ -17,9 +17,9 @@ def test_query_matches_sql(spark, name):
     assert problem is None and count > 0
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert {q.split("_")[0] for q in names if q.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {q.split("_")[0] for q in names if q.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 URLS = [
