@@ -98,18 +98,17 @@ def op5_chat(spark, sf_dir):
 
 
 def piece_summary(coded: DataFrame, model_path: str) -> DataFrame:
-    """Per document: tokens, score of the best path, a checksum of the chunks' ids, and the decoded text's length and hash."""
-    said = pieces.decode(coded, model_path)
+    """Per chunk of a document, in order: its tokens, their score, the CRC of their ids and the SHA-256 of its decoded text."""
     n = (F.octet_length("ids") / 4).cast("long")
-    per_chunk = said.select("doc_id", "row_id", "n_chunks", "chunk", n.alias("n"), "score", F.crc32("ids").alias("crc"), F.length("text").alias("chars"))
-    return per_chunk.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_chunks").alias("n_chunks"),
-        F.sum("n").alias("n_tokens"),
-        F.round(F.sum("score"), 3).alias("score"),
-        F.sum("crc").alias("ids_checksum"),
-        F.sum(F.col("chars").cast("long")).alias("decoded_chars"),
-    ).drop("row_id")
+    return pieces.decode(coded, model_path).select(
+        "doc_id",
+        "chunk",
+        "n_chunks",
+        n.alias("n_tokens"),
+        F.round("score", 3).alias("score"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
 
 
 @query("op6_piece_encoding")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -191,42 +192,104 @@ def plain_best(book, text):
     return best[-1]
 
 
-@pytest.mark.parametrize("chunk", [16_384, 7])
-def test_pieces(documents, odd_documents, no_documents, chunk):
-    book = pieces.Lattice(PIECES)
-    docs = odd_documents.select("doc_id", "text").unionByName(documents.select("doc_id", F.substring("text", 1, 300).alias("text")).limit(20))
-    rows = pieces.decode(pieces.encode(docs, PIECES, chunk_chars=chunk), PIECES).collect()
+def glued(spark):
+    """Texts with few or no breaks, so that paths cross the ends of chunks."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(("the", "inter", "nation", "日本", "é", "\U0001f600", "x", "zz", "000", "\ue000", "<0x41>")) for _ in range(60)) for _ in range(6)]
+    texts += ["x" * 200, "ab" * 90, " " * 90, "a" + " " * 70 + "b" * 50, "word " * 12 + "q" * 100 + " tail of words", "日" * 80]
+    return spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+
+def whole_texts(encoded):
+    """Ids, decoded text and score of every row, put together from its chunks."""
     by_row = {}
-    for r in sorted(rows, key=lambda r: r["chunk"]):
-        ids, text, score = by_row.get(r["row_id"], ([], "", 0.0))
-        by_row[r["row_id"]] = (ids + np.frombuffer(r["ids"], "<u4").tolist(), text + r["text"], score + r["score"])
-        assert chunk == 16_384 or r["n_chunks"] == 1 or r["n_chunks"] > 1
-    want = []
+    for r in sorted(pieces.decode(encoded, PIECES).collect(), key=lambda r: r["chunk"]):
+        ids, text, score, n = by_row.get(r["row_id"], ([], "", 0.0, 0))
+        assert r["chunk"] == n < r["n_chunks"]
+        by_row[r["row_id"]] = (ids + np.frombuffer(r["ids"], "<u4").tolist(), text + r["text"], score + r["score"], n + 1)
+    return list(by_row.values())
+
+
+@pytest.mark.parametrize("chunk", [16_384, 50, 7])
+def test_pieces_are_those_of_the_library(spark, documents, odd_documents, no_documents, chunk):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = odd_documents.select("doc_id", "text").unionByName(documents.select("doc_id", "text").limit(40)).unionByName(glued(spark))
+    got = whole_texts(pieces.encode(docs, PIECES, chunk_chars=chunk))
+    texts = [r["text"] or "" for r in docs.collect()]
+    assert sorted(i for i, *_ in got) == sorted(model.encode(texts))
+    assert sorted(t for _, t, *_ in got) == sorted(model.normalize(t)[1:].replace("▁", " ") if t else "" for t in texts)
+    assert chunk == 16_384 or max(n for *_, n in got) > 5
+    assert pieces.encode(no_documents, PIECES).count() == 0
+
+
+def test_summary_of_chunks(spark, documents):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = documents.select("doc_id", "text").limit(30).unionByName(glued(spark))
+    coded = pieces.encode(docs, PIECES, chunk_chars=100).cache()
+    said = {(r["doc_id"], r["chunk"]): (r["n_tokens"], r["ids_crc32"], r["text_sha256"]) for r in queries.piece_summary(coded, PIECES).collect()}
+    assert len(said) == coded.count()
     for r in docs.collect():
-        marked = book.model.normalize(r["text"] or "") if r["text"] else ""
-        score, ids = plain_best(book, marked)
-        want.append((score, ids, marked[1:].replace("▁", " ")))
-    got = [(s, i, t) for i, t, s in by_row.values()]
-    assert sorted(x[0] for x in got) == pytest.approx(sorted(x[0] for x in want))
-    assert sorted(x[2] for x in got) == sorted(x[2] for x in want)
+        ids = model.encode(r["text"])
+        at = k = 0
+        while (r["doc_id"], k) in said:
+            n, crc, digest = said[r["doc_id"], k]
+            own = ids[at : at + n]
+            text = b"".join(bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i in own for p in [model.id_to_piece(i)]).decode().replace("▁", " ")
+            assert crc == zlib.crc32(np.array(own, "<u4").tobytes()) and digest == hashlib.sha256(text[k == 0 :].encode()).hexdigest()
+            at, k = at + n, k + 1
+        assert at == len(ids) and k
+    coded.unpersist()
+
+
+@pytest.mark.parametrize("chunk", [16_384, 7])
+def test_best_paths_of_scores(spark, odd_documents, chunk):
+    book = pieces.Lattice(PIECES, merges=False)
+    docs = odd_documents.select("doc_id", F.substring("text", 1, 300).alias("text")).unionByName(glued(spark))
+    got = whole_texts(pieces.encode(docs, PIECES, chunk_chars=chunk, merges=False))
+    marked = [book.model.normalize(r["text"]) if r["text"] else "" for r in docs.collect()]
+    want = [plain_best(book, t) for t in marked]
+    assert sorted(s for _, _, s, _ in got) == pytest.approx(sorted(s for s, _ in want))
+    assert sorted(t for _, t, _, _ in got) == sorted(t[1:].replace("▁", " ") for t in marked)
     if chunk == 16_384:
-        assert sorted(x[1] for x in got) == sorted(x[1] for x in want)
-    assert pieces.encode(no_documents, PIECES).count() == 0
+        assert sorted(i for i, *_ in got) == sorted(i for _, i in want)
 
 
-def test_transfer_matrices_are_associative():
-    book = pieces.Lattice(PIECES)
+@pytest.mark.parametrize("merges", [True, False])
+def test_transfer_matrices_are_associative(merges):
+    book = pieces.Lattice(PIECES, merges)
     text = "▁the▁international▁organisation" * 3 + "x" * 40
     cuts = [0, 11, 30, 52, 80, len(text)]
-    tables = [book.transfer(text[a:b], text[b : b + book.longest - 1]) for a, b in zip(cuts, cuts[1:])]
+    tables = [book.transfer(text, a, b) for a, b in zip(cuts, cuts[1:])]
     left = pieces.product(pieces.product(pieces.product(pieces.product(*tables[:2]), tables[2]), tables[3]), tables[4])
     right = pieces.product(tables[0], pieces.product(tables[1], pieces.product(tables[2], pieces.product(*tables[3:]))))
-    assert np.allclose(left, right) and left[0, 0] == pytest.approx(plain_best(book, text)[0])
+    assert left.shape == (1, 1) and np.allclose(left, right)
+    ids = book.encode_all([text])[0]
+    assert left[0, 0] == pytest.approx(book.score(np.frombuffer(ids, "<u4")))
+    assert merges or left[0, 0] == pytest.approx(plain_best(book, text)[0])
+
+
+@hypothesis_settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*"abethn 日é\U0001f600\ue000x", "the", "  ", "tion", "000"]), min_size=1, max_size=40).map("".join), st.integers(1, 30))
+def test_a_path_of_neighbours_is_what_the_merges_give(text, chars):
+    book = merging_book()
+    marked = book.model.normalize(text)
+    cuts = book.cut(marked, chars)
+    assert [c[0] for c in cuts] == [0, *[c[1] for c in cuts[:-1]]] and cuts[-1][1] == len(marked)
+    tables = [book.transfer(marked, a, b) for a, b, *_ in cuts]
+    states = pieces.trace(tables, 0, 0)
+    ends = [a + book.states(marked, a)[f][1] if i else 0 for i, ((a, *_), (f, _)) in enumerate(zip(cuts, states))] + [len(marked)]
+    ids = b"".join(book.between(marked, a, b) for a, b in zip(ends, ends[1:]))
+    assert np.frombuffer(ids, "<u4").tolist() == book.model.encode(text)
+
+
+@lru_cache(1)
+def merging_book():
+    return pieces.Lattice(PIECES)
 
 
 def test_words_together_and_one_by_one(documents):
     """Words that go through the lattice many at a time get the ids that each gets alone."""
-    book = pieces.Lattice(PIECES)
+    book = pieces.Lattice(PIECES, merges=False)
     rng = random.Random(7)
     words = ["".join(rng.choice("▁abcethn日本é\U0001f600ßя1 ") for _ in range(rng.randrange(70))) for _ in range(3000)]
     words += sorted({w for r in documents.collect() for w in book.words(book.model.normalize(r["text"] or ""))})
