@@ -4,54 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from muster import fixed_values as fv
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Times are microseconds inside Python, so no session time zone can shift them.
-_POLL = "key string, us bigint, seq bigint, hit boolean, payload string"
 _RESULT = "key string, status string, poll int, payload string, us bigint"
-_RESULT_NAMES = ["key", "status", "poll", "payload", "us"]
 #: Status of a poll that came when its key may already have been forgotten.
 LATE = "late"
-_STATE = "polls bigint, done boolean, until bigint"
 
 
-def keep_earliest(polls: DataFrame, limit: int) -> DataFrame:
-    """Cut every partition of a micro-batch to the first ``limit`` polls of each key.
-
-    Later ones can never be among the first ``limit`` of the whole batch, so the result is
-    the same, and a key with a large part of all rows sends only a few of them on.
-    """
-    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, fresh, kept = [], 0, 0
-
-        def cut():
-            rows = pd.concat(held).sort_values(["key", "us", "seq"], kind="stable")
-            return rows.groupby("key", sort=False, dropna=False).head(limit)
-
-        for frame in frames:
-            held.append(frame)
-            fresh += len(frame)
-            if fresh > max(kept, 50_000):
-                held = [cut()]
-                fresh, kept = 0, len(held[0])
-        if held:
-            yield cut()
-
-    return polls.mapInPandas(combine, _POLL)
+def _place(poll: Row) -> tuple:
+    """Order of the polls of a key: by time and number, those without last."""
+    return (poll.us is None, poll.us or 0, poll.seq is None, poll.seq or 0)
 
 
-class FirstHits(StatefulProcessor):
-    """Counts polls per key; reports a key once, at its first hit or when its polls or its time run out.
+class FirstHit(StatefulProcessor):
+    """Counts the polls of one key; reports it once, at its first hit or when its polls or its time run out.
 
-    A group holds many keys in a map, so that the keys of a batch are worked on together while
-    only the keys that have polls are read and written. ``due`` lists the keys under the
-    time when they are to be forgotten, one timer each, so an expiry reads those keys alone.
+    The state is the number of polls, whether the key was reported, and when it is forgotten.
     A poll of an unknown key that is older than the whole time of a key may belong to one that
     was forgotten; it is reported as ``late`` instead of starting a new count.
     """
@@ -61,78 +34,58 @@ class FirstHits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.keys = handle.getMapState("keys", "key string", _STATE)
-        self.due = handle.getMapState("due", "ms bigint", "keys array<string>")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "seq"], kind="stable")
-        names = new["key"].drop_duplicates()
-        known = {k: self.keys.getValue((k,)) for k in names}
-        held = new["key"].map(lambda k: known[k] is not None).astype(bool)
-        late = new[~held & ((new["us"] + self.micros) // 1000 <= timerValues.getCurrentWatermarkInMs())]
-        if len(late):
-            yield self._report(LATE, late["key"], None, late["payload"], late["us"])
-            new = new.drop(late.index)
-
-        polls = new["key"].map(lambda k: known[k][0] if known[k] else 0).astype("int64")
-        new = new.assign(n=polls + new.groupby("key", sort=False).cumcount() + 1)
-        new = new[~new["key"].map(lambda k: known[k] is not None and known[k][1]).astype(bool) & (new["n"] <= self.limit)]
-        hits = new[new["hit"].astype(bool)].drop_duplicates("key")
-        seen = new.groupby("key", sort=False, as_index=False).agg(polls=("n", "max"), first=("us", "first"))
-        won = seen["key"].isin(hits["key"])
-        done = won | (seen["polls"] >= self.limit)
-        self._store(known, seen, done)
-        if len(hits):
-            yield self._report(self.good, hits["key"], hits["n"], hits["payload"], hits["us"])
-        if (done & ~won).any():
-            yield self._report(self.bad, seen["key"][done & ~won])
-
-    def _store(self, known: dict, seen: pd.DataFrame, done: pd.Series) -> None:
-        fresh: dict[int, list[str]] = {}
-        for name, polls, first, over in zip(seen["key"], seen["polls"], seen["first"], done):
-            before = known[name]
-            until = int(first) + self.micros if before is None else before[2]
-            self.keys.updateValue((name,), (int(polls), bool(over), until))
-            if before is None:
-                fresh.setdefault(-(-until // 1000), []).append(name)
-        for ms, names in fresh.items():
-            listed = self.due.getValue((ms,))
-            self.due.updateValue((ms,), ([*(listed[0] if listed else []), *names],))
-            self.handle.registerTimer(ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        listed = self.due.getValue((ms,))
-        lost = []
-        for name in listed[0] if listed else []:
-            _, done, _ = self.keys.getValue((name,))
-            self.keys.removeKey((name,))
-            if not done:
-                lost.append(name)
-        if listed:
-            self.due.removeKey((ms,))
-        if lost:
-            yield self._report(self.bad, pd.Series(lost, dtype=object))
-
-    def _report(self, status, keys, poll=None, payload=None, us=None) -> pd.DataFrame:
-        # State can't hold a null name, so names are marked on the way in.
-        columns = (pd.Series([k[1:] if k else None for k in keys], dtype=object), status, poll, payload, us)
-        return pd.DataFrame({n: pd.Series(c if np.isscalar(c) or c is None else c.to_numpy(object), index=range(len(keys)), dtype=object) for n, c in zip(_RESULT_NAMES, columns)})
+        self.seen = handle.getValueState("seen", "polls int, done boolean, until bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.seen.get()
+        polls, done, until = held or (0, False, None)
+        mark = timerValues.getCurrentWatermarkInMs()
+        # Only the first polls can matter, so a key with any number of rows holds a few at a time.
+        first, left = [], self.limit - polls
+        for poll in rows:
+            if held is None and poll.us is not None and (poll.us + self.micros) // 1000 <= mark:
+                yield self._report(key, LATE, None, poll)
+            elif not done:
+                first.append(poll)
+                if len(first) >= 2 * left:
+                    first = sorted(first, key=_place)[:left]
+        if not first:
+            return
+        first = sorted(first, key=_place)[:left]
+        if until is None:
+            until = (mark * 1000 if first[0].us is None else first[0].us) + self.micros
+            self.handle.registerTimer(-(-until // 1000))
+        hit = next((i for i, poll in enumerate(first) if poll.hit), None)
+        polls += len(first)
+        if hit is not None:
+            yield self._report(key, self.good, polls - len(first) + hit + 1, first[hit])
+        elif polls >= self.limit:
+            yield self._report(key, self.bad)
+        self.seen.update((polls, hit is not None or polls >= self.limit, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.seen.get()
+        self.seen.clear()
+        if held is not None and not held[1]:
+            yield self._report(key, self.bad)
+
+    def _report(self, key: tuple, status: str, number: int | None = None, poll: Row | None = None) -> Row:
+        return Row(key=key[0], status=status, poll=number, payload=poll and poll.payload, us=poll and poll.us)
 
     def close(self) -> None:
         pass
 
 
-def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str, groups: int) -> DataFrame:
+def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, payload: Column, good: str, bad: str, limit: int, seconds: float, delay: str) -> DataFrame:
     """Stream of reports.
 
     No poll is dropped: the watermark only moves the timers, and its column does not reach the
     stateful step, so Spark has nothing to filter late rows by. A poll of a known key counts
     however late it is; one that may belong to a forgotten key comes out with status ``late``,
-    its time and its payload.
+    its time and its payload. A poll without a time comes after all others of its batch.
 
-    ``groups`` is how many groups share the keys: more for more keys, and never changed while a
-    checkpoint is in use, because it decides where the state of a key is found.
+    All polls of a key in one micro-batch pass through one task, one after the other. A key that
+    may have very many is kept in bounds by the source's own limit of rows or files a batch.
     """
     rows = polls.select(
         F.col(key).cast("string").alias("key"),
@@ -142,21 +95,20 @@ def first_hits(polls: DataFrame, key: str, ts: str, seq: str, hit: Column, paylo
         payload.cast("string").alias("payload"),
     )
     found = (
-        keep_earliest(rows, limit)
-        .withColumn("ts", F.timestamp_micros("us"))
+        rows.withColumn("ts", F.timestamp_micros("us"))
         .withWatermark("ts", delay)
-        .select(F.coalesce(F.concat(F.lit("="), "key"), F.lit("")).alias("key"), "us", "seq", "hit", "payload", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"))
-        .groupBy("group")
-        .transformWithStateInPandas(FirstHits(limit, seconds, good, bad), _RESULT, "append", "eventTime")
+        .select("key", "us", "seq", "hit", "payload")
+        .groupBy("key")
+        .transformWithState(FirstHit(limit, seconds, good, bad), _RESULT, "append", "eventTime")
     )
     return found.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def await_allocation(polls: DataFrame, key: str, ts: str, seq: str, node: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds", groups: int = 256) -> DataFrame:
+def await_allocation(polls: DataFrame, key: str, ts: str, seq: str, node: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds") -> DataFrame:
     """First usable node of every job, or a timeout after ``limit`` polls or ``seconds`` of event time."""
-    return first_hits(polls, key, ts, seq, node.isNotNull(), node, "allocated", "timeout", limit, seconds, delay, groups)
+    return first_hits(polls, key, ts, seq, node.isNotNull(), node, "allocated", "timeout", limit, seconds, delay)
 
 
-def await_ready(polls: DataFrame, key: str, ts: str, seq: str, ready: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds", groups: int = 256) -> DataFrame:
+def await_ready(polls: DataFrame, key: str, ts: str, seq: str, ready: Column, limit: int = fv.POLL_LIMIT, seconds: float = fv.POLL_LIMIT * fv.POLL_SECONDS, delay: str = "0 seconds") -> DataFrame:
     """First ready poll of every server, or a failure."""
-    return first_hits(polls, key, ts, seq, ready, F.lit(None), "ready", "failed", limit, seconds, delay, groups)
+    return first_hits(polls, key, ts, seq, ready, F.lit(None), "ready", "failed", limit, seconds, delay)

@@ -4,7 +4,6 @@ import datetime as dt
 import os
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,14 +50,14 @@ def test_first_hit_over_batches(spark, tmp_path):
     assert got == [("early", "ready", 1, at(1)), ("edge", "ready", 60, at(59)), ("late", "failed", None, None)]
 
 
-@pytest.mark.parametrize("groups", [1, 3])
-def test_keys_that_share_a_group(spark, tmp_path, groups):
-    """Random polls of many keys in few groups, over three batches, against a plain count."""
-    rng = random.Random(groups)
+@pytest.mark.parametrize("seed", [1, 3])
+def test_many_keys_over_batches(spark, tmp_path, seed):
+    """Random polls of many keys over three batches, against a plain count."""
+    rng = random.Random(seed)
     rows = [(f"k{rng.randrange(12)}", at(i // 2), i, rng.random() < 0.03, f"n{i},x") for i in range(300)]
     stream = write_batches(spark, tmp_path, [rows[:90], rows[90:95], rows[95:]], POLL)
     node = F.when(F.col("ok"), first_node("nodes"))
-    found = polls.await_allocation(stream, "k", "ts", "id", node, limit=20, seconds=10_000.0, groups=groups)
+    found = polls.await_allocation(stream, "k", "ts", "id", node, limit=20, seconds=10_000.0)
     got = sorted((r["key"], r["status"], r["poll"], r["payload"], r["ts"]) for r in runs.run_to_table(found, str(tmp_path / "run")).collect())
     want = []
     for key in {r[0] for r in rows}:
@@ -117,12 +116,25 @@ def test_times_do_not_depend_on_the_session_zone(spark, tmp_path, settings):
     assert out.select(F.unix_micros("ts")).first()[0] == want
 
 
-def test_cut_before_the_shuffle_keeps_the_earliest(spark):
-    rows = [("a" if i % 3 else "b", i * 7 % 101, i, i % 5 == 0, None) for i in range(500)]
-    df = spark.createDataFrame(rows, "key string, us bigint, seq bigint, hit boolean, payload string").coalesce(1)
-    got = sorted((r["key"], r["us"], r["seq"]) for r in polls.keep_earliest(df, 10).collect())
-    frame = pd.DataFrame(rows, columns=["key", "us", "seq", "hit", "payload"]).sort_values(["key", "us", "seq"])
-    assert got == [tuple(r) for r in frame.groupby("key").head(10)[["key", "us", "seq"]].itertuples(index=False)]
+def test_late_polls_do_not_hide_later_ones(spark, tmp_path):
+    """Many late polls of an unknown key are all reported, and one in time starts the count."""
+    batches = [
+        [("clock", at(10_000), 0, True, "")],
+        [("clock", at(10_001), 1, True, "")],
+        [("hot", at(i), i, True, "") for i in range(200)] + [("hot", at(9_900 + i), 500 - i, i == 7, "") for i in range(200)],
+    ]
+    stream = write_batches(spark, tmp_path, batches, POLL)
+    out = runs.run_to_table(polls.await_ready(stream, "k", "ts", "id", F.col("ok"), seconds=300.0), str(tmp_path / "run"))
+    got = [(r["status"], r["poll"], r["ts"]) for r in out.filter("key = 'hot'").collect()]
+    assert sorted(t for s, _, t in got if s == polls.LATE) == [at(i) for i in range(200)]
+    assert [r for r in got if r[0] != polls.LATE] == [("ready", 8, at(9_907))]
+
+
+def test_polls_without_a_time_come_last(spark, tmp_path):
+    batches = [[("a", None, 1, True, "x"), ("a", at(5), 2, False, "y"), ("b", None, None, True, "z")], [("b", at(6), 3, True, "")]]
+    stream = write_batches(spark, tmp_path, batches, POLL)
+    out = runs.run_to_table(polls.await_ready(stream, "k", "ts", "id", F.col("ok"), seconds=300.0), str(tmp_path / "run"))
+    assert sorted((r["key"], r["status"], r["poll"], r["ts"]) for r in out.collect()) == [("a", "ready", 2, None), ("b", "ready", 1, None)]
 
 
 def test_phases_over_batches(spark, tmp_path):
