@@ -1,4 +1,4 @@
-"""Batch inference over a table of prompts with a caller's own scorer."""
+"""Batch inference: requests, answers that a service left in a table, and a caller's own scorer."""
 
 from __future__ import annotations
 
@@ -9,19 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from muster import fixed_values as fv
-from muster.functions.payloads import conversation_payload
+from muster.functions.common import lookup_join
+from muster.functions.payloads import chat_content, conversation_payload
 from muster.operators.ordered import running_total
 
 Scorer = Callable[[list[str]], list[str]]
 
 
-def echo_scorer(prompts: list[str]) -> list[str]:
-    """Deterministic local stand-in for a model: answers with the prompt, fails on an empty one."""
-    if any(p.strip() == "" for p in prompts):
-        raise ValueError("empty prompt")
-    return ["echo: " + p for p in prompts]
-
-
 def in_time(scorer: Scorer, seconds: float | None) -> Scorer:
     """The scorer, given up after ``seconds``. A call that hangs is left behind in a thread of its own."""
     if seconds is None:
@@ -66,7 +60,7 @@ def _score_batch(scorer: Scorer, prompts: list[str]):
         return [_score_one(scorer, p) for p in prompts]
 
 
-def batch_prompt(df: DataFrame, prompt: str, scorer: Scorer = echo_scorer, batch: int = 64, seconds: float | None = 60.0) -> DataFrame:
+def batch_prompt(df: DataFrame, prompt: str, scorer: Scorer, batch: int = 64, seconds: float | None = 60.0) -> DataFrame:
     """Add ``content`` and ``error``. A prompt that fails is a row with an error, never a failed job.
 
     A call that takes longer than ``seconds`` counts as failed. Other columns pass through as
@@ -89,6 +83,32 @@ def batch_prompt(df: DataFrame, prompt: str, scorer: Scorer = echo_scorer, batch
     return df.mapInArrow(score, schema)
 
 
+def read_answers(requests: DataFrame, answers: DataFrame, keys: list[str], seconds: float = 60.0) -> DataFrame:
+    """``requests`` with ``content`` and ``error``, from the answers that a service stored for them.
+
+    ``answers`` has the ``keys`` and ``status``, ``body`` and ``seconds``: the HTTP status, the answer's
+    JSON, and how long it took. Every request stays one row: with the text of its answer, or
+    with the reason why there is none. A null status or time counts as no answer. Of several answers
+    to one request, one with a text is taken before one without, then the quickest, then the
+    smallest text, so retries do no harm. Columns of these names in ``requests`` are replaced;
+    a null key is a key. Answers are reduced to one per key before they meet the requests, and
+    a key with many requests is split.
+    """
+    text = chat_content("body", None)
+    error = (
+        F.when(F.col("status").isNull() | F.col("seconds").isNull(), F.lit("no answer"))
+        .when(F.col("seconds") > seconds, F.lit(f"no answer within {seconds:g} seconds"))
+        .when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+        .when(text.isNull(), F.lit("no content found in response"))
+    )
+    judged = answers.select(*keys, "seconds", text.alias("_text"), error.alias("_error"))
+    outcome = F.struct(F.col("_error").isNotNull().alias("failed"), "seconds", F.when(F.col("_error").isNull(), F.col("_text")).alias("content"), F.col("_error").alias("error"))
+    best = judged.groupBy(*keys).agg(F.min(outcome).alias("_answer"))
+    found = lookup_join(requests.drop("content", "error"), best, keys)
+    missing = F.when(F.col("_answer").isNull(), F.lit("no answer"))
+    return found.withColumns({"content": F.col("_answer.content"), "error": F.coalesce(missing, F.col("_answer.error"))}).drop("_answer")
+
+
 def conversation_requests(turns: DataFrame, keys: list[str], turn: str, role: str, content: str, max_chars: int = 32_000, model: str = fv.DEFAULT_MODEL, temperature: float = fv.DEFAULT_TEMPERATURE, turns_per_bucket: int = 50_000) -> DataFrame:
     """``keys, part, first_turn, last_turn, n_turns, request``: chat requests with the turns of a conversation in order.
 

@@ -148,34 +148,56 @@ def f18_requests(spark, sf_dir):
     return inference.conversation_requests(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "text", max_chars=1500)
 
 
-@query(
-    "u1_batch_prompt",
-    """
-    select conv_id, turn, case when role <> 'system' then 'echo: ' || text end as content,
-      case when role = 'system' then 'ValueError: empty prompt' end as error
-    from conversations
-    """,
-)
-def u1(spark, sf_dir):
-    prompt = F.when(F.col("role") == "system", " ").otherwise(F.col("text"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
-    return inference.batch_prompt(c, "prompt", inference.echo_scorer, batch=32)
+def _stored_answers(spark, sf_dir) -> DataFrame:
+    """The assistant's turns as answers to the turns before them; long ones took long, and late turns met a busy service."""
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    choice = F.struct(payloads.message("role", "text").alias("message"))
+    return said.select(
+        "conv_id",
+        (F.col("turn") - 1).alias("turn"),
+        F.when(F.col("turn") >= 7, 503).otherwise(200).alias("status"),
+        F.to_json(F.struct(F.array(choice).alias("choices"))).alias("body"),
+        (F.length("text") / 4).alias("seconds"),
+    )
 
 
-def _completion(requests: list[str]) -> list[str]:
-    """Local endpoint: answers a chat request with a completion that echoes its prompt."""
-    import json
+def _requests(spark, sf_dir) -> DataFrame:
+    """A request for every turn that is not the assistant's."""
+    asked = table(spark, sf_dir, "conversations").filter("role is distinct from 'assistant'")
+    return asked.select("conv_id", "turn", payloads.chat_payload("text").alias("request"))
 
-    asked = [json.loads(r)["messages"][0]["content"] for r in requests]
-    return [json.dumps({"choices": [{"message": {"role": "assistant", "content": "echo: " + a}}]}) for a in asked]
+
+_SQL_ANSWERED = """
+asked as (select conv_id, turn, text from conversations where role is distinct from 'assistant'),
+said as (select conv_id, turn - 1 as turn, text as answer, case when turn >= 7 then 503 else 200 end as status, length(text) / 4.0 as seconds from conversations where role = 'assistant'),
+answered as (
+  select conv_id, turn, text, case when seconds <= 60 and status = 200 then answer end as content,
+    case when seconds is null then 'no answer' when seconds > 60 then 'no answer within 60 seconds'
+      when status <> 200 then 'HTTP ' || status when answer is null then 'no content found in response' end as error
+  from asked left join said using (conv_id, turn)
+)
+"""
+
+
+@query("u1_batch_prompt", f"with {_SQL_ANSWERED} select conv_id, turn, content, error from answered")
+def u1(spark, sf_dir):
+    return inference.read_answers(_requests(spark, sf_dir), _stored_answers(spark, sf_dir), ["conv_id", "turn"]).drop("request")
 
 
 @query(
     "flow_prompts",
-    "select conv_id, turn, 'echo: ' || text as content, cast(null as varchar) as error from conversations",
+    f"""
+    with {_SQL_ANSWERED}
+    select error, cast(count(*) as bigint) as requests, cast(sum(length(content)) as bigint) as answered_chars,
+      cast(sum(length('{{"model":"google/gemma-4-31B-it","messages":[{{"role":"user","content":' || cast(to_json(text) as varchar) || '}}],"temperature":0.7}}')) as bigint) as request_chars
+    from answered group by error
+    """,
 )
 def prompts_flow(spark, sf_dir):
-    """Prompt, request, answer, text of the answer."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", payloads.chat_payload("text").alias("request"))
-    answered = inference.batch_prompt(c, "request", _completion)
-    return answered.select("conv_id", "turn", payloads.chat_content("content", None).alias("content"), "error")
+    """Prompt, request, stored answer, text of the answer, and a report of what went wrong how often."""
+    answered = inference.read_answers(_requests(spark, sf_dir), _stored_answers(spark, sf_dir), ["conv_id", "turn"])
+    return answered.groupBy("error").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.sum(F.length("content").cast("long")).alias("answered_chars"),
+        F.sum(F.length("request").cast("long")).alias("request_chars"),
+    )

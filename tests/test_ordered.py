@@ -207,6 +207,28 @@ def test_batch_prompt_keeps_values_and_gives_up_in_time(spark):
     assert got[1]["error"].startswith("TimeoutError")
 
 
+def test_stored_answers(spark, rows):
+    """Every request is one row, with its text or the reason; retries, repeated requests and null keys included."""
+    def body(text):
+        return '{"choices":[{"message":{"role":"assistant","content":"' + text + '"}}]}'
+
+    answers = [
+        (1, 503, "busy", 1.0), (1, 200, body("second"), 9.0), (1, 200, body("first"), 8.0), (1, 200, body("a tie"), 8.0),
+        (2, 200, body("slow"), 60.5), (3, 200, body("just"), 60.0), (4, 500, "oops", 2.0), (5, 200, "{}", 2.0), (6, 200, "not json", 2.0),
+        (7, None, None, None), (None, 200, body("null"), 1.0), (9, 200, body(""), 0.0), (10, 429, None, 3.0), (10, 500, None, 2.0), (99, 200, body("x"), 1.0),
+    ]
+    given = spark.createDataFrame(answers, "id int, status int, body string, seconds double")
+    asked = spark.createDataFrame([(i, "old") for i in (1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None)], "id int, content string").withColumn("status", F.lit("kept"))
+    want = {
+        1: ("a tie", None), 2: (None, "no answer within 60 seconds"), 3: ("just", None), 4: (None, "HTTP 500"), 5: (None, "no content found in response"),
+        6: (None, "no content found in response"), 7: (None, "no answer"), 8: (None, "no answer"), None: ("null", None), 9: ("", None), 10: (None, "HTTP 500"),
+    }
+    got = inference.read_answers(asked, given, ["id"]).select("id", "content", "error", "status").collect()
+    assert len(got) == 12 and {r["id"]: (r["content"], r["error"]) for r in got} == want and {r["status"] for r in got} == {"kept"}
+    assert inference.read_answers(asked.limit(0), given, ["id"]).count() == 0
+    assert {r["error"] for r in inference.read_answers(asked, given.limit(0), ["id"]).collect()} == {"no answer"}
+
+
 def test_running_total(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BUCKETS_TOGETHER", 3)
     data = [(k, 0, i, None) for i, (k, _, _, _) in enumerate(sample(400, 6))]
