@@ -2,60 +2,104 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from muster.operators.state import fold_changes
+from muster.operators.state import START, STOP
 from muster.sources.keyed_state import STATE
+from muster.streaming.runs import rocksdb_state
+
+_CHANGED = STATE + ", here boolean, number bigint"
+
+
+def _place(seq) -> tuple:
+    """Order of a value or struct, nulls first."""
+    return tuple(map(_place, seq)) if isinstance(seq, tuple) else (seq is not None, seq)
+
+
+class Entry(StatefulProcessor):
+    """The entry of one key; tells every time that it comes, goes or gets another process.
+
+    The state is the process, whether the key is there, and how often it changed. It stays for
+    a key that has gone, so that the numbers of its changes go on.
+    """
 
-_STORED = STATE + ", version bigint, run string, batch bigint"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entry = handle.getValueState("entry", "pid bigint, here boolean, number bigint")
 
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.entry.update((initialState.pid, initialState.here, initialState.number))
 
-def _stored(spark: SparkSession, folder: str, slot: int) -> DataFrame:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        pid, here, number = self.entry.get() or (None, False, 0)
+        # Only starts behind the last stop can matter.
+        stop, starts = None, []
+        for change in rows:
+            place = _place(change.seq)
+            if stop is not None and place <= stop:
+                continue
+            if change.op == STOP:
+                stop, starts = place, [s for s in starts if s[0] > place]
+            elif change.op == START:
+                starts.append((place, change.pid))
+        if here and stop is None:
+            return
+        now = (min(starts, key=_place)[1], True) if starts else (None, False)
+        if now != (pid, here):
+            self.entry.update((*now, number + 1))
+            yield Row(key=key[0], pid=now[0], here=now[1], number=number + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def _last_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The last change of every key, over all runs."""
     try:
-        return spark.read.schema(_STORED).parquet(f"{folder}/slot-{slot}")
+        told = spark.read.schema(_CHANGED).parquet(f"{folder}/run-*")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _STORED)
+        return spark.createDataFrame([], _CHANGED)
+    last = told.groupBy("key").agg(F.max_by(F.struct("pid", "here", "number"), "number").alias("last"))
+    return last.select("key", "last.*")
 
 
 def current_state(spark: SparkSession, folder: str) -> DataFrame:
-    """State after the last finished batch.
+    """``key, pid`` of the keys that are there after the changes told so far."""
+    return _last_changes(spark, folder).filter("here").select("key", "pid")
 
-    Two tables take turns, so the one being read is never the one being written. Each holds
-    one marker row without a key, which carries its version even when the state is empty.
-    """
-    both = _stored(spark, folder, 0).unionByName(_stored(spark, folder, 1))
-    newest = both.agg(F.max("version").alias("v")).scalar()
-    return both.filter((F.col("version") == newest) & F.col("key").isNotNull()).select("key", "pid")
 
+def entry_changes(changes: DataFrame, folder: str) -> DataFrame:
+    """Stream of ``key, pid, here, number`` from one of ``key, op, pid, seq``, with a struct or number as ``seq``.
 
-def apply_batch(changes: DataFrame, batch_id: int, folder: str, run: str = "") -> None:
-    """Fold one batch of ``key, op, pid, seq`` into the table. Doing a batch again changes nothing.
-
-    Every batch adds one to the newest version, so the numbers of ``run`` (the stream's checkpoint)
-    may start anew. Only the newest slot's own run and batch are done again, into the same slot.
+    Batches count in the order in which they come, and changes of one batch in that of ``seq``. A
+    start of a key that is there is refused. A stream without a past begins with what ``folder`` tells.
     """
-    spark = changes.sparkSession
-    marks = [_stored(spark, folder, slot).filter(F.col("key").isNull()).select("version", "run", "batch").first() for slot in (0, 1)]
-    newest = max((0, 1), key=lambda slot: marks[slot]["version"] if marks[slot] else -1)
-    again = marks[newest] is not None and (marks[newest]["run"], marks[newest]["batch"]) == (run, batch_id)
-    version = (marks[newest]["version"] if marks[newest] else -1) + (0 if again else 1)
-    source, target = (1 - newest, newest) if again else (newest, 1 - newest)
-    before = _stored(spark, folder, source).filter(F.col("key").isNotNull())
-    after = fold_changes(before.select("key", "pid"), changes)
-    marker = spark.createDataFrame([(None, None)], STATE)
-    rows = after.unionByName(marker).withColumns({"version": F.lit(version).cast("bigint"), "run": F.lit(run), "batch": F.lit(batch_id).cast("bigint")})
-    rows.write.mode("overwrite").parquet(f"{folder}/slot-{target}")
+    before = _last_changes(changes.sparkSession, folder).groupBy("key")
+    rows = changes.select("key", "op", F.col("pid").cast("bigint").alias("pid"), "seq")
+    return rows.groupBy("key").transformWithState(Entry(), _CHANGED, "append", "none", before)
 
 
 def upsert_state(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Start the stream that keeps the state table up to date with what is there."""
-    return (
-        changes.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, folder, checkpoint))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Start the stream that adds what is there to the changes told in ``folder``.
+
+    The state itself is Spark's own, one value per key, so a batch reads and writes only the keys it
+    has; the table holds one row per change, written once by the file sink. A batch that is done
+    again tells the same changes under the same numbers. A new checkpoint goes on from the table,
+    and the one that it replaced must not be used any more.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    with rocksdb_state(changes.sparkSession):
+        return (
+            entry_changes(changes, folder)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(f"{folder}/run-{run}")
+        )

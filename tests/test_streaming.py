@@ -172,25 +172,32 @@ def test_state_over_batches(spark, tmp_path, rows):
         assert rows(state.current_state(spark, str(folder / "state"))) == want
 
 
-def test_a_repeated_batch_changes_nothing(spark, tmp_path, rows):
-    folder = str(tmp_path / "state")
-    first = spark.createDataFrame([("a", "start", 1, 1)], CHANGE)
-    second = spark.createDataFrame([("b", "start", 2, 2), ("a", "stop", None, 3)], CHANGE)
-    state.apply_batch(first, 0, folder)
-    state.apply_batch(first, 0, folder)
-    state.apply_batch(second, 1, folder)
-    state.apply_batch(second, 1, folder)
-    assert rows(state.current_state(spark, folder)) == [("b", 2)]
-    assert rows(state.current_state(spark, str(tmp_path / "none"))) == []
-
-
-def test_state_goes_on_with_a_new_checkpoint(spark, tmp_path, rows):
-    folder = str(tmp_path / "state")
-    for i, key in enumerate("abc"):
-        state.apply_batch(spark.createDataFrame([(key, "start", i, i)], CHANGE), i, folder, "one")
-    for _ in range(2):
-        state.apply_batch(spark.createDataFrame([("z", "start", 7, 9)], CHANGE), 0, folder, "two")
-    assert rows(state.current_state(spark, folder)) == [("a", 0), ("b", 1), ("c", 2), ("z", 7)]
+def upsert(spark, folder, data, checkpoint):
+    """The state after one more run over new rows, in files of their own."""
+    spark.createDataFrame(data, CHANGE).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(CHANGE).parquet(str(folder / "in"))
+    runs.finish(state.upsert_state(stream, str(folder / "state"), str(folder / checkpoint)))
+    return sorted((tuple(r) for r in state.current_state(spark, str(folder / "state")).collect()), key=repr)
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    assert state.current_state(spark, str(tmp_path / "state")).collect() == []
+    assert upsert(spark, tmp_path, [("a", "start", 1, 1), (None, "start", 4, 2), ("b", "stop", None, 3)], "ck") == [("a", 1), (None, 4)]
+    assert upsert(spark, tmp_path, [("a", "start", 2, 4), ("b", "start", 7, 5), ("b", "other", 8, 6)], "ck") == [("a", 1), ("b", 7), (None, 4)]
+    assert upsert(spark, tmp_path, [("a", "stop", None, 9), ("a", "start", 5, 8), ("a", "start", 6, 10), ("a", "start", 3, 11)], "ck") == [("a", 6), ("b", 7), (None, 4)]
+    assert upsert(spark, tmp_path, [], "ck") == [("a", 6), ("b", 7), (None, 4)]
+    told = spark.read.parquet(str(tmp_path / "state" / "run-*")).filter("key = 'a'").orderBy("number").collect()
+    assert [(r["pid"], r["here"], r["number"]) for r in told] == [(1, True, 1), (6, True, 2)]
+
+
+def test_state_goes_on_with_a_new_checkpoint(spark, tmp_path):
+    first, second = tmp_path / "first", tmp_path / "second"
+    assert upsert(spark, first, [("a", "start", 1, 1), ("b", "start", 2, 2), ("c", "stop", None, 3)], "ck") == [("a", 1), ("b", 2)]
+    assert upsert(spark, first, [("b", "stop", None, 4)], "ck") == [("a", 1)]
+    second.mkdir()
+    (second / "state").symlink_to(first / "state")
+    assert upsert(spark, second, [("a", "start", 9, 1), ("b", "start", 8, 2)], "ck") == [("a", 1), ("b", 8)]
+    assert upsert(spark, second, [("a", "stop", None, 3)], "ck") == [("b", 8)]
 
 
 def test_follow_lines(spark, tmp_path, rows):
