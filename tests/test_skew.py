@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from muster.operators import aggregates, leaves, matching, predicates, refs, state
+from muster.operators import aggregates, inference, leaves, matching, predicates, refs, state
 
 N = 120_000
 
@@ -114,3 +114,13 @@ def test_list_children(spark, small_skew):
     tree = hot(spark, doc=hot_key(), path=leaf, value=F.lit("1"))
     out = leaves.list_children(tree, ["doc"], "server", "root", "server")
     check(out, N)
+
+
+def test_read_answers(spark, small_skew):
+    """One request is asked very often and one is answered very often."""
+    asked = hot(spark, request=hot_key(), pad=pad())
+    body = F.concat(F.lit('{"choices":[{"message":{"content":"'), pad(), F.lit('"}}]}'))
+    answers = hot(spark, request=hot_key(), status=F.lit(200), body=body, seconds=F.col("id") % 100 + F.lit(1.0))
+    out = inference.read_answers(asked, answers, ["request"])
+    check(out, N)
+    assert out.filter("request = 'hot' and content is not null").count() == N // 3
