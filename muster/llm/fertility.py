@@ -6,8 +6,12 @@ the tokens. What is usual differs with the language and, for the entropy, with t
 each document is held against a band of its own group: documents of the same language (or of
 the same script, where no language is given) whose token counts have the same number of bits.
 A band is the median of the group's distinct measurements and ``width`` times their quartile
-range to either side, but never narrower than a stated minimum; groups with few distinct
-measurements have no band and reject nothing.
+range to either side, but never narrower than ``least`` nor wider than ``most``, so that a source of
+junk cannot widen it at will. A group with few distinct measurements has no band of its own. Its
+documents are held against the band of the nearest shorter length of their language that has one,
+else of the nearest longer one, and where the language has none, against those of their script in
+the same way. Entropy does not fall with the length of ordinary text, and rises by at most a
+bit when the text doubles; a band taken from another length is moved by that much on that side.
 """
 
 from __future__ import annotations
@@ -25,6 +29,12 @@ WHITE = " \t\n\v\f\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
+#: Half a band's width is at least and at most this much.
+LEAST = {"chars_per_token": 0.4, "token_entropy": 0.4}
+MOST = {"chars_per_token": 0.6, "token_entropy": 1.3}
+#: Measures that rise with the length, by at most one for each doubling.
+RISING = {"token_entropy"}
+
 #: First code points of the blocks that tell scripts apart, and the script from there on.
 SCRIPT_STARTS = [
     (0x0000, "other"), (0x0041, "latin"), (0x005B, "other"), (0x0061, "latin"), (0x007B, "other"), (0x00C0, "latin"),
@@ -140,7 +150,7 @@ def measure(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep:
     return with_columns(docs, text_col, run, MEASURES, keep)
 
 
-def bands(measured: DataFrame, group: list[str], width: float, least: dict[str, float], min_documents: int) -> DataFrame:
+def bands(measured: DataFrame, group: list[str], width: float, least: dict[str, float], most: dict[str, float], min_documents: int) -> DataFrame:
     """Lowest and highest usual value of each measure per group, over all documents.
 
     Equal measurements count once, so that a group full of copies does not narrow its band.
@@ -148,10 +158,36 @@ def bands(measured: DataFrame, group: list[str], width: float, least: dict[str,
     names = list(least)
     distinct = measured.select(*group, *names).dropna(subset=names).distinct()
     points = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in names]
-    return distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *points).filter(F.col("_n") >= min_documents).select(
-        *group,
-        *[F.struct((m - h).alias("low"), (m + h).alias("high")).alias(f"_band_{c}") for c in names for m, h in [(F.col(c)[1], F.greatest(F.lit(least[c]), width * (F.col(c)[2] - F.col(c)[0])))]],
-    )
+    found = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *points).filter(F.col("_n") >= min_documents)
+
+    def band(c):
+        half = F.least(F.lit(most[c]), F.greatest(F.lit(least[c]), width * (F.col(c)[2] - F.col(c)[0])))
+        return F.struct((F.col(c)[1] - half).alias("low"), (F.col(c)[1] + half).alias("high")).alias(c)
+
+    return found.select(*group, *[band(c) for c in names])
+
+
+def bands_by_length(measured: DataFrame, key: str, name: str, *limits) -> DataFrame:
+    """``key`` and the array ``name`` with the bands of its lengths, shortest first; at most one for each number of bits."""
+    found = bands(measured, [key, "_bits"], *limits)
+    measures = [c for c in found.columns if c not in (key, "_bits")]
+    return found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_bits", *measures))).alias(name))
+
+
+def band_for(lengths, bits, rising: set[str], names: list[str]):
+    """The band for texts of ``bits`` bits of tokens out of the bands by length; null where there is none."""
+    shorter = F.element_at(F.filter(lengths, lambda x: x["_bits"] <= bits), -1)
+    longer = F.get(F.filter(lengths, lambda x: x["_bits"] > bits), F.lit(0))
+
+    def moved(band, down, up):
+        change = {c: (down, up) if c in rising else (F.lit(0), F.lit(0)) for c in names}
+        return F.struct(*[F.struct((band[c]["low"] - change[c][0]).alias("low"), (band[c]["high"] + change[c][1]).alias("high")).alias(c) for c in names])
+
+    none = F.lit(0)
+    return (
+        F.when(F.exists(lengths, lambda x: x["_bits"] <= bits), moved(shorter, none, bits - shorter["_bits"]))
+        .when(F.exists(lengths, lambda x: x["_bits"] > bits), moved(longer, longer["_bits"] - bits, none))
+    )
 
 
 def judge(
@@ -159,6 +195,7 @@ def judge(
     lang_col: str | None = "lang",
     width: float = 3.0,
     least: dict[str, float] | None = None,
+    most: dict[str, float] | None = None,
     max_byte_share: float = 0.3,
     min_tokens: int = 64,
     min_documents: int = 50,
@@ -171,18 +208,24 @@ def judge(
     ``max_repeat_percent`` of its words in repeated windows. The method rejects a document with
     a byte-fallback share above ``max_byte_share``, and one outside its group's bands (see the
     module's text). Texts of fewer than ``min_tokens`` tokens are too short to measure and are held
-    against the byte share only. Null languages go by script; null scripts are a group too.
+    against the byte share only, and so are those for whose language and script no length has a band. Null
+    languages go by script; null scripts are a group too.
     """
-    least = {"chars_per_token": 0.4, "token_entropy": 0.4} if least is None else least
+    least = LEAST if least is None else least
+    most = MOST if most is None else most
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col and lang_col in measured.columns else F.lit(None).cast("string")
     bits = F.when(F.col("n_tokens") >= min_tokens, F.floor(F.log2("n_tokens")).cast("int"))
-    grouped = measured.withColumns({"_language": F.coalesce(lang, "script", F.lit("")), "_bits": bits})
-    group = ["_language", "_bits"]
-    # A stored table has a known size; Spark broadcasts it only where that is small.
-    limits = stored(bands(grouped.filter(F.col("_bits").isNotNull()), group, width, least, min_documents), "bands")
-    joined = lookup_join(grouped, limits, group)
+    names = list(least)
+    grouped = measured.withColumns({"_language": F.coalesce(lang, "script", F.lit("")), "_script": F.coalesce("script", F.lit("")), "_bits": bits})
+    long_enough = grouped.filter(F.col("_bits").isNotNull())
+    joined = grouped
+    for key, name in (("_language", "_own"), ("_script", "_shared")):
+        # A stored table has a known size; Spark broadcasts it only where that is small.
+        joined = lookup_join(joined, stored(bands_by_length(long_enough, key, name, width, least, most, min_documents), "bands"), [key])
+    band = F.coalesce(*[band_for(F.col(c), F.col("_bits"), RISING, names) for c in ("_own", "_shared")])
+    joined = joined.withColumn("_band", F.when(F.col("_bits").isNotNull(), band))
     odd = F.col("byte_share") > max_byte_share
-    for c in least:
-        odd = odd | ~F.coalesce(F.col(c).between(F.col(f"_band_{c}.low"), F.col(f"_band_{c}.high")), F.lit(True))
+    for c in names:
+        odd = odd | ~F.coalesce(F.col(c).between(F.col(f"_band.{c}.low"), F.col(f"_band.{c}.high")), F.lit(True))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(odd, F.lit(False))}).drop(*group, *[f"_band_{c}" for c in least])
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(odd, F.lit(False))}).drop("_language", "_script", "_bits", "_own", "_shared", "_band")

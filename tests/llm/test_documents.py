@@ -1,6 +1,7 @@
 """Toxicity, near duplicates, scores and quality rules against plain versions."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -387,6 +388,79 @@ def test_quality_verdicts(documents, odd_documents):
     assert all(r["kept"] for r in clean if (r["byte_share"] or 0) <= 0.3)
 
 
+MEASURED = "doc_id int, lang string, script string, n_tokens long, chars_per_token double, token_entropy double, byte_share double, n_words long, n_repeat_words long"
+
+
+def plain_verdicts(rows, least_documents):
+    """Bands and verdicts one document at a time."""
+    def tables(key):
+        groups = {}
+        for r in rows:
+            if r[3] >= 64 and r[4] is not None:
+                groups.setdefault(key(r), {}).setdefault(r[3].bit_length() - 1, set()).add((r[4], r[5]))
+        found = {}
+        for name, lengths in groups.items():
+            for bits, points in lengths.items():
+                if len(points) >= least_documents:
+                    band = []
+                    for i, most in ((0, 0.6), (1, 1.3)):
+                        v = sorted(x[i] for x in points)
+                        q1, q2, q3 = (v[math.ceil(p * len(v)) - 1] for p in (0.25, 0.5, 0.75))
+                        half = min(most, max(0.4, 3 * (q3 - q1)))
+                        band.append((q2 - half, q2 + half))
+                    found.setdefault(name, {})[bits] = band
+        return found
+
+    by_language, by_script = tables(lambda r: r[1] or r[2] or ""), tables(lambda r: r[2] or "")
+    kept = {}
+    for r in rows:
+        good = not (r[7] < 10 or 100 * r[8] > 20 * r[7] or (r[6] or 0) > 0.3)
+        lengths = by_language.get(r[1] or r[2] or "") or by_script.get(r[2] or "")
+        if good and r[3] >= 64 and lengths:
+            bits = r[3].bit_length() - 1
+            at = max((b for b in lengths if b <= bits), default=min(lengths))
+            (low, high), (least, most) = lengths[at]
+            if r[4] is not None:
+                good = low <= r[4] <= high and least - max(0, at - bits) <= r[5] <= most + max(0, bits - at)
+        kept[r[0]] = good
+    return kept
+
+
+def test_verdicts_against_plain_bands(spark):
+    """Rare lengths, rare languages and a third of junk; small groups are held against their neighbours."""
+    rng = random.Random(11)
+    rows = []
+
+    def add(n, lang, script, bits, per, entropy, spread=0.05):
+        for _ in range(n):
+            tokens = rng.randrange(1 << bits, 2 << bits)
+            rows.append((len(rows), lang, script, tokens, rng.gauss(per, spread), rng.gauss(entropy, spread), rng.choice([0.0, 0.1, 0.31, None]), rng.choice([100, 100, 100, 9]), rng.choice([0, 20, 21])))
+
+    for bits in (7, 8, 9):
+        add(80, "en", "latin", bits, 2.2, bits - 1.0)
+    add(40, "fr", "latin", 8, 1.9, 7.0)
+    add(20, "fr", "latin", 8, 1.9, 4.0)
+    odd = len(rows)
+    add(3, "en", "latin", 15, 2.2, 8.5)
+    add(3, "en", "latin", 15, 2.2, 5.0)
+    add(3, "en", "latin", 6, 2.2, 5.5)
+    add(3, "sv", "latin", 8, 2.2, 7.0)
+    add(3, "sv", "latin", 8, 5.0, 7.0)
+    add(3, "ja", "cjk", 8, 0.7, 9.0)
+    add(3, None, "latin", 8, 2.2, 7.0)
+    add(3, None, None, 8, 2.2, 7.0)
+    add(3, "en", "latin", 3, 9.0, 1.0)
+    rows.append((len(rows), "en", "latin", 0, None, None, None, 100, 0))
+    measured = spark.createDataFrame(rows, MEASURED)
+    judged = {r["doc_id"]: r["kept"] for r in fertility.judge(measured, min_documents=30).collect()}
+    assert judged == plain_verdicts(rows, 30)
+    fine = [r for r in rows if r[7] == 100 and r[8] <= 20 and (r[6] or 0) <= 0.3]
+    # What low entropy or odd characters per token tell is told for rare lengths and languages, and for a third of junk, too.
+    assert all(judged[r[0]] == (r[5] > 6 or r[3] < 256) for r in fine if r[0] < odd + 9)
+    assert not any(judged[r[0]] for r in fine if r[1] == "sv" and r[4] > 4)
+    assert fertility.judge(measured.limit(0)).count() == 0
+
+
 def test_good_documents_are_kept(spark):
     judged = queries.QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     found = {(r["quality"], r["kept"]): r["count"] for r in judged.filter("not base_failed").groupBy("quality", "kept").count().collect()}
