@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from muster import fixed_values as fv
 from muster.functions.common import as_col, join_on
-from muster.operators.ordered import first_rows, number_rows
+from muster.operators.ordered import first_rows, range_of, running_total
 
 
 def any_pattern(patterns=fv.READY_PATTERNS) -> str:
@@ -62,10 +62,17 @@ def concat_names(groups: DataFrame, names: DataFrame, keys: list[str], name: str
     ``part`` 0, 1, ... hold the first, second, ... ``names_per_part`` sorted names of a group, so
     the parts in order, joined by commas, are its whole list and no task ever builds an unbounded one.
     """
-    listed = names.filter(F.col(name).isNotNull()).select(*keys, name)
-    placed = number_rows(listed, keys, [name], "_n")
-    placed = placed.withColumn("part", F.floor((F.col("_n") - 1) / names_per_part).cast("int"))
-    texts = placed.groupBy(*keys, "part").agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
+    listed = names.filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_count"))
+    placed = running_total(listed, keys, range_of(listed, [*keys, name]), [name], F.col("_count"), "_before")
+    # An equal name is one row with a count, and is told once to every part it reaches into.
+    part_at = lambda place: F.floor(place / names_per_part).cast("int")
+    last = F.col("_before") + F.col("_count") - 1
+    parts = placed.withColumn("part", F.explode(F.sequence(part_at(F.col("_before")), part_at(last))))
+    begin = F.col("part").cast("bigint") * names_per_part
+    held = F.least(last + 1, begin + names_per_part) - F.greatest("_before", begin)
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(name).alias("name"), held.cast("int").alias("times"))))
+    spelled = F.flatten(F.transform(pieces, lambda p: F.array_repeat(p["name"], p["times"])))
+    texts = parts.groupBy(*keys, "part").agg(F.array_join(spelled, ", ").alias("names"))
     out = join_on(groups.select(*keys).distinct(), texts, keys, "left")
     return out.select(
         *keys,

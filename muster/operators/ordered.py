@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from muster import fixed_values as fv
 from muster.functions.common import as_col, join_on, lookup_join
-from muster.session import checkpointed
 
 
 _CUT_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -20,6 +19,12 @@ _CUT_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 #: Buckets of a key that one task looks at together.
 BUCKETS_TOGETHER = 1000
+#: Ranges of an order for every shuffle partition, and values drawn to find the borders of one.
+RANGES_PER_PARTITION = 4
+SAMPLES_PER_RANGE = 20
+#: Characters of a text that a border keeps.
+BORDER_CHARS = 1000
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, out: str = "n") -> DataFrame:
@@ -97,22 +102,50 @@ def _attach(rows: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFram
     return join_on(rows, per_bucket, [*keys, "_bucket"], "left")
 
 
+def _at_most(row: Column, borders: Column, n: int) -> Column:
+    """How many of ``n`` sorted ``borders`` are not above ``row``, by halving steps."""
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    return F.reduce(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(borders, at + step - 1) <= row, at + step).otherwise(at),
+    )
+
+
+def range_of(df: DataFrame, cols: list[str], ranges: int | None = None) -> Column:
+    """Number of the range a row falls into along ``cols``; it never decreases in their order.
+
+    The borders come from a mergeable sketch: the ``SAMPLES_PER_RANGE * ranges`` smallest hashes
+    of the values, which every task cuts to that many before they meet. The borders are constants
+    of the returned expression, so it gives a row the same range wherever and whenever it is
+    worked out. They decide only how even the ranges are. A job runs to find them.
+
+    ``ranges`` is four times the session's shuffle partitions unless told otherwise. Rows that
+    are equal in ``cols``, texts cut to ``BORDER_CHARS``, share a range.
+    """
+    ranges = ranges or RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.struct(*cols)
+    # A border may be any value, so long texts need not come whole.
+    short = F.struct(*[(F.left(c, F.lit(BORDER_CHARS)) if kind == "string" else F.col(c)).alias(c) for c, kind in df.select(*cols).dtypes])
+    drawn = df.select(short.alias("_row"), F.xxhash64(*cols).alias("_hash")).orderBy("_hash").limit(SAMPLES_PER_RANGE * ranges)
+    found = F.sort_array(F.collect_set("_row"))
+    step = F.greatest(F.ceil(F.size(found) / ranges), F.lit(1))
+    sketch = drawn.agg(found.alias("found"), step.alias("step"))
+    picked = sketch.select(F.to_json(F.filter("found", lambda _, i: (i > 0) & (i % F.col("step") == 0)), _MICROS).alias("borders"))
+    text = picked.first()[0]
+    kind = df.select(F.array(row)).schema[0].dataType
+    borders = F.sort_array(F.from_json(F.lit(text), kind, _MICROS))
+    return _at_most(row, borders, ranges)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "n") -> DataFrame:
     """Position of every row inside its key, counted from 1. ``keys`` and ``order`` name each row.
 
-    Rows are split into ranges of (keys, order), which cuts a large key into many ranges.
-    The ranges are stored, because they are looked at twice and must be the same both times:
-    once to count the rows of a key in earlier ranges, once to number rows inside a range.
+    Ranges of (keys, order) cut a large key into many pieces. A row's range is an expression of
+    the row, so the ranges are counted in one pass and numbered in another with nothing stored.
     """
-    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id()))
-    sizes = ranged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = _carry_over_buckets(sizes, keys, "_size", "_earlier", total=True)
-    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    return (
-        _attach(ranged, earlier, keys)
-        .withColumn(out, inside + F.coalesce("_earlier", F.lit(0)))
-        .drop("_bucket", "_earlier")
-    )
+    before = running_total(df, keys, range_of(df, [*keys, *order]), order, F.lit(1), out)
+    return before.withColumn(out, F.col(out) + 1)
 
 
 def sample_every(df: DataFrame, keys: list[str], order: list[str], k: int = fv.STATUS_SAMPLE) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from muster.functions.common import lookup_join
-from muster.session import checkpointed
+from muster.operators.ordered import range_of
 
 START, STOP = "start", "stop"
 
@@ -39,7 +39,7 @@ def start_outcomes(state: DataFrame, changes: DataFrame, already: str) -> DataFr
     before its first change the state decides. Only the last change of each earlier range of
     (key, seq) is looked at across ranges, so a key with many changes is worked on by many tasks.
     """
-    ranged = checkpointed(changes.select("key", "op", "pid", "seq").repartitionByRange("key", "seq").withColumn("_range", F.spark_partition_id()))
+    ranged = changes.select("key", "op", "pid", "seq", range_of(changes, ["key", "seq"]).alias("_range"))
     lasts = ranged.groupBy("key", "_range").agg(F.max_by("op", "seq").alias("_last"))
     earlier = lasts.withColumn("_last", F.lag("_last").over(W.partitionBy("key").orderBy("_range")))
     inside = F.lag("op").over(W.partitionBy("key", "_range").orderBy("seq"))

@@ -72,6 +72,44 @@ def test_number_rows_with_a_hot_key_and_ties(spark, settings):
     assert got == {(k, r[2]): i + 1 for k, v in by_key(data).items() for i, r in enumerate(v)}
 
 
+def test_ranges_follow_the_order_and_are_even(spark, rows):
+    """Every kind of column, nulls and empty texts included; the range is a constant expression of the row."""
+    rng = random.Random(8)
+    data = [(rng.choice([None, "", "a", "b" * 3000]), rng.choice([None, rng.random(), float("nan")]), rng.choice([None, b"", b"x\x00"]), i) for i in range(800)]
+    df = spark.createDataFrame(data, "s string, d double, b binary, i int")
+    df = df.withColumn("t", F.timestamp_micros(F.col("i") * 7919 % 1000)).withColumn("m", F.col("d").cast("decimal(12,3)"))
+    for cols in (["s", "d", "b", "i"], ["t", "i"], ["m", "s", "t", "b", "i"], ["b"], ["i", "s"]):
+        ranged = df.withColumn("r", ordered.range_of(df, cols, 10))
+        assert "Exchange" not in ranged._jdf.queryExecution().optimizedPlan().toString()
+        in_order = [r["r"] for r in ranged.orderBy(*cols).collect()]
+        assert in_order == sorted(in_order) and max(in_order) < 10
+        if "i" in cols:
+            assert max(in_order.count(r) for r in set(in_order)) < 300
+    assert rows(df.limit(0).select(ordered.range_of(df.limit(0), ["s"]))) == []
+    assert rows(ordered.number_rows(df.limit(0), ["s"], ["i"])) == []
+
+
+def test_numbering_stores_nothing(spark):
+    df = spark.createDataFrame(sample(200, 6), POLL)
+    plan = ordered.number_rows(df, ["k"], ["ts", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and plan.count("ExistingRDD") == 0 and "Scan parquet" not in plan and "RepartitionByExpression" not in plan
+
+
+@pytest.mark.parametrize("per_part", [1, 7, 1000])
+def test_equal_names_reach_over_many_parts(spark, per_part):
+    rng = random.Random(per_part)
+    data = [(rng.choice(["hot", "hot", "g", None]), rng.choice(["same", "same", "same", "", "z", None, f"n{rng.random()}"])) for _ in range(500)]
+    groups = [("hot",), ("g",), (None,), ("empty",)]
+    names = spark.createDataFrame(data, "g string, name string").repartition(5)
+    out = aggregates.concat_names(spark.createDataFrame(groups, "g string"), names, ["g"], "name", names_per_part=per_part)
+    want = {}
+    for (g,) in groups:
+        listed = sorted(n for k, n in data if k == g and n is not None)
+        for at in range(0, max(len(listed), 1), per_part):
+            want[g, at // per_part] = ", ".join(listed[at : at + per_part]) if listed else "None"
+    assert {(r["g"], r["part"]): r["names"] for r in out.collect()} == want
+
+
 def test_sample_every(spark):
     data = sample(300, 3)
     got = {r["id"] for r in ordered.sample_every(spark.createDataFrame(data, POLL), ["k"], ["ts", "id"], 10).collect()}

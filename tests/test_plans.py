@@ -13,7 +13,7 @@ from muster.plans.registry import table
 SF = "/root/testdata/sf0.001"
 
 # These write files or run a stream first; what they return is only a read of the result.
-EAGER = ("s2_", "s3_", "s5_", "s7_", "s8_", "s9_", "s10_", "t1_", "t2_", "t3_", "t4_", "t5_", "w4_")
+EAGER = ("s2_", "s3_", "s5_", "s7_", "s8_", "s9_", "s10_", "t1_", "t2_", "t3_", "t4_", "t5_")
 
 
 def plan_of(df):
