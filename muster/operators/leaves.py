@@ -53,28 +53,40 @@ def nesting_depth(doc: ColumnOrName) -> Column:
     )
 
 
+_LEAF_LIST = "array<struct<path:array<string>,node:variant>>"
+
+
+def _opened(nodes: Column) -> Column:
+    """The nodes with every object replaced by its members."""
+    def members(at):
+        below = lambda m: F.struct(F.array_append(at["path"], m["key"]).alias("path"), m["value"].alias("node"))
+        inner = _children(at["node"])
+        return F.when(inner.isNotNull(), F.transform(F.map_entries(inner), below)).otherwise(F.array(at))
+
+    return F.flatten(F.transform(nodes, members))
+
+
 def flatten_leaves(docs: DataFrame, doc: str = "doc", max_depth: int | None = None) -> DataFrame:
-    """One row per leaf. All levels are generators over the same row, without a shuffle.
+    """One row per leaf, without a shuffle and in one pass.
 
-    Without ``max_depth`` a small aggregate finds the depth of the documents first, and as many
-    generators are planned. With it (needed on streams) a document that is nested deeper fails
-    the query instead of losing leaves. A null ``doc`` has no leaves.
+    Each row opens its own document, as many levels as that document has, so nothing about other
+    documents must be known before. With ``max_depth`` a document that is nested deeper fails the
+    query instead of losing leaves. A null ``doc`` has no leaves.
     """
-    if max_depth is None:
-        max_depth = docs.agg(F.max(nesting_depth(doc))).first()[0] or 0
     keep = [c for c in docs.columns if c != doc]
-    out = docs.filter(F.col(doc).isNotNull()).select(
-        *keep, F.array().cast("array<string>").alias("path"), F.col(doc).alias("_node")
-    )
-    for _ in range(max_depth):
-        out = out.select(*keep, "path", "_node", F.explode_outer(_children(F.col("_node"))).alias("_k", "_v")).select(
-            *keep,
-            F.when(F.col("_k").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("_k"))).alias("path"),
-            F.when(F.col("_k").isNull(), F.col("_node")).otherwise(F.col("_v")).alias("_node"),
-        )
-    too_deep = F.raise_error(F.lit(f"document is nested deeper than {max_depth} levels"))
-    value = F.when(_children(F.col("_node")).isNotNull(), too_deep.cast("string")).otherwise(F.to_json("_node"))
-    return out.select(*keep, "path", value.alias("value"))
+    depth = nesting_depth(doc)
+    if max_depth is not None:
+        depth = F.least(depth, F.lit(max_depth))
+    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    root = F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col(doc).alias("node"))).cast(_LEAF_LIST)
+    leaves = F.reduce(levels, root, lambda nodes, _: _opened(nodes))
+    out = docs.filter(F.col(doc).isNotNull()).select(*keep, F.explode(leaves).alias("_leaf"))
+    node = F.col("_leaf.node")
+    value = F.to_json(node)
+    if max_depth is not None:
+        too_deep = F.raise_error(F.lit(f"document is nested deeper than {max_depth} levels"))
+        value = F.when(_children(node).isNotNull(), too_deep.cast("string")).otherwise(value)
+    return out.select(*keep, F.col("_leaf.path").alias("path"), value.alias("value"))
 
 
 def leaf_name(path: ColumnOrName = "path") -> Column:

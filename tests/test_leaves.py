@@ -267,3 +267,17 @@ def test_many_asked_names_read_the_leaves_as_often_as_one(spark):
     assert got == [("a", "port", ""), ("client.c", "host", "h"), ("server", "a", ""), ("server", "b", ""), ("server.a", "port", "2"), ("version", "", "3")]
     scans = [children(n)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for n in (names[:1], names)]
     assert scans[0] == scans[1]
+
+
+def test_flattening_runs_no_job_and_knows_no_common_depth(spark, rows):
+    """Documents of very different depth in one table; planning reads none of them."""
+    deep = json.dumps({"n0": 1})
+    for i in range(1, 40):
+        deep = '{"n%d":%s,"a":[{"x":{}}],"e":{}}' % (i, deep)
+    docs = spark.createDataFrame([(1, deep), (2, '{"a":1}'), (3, "7"), (4, None), (5, '{"a.b":{"{":"}}"}}')], "id int, t string")
+    broken = docs.select("id", leaves.parse_doc(F.when(F.col("id") > 0, F.raise_error(F.lit("read")))).alias("doc"))
+    leaves.flatten_leaves(broken)
+    got = rows(leaves.flatten_leaves(docs.select("id", leaves.parse_doc("t").alias("doc"))).filter("id > 1"))
+    assert got == [(2, ["a"], "1"), (3, [], "7"), (5, ["a.b", "{"], '"}}"')]
+    longest = leaves.flatten_leaves(docs.select("id", leaves.parse_doc("t").alias("doc"))).filter("id = 1").agg(F.max(F.size("path")), F.count("*")).first()
+    assert tuple(longest) == (40, 1 + 2 * 39)
