@@ -185,9 +185,11 @@ def merge_layers(leaves: DataFrame, keys: list[str], layer: str = "layer") -> Da
     killers = tree.filter(F.col("_plain").isNotNull() & F.col("_below").isNotNull())
     killers = killers.select("_doc", F.col("_at").alias("_above"), F.col("_plain").alias("_kill"))
     spread = leaves.select(doc.alias("_doc"), F.col("path").alias("_at"), F.explode(_proper_prefixes(F.col("path"))).alias("_above"))
-    under = lookup_join(spread, killers, ["_doc", "_above"], "inner").groupBy("_doc", "_at").agg(F.max("_kill").alias("_kill"))
+    # Estimates come from the files and know nothing of what is exploded from their rows, so they would
+    # send a side to the driver that holds far more. Both joins are told to stay in the tasks.
+    under = lookup_join(spread, killers.hint("merge"), ["_doc", "_above"], "inner").groupBy("_doc", "_at").agg(F.max("_kill").alias("_kill"))
     under = under.withColumnsRenamed({"_doc": "_under_doc", "_at": "_under_at"})
-    told = last.join(under, (F.col("_doc") == F.col("_under_doc")) & (F.col("_at") == F.col("_under_at")), "left")
+    told = last.join(under.hint("merge"), (F.col("_doc") == F.col("_under_doc")) & (F.col("_at") == F.col("_under_at")), "left")
 
     alive = F.coalesce(F.col("_kill") <= F.col("_layer"), F.lit(True))
     replaced = F.coalesce(F.col("_below") > F.col("_layer"), F.lit(False))

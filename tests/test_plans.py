@@ -68,3 +68,11 @@ def test_values_cross_one_shuffle_in_a_merge(spark):
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffles) <= 5
     assert plan.count("partial_max_by(value") == 1
+
+
+@pytest.mark.parametrize("name", ["flow_resolve_services", "j4_merged_documents", "j9_set_path", "j4_merge_layers"])
+def test_no_side_of_a_merge_goes_through_the_driver(spark, name):
+    """However small the file is that the leaves were exploded from."""
+    joins = [line for line in plan_of(entry.queries()[name](spark, SF)).splitlines() if "Join [" in line]
+    merging = [line for line in joins if "_above#" in line or "_under_at#" in line]
+    assert merging and not [line for line in merging if "Broadcast" in line]
