@@ -112,6 +112,18 @@ def _at_most(row: Column, borders: Column, n: int) -> Column:
     )
 
 
+def _picked_borders(drawn: DataFrame, ranges: int) -> DataFrame:
+    """``borders``: JSON text of evenly spaced ones among the distinct ``_row`` that were drawn.
+
+    They are one row each before any is picked: inside a lambda all of them would be sorted again for each.
+    """
+    found = drawn.agg(F.sort_array(F.collect_set("_row")).alias("found"))
+    each = found.select(F.size("found").alias("_size"), F.posexplode("found").alias("_at", "_row"))
+    step = F.greatest(F.ceil(F.col("_size") / ranges), F.lit(1))
+    picked = each.filter((F.col("_at") > 0) & (F.col("_at") % step == 0))
+    return picked.agg(F.to_json(F.collect_list("_row"), _MICROS).alias("borders"))
+
+
 def range_of(df: DataFrame, cols: list[str], ranges: int | None = None) -> Column:
     """Number of the range a row falls into along ``cols``; it never decreases in their order.
 
@@ -128,11 +140,7 @@ def range_of(df: DataFrame, cols: list[str], ranges: int | None = None) -> Colum
     # A border may be any value, so long texts need not come whole.
     short = F.struct(*[(F.left(c, F.lit(BORDER_CHARS)) if kind == "string" else F.col(c)).alias(c) for c, kind in df.select(*cols).dtypes])
     drawn = df.select(short.alias("_row"), F.xxhash64(*cols).alias("_hash")).orderBy("_hash").limit(SAMPLES_PER_RANGE * ranges)
-    found = F.sort_array(F.collect_set("_row"))
-    step = F.greatest(F.ceil(F.size(found) / ranges), F.lit(1))
-    sketch = drawn.agg(found.alias("found"), step.alias("step"))
-    picked = sketch.select(F.to_json(F.filter("found", lambda _, i: (i > 0) & (i % F.col("step") == 0)), _MICROS).alias("borders"))
-    text = picked.first()[0]
+    text = _picked_borders(drawn, ranges).first()[0]
     kind = df.select(F.array(row)).schema[0].dataType
     borders = F.sort_array(F.from_json(F.lit(text), kind, _MICROS))
     return _at_most(row, borders, ranges)

@@ -76,3 +76,10 @@ def test_no_side_of_a_merge_goes_through_the_driver(spark, name):
     joins = [line for line in plan_of(entry.queries()[name](spark, SF)).splitlines() if "Join [" in line]
     merging = [line for line in joins if "_above#" in line or "_under_at#" in line]
     assert merging and not [line for line in merging if "Broadcast" in line]
+
+
+def test_borders_are_sorted_once(spark):
+    drawn = spark.range(1000).select(F.struct("id").alias("_row"))
+    picked = ordered._picked_borders(drawn, 10)
+    assert "lambda" not in picked._jdf.queryExecution().optimizedPlan().toString()
+    assert picked.first()[0] == "[" + ",".join('{"id":%d}' % i for i in range(100, 1000, 100)) + "]"
