@@ -23,6 +23,21 @@ def first_set(*cols: ColumnOrName) -> Column:
     return F.coalesce(*[set_or_null(c) for c in cols])
 
 
+#: Rows of a table that one task opens where each of them becomes many.
+ROWS_OPENED_TOGETHER = 20_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly, for stored narrow rows of which each becomes many.
+
+    A file of a few megabytes is read by one or two tasks, which would then open, hold and sort all
+    that comes out of it. Here a task gets about ``ROWS_OPENED_TOGETHER`` rows however large the table
+    is. A job counts the rows first, which for Parquet reads the footers only.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_OPENED_TOGETHER))
+    return df.repartition(tasks)
+
+
 def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on same-named columns where null equals null; the result has the left ones.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from muster.functions.common import ColumnOrName, as_col, lookup_join
 
@@ -130,6 +130,14 @@ def _texts(parts) -> Column:
     return F.array(*[F.lit(p) for p in parts])
 
 
+def names_table(spark: SparkSession, names: Sequence[str], name: str) -> DataFrame:
+    """A few names as a table that Spark knows to be small.
+
+    Of ``createDataFrame`` it knows no size, and would rather send all leaves to the driver.
+    """
+    return spark.range(1).select(F.explode(_texts(names)).alias(name))
+
+
 def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fallback: str) -> DataFrame:
     """What lies under a name: child names of a section, or the value of a single setting.
 
@@ -137,7 +145,7 @@ def list_children(leaves: DataFrame, keys: list[str], name: str, root: str, fall
     ``root.fallback``. A dotted name that leads to a section is one record; its leaves are
     returned with their values.
     """
-    asked = leaves.sparkSession.createDataFrame([(name,)], "_asked string")
+    asked = names_table(leaves.sparkSession, [name], "_asked")
     return list_children_of(leaves, keys, asked, "_asked", root, fallback).drop("_asked")
 
 

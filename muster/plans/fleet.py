@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from muster import fixed_values as fv
 from muster.functions import records, templates, text
-from muster.functions.common import first_set
+from muster.functions.common import first_set, spread
 from muster.operators import leaves, matching, predicates, refs
 from muster.plans import shapes
 from muster.plans.registry import query, table
@@ -96,7 +96,7 @@ _FIELDS = ["host", "user", "name", "dir", "local_port", "remote_port", "model",
 
 def _service_layers(spark, sf_dir):
     """Shipped defaults by nation, and each customer's own settings above them."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     segment = F.col("c_mktsegment")
     user = F.concat(F.lit("{~/.ssh/config:nation"), F.col("c_nationkey").cast("string"), F.lit(".User}"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
+from muster.functions.common import spread
 from muster.operators import leaves, matching, refs, state
 from muster.plans import shapes
 from muster.plans.registry import query, table
@@ -137,7 +138,7 @@ merged as (
 
 def layer_leaves(spark, sf_dir):
     """Three layers of settings for every customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     nation, segment = F.col("c_nationkey"), F.col("c_mktsegment")
 
     def setting(layer, path, value, when=None):
@@ -301,7 +302,7 @@ def j8(spark, sf_dir):
     """,
 )
 def j9(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
 
     def rows(df, *settings):
         items = F.array(*[F.struct(F.array(*[F.lit(x) for x in p]).alias("path"), v.alias("value")) for p, v in settings])

@@ -93,7 +93,7 @@ def p2(spark, sf_dir):
 def p2_settings(spark, sf_dir):
     """Settings and whole sections, for a table of names."""
     names = ["main", "main.port", "limits", "fleet.ai.default", "web", "user", "tags", "fleet.ai.nothing", "no.such"]
-    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = leaves.names_table(spark, names, "name")
     return leaves.lookup_settings(_service_leaves(spark, sf_dir), ["c_custkey"], asked, "name", ["fleet.ai.server", "fleet.ai"], "fleet")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from muster.functions.common import spread
 from muster.functions.text import first_listed_node
 from muster.operators.leaves import flatten_leaves, leaf_name, parse_doc, scalar_text, set_path
 from muster.plans import shapes
@@ -209,16 +210,20 @@ def s7(spark, sf_dir):
 )
 def s7_documents(spark, sf_dir):
     """Documents flattened, changed, stored whole and read back."""
-    tree = flatten_leaves(shapes.service_docs(spark, sf_dir).select("c_custkey", parse_doc("text").alias("doc")))
-    c = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
-    at = F.array(*[F.lit(p) for p in ("fleet", "ai", "default", "server")])
-    changes = c.select("c_custkey", at.alias("path"), F.concat(F.lit('"'), "c_name", F.lit('"')).alias("value"))
     folder = shared_folder(spark, "documents")
-    layers.write_documents(set_path(tree, changes, ["c_custkey"]), ["c_custkey"], folder)
+    layers.write_documents(_changed_documents(spark, sf_dir), ["c_custkey"], folder)
     read = layers.valid_documents(layers.read_documents(spark, folder, "c_custkey bigint"))
     return read.select("c_custkey", F.to_json("doc").alias("text"))
 
 
+def _changed_documents(spark, sf_dir):
+    tree = flatten_leaves(shapes.service_docs(spark, sf_dir).select("c_custkey", parse_doc("text").alias("doc")))
+    c = spread(table(spark, sf_dir, "customer")).filter(F.col("c_acctbal") >= 0)
+    at = F.array(*[F.lit(p) for p in ("fleet", "ai", "default", "server")])
+    changes = c.select("c_custkey", at.alias("path"), F.concat(F.lit('"'), "c_name", F.lit('"')).alias("value"))
+    return set_path(tree, changes, ["c_custkey"])
+
+
 @query(
     "s8_state_table",
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from muster import fixed_values as fv
+from muster.functions.common import spread
 from muster.plans.registry import table
 
 # SQL twins of the shared text helpers.
@@ -190,7 +191,7 @@ SQL_STATE = "state as (select 'host' || c_custkey || ':8000' as key, c_custkey a
 
 def service_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested configuration document per customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     server = F.struct(
         F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("host"),
         (8000 + F.col("c_nationkey")).alias("port"),

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from muster.plans import catalog
+from muster.functions.common import spread
 from muster.operators import aggregates, leaves, ordered
-from muster.plans import shapes
+from muster.plans import records, scans, shapes
 from muster.plans.joins import layer_leaves
 from muster.plans.registry import table
 
@@ -83,3 +84,25 @@ def test_borders_are_sorted_once(spark):
     picked = ordered._picked_borders(drawn, 10)
     assert "lambda" not in picked._jdf.queryExecution().optimizedPlan().toString()
     assert picked.first()[0] == "[" + ",".join('{"id":%d}' % i for i in range(100, 1000, 100)) + "]"
+
+
+def test_asked_names_are_the_small_side(spark):
+    plan = plan_of(entry.queries()["p2_lookup_settings"](spark, SF))
+    asked = [line for line in plan.splitlines() if "HashJoin [_last#" in line]
+    assert asked and all("BuildRight" in line for line in asked)
+
+
+@pytest.mark.parametrize("made", [records._service_leaves, layer_leaves, scans._changed_documents, entry.queries()["j9_set_path"], entry.queries()["flow_list_config"], entry.queries()["flow_resolve_services"]])
+def test_small_files_are_opened_in_many_tasks(spark, made):
+    """Every read of customers, which become many rows each, is dealt out first."""
+    above = ""
+    lines = plan_of(made(spark, SF)).splitlines()
+    for at, line in enumerate(lines):
+        if "FileScan" in line and "c_custkey" in line:
+            near = "".join(lines[max(0, at - 5) : at])
+            above += "." if "RoundRobinPartitioning(8), REPARTITION_BY_NUM" in near else "x"
+    assert above and "x" not in above
+
+
+def test_tasks_grow_with_the_rows_that_are_opened(spark):
+    assert spread(spark.range(900_000)).rdd.getNumPartitions() == 45
