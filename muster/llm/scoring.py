@@ -16,8 +16,8 @@ such rounds give the network, whose size depends on the vocabulary's alone; that
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from muster.llm.batches import arrow_map, rows_of
+from muster.llm.batches import arrow_map, rows_of, slices
 from muster.session import checkpointed
 
 #: Ids of a word outside the vocabulary and of a place beyond the text's ends.
@@ -36,8 +36,12 @@ _PLACES = 65_536
 _BLOCK, _FAN = 16_384, 32
 #: Words that the network can tell apart, as they are numbered in 16 bits.
 _MOST_WORDS = 65_536
+#: Places whose logits are held at a time while scoring, and the logit of a place in a class without a word.
+_TOGETHER, _CLOSED = 2048, -1e30
 #: Bytes of a rare word before the one that is spelled, the weight of each shorter context, and the sign for a word's end.
 _CONTEXT, _PRIOR, _END = 2, 4.0, 256
+#: The byte that no word holds, and bytes of words that are worked on at a time.
+_SPACE, _SIGNS = 32, 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -71,6 +75,23 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes
     return most_frequent(counted_words(docs, text_col), size)
 
 
+def neighbours_of(words: list[bytes]):
+    """Bytes of the words in a row, each word with a space behind it for its end, ``_SIGNS`` at a time.
+
+    Yields where they start and stop, and for each byte the two before it and itself. No word holds a
+    space, so a space before a byte says that the word begins there.
+    """
+    signs = np.frombuffer(b"  " + b" ".join([*words, b""]), np.uint8)
+    for start in range(0, len(signs) - 2, _SIGNS):
+        stop = min(start + _SIGNS, len(signs) - 2)
+        yield start, stop, [signs[start + i : stop + i].astype(np.int32) for i in range(_CONTEXT + 1)]
+
+
+def owners(ends: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Numbers of the pieces, which end at ``ends``, for every place from ``start`` to ``stop``."""
+    return np.repeat(np.arange(len(ends)), np.diff(np.clip(ends, start, stop), prepend=start))
+
+
 class Spelling:
     """Log-probabilities of words by their bytes; those of all words add up to one.
 
@@ -81,7 +102,7 @@ class Spelling:
     def __init__(self, counts: dict[bytes, dict[int, int]]):
         self.counts = counts
         self.totals = {context: sum(after.values()) for context, after in counts.items()}
-        self.known: dict[bytes, float] = {}
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def prob(self, context: bytes, sign: int) -> float:
         p = 1 / (_END + 1)
@@ -92,33 +113,87 @@ class Spelling:
             p = (self.counts[context[start:]].get(sign, 0) + _PRIOR * p) / (total + _PRIOR)
         return p
 
-    def log_prob(self, word: bytes) -> float:
-        found = self.known.get(word)
-        if found is None:
-            signs = [*word, _END]
-            found = math.fsum(math.log(self.prob(word[max(0, i - _CONTEXT) : i], s)) for i, s in enumerate(signs))
-            if len(word) <= 200:
-                if len(self.known) >= 500_000:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each pair of bytes, and in that row the log-probability of each byte behind them.
+
+        A space stands for a word's end, and before a byte for its beginning.
+        """
+        row_of: dict[bytes, int] = {}
+        probs = np.full((len(self.counts) + 1, _END + 1), 1 / (_END + 1))
+        for context in sorted(self.counts, key=len):
+            if context and context[1:] not in row_of:
+                continue
+            row = row_of[context] = len(row_of)
+            after = np.zeros(_END + 1)
+            after[list(self.counts[context])] = list(self.counts[context].values())
+            before = probs[row_of[context[1:]]] if context else probs[row]
+            probs[row] = (after + _PRIOR * before) / (self.totals[context] + _PRIOR)
+        rows = np.full((256, 256), row_of.get(b"", 0), np.int32)
+        for context, row in row_of.items():
+            if len(context) == 1:
+                rows[:, context[0]] = row
+        for context, row in row_of.items():
+            if len(context) == 2:
+                rows[context[0], context[1]] = row
+        probs[:, _SPACE] = probs[:, _END]
+        return rows.reshape(-1), np.log(probs[:, :_END])
+
+    def log_probs(self, words: list[bytes], counts: list[int]) -> np.ndarray:
+        """Sums over the first so many words, the next so many, and so on."""
+        if self.tables is None:
+            self.tables = self._tables()
+        rows, logs = self.tables
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])[np.cumsum(counts)]
+        out = np.zeros(len(counts))
+        for start, stop, (a, b, sign) in neighbours_of(words):
+            found = logs.reshape(-1).take(rows.take(a * 256 + b).astype(np.int64) * _END + sign)
+            out += np.bincount(owners(ends, start, stop), found, minlength=len(counts))
+        return out
+
+
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its values."""
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(value, first)
 
 
 def spelling(counted: DataFrame, words: list[bytes]) -> Spelling:
     """Spelling of all words outside the vocabulary, by how often the documents hold them."""
     shared = counted.sparkSession.sparkContext.broadcast(set(words))
 
+    def count(rows):
+        """Keys of a context's length, its bytes and the byte behind it, with their counts."""
+        keys, values = [], []
+        ends = np.cumsum([len(w) + 1 for w, _ in rows])
+        for start, stop, (a, b, sign) in neighbours_of([w for w, _ in rows]):
+            n = np.array([n for _, n in rows], np.int64)[owners(ends, start, stop)]
+            inner = b != _SPACE
+            for length, here, key in ((0, slice(None), sign), (1, inner, b * 256 + sign), (2, inner & (a != _SPACE), (a * 256 + b) * 256 + sign)):
+                keys.append(key[here] + (length << 24))
+                values.append(n[here])
+        return summed(keys, values)
+
     def spell(batches):
+        waiting = []
         for batch in batches:
-            counts: Counter[tuple[bytes, int]] = Counter()
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if word in shared.value:
-                    continue
-                for i, sign in enumerate([*word, _END]):
-                    for start in range(max(0, i - _CONTEXT), i + 1):
-                        counts[word[start:i], sign] += n
-            if counts:
-                yield [[c for c, _ in counts], [s for _, s in counts], list(counts.values())]
+            for part in slices(batch, "word", _SIGNS):
+                rows = [(w, n) for w, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()) if w not in shared.value]
+                if rows:
+                    waiting.append(count(rows))
+                if sum(len(k) for k, _ in waiting) > 4 * _SIGNS:
+                    waiting = [summed(*zip(*waiting))]
+                    if len(waiting[0][0]) > 2 * _SIGNS:
+                        yield pairs_of(*waiting.pop())
+        if waiting:
+            yield pairs_of(*summed(*zip(*waiting)))
+
+    def pairs_of(keys, values):
+        contexts = [(k >> 8 & 0xFFFF).to_bytes(2, "big")[2 - (k >> 24) :] for k in keys.tolist()]
+        signs = keys & 255
+        return [contexts, np.where(signs == _SPACE, _END, signs), values]
 
     found: dict[bytes, dict[int, int]] = {}
     pairs = arrow_map(counted, spell, "context binary, sign int, n bigint").groupBy("context", "sign").agg(F.sum("n").alias("n"))
@@ -130,113 +205,178 @@ def spelling(counted: DataFrame, words: list[bytes]) -> Spelling:
 
 
 class Network:
-    """Window network with its weights in one flat array."""
+    """Window network. ``weights`` has all its numbers in one flat array.
+
+    The rows of ``kinds`` and ``words`` hold a class's or word's weights, its bias, and a one, and those
+    of the hidden layer a one and a zero behind them. So one product gives the logits, one the sums that
+    softmax and the way back need, and one the step.
+    """
 
     def __init__(self, words: int, reach: int, hidden: int, weights: np.ndarray | None = None, seed: int = 7):
-        self.reach, self.hidden = reach, hidden
+        self.count, self.reach, self.hidden = words, reach, hidden
         self.per_class = int(np.ceil(np.sqrt(words)))
         self.classes = -(-words // self.per_class)
-        shapes = {
-            "inputs": (2 * reach, words, hidden),
-            "bias": (hidden,),
-            "kinds": (self.classes, hidden),
-            "kind_bias": (self.classes,),
-            "words": (self.classes, self.per_class, hidden),
-            "word_bias": (self.classes, self.per_class),
-        }
-        total = sum(int(np.prod(s)) for s in shapes.values())
+        shapes = [(2 * reach, words, hidden), (hidden,), (self.classes, hidden), (self.classes,), (self.classes, self.per_class, hidden), (self.classes, self.per_class)]
+        sizes = [int(np.prod(s)) for s in shapes]
         if weights is None:
-            weights = np.random.default_rng(seed).normal(0, 0.1, total)
-        self.weights = np.array(weights, np.float32)
-        at = 0
-        for name, shape in shapes.items():
-            n = int(np.prod(shape))
-            setattr(self, name, self.weights[at : at + n].reshape(shape))
-            at += n
+            weights = np.random.default_rng(seed).normal(0, 0.1, sum(sizes))
+        parts = np.split(np.array(weights, np.float32), np.cumsum(sizes)[:-1])
+        self.inputs, self.bias, kinds, kind_bias, inner, inner_bias = [x.reshape(s) for x, s in zip(parts, shapes)]
         # The last class may have places without a word; they get no probability.
-        self.open = np.zeros((self.classes, self.per_class), np.float32)
-        self.open.reshape(-1)[words:] = -np.inf
+        inner_bias.reshape(-1)[words:] = _CLOSED
+        self.kinds = np.concatenate([kinds, kind_bias[:, None], np.ones_like(kind_bias)[:, None]], axis=1)
+        self.words = np.concatenate([inner, inner_bias[..., None], np.ones_like(inner_bias)[..., None]], axis=2)
+        self.flat = self.words.reshape(-1, hidden + 2)
+        self.rooms: dict[str, np.ndarray] = {}
+
+    @property
+    def weights(self) -> np.ndarray:
+        inner_bias = self.words[..., -2].copy()
+        inner_bias.reshape(-1)[self.count :] = 0
+        return np.concatenate([x.reshape(-1) for x in (self.inputs, self.bias, self.kinds[:, :-2], self.kinds[:, -2], self.words[..., :-2], inner_bias)])
+
+    def room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Memory that every step uses again; new pages for each one cost more than the sums in them."""
+        if name not in self.rooms or len(self.rooms[name]) < rows:
+            self.rooms[name] = np.empty((rows, columns), np.float32)
+        return self.rooms[name][:rows]
+
+    def order_of(self, ids: np.ndarray) -> np.ndarray:
+        """Order of the ids; 16 bits are sorted by their digits."""
+        return np.argsort(ids.astype(np.uint16) if self.count <= _MOST_WORDS else ids, kind="stable")
 
     def state(self, around: np.ndarray) -> np.ndarray:
-        total = np.broadcast_to(self.bias, (len(around), self.hidden)).copy()
-        for i in range(2 * self.reach):
-            total += self.inputs[i][around[:, i]]
-        return np.tanh(total, out=total)
+        total = self.inputs[0].take(around[:, 0], axis=0)
+        for i in range(1, 2 * self.reach):
+            total += self.inputs[i].take(around[:, i], axis=0)
+        total += self.bias
+        out = self.room("state", len(around), self.hidden + 2)
+        np.tanh(total, out=out[:, :-2])
+        out[:, -2], out[:, -1] = 1, 0
+        return out
+
+    def _classes_of(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Classes of sorted words, and for each that there is where it starts and stops."""
+        kind = target // self.per_class
+        cuts = np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+        return kind, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each masked word given the words around it."""
+        order = self.order_of(target)
+        around, target = around[order], target[order]
         h = self.state(around)
-        kind, place = np.divmod(target, self.per_class)
-        out = pick_log_softmax(h @ self.kinds.T + self.kind_bias, kind)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            out[rows] += pick_log_softmax(h[rows] @ self.words[c].T + (self.word_bias[c] + self.open[c]), place[rows])
+        kind, some = self._classes_of(target)
+        found = np.einsum("ij,ij->i", h, self.kinds.take(kind, axis=0)) + np.einsum("ij,ij->i", h, self.flat.take(target, axis=0))
+        steps = [(self.kinds, 0, len(h)), *[(self.words[c], a, b) for c, a, b in some]]
+        for rows, start, stop in steps:
+            for a in range(start, stop, _TOGETHER):
+                b = min(a + _TOGETHER, stop)
+                found[a:b] -= log_sums(h[a:b], rows, self.room(f"logits {len(rows)}", b - a, len(rows)))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability."""
-        n = len(target)
+        n, step = len(target), np.float32(rate / len(target))
+        order = self.order_of(target)
+        around, target = around[order], target[order]
         h = self.state(around)
-        kind, place = np.divmod(target, self.per_class)
-        d = softmax(h @ self.kinds.T + self.kind_bias)
-        d[np.arange(n), kind] -= 1
-        back = d @ self.kinds
-        class_step, bias_step = d.T @ h, d.sum(axis=0)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            e = softmax(h[rows] @ self.words[c].T + (self.word_bias[c] + self.open[c]))
-            e[np.arange(len(rows)), place[rows]] -= 1
-            back[rows] += e @ self.words[c]
-            self.words[c] -= rate / n * (e.T @ h[rows])
-            self.word_bias[c] -= rate / n * e.sum(axis=0)
-        self.kinds -= rate / n * class_step
-        self.kind_bias -= rate / n * bias_step
-        back *= 1 - h * h
-        self.bias -= rate / n * back.sum(axis=0)
+        kind, some = self._classes_of(target)
+        wanted = self.kinds.take(kind, axis=0) + self.flat.take(target, axis=0)
+        outer, inner = self.room("outer", n, self.classes), self.room("inner", n, self.per_class)
+        kinds, words = self.room("kinds", n, self.hidden + 2), self.room("words", n, self.hidden + 2)
+        levels = [(outer, kinds, [(self.kinds, 0, n)]), (inner, words, [(self.words[c], a, b) for c, a, b in some])]
+        for e, sums, parts in levels:
+            exps(h, e, sums, parts)
+        back = kinds[:, :-2] / kinds[:, -1:]
+        back += words[:, :-2] / words[:, -1:]
+        back -= wanted[:, :-2]
+        for e, sums, parts in levels:
+            shared = h * (step / sums[:, -1:])
+            for rows, a, b in parts:
+                rows -= np.dot(e[a:b].T, shared[a:b])
+        h *= step
+        self.kinds[[c for c, _, _ in some]] += np.add.reduceat(h, [a for _, a, _ in some], axis=0)
+        add_rows(self.flat, target, h)
+        back *= step - np.square(h[:, :-2]) / step
+        self.bias -= back.sum(axis=0)
+        np.negative(back, out=back)
         for i in range(2 * self.reach):
-            np.subtract.at(self.inputs[i], around[:, i], rate / n * back)
+            order = self.order_of(around[:, i])
+            add_rows(self.inputs[i], around[:, i].take(order), back.take(order, axis=0))
+
+
+def exps(h: np.ndarray, e: np.ndarray, sums: np.ndarray, parts: list[tuple[np.ndarray, int, int]]) -> None:
+    """For each part's rows ``e`` is exp of the logits, up to a factor of each row, and ``sums`` their products with the part."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        for rows, a, b in parts:
+            np.dot(h[a:b], rows.T, out=e[a:b])
+        np.exp(e, out=e)
+        for rows, a, b in parts:
+            np.dot(e[a:b], rows, out=sums[a:b])
+    if not in_range(sums[:, -1]):
+        for rows, a, b in parts:
+            x = h[a:b] @ rows.T
+            e[a:b] = np.exp(x - x.max(axis=1, keepdims=True))
+            sums[a:b] = e[a:b] @ rows
+
+
+def log_sums(h: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exp over each row of logits; ``x`` is room for them."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.dot(h, rows.T, out=x)
+        total = np.exp(x, out=x).sum(axis=1)
+    if in_range(total):
+        return np.log(total)
+    x = h @ rows.T
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def in_range(total: np.ndarray) -> bool:
+    """True if no sum of exp is too large or too small for 32 bits to hold what it adds up (false for NaN)."""
+    return bool(total.min() > 1e-25 and total.max() < 1e25)
 
 
-def pick_log_softmax(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    picked = x[np.arange(len(x)), column] - top
-    x -= top[:, None]
-    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+def add_rows(to: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the row of its id; ``ids`` ascend."""
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    to[ids[first]] += np.add.reduceat(rows, first, axis=0)
 
 
-def places(ids: np.ndarray, reach: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words around and at the places ``start`` to ``stop`` of one text."""
-    padded = np.full(stop - start + 2 * reach, EDGE, np.int64)
-    lo, hi = max(0, start - reach), min(len(ids), stop + reach)
-    padded[lo - start + reach : hi - start + reach] = ids[lo:hi]
-    n = stop - start
-    offsets = [*range(reach), *range(reach + 1, 2 * reach + 1)]
-    return np.column_stack([padded[o : o + n] for o in offsets]), padded[reach : reach + n]
+def places(pieces: list[tuple[np.ndarray, int, int]], reach: int, first: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all places of the pieces of texts one in ``every`` from the ``first`` on: number of the piece, words around, word."""
+    edge, padded = np.full(reach, EDGE, np.uint16), []
+    for ids, start, stop in pieces:
+        padded += [edge[: max(0, reach - start)], ids[max(0, start - reach) : stop + reach], edge[: max(0, stop + reach - len(ids))]]
+    padded = np.concatenate(padded).astype(np.int64)
+    which = np.repeat(np.arange(len(pieces)), [stop - start for _, start, stop in pieces])
+    # Each piece has ``reach`` words or edges more on both sides.
+    at = (np.arange(len(which)) + (2 * which + 1) * reach)[first::every]
+    around = np.empty((len(at), 2 * reach), np.int64)
+    for i, o in enumerate([*range(-reach, 0), *range(1, reach + 1)]):
+        around[:, i] = padded.take(at + o)
+    return which[first::every], around, padded.take(at)
 
 
-def in_blocks(texts: list[np.ndarray], reach: int):
-    """Places of many texts, at most ``_PLACES`` at a time: number of the text, words around, word."""
-    waiting, size = [], 0
+def in_blocks(texts: list[np.ndarray], reach: int, first: int = 0, every: int = 1):
+    """Places of many texts, of at most ``_PLACES`` at a time one in ``every``: number of the text, words around, word."""
+    waiting, numbers, size = [], [], 0
     for i, ids in enumerate(texts):
         for start in range(0, len(ids), _PLACES):
-            around, target = places(ids, reach, start, min(len(ids), start + _PLACES))
-            if size and size + len(target) > _PLACES:
-                yield tuple(np.concatenate(x) for x in zip(*waiting))
-                waiting, size = [], 0
-            waiting.append((np.full(len(target), i), around, target))
-            size += len(target)
+            stop = min(len(ids), start + _PLACES)
+            if size and size + stop - start > _PLACES:
+                which, around, target = places(waiting, reach, first, every)
+                yield np.array(numbers)[which], around, target
+                waiting, numbers, size = [], [], 0
+            waiting.append((ids, start, stop))
+            numbers.append(i)
+            size += stop - start
     if waiting:
-        yield tuple(np.concatenate(x) for x in zip(*waiting))
+        which, around, target = places(waiting, reach, first, every)
+        yield np.array(numbers)[which], around, target
 
 
 def numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str, spelled: Spelling | None = None) -> DataFrame:
@@ -249,11 +389,15 @@ def numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str, sp
         number, part = numbers.get, TaskContext.get().partitionId()
         for batch in batches:
             for (ids,), texts in rows_of(batch, "text", "doc_id"):
-                coded, extra = [], []
+                coded, unknown, counts = [], [], []
                 for t in texts:
                     own = words_of(t)
-                    coded.append(np.array([number(w, OTHER) for w in own], "<u2").tobytes())
-                    extra.append(math.fsum(rare.log_prob(w) for w in own if w not in numbers) if rare else 0.0)
+                    found = np.fromiter(map(number, own, repeat(OTHER)), "<u2", len(own))
+                    coded.append(found.tobytes())
+                    before = len(unknown)
+                    unknown += compress(own, (found == OTHER).tolist())
+                    counts.append(len(unknown) - before)
+                extra = rare.log_probs(unknown, counts) if rare else np.zeros(len(texts))
                 yield [ids, pa.array([part] * len(texts), pa.int32()), coded, extra]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -278,9 +422,7 @@ def train(stored: DataFrame, words: int, reach: int = 2, hidden: int = 16, round
                 part = rows.column("part")[0].as_py() if rows.num_rows and part is None else part
                 texts = [np.frombuffer(x, "<u2") for x in rows.column("ids").to_pylist()]
                 left = None
-                for _, around, target in in_blocks(texts, reach):
-                    chosen = np.arange(turn % every, len(target), every)
-                    around, target = around[chosen], target[chosen]
+                for _, around, target in in_blocks(texts, reach, turn % every, every):
                     if left is not None:
                         around, target = np.concatenate([left[0], around]), np.concatenate([left[1], target])
                     full = len(target) // batch * batch
@@ -292,30 +434,40 @@ def train(stored: DataFrame, words: int, reach: int = 2, hidden: int = 16, round
                     own.learn(*left, rate * len(left[1]) / batch)
                     seen += len(left[1])
             if seen:
-                weights = own.weights.astype(np.float64)
+                weights = own.weights
                 blocks = range(0, total, _BLOCK)
-                yield [[part] * len(blocks), list(blocks), [float(seen)] * len(blocks), [(weights[i : i + _BLOCK] * seen).tobytes() for i in blocks]]
+                yield [[part] * len(blocks), list(blocks), [float(seen)] * len(blocks), [weights[i : i + _BLOCK].tobytes() for i in blocks]]
 
-        sums = arrow_map(stored, run, "part int, block int, seen double, sum binary")
-        network = Network(words, reach, hidden, averaged(sums, (stored.agg(F.max("part")).first()[0] or 0) + 1, network.weights))
+        means = arrow_map(stored, run, "part int, block int, seen double, mean binary")
+        network = Network(words, reach, hidden, averaged(means, (stored.agg(F.max("part")).first()[0] or 0) + 1, network.weights))
     return network
 
 
-def averaged(sums: DataFrame, parts: int, before: np.ndarray) -> np.ndarray:
-    """Weighted mean of the tasks' weights, added up in groups of ``_FAN`` rows until one is left per block."""
+def averaged(means: DataFrame, parts: int, before: np.ndarray) -> np.ndarray:
+    """Mean of the tasks' weights by the places they saw, in groups of ``_FAN`` rows until one is left per block.
+
+    The weights cross the shuffle in the 32 bits that they have, means of some of the tasks in 64.
+    """
+
+    def of(kind: str, made: str):
+        def mean(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("part")
+            seen = group["seen"].to_numpy()
+            total = np.sum([np.frombuffer(x, kind).astype(np.float64) * n for x, n in zip(group["mean"], seen)], axis=0)
+            return pd.DataFrame({"part": group["part"].iloc[:1], "block": group["block"].iloc[:1], "seen": [seen.sum()], "mean": [(total / seen.sum()).astype(made).tobytes()]})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        total = np.sum([np.frombuffer(x) for x in group["sum"]], axis=0)
-        return pd.DataFrame({"part": group["part"].iloc[:1], "block": group["block"].iloc[:1], "seen": [group["seen"].sum()], "sum": [total.tobytes()]})
+        return mean
 
+    kind = "<f4"
     while parts > 1:
         parts = -(-parts // _FAN)
-        sums = sums.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("part", "block").applyInPandas(add, "part int, block int, seen double, sum binary")
-    out = before.astype(np.float64).copy()
-    for row in sums.collect():
-        mean = np.frombuffer(bytes(row["sum"])) / row["seen"]
-        out[row["block"] : row["block"] + len(mean)] = mean
+        made = "<f8" if parts > 1 else "<f4"
+        groups = means.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("part", "block")
+        means, kind = groups.applyInPandas(of(kind, made), "part int, block int, seen double, mean binary"), made
+    out = before.astype(np.float32)
+    for row in means.collect():
+        found = np.frombuffer(bytes(row["mean"]), "<f4")
+        out[row["block"] : row["block"] + len(found)] = found
     return out
 
 

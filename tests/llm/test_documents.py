@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -337,6 +338,82 @@ def test_spellings_add_up(spark):
     assert spelled.counts[b""] == Counter([*b"abcabdabcxab\xc3\xa9t", *[256] * 5])
 
 
+def test_words_are_spelled_together(spark, monkeypatch):
+    texts = ["abc abd\x00 abc xyz xab \u00e9t", "", "the \u4e2d\u6587 abc " + "q" * 300, "xyz xyz", "a \x1f\x7f b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = [scoring.words_of(t) for t in texts]
+    counts = Counter(w for own in words for w in own if w != b"xyz")
+    want = {}
+    for word, n in counts.items():
+        for i, sign in enumerate([*word, 256]):
+            for start in range(max(0, i - 2), i + 1):
+                after = want.setdefault(word[start:i], {})
+                after[sign] = after.get(sign, 0) + n
+    spelled = scoring.spelling(scoring.counted_words(docs), [b"xyz"])
+    assert spelled.counts == want
+    # Also words of which the counts know nothing, and pieces that end inside a word.
+    words += [[b"zzz", b"xyz"], [b"\xff\xfe"], [], [b"ab"]]
+    plain = [math.fsum(math.log(spelled.prob(w[max(0, i - 2) : i], s)) for w in own for i, s in enumerate([*w, 256])) for own in words]
+    for signs in (1 << 20, 7, 1):
+        monkeypatch.setattr(scoring, "_SIGNS", signs)
+        assert spelled.log_probs([w for own in words for w in own], [len(own) for own in words]) == pytest.approx(plain)
+
+
+@pytest.mark.parametrize("size", [0.5, 60.0])
+def test_a_step_is_that_of_plain_softmax(size):
+    """Also with logits that no exp in 32 bits can hold."""
+    random = np.random.default_rng(6)
+    words, hidden, n, rate = 11, 3, 40, 0.1
+    network = scoring.Network(words, 1, hidden, random.normal(0, size, len(scoring.Network(words, 1, hidden).weights)))
+    around, target = random.integers(0, words, (n, 2)), random.integers(0, words, n)
+    kinds, bias = network.kinds.astype(float), network.bias.astype(float)
+    inner, inputs = network.flat.astype(float)[:words], network.inputs.astype(float)
+    want, logs, steps = [], [], [np.zeros_like(x) for x in (kinds[:, :-1], inner[:, :-1], inputs, bias)]
+    for (left, right), word in zip(around, target):
+        h = np.tanh(inputs[0, left] + inputs[1, right] + bias)
+        kind, back, log = word // network.per_class, np.zeros(hidden), 0.0
+        own = np.arange(words) // network.per_class == kind
+        for rows, step, at, among in ((kinds, steps[0], kind, np.full(len(kinds), True)), (inner, steps[1], word, own)):
+            x = np.where(among, rows[:, :-2] @ h + rows[:, -2], -np.inf)
+            log += x[at] - x.max() - np.log(np.exp(x - x.max()).sum())
+            d = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            d[at] -= 1
+            step -= rate / n * np.outer(d, [*h, 1])
+            back += d @ rows[:, :-2]
+        logs.append(log)
+        back *= 1 - h * h
+        for i, w in enumerate((left, right)):
+            steps[2][i, w] -= rate / n * back
+        steps[3] -= rate / n * back
+    assert network.log_probs(around, target) == pytest.approx(logs, rel=1e-4, abs=1e-4)
+    network.learn(around, target, rate)
+    got = network.kinds[:, :-1] - kinds[:, :-1], network.flat[:words, :-1] - inner[:, :-1], network.inputs - inputs, network.bias - bias
+    for a, b in zip(got, steps):
+        assert a == pytest.approx(b, abs=2e-6 * size + 1e-6)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_weights_are_averaged_by_the_places_seen(spark, parts):
+    random = np.random.default_rng(9)
+    weights = random.normal(0, 1, (parts, 10)).astype("<f4")
+    seen = random.integers(1, 50, parts).astype(float)
+    rows = [(p, b, float(seen[p]), bytearray(weights[p, b : b + 6].tobytes())) for p in range(parts) for b in (0, 6)]
+    got = scoring.averaged(spark.createDataFrame(rows, "part int, block int, seen double, mean binary"), parts, np.zeros(10, np.float32))
+    assert got == pytest.approx((weights.astype(float) * seen[:, None]).sum(axis=0) / seen.sum(), rel=1e-6)
+
+
+def test_logits_of_few_places_are_held_at_a_time():
+    random = np.random.default_rng(8)
+    network = scoring.Network(4096, 2, 16)
+    around, target = random.integers(0, 4096, (65_536, 4)), random.integers(0, 4096, 65_536)
+    tracemalloc.start()
+    network.log_probs(around, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The logits of all classes for all places would be 16.8 million numbers of 4 bytes.
+    assert peak < 40e6
+
+
 def test_the_vocabulary_grows_with_the_words(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(5)], "doc_id bigint, text string")
     sizes = []
