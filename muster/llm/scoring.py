@@ -36,8 +36,8 @@ _PLACES = 65_536
 _BLOCK, _FAN = 16_384, 32
 #: Words that the network can tell apart, as they are numbered in 16 bits.
 _MOST_WORDS = 65_536
-#: Places whose logits are held at a time while scoring, and the logit of a place in a class without a word.
-_TOGETHER, _CLOSED = 2048, -1e30
+#: Places whose logits are held at a time, and the logit of a place in a class without a word.
+_TOGETHER, _CLOSED = 256, -1e30
 #: Bytes of a rare word before the one that is spelled, the weight of each shorter context, and the sign for a word's end.
 _CONTEXT, _PRIOR, _END = 2, 4.0, 256
 #: The byte that no word holds, and bytes of words that are worked on at a time.
@@ -285,18 +285,14 @@ class Network:
         h = self.state(around)
         kind, some = self._classes_of(target)
         wanted = self.kinds.take(kind, axis=0) + self.flat.take(target, axis=0)
-        outer, inner = self.room("outer", n, self.classes), self.room("inner", n, self.per_class)
-        kinds, words = self.room("kinds", n, self.hidden + 2), self.room("words", n, self.hidden + 2)
-        levels = [(outer, kinds, [(self.kinds, 0, n)]), (inner, words, [(self.words[c], a, b) for c, a, b in some])]
-        for e, sums, parts in levels:
-            exps(h, e, sums, parts)
-        back = kinds[:, :-2] / kinds[:, -1:]
-        back += words[:, :-2] / words[:, -1:]
+        outer, inner = self.room("outer sums", n, self.hidden + 2), self.room("inner sums", n, self.hidden + 2)
+        kinds = self.kinds.copy()
+        descend(h, step, outer, self.room("outer", n, self.classes), [(self.kinds, kinds, a, min(a + _TOGETHER, n)) for a in range(0, n, _TOGETHER)])
+        descend(h, step, inner, self.room("inner", n, self.per_class), [(self.words[c], self.words[c], a, b) for c, a, b in some])
+        self.kinds = kinds
+        back = outer[:, :-2] / outer[:, -1:]
+        back += inner[:, :-2] / inner[:, -1:]
         back -= wanted[:, :-2]
-        for e, sums, parts in levels:
-            shared = h * (step / sums[:, -1:])
-            for rows, a, b in parts:
-                rows -= np.dot(e[a:b].T, shared[a:b])
         h *= step
         self.kinds[[c for c, _, _ in some]] += np.add.reduceat(h, [a for _, a, _ in some], axis=0)
         add_rows(self.flat, target, h)
@@ -308,19 +304,35 @@ class Network:
             add_rows(self.inputs[i], around[:, i].take(order), back.take(order, axis=0))
 
 
-def exps(h: np.ndarray, e: np.ndarray, sums: np.ndarray, parts: list[tuple[np.ndarray, int, int]]) -> None:
-    """For each part's rows ``e`` is exp of the logits, up to a factor of each row, and ``sums`` their products with the part."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        for rows, a, b in parts:
-            np.dot(h[a:b], rows.T, out=e[a:b])
-        np.exp(e, out=e)
-        for rows, a, b in parts:
-            np.dot(e[a:b], rows, out=sums[a:b])
-    if not in_range(sums[:, -1]):
-        for rows, a, b in parts:
-            x = h[a:b] @ rows.T
-            e[a:b] = np.exp(x - x.max(axis=1, keepdims=True))
-            sums[a:b] = e[a:b] @ rows
+def descend(h: np.ndarray, step: np.float32, sums: np.ndarray, room: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, int, int]]) -> None:
+    """Takes the step of softmax, without the pull of the right words, from what each part names second.
+
+    A part's logits are those of the rows it names first, at the places from its start to its stop. ``sums``
+    gets exp of the logits, up to a factor of each place, times these rows. About ``_TOGETHER`` places
+    are worked on at a time, so that their logits stay in the processor's cache.
+    """
+    at = 0
+    while at < len(parts):
+        start, end = parts[at][2], at + 1
+        while end < len(parts) and parts[end][3] - start <= _TOGETHER:
+            end += 1
+        some, stop = parts[at:end], parts[end - 1][3]
+        e = room[: stop - start]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for rows, _, a, b in some:
+                np.dot(h[a:b], rows.T, out=e[a - start : b - start])
+            np.exp(e, out=e)
+            for rows, _, a, b in some:
+                np.dot(e[a - start : b - start], rows, out=sums[a:b])
+        if not in_range(sums[start:stop, -1]):
+            for rows, _, a, b in some:
+                x = h[a:b] @ rows.T
+                e[a - start : b - start] = np.exp(x - x.max(axis=1, keepdims=True))
+                sums[a:b] = e[a - start : b - start] @ rows
+        shared = h[start:stop] * (step / sums[start:stop, -1:])
+        for _, to, a, b in some:
+            to -= np.dot(e[a - start : b - start].T, shared[a - start : b - start])
+        at = end
 
 
 def log_sums(h: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
