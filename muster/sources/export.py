@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+from urllib.parse import urlsplit
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: What Spark writes as %XX in the folder names of a partitioned table, and the folder of null and empty names.
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
 
 def write_rendered(df: DataFrame, path: str, server: str = "server", script: str = "script", config: str = "config", tasks: int | None = None) -> None:
     """One folder per server, with its script and its configuration as text files.
 
-    ``tasks`` is how many tasks create the files, by default as many as a shuffle has.
+    ``tasks`` is how many tasks create the files, by default as many as a shuffle has. Below a path of a
+    mounted file system the tasks create them by themselves, in a folder that gets its name when all are
+    there: Hadoop's local file system starts a process for every folder and file, to set its permissions.
     """
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.array(
@@ -17,7 +30,56 @@ def write_rendered(df: DataFrame, path: str, server: str = "server", script: str
     )
     rows = df.select(F.col(server).alias("server"), F.explode(parts).alias("p")).select("server", "p.*")
     rows = rows.filter(F.col("value").isNotNull()).repartition(tasks, "server")
-    rows.write.mode("overwrite").partitionBy("server", "kind").text(path)
+    folder = _mounted(df.sparkSession, path)
+    if folder is None or dict(rows.dtypes)["value"] != "string":
+        rows.write.mode("overwrite").partitionBy("server", "kind").text(path)
+        return
+    written = f"{folder}-{uuid.uuid4().hex[:12]}"
+    os.makedirs(written)
+    name = F.nullif(F.col("server").cast("string"), F.lit("")).cast("binary").alias("server")
+    try:
+        rows.select(name, "kind", F.col("value").cast("binary")).sortWithinPartitions("server", "kind").foreachPartition(lambda part: _write_files(part, written))
+    except BaseException:
+        shutil.rmtree(written, ignore_errors=True)
+        raise
+    open(f"{written}/_SUCCESS", "w").close()
+    if os.path.exists(folder):
+        shutil.rmtree(folder)
+    os.rename(written, folder)
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path names in a mounted file system; nothing for any other store."""
+    parts = urlsplit(path)
+    scheme = parts.scheme or urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")).scheme
+    if scheme != "file" or parts.netloc or parts.query or parts.fragment:
+        return None
+    return os.path.abspath(parts.path).rstrip("/")
+
+
+def _write_files(rows, folder: str) -> None:
+    """One file for each server and kind of a task's sorted rows, laid out as Spark does."""
+    task = TaskContext.get()
+    file = out = last = None
+
+    def close():
+        if out is not None:
+            out.close()
+            # Another attempt of the task writes a file of its own and then gives it the same name.
+            os.replace(out.name, file)
+
+    for server, kind, value in rows:
+        if last != (server, kind):
+            close()
+            last = server, kind
+            name = _NO_NAME if server is None else _ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", bytes(server).decode("utf-8", "replace"))
+            at = f"{folder}/server={name}/kind={kind}"
+            os.makedirs(at, exist_ok=True)
+            file = f"{at}/part-{task.partitionId():05d}.txt"
+            out = open(f"{at}/.part-{task.taskAttemptId()}", "wb")
+        out.write(value)
+        out.write(b"\n")
+    close()
 
 
 def read_rendered(spark: SparkSession, path: str) -> DataFrame:

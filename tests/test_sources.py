@@ -1,6 +1,7 @@
 """Sources and sinks on real files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,39 @@ def test_export(spark, tmp_path, rows):
     ]
 
 
+ODD_NAMES = [None, "", " ", "a b", "x=y", "a/b", "100%", "q?#'\"", "t\tab", "[1]{2}^", "c:\\\\d", "\u00e9\u4e2d", "..", "_x", "twice", "twice", "tilde~&;<>|!$,()+@`"]
+
+
+def test_export_has_the_layout_of_a_partitioned_table(spark, tmp_path, rows, monkeypatch):
+    data = [(n, f"run {i}\n", None if i % 3 == 0 else f"host: {i}") for i, n in enumerate(ODD_NAMES)]
+    df = spark.createDataFrame(data, "server string, script string, config string").coalesce(1)
+    mine, theirs = str(tmp_path / "mine"), str(tmp_path / "theirs")
+    export.write_rendered(df.limit(2), mine, tasks=1)
+    export.write_rendered(df, f"file://{mine}", tasks=1)
+    monkeypatch.setattr(export, "_mounted", lambda spark, path: None)
+    export.write_rendered(df, theirs, tasks=1)
+
+    def folders(top):
+        return sorted(os.path.relpath(at, top) for at, _, files in os.walk(top) if any(f.startswith("part-") for f in files))
+
+    assert folders(mine) == folders(theirs)
+    assert rows(export.read_rendered(spark, mine)) == rows(export.read_rendered(spark, theirs))
+    assert os.path.exists(f"{mine}/_SUCCESS") and sorted(os.listdir(tmp_path)) == ["mine", "theirs"]
+
+
+def test_export_starts_no_process_for_a_file(spark, tmp_path):
+    def started():
+        with open("/proc/stat") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("processes "))
+
+    df = spark.range(500).selectExpr("concat('s', id) as server", "concat('run ', id) as script", "concat('host: ', id) as config")
+    export.write_rendered(df, str(tmp_path / "first"))
+    before = started()
+    export.write_rendered(df, str(tmp_path / "out"))
+    assert started() - before < 500
+    assert export.read_rendered(spark, str(tmp_path / "out")).count() == 1000
+
+
 def test_write_config_replaces(spark, tmp_path):
     path = str(tmp_path / "c")
     layers.write_config(spark.range(5), path)
