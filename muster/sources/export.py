@@ -83,9 +83,21 @@ def _write_files(rows, folder: str) -> None:
 
 
 def read_rendered(spark: SparkSession, path: str) -> DataFrame:
-    """Exported files back as ``server, kind, value``, one row per file."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select("server", "kind", F.regexp_replace("value", r"\n\z", "").alias("value"))
+    """Exported files back as ``server, kind, value``, one row per file.
+
+    The names are taken from each file's path in the tasks. Spark's discovery of partitions would do so in
+    the driver, in a time that grows with the square of their number, and read names like 007 as numbers.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    place = F.col("_metadata.file_path")
+    server, kind = [F.regexp_extract(place, r"/server=([^/]*)/kind=([^/]*)/[^/]*$", i) for i in (1, 2)]
+    # Once for the path as a URI, once for the folder's name.
+    name = F.nullif(_decoded(_decoded(server)), F.lit(_NO_NAME))
+    return files.select(name.alias("server"), kind.alias("kind"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+
+
+def _decoded(text):
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 _PACKED = "server string, kind string, value string, bucket int"

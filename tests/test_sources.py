@@ -176,6 +176,16 @@ def test_export_has_the_layout_of_a_partitioned_table(spark, tmp_path, rows, mon
     assert os.path.exists(f"{mine}/_SUCCESS") and sorted(os.listdir(tmp_path)) == ["mine", "theirs"]
 
 
+def test_export_comes_back_with_its_names(spark, tmp_path, rows):
+    names = [n for n in ODD_NAMES if n not in ("", "twice")] + ["007", "1e3", "2024-01-01"]
+    df = spark.createDataFrame([(n, "run", None) for n in names], "server string, script string, config string")
+    for i, some in enumerate((df, df.filter("server = '007'"))):
+        export.write_rendered(some, str(tmp_path / f"a%b +c{i}"))
+        got = export.read_rendered(spark, str(tmp_path / f"a%b +c{i}"))
+        assert got.dtypes == [("server", "string"), ("kind", "string"), ("value", "string")]
+        assert rows(got) == rows(some.selectExpr("server", "'script'", "script"))
+
+
 def test_export_starts_no_process_for_a_file(spark, tmp_path):
     def started():
         with open("/proc/stat") as f:
