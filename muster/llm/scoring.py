@@ -16,12 +16,10 @@ such rounds give the network, whose size depends on the vocabulary's alone; that
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import compress, repeat
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -30,18 +28,18 @@ from muster.session import checkpointed
 
 #: Ids of a word outside the vocabulary and of a place beyond the text's ends.
 OTHER, EDGE = 0, 1
-#: Places that are worked on at a time.
-_PLACES = 65_536
+#: Places that are worked on at a time, and those of them that are scored at a time.
+_PLACES, _SCORED = 65_536, 4_096
 #: Weights per row while they are averaged, and rows that one group averages.
 _BLOCK, _FAN = 16_384, 32
 #: Words that the network can tell apart, as they are numbered in 16 bits.
 _MOST_WORDS = 65_536
 #: Places whose logits are held at a time, and the logit of a place in a class without a word.
-_TOGETHER, _CLOSED = 256, -1e30
+_TOGETHER, _CLOSED = 512, -1e30
 #: Bytes of a rare word before the one that is spelled, the weight of each shorter context, and the sign for a word's end.
 _CONTEXT, _PRIOR, _END = 2, 4.0, 256
-#: The byte that no word holds, and bytes of words that are worked on at a time.
-_SPACE, _SIGNS = 32, 1 << 20
+#: The byte that no word holds, and bytes of words that are counted and spelled at a time.
+_SPACE, _SIGNS, _SPELLED = 32, 1 << 20, 1 << 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,17 +47,26 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8").split()
 
 
+def words_in(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts as ``words_of`` gives them, and where the words of each text start; the last number is their end."""
+    split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+    words, starts = split.flatten().cast(pa.large_binary()), split.offsets.to_numpy()
+    # White space at a text's ends parts an empty word off.
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not some.all():
+        words, starts = words.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[starts]
+    return words, starts
+
+
 def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n`` of all words of all documents."""
 
     def count(batches):
         for batch in batches:
             for _, texts in rows_of(batch, "text"):
-                counts: Counter[bytes] = Counter()
-                for t in texts:
-                    counts.update(words_of(t))
-                if counts:
-                    yield [list(counts), list(counts.values())]
+                counts = pc.value_counts(words_in(texts)[0])
+                if len(counts):
+                    yield [counts.field("values"), counts.field("counts")]
 
     counted = arrow_map(docs.select(F.col(text_col).cast("string").alias("text")), count, "word binary, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -75,15 +82,15 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[bytes
     return most_frequent(counted_words(docs, text_col), size)
 
 
-def neighbours_of(words: list[bytes]):
-    """Bytes of the words in a row, each word with a space behind it for its end, ``_SIGNS`` at a time.
+def neighbours_of(words: list[bytes], most: int):
+    """Bytes of the words in a row, each word with a space behind it for its end, ``most`` at a time.
 
     Yields where they start and stop, and for each byte the two before it and itself. No word holds a
     space, so a space before a byte says that the word begins there.
     """
     signs = np.frombuffer(b"  " + b" ".join([*words, b""]), np.uint8)
-    for start in range(0, len(signs) - 2, _SIGNS):
-        stop = min(start + _SIGNS, len(signs) - 2)
+    for start in range(0, len(signs) - 2, most):
+        stop = min(start + most, len(signs) - 2)
         yield start, stop, [signs[start + i : stop + i].astype(np.int32) for i in range(_CONTEXT + 1)]
 
 
@@ -145,7 +152,7 @@ class Spelling:
         rows, logs = self.tables
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])[np.cumsum(counts)]
         out = np.zeros(len(counts))
-        for start, stop, (a, b, sign) in neighbours_of(words):
+        for start, stop, (a, b, sign) in neighbours_of(words, min(_SIGNS, _SPELLED)):
             found = logs.reshape(-1).take(rows.take(a * 256 + b).astype(np.int64) * _END + sign)
             out += np.bincount(owners(ends, start, stop), found, minlength=len(counts))
         return out
@@ -168,7 +175,7 @@ def spelling(counted: DataFrame, words: list[bytes]) -> Spelling:
         """Keys of a context's length, its bytes and the byte behind it, with their counts."""
         keys, values = [], []
         ends = np.cumsum([len(w) + 1 for w, _ in rows])
-        for start, stop, (a, b, sign) in neighbours_of([w for w, _ in rows]):
+        for start, stop, (a, b, sign) in neighbours_of([w for w, _ in rows], _SIGNS):
             n = np.array([n for _, n in rows], np.int64)[owners(ends, start, stop)]
             inner = b != _SPACE
             for length, here, key in ((0, slice(None), sign), (1, inner, b * 256 + sign), (2, inner & (a != _SPACE), (a * 256 + b) * 256 + sign)):
@@ -220,7 +227,10 @@ class Network:
         sizes = [int(np.prod(s)) for s in shapes]
         if weights is None:
             weights = np.random.default_rng(seed).normal(0, 0.1, sum(sizes))
-        parts = np.split(np.array(weights, np.float32), np.cumsum(sizes)[:-1])
+        # Not a copy that keeps the type object of pickled weights: numpy adds to such an array ten times slower.
+        own = np.empty(sum(sizes), np.float32)
+        own[:] = weights
+        parts = np.split(own, np.cumsum(sizes)[:-1])
         self.inputs, self.bias, kinds, kind_bias, inner, inner_bias = [x.reshape(s) for x, s in zip(parts, shapes)]
         # The last class may have places without a word; they get no probability.
         inner_bias.reshape(-1)[words:] = _CLOSED
@@ -246,12 +256,14 @@ class Network:
         return np.argsort(ids.astype(np.uint16) if self.count <= _MOST_WORDS else ids, kind="stable")
 
     def state(self, around: np.ndarray) -> np.ndarray:
-        total = self.inputs[0].take(around[:, 0], axis=0)
+        total, more = self.room("total", len(around), self.hidden), self.room("more", len(around), self.hidden)
+        # With this mode the rows are written to their place at once; no number is out of range.
+        self.inputs[0].take(around[:, 0], axis=0, out=total, mode="clip")
         for i in range(1, 2 * self.reach):
-            total += self.inputs[i].take(around[:, i], axis=0)
+            total += self.inputs[i].take(around[:, i], axis=0, out=more, mode="clip")
         total += self.bias
         out = self.room("state", len(around), self.hidden + 2)
-        np.tanh(total, out=out[:, :-2])
+        out[:, :-2] = np.tanh(total, out=total)
         out[:, -2], out[:, -1] = 1, 0
         return out
 
@@ -263,88 +275,96 @@ class Network:
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each masked word given the words around it."""
-        order = self.order_of(target)
-        around, target = around[order], target[order]
+        order, out = self.order_of(target), np.empty(len(target), np.float32)
+        for start in range(0, len(order), _SCORED):
+            some = order[start : start + _SCORED]
+            out[some] = self._log_probs(around.take(some, axis=0), target.take(some))
+        return out
+
+    def _log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The same for words in ascending order."""
         h = self.state(around)
         kind, some = self._classes_of(target)
-        found = np.einsum("ij,ij->i", h, self.kinds.take(kind, axis=0)) + np.einsum("ij,ij->i", h, self.flat.take(target, axis=0))
-        steps = [(self.kinds, 0, len(h)), *[(self.words[c], a, b) for c, a, b in some]]
-        for rows, start, stop in steps:
-            for a in range(start, stop, _TOGETHER):
-                b = min(a + _TOGETHER, stop)
-                found[a:b] -= log_sums(h[a:b], rows, self.room(f"logits {len(rows)}", b - a, len(rows)))
-        out = np.empty_like(found)
-        out[order] = found
-        return out
+        found = np.zeros(len(h), np.float32)
+        for right, steps in ((kind, [(self.kinds, 0, len(h))]), (target - kind * self.per_class, [(self.words[c], a, b) for c, a, b in some])):
+            for rows, start, stop in steps:
+                for a in range(start, stop, _TOGETHER):
+                    b = min(a + _TOGETHER, stop)
+                    found[a:b] += log_shares(h[a:b], rows, right[a:b], self.room(f"logits {len(rows)}", b - a, len(rows)))
+        return found
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability."""
         n, step = len(target), np.float32(rate / len(target))
         order = self.order_of(target)
-        around, target = around[order], target[order]
+        around, target = around.take(order, axis=0), target.take(order)
         h = self.state(around)
         kind, some = self._classes_of(target)
-        wanted = self.kinds.take(kind, axis=0) + self.flat.take(target, axis=0)
+        wanted = self.kinds.take(kind, axis=0, out=self.room("wanted", n, self.hidden + 2), mode="clip")
+        wanted += self.flat.take(target, axis=0, out=self.room("wanted inside", n, self.hidden + 2), mode="clip")
         outer, inner = self.room("outer sums", n, self.hidden + 2), self.room("inner sums", n, self.hidden + 2)
         kinds = self.kinds.copy()
-        descend(h, step, outer, self.room("outer", n, self.classes), [(self.kinds, kinds, a, min(a + _TOGETHER, n)) for a in range(0, n, _TOGETHER)])
-        descend(h, step, inner, self.room("inner", n, self.per_class), [(self.words[c], self.words[c], a, b) for c, a, b in some])
+        descend(h, step, kind, outer, self.room("outer", n, self.classes), [(self.kinds, kinds, a, min(a + _TOGETHER, n)) for a in range(0, n, _TOGETHER)])
+        descend(h, step, target - kind * self.per_class, inner, self.room("inner", n, self.per_class), [(self.words[c], self.words[c], a, b) for c, a, b in some])
         self.kinds = kinds
-        back = outer[:, :-2] / outer[:, -1:]
-        back += inner[:, :-2] / inner[:, -1:]
+        back, more = self.room("total", n, self.hidden), self.room("more", n, self.hidden)
+        np.divide(outer[:, :-2], outer[:, -1:], out=back)
+        back += np.divide(inner[:, :-2], inner[:, -1:], out=more)
         back -= wanted[:, :-2]
-        h *= step
-        self.kinds[[c for c, _, _ in some]] += np.add.reduceat(h, [a for _, a, _ in some], axis=0)
-        add_rows(self.flat, target, h)
-        back *= step - np.square(h[:, :-2]) / step
-        self.bias -= back.sum(axis=0)
-        np.negative(back, out=back)
+        slope = np.square(h[:, :-2], out=more)
+        slope -= 1
+        slope *= step
+        back *= slope
+        self.bias += back.sum(axis=0)
         for i in range(2 * self.reach):
-            order = self.order_of(around[:, i])
-            add_rows(self.inputs[i], around[:, i].take(order), back.take(order, axis=0))
+            add_rows(self.inputs[i], around[:, i], back)
 
 
-def descend(h: np.ndarray, step: np.float32, sums: np.ndarray, room: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, int, int]]) -> None:
-    """Takes the step of softmax, without the pull of the right words, from what each part names second.
+def descend(h: np.ndarray, step: np.float32, right: np.ndarray, sums: np.ndarray, room: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, int, int]]) -> None:
+    """Takes the step of softmax in what each part names second; ``right`` has each place's right row.
 
     A part's logits are those of the rows it names first, at the places from its start to its stop. ``sums``
     gets exp of the logits, up to a factor of each place, times these rows. About ``_TOGETHER`` places
     are worked on at a time, so that their logits stay in the processor's cache.
     """
+    right = right + np.arange(len(h)) * room.shape[1]
     at = 0
-    while at < len(parts):
-        start, end = parts[at][2], at + 1
-        while end < len(parts) and parts[end][3] - start <= _TOGETHER:
-            end += 1
-        some, stop = parts[at:end], parts[end - 1][3]
-        e = room[: stop - start]
-        with np.errstate(over="ignore", invalid="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):
+        while at < len(parts):
+            start, end = parts[at][2], at + 1
+            while end < len(parts) and parts[end][3] - start <= _TOGETHER:
+                end += 1
+            some, stop = parts[at:end], parts[end - 1][3]
+            e, total = room[: stop - start], sums[start:stop, -1]
             for rows, _, a, b in some:
                 np.dot(h[a:b], rows.T, out=e[a - start : b - start])
             np.exp(e, out=e)
             for rows, _, a, b in some:
                 np.dot(e[a - start : b - start], rows, out=sums[a:b])
-        if not in_range(sums[start:stop, -1]):
-            for rows, _, a, b in some:
-                x = h[a:b] @ rows.T
-                e[a - start : b - start] = np.exp(x - x.max(axis=1, keepdims=True))
-                sums[a:b] = e[a - start : b - start] @ rows
-        shared = h[start:stop] * (step / sums[start:stop, -1:])
-        for _, to, a, b in some:
-            to -= np.dot(e[a - start : b - start].T, shared[a - start : b - start])
-        at = end
-
-
-def log_sums(h: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exp over each row of logits; ``x`` is room for them."""
+            if not in_range(total):
+                for rows, _, a, b in some:
+                    x = h[a:b] @ rows.T
+                    e[a - start : b - start] = np.exp(x - x.max(axis=1, keepdims=True))
+                    sums[a:b] = e[a - start : b - start] @ rows
+            # The pull of the right rows.
+            e.reshape(-1)[right[start:stop] - start * room.shape[1]] -= total
+            shared = h[start:stop] * (step / total)[:, None]
+            for _, to, a, b in some:
+                to -= np.dot(e[a - start : b - start].T, shared[a - start : b - start])
+            at = end
+
+
+def log_shares(h: np.ndarray, rows: np.ndarray, right: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Logarithm of softmax over each row of logits at its right place; ``x`` is room for them."""
+    right = right + np.arange(len(h)) * len(rows)
     with np.errstate(over="ignore", invalid="ignore"):
-        np.dot(h, rows.T, out=x)
-        total = np.exp(x, out=x).sum(axis=1)
+        wanted = np.dot(h, rows.T, out=x).take(right)
+        total = np.dot(np.exp(x, out=x), np.ones(len(rows), np.float32))
     if in_range(total):
-        return np.log(total)
+        return wanted - np.log(total)
     x = h @ rows.T
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x -= x.max(axis=1, keepdims=True)
+    return x.take(right) - np.log(np.exp(x).sum(axis=1))
 
 
 def in_range(total: np.ndarray) -> bool:
@@ -353,9 +373,13 @@ def in_range(total: np.ndarray) -> bool:
 
 
 def add_rows(to: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the row of its id; ``ids`` ascend."""
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    to[ids[first]] += np.add.reduceat(rows, first, axis=0)
+    """Adds each row to the row of its id; those of ``OTHER``, by far the most, are added up first."""
+    to[OTHER] += np.dot((ids == OTHER).astype(np.float32), rows)
+    rest, flat, across = np.flatnonzero(ids != OTHER), to.reshape(-1), np.arange(to.shape[1])
+    for start in range(0, len(rest), _TOGETHER):
+        some = rest[start : start + _TOGETHER]
+        at = ids.take(some)[:, None] * len(across) + across
+        np.add.at(flat, at.reshape(-1), rows.take(some, axis=0).reshape(-1))
 
 
 def places(pieces: list[tuple[np.ndarray, int, int]], reach: int, first: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -393,23 +417,23 @@ def in_blocks(texts: list[np.ndarray], reach: int, first: int = 0, every: int =
 
 def numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str, spelled: Spelling | None = None) -> DataFrame:
     """One stored row per document with the numbers of its words and the log-probability of its rare words' spelling."""
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(words)}, spelled))
+    shared = docs.sparkSession.sparkContext.broadcast((words, spelled))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("part int, ids binary, spelled double").fields])
 
     def run(batches):
-        numbers, rare = shared.value
-        number, part = numbers.get, TaskContext.get().partitionId()
+        known, rare = pa.array(shared.value[0], pa.large_binary()), shared.value[1]
+        part = TaskContext.get().partitionId()
         for batch in batches:
             for (ids,), texts in rows_of(batch, "text", "doc_id"):
-                coded, unknown, counts = [], [], []
-                for t in texts:
-                    own = words_of(t)
-                    found = np.fromiter(map(number, own, repeat(OTHER)), "<u2", len(own))
-                    coded.append(found.tobytes())
-                    before = len(unknown)
-                    unknown += compress(own, (found == OTHER).tolist())
-                    counts.append(len(unknown) - before)
-                extra = rare.log_probs(unknown, counts) if rare else np.zeros(len(texts))
+                own, starts = words_in(texts)
+                found = pc.index_in(own, value_set=known)
+                coded = pc.fill_null(pc.add(found, 2), OTHER).to_numpy().astype("<u2").tobytes()
+                ends = starts.tolist()
+                coded = [coded[2 * a : 2 * b] for a, b in zip(ends, ends[1:])]
+                extra = np.zeros(len(texts))
+                if rare:
+                    before = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])
+                    extra = rare.log_probs(own.filter(found.is_null()).to_numpy(zero_copy_only=False).tolist(), np.diff(before[starts]).tolist())
                 yield [ids, pa.array([part] * len(texts), pa.int32()), coded, extra]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,6 +1,7 @@
 """Toxicity, near duplicates, scores and quality rules against plain versions."""
 
 import math
+import pickle
 import random
 import re
 import tracemalloc
@@ -392,6 +393,63 @@ def test_a_step_is_that_of_plain_softmax(size):
         assert a == pytest.approx(b, abs=2e-6 * size + 1e-6)
 
 
+def test_words_are_those_of_each_text():
+    texts = ["", " a  b ", "x", "\t\x0b\x0c\r\n", "a\x1cb \x85   C\x00d", " \u4e2d\u3000\u6587 ", "\u0130 \u03a3 A\u03a3 "]
+    for some in (texts, texts[:1], texts[3:4], texts[2:3], []):
+        words, starts = scoring.words_in(some)
+        assert [words.to_pylist()[a:b] for a, b in zip(starts, starts[1:])] == [scoring.words_of(t) for t in some]
+
+
+def test_words_are_counted_and_numbered_without_an_object_for_each(spark, monkeypatch):
+    text = " ".join(f"w{i % 1000}" for i in range(200_000)) + " rare"
+    docs = spark.createDataFrame([(0, text), (1, None)], "doc_id bigint, text string").coalesce(1)
+    peaks, rows = [], []
+
+    def in_process(df, fn, schema):
+        batches = df.toArrow().to_batches()
+        tracemalloc.start()
+        rows.append(list(fn(iter(batches))))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(scoring, "arrow_map", in_process)
+    monkeypatch.setattr(scoring.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    words = [f"w{i}".encode() for i in range(1000)]
+    scoring.numbered(docs, words, "doc_id", "text", scoring.Spelling({b"": {97: 1}}))
+    (ids, part, coded, spelled), = rows[0]
+    assert ids.to_pylist() == [0, 1] and part.to_pylist() == [3, 3] and list(coded[1]) == [] and spelled[0] < 0 == spelled[1]
+    assert np.frombuffer(coded[0], "<u2").tolist() == [*[i % 1000 + 2 for i in range(200_000)], scoring.OTHER]
+    scoring.counted_words(docs)
+    (found, n), = rows[1]
+    assert dict(zip([bytes(w) for w in found.to_pylist()], n.to_pylist())) == {b"rare": 1} | dict.fromkeys(words, 200)
+    # An object for each of the 200,000 words would take 8 million bytes or more.
+    assert max(peaks) < 6e6
+
+
+def test_a_step_sorts_its_places_once(monkeypatch):
+    random = np.random.default_rng(11)
+    sorts, order_of = [], scoring.Network.order_of
+    monkeypatch.setattr(scoring.Network, "order_of", lambda self, ids: sorts.append(len(ids)) or order_of(self, ids))
+    scoring.Network(4096, 2, 16).learn(random.integers(0, 4096, (2048, 4)), random.integers(0, 4096, 2048), 2.0)
+    assert sorts == [2048]
+
+
+def test_rows_are_added_in_any_order():
+    random = np.random.default_rng(12)
+    ids = np.where(random.random(500) < 0.4, scoring.OTHER, random.integers(0, 30, 500))
+    rows, got = random.normal(0, 1, (500, 3)).astype(np.float32), np.ones((30, 3), np.float32)
+    scoring.add_rows(got, ids, rows)
+    want = np.array([1 + rows[ids == i].astype(float).sum(axis=0) for i in range(30)])
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_weights_from_the_driver_are_of_numpys_own_type():
+    """numpy adds ten times slower to arrays whose type came with them from another process."""
+    weights = pickle.loads(pickle.dumps(scoring.Network(50, 2, 4).weights))
+    assert scoring.Network(50, 2, 4, weights).inputs.dtype is np.dtype(np.float32)
+
+
 @pytest.mark.parametrize("parts", [1, 5, 40])
 def test_weights_are_averaged_by_the_places_seen(spark, parts):
     random = np.random.default_rng(9)
